@@ -22,47 +22,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 CAPACITY, UNIT, END_ID = 4096, 16, 2
-#: Text chunks whose ids a worker remembers; the others are encoded again.
-REMEMBERED = 300_000
+#: Runs of letters whose ids a worker remembers, and twice the chunks; the others are encoded again.
+REMEMBERED = 600_000
 #: Pieces ranked together in one salted group, about.
 GROUP = 200_000
 #: White space to Python's split() that the tokenizer takes as ordinary characters.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Chunks that lower-casing changes letter by letter and that no special token's text can be part of.
+LATIN = re.compile("[!-;=?-~\u00a1-\u012f\u0132-\u0148\u014a-\u017e]+")
+#: Fixed value: how the tokenizer's file cuts text.
+RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class ChunkEncoder:
     """Ids of whole texts, put together from the ids of their chunks between white space.
 
-    The tokenizer drops white space and no token crosses it, so this equals encoding the text at once.
+    The tokenizer drops white space and no token crosses it, so this equals encoding the text at once. A chunk of Latin
+    letters is put together in turn from the runs that the tokenizer's own pattern cuts it into; other chunks go to the
+    tokenizer whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.chunks, self.runs = Tokenizer.from_file(path), {}, {}
 
-    def fresh(self, chunks: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(chunks, found, strict=True)}
+    def fresh(self, parts: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(parts, found, strict=True)}
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks not met before."""
+        cut = {c: RUNS.findall(c.lower()) if LATIN.fullmatch(c) else [c] for c in chunks}
+        runs = self.runs
+        new = self.fresh(list({r for parts in cut.values() for r in parts if r not in runs}))
+        if len(runs) + len(new) <= REMEMBERED:
+            runs.update(new)
+        return {c: b"".join([runs[r] if r in runs else new[r] for r in parts]) for c, parts in cut.items()}
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end token included."""
-        end, known = np.asarray([END_ID], "<u4").tobytes(), self.known
+        end, known = np.asarray([END_ID], "<u4").tobytes(), self.chunks
         for at in range(0, len(texts), 256):
             parts = []
             for text in texts[at : at + 256]:
                 text = text or ""
                 parts.append([text] if ODD_SPACE.search(text) else text.split())
-            missing = {c for part in parts for c in part if c not in known}
-            extra = self.fresh(list(missing)) if missing else {}
-            if len(known) < REMEMBERED:
+            extra = self.learn({c for part in parts for c in part if c not in known})
+            if len(known) < REMEMBERED // 2:
                 known.update((c, b) for c, b in extra.items() if len(c) <= 24)
             for part in parts:
                 yield b"".join([known[c] if c in known else extra[c] for c in part]) + end
