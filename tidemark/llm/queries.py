@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import license_scan, packing, quality_classifier, quality_rules
+from . import license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules
 from .common import table
 
 
@@ -14,6 +15,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = line_dedup.dedup(docs.select("doc_id", "text"))
+    return out.select(
+        "doc_id", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",").alias("removed_lines"),
+        F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -32,4 +42,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_exclaim", "n_stop", "n_lines")
 
 
-QUERIES = {f.__name__: f for f in (op4_license_scan, op5_packing, op6_quality_classifier, op9_quality_rules)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_license_scan, op5_packing, op6_quality_classifier, op9_quality_rules, op10_ngram_join)}
