@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules
+from . import html_extract, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_exclaim", "n_stop", "n_lines")
@@ -46,4 +50,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_license_scan, op5_packing, op6_quality_classifier, op9_quality_rules, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_license_scan, op5_packing, op6_quality_classifier, op7_html_extract, op9_quality_rules, op10_ngram_join)}
