@@ -1,10 +1,61 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's documents."""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import line_dedup as lines
+from tidemark.llm import mixing, ngram_join, packing
+from tidemark.llm import quality_rules as rules
+from tidemark.llm.common import stored, words_of
+from tidemark.llm.queries import tokenizer_path
+
+#: No source is repeated more often than this, and every document comes once at least.
+MOST_REPEATS = 2.0
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects."""
+    return rules.keep(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that are later matches; a document left without a word by that goes, as a copy."""
+    out = lines.dedup(docs)
+    kept = out.where((F.size("removed_lines") == 0) | (F.size(words_of(F.col("text"))) > 0))
+    return kept.withColumn("n_chars", F.when(F.size("removed_lines") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents: that of the smallest id."""
+    return ngram_join.keep_one(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once at least, those of small sources more often, as evenly as the repetition limit allows."""
+    return mixing.mix(docs, entropy_share=None, limit=MOST_REPEATS, budget_share=None).select(docs.columns)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("source_mixing", source_mixing),
+    ("packing", sequence_packing),
+]
+#: SQL can express neither the line join at these sizes nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents`` of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

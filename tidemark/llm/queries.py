@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, license_scan, line_dedup, ngram_join, packing, quality_classifier, quality_rules
+from . import chat_format, html_extract, license_scan, line_dedup, mixing, neighbours, ngram_join, packing, quality_classifier, quality_rules
 from .common import table
 
 
@@ -15,6 +15,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.repair(table(spark, sf_dir, "conversations"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = line_dedup.dedup(docs.select("doc_id", "text"))
@@ -41,6 +49,11 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", "n_words", F.col("copy").cast("int").alias("copy"), "order_key")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_exclaim", "n_stop", "n_lines")
@@ -50,4 +63,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_license_scan, op5_packing, op6_quality_classifier, op7_html_extract, op9_quality_rules, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_chat_format, op3_line_dedup, op4_license_scan, op5_packing, op6_quality_classifier, op7_html_extract, op8_source_mixing, op9_quality_rules, op10_ngram_join)}
