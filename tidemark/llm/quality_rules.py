@@ -122,7 +122,12 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with their columns as they were."""
-    columns = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    return judge(inner, "text", rules).where("kept").select("row.*")
+    """The rows of ``docs`` that no rule rejects, with their columns as they were.
+
+    Rows go through ``inline`` and not a filter: a filter would be pushed below the projections and compute their arrays
+    anew for each element.
+    """
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    measured = judge(inner, "text", rules)
+    row = F.array("row")
+    return measured.select(F.inline(F.when(F.col("kept"), row).otherwise(F.slice(row, 1, 0))))
