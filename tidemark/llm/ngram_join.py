@@ -8,9 +8,11 @@ fixed size that a link can ask for; two small sets link through an equal subset.
 rarest elements of each set. The boundary is the size up to which enumeration costs less than scanning lists of the
 average length found in the data; sets just below it are in the lists as well, for links across it.
 
-Every list first offers its first member to all others, which is linear and joins up groups of near copies. Only pairs
-that are still in different components are then paired within lists; every pair offered is verified on whole texts. So no
-link between different components is lost, and a group of near copies isn't expanded into all its pairs.
+Every list first offers one member to all others, which is linear and joins up groups of near copies; lists fall into
+``PIVOTS`` kinds, which put members in different orders, so that a group gets several members offered. Only pairs that are
+still in different components are then paired within lists. Pairs pass a filter on sizes and on parity bitmaps (bits that
+differ are elements that differ), and are verified on whole texts. So no link between different components is lost, and a
+group of near copies isn't expanded into all its pairs.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Rows without an id get no
 component. Repeated rows are copies. A table without rows gives an empty result; extra columns play no part.
@@ -29,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, small, stored
-from .similarity import PERCENT, Hasher, close_sizes, frequency_levels, lists, lower_words, prefix_size, rarest_first, verify
+from .similarity import PERCENT, Hasher, frequency_levels, lists, lower_words, may_link, parity, prefix_size, rarest_first, verify
 
-WIDTH, BITS, MOST_SMALL = 5, 22, 24
+WIDTH, BITS, MOST_SMALL, PIVOTS = 5, 22, 24, 4
 
 
 def shingler(width: int = WIDTH):
@@ -77,24 +79,31 @@ def small_signatures(found: np.ndarray, percent: int = PERCENT) -> list[int]:
 
 
 def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``key``, ``n`` and a 128-bit digest ``k1``, ``k2`` of each row's set."""
+    """``key``, ``n``, a 128-bit digest ``k1``, ``k2`` and a parity bitmap ``bits`` of each row's set."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shingler(width)
         for batch in batches:
-            n, digests = [], []
+            n, digests, bits = [], [], []
             for text in batch.column(1).to_pylist():
                 found = own(text)
                 n.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                bits.append(parity(found))
             k = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1])], ["key", "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(bits, pa.list_(pa.int64()))], ["key", "n", "k1", "k2", "bits"])
 
-    return docs.mapInArrow(read, "key long, n long, k1 long, k2 long")
+    return docs.mapInArrow(read, "key long, n long, k1 long, k2 long, bits array<bigint>")
+
+
+def shuffled(keys: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """A place of each key in the order of its kind of list."""
+    h = (keys.view(np.uint64) + kinds * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
 def postings(docs: DataFrame, levels: np.ndarray, edge: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``token``, ``key``: what each set puts into the lists. A task leaves out sets it has had."""
+    """``token``, ``mix``, ``key``: what each set puts into the lists, and its place there. A task leaves out sets it has had."""
     sent = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +126,11 @@ def postings(docs: DataFrame, levels: np.ndarray, edge: int, width: int = WIDTH,
                 tokens.append(all_mine)
                 keys.append(np.full(len(all_mine), key, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(keys))], ["token", "key"])
+                token, key_of = np.concatenate(tokens), np.concatenate(keys)
+                mix = shuffled(key_of, token % np.uint64(PIVOTS))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(mix), pa.array(key_of)], ["token", "mix", "key"])
 
-    return docs.mapInArrow(read, "token long, key long")
+    return docs.mapInArrow(read, "token long, mix long, key long")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -128,16 +139,19 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     own = stored(sets(rows, width), "sets")
     reps = own.where("n > 0 and key is not null").groupBy("k1", "k2").agg(F.min("key").alias("class"))
     classes = stored(own.join(reps, ["k1", "k2"], "left").select("key", "n", "class"), "classes")
+    bits = own.where("key is not null").dropDuplicates(["key"]).select(F.col("key").alias("class"), "bits")
     levels = frequency_levels(rows.select("text"), lambda: (lambda own: lambda t: iter((own(t),)))(shingler(width)), BITS)
-    found = stored(lists(postings(rows, levels, boundary(levels, percent), width, percent), "token", ["key"]), "lists")
+    found = stored(lists(postings(rows, levels, boundary(levels, percent), width, percent), "token", ["mix", "key"]), "lists")
 
     of = classes.where("class is not null").select("key", "n", "class").dropDuplicates(["key"])
     member = lambda name: of.select(F.col("key").alias(name), F.col("n").alias(f"{name}_n"), F.col("class").alias(f"{name}_class"))
-    offered = found.select("key", "pivot_key").where("key <> pivot_key").distinct()
-    offered = offered.join(member("key"), "key").join(member("pivot_key"), "pivot_key")
-    offered = offered.where((F.col("key_class") != F.col("pivot_key_class")) & close_sizes(F.col("key_n"), F.col("pivot_key_n"), percent))
+    with_bits = lambda rows, name: rows.join(bits.select(F.col("class").alias(name), F.col("bits").alias(f"{name}_bits")), name)
+    offered = found.select("key", "pivot_key").where("key <> pivot_key").distinct().join(member("key"), "key").join(member("pivot_key"), "pivot_key")
+    offered = offered.select("key_class", "key_n", "pivot_key_class", "pivot_key_n").where("key_class <> pivot_key_class").distinct()
+    offered = with_bits(with_bits(offered, "key_class"), "pivot_key_class")
+    offered = offered.where(may_link(F.col("key_n"), F.col("pivot_key_n"), F.col("key_class_bits"), F.col("pivot_key_class_bits"), percent))
     pair = lambda a, b: (F.least(a, b).alias("a"), F.lit(-1).alias("a_line"), F.greatest(a, b).alias("b"), F.lit(-1).alias("b_line"))
-    first = stored(offered.select(F.col("pivot_key_class").alias("a"), F.lit(-1).alias("a_line"), F.col("key_class").alias("b"), F.lit(-1).alias("b_line")).distinct(), "offered")
+    first = stored(offered.select(*pair(F.col("pivot_key_class"), F.col("key_class"))).distinct(), "offered")
     whole = lambda: shingler(width)
     edges = stored(verify(first, rows, whole, percent), "links")
     joined = components(edges, "a", "b")
@@ -145,12 +159,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     held = found.select("token", "key").join(member("key"), "key").select("token", F.col("key_class").alias("class"), F.col("key_n").alias("n")).distinct()
     held = stored(held.join(joined.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")), "held")
     open_lists = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    held = held.join(open_lists, "token")
+    held = held.join(open_lists, "token").join(bits, "class")
     x, y = held.alias("x"), held.alias("y")
-    apart = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & close_sizes(F.col("x.n"), F.col("y.n"), percent))
+    apart = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & may_link(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"), percent))
     rest = apart.select(*pair(F.col("x.class"), F.col("y.class"))).distinct()
-    done = first.select(*pair(F.col("a"), F.col("b"))).distinct()
-    more = stored(verify(rest.join(done, ["a", "a_line", "b", "b_line"], "left_anti"), rows, whole, percent), "links")
+    more = stored(verify(rest.join(first, ["a", "a_line", "b", "b_line"], "left_anti"), rows, whole, percent), "links")
     final = components(edges.unionByName(more), "a", "b").select(F.col("node").alias("class"), "component")
     return classes.join(small(final), "class", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "class", "key").alias("component_id")

@@ -1 +1,58 @@
-ORACLES = {}
+"""SQL that gives the rows of the queries that SQL can express. The others are tested against brute force."""
+
+from __future__ import annotations
+
+from . import license_scan, quality_rules
+
+SPACES, BROKEN = r"[\x20\x09-\x0D]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def quality_sql() -> str:
+    gone = lambda c: f"length(t) - length(replace(t, '{c}', ''))"
+    stop = " + ".join(f"contains(' ' || t || ' ', ' {w} ')::INT" for w in quality_rules.STOP_WORDS)
+
+    def fails(r: quality_rules.Rule) -> str:
+        if r.name == "too_short":
+            return f"{r.of} < {r.percent}"
+        return f"(n_words >= {r.from_words} AND 100 * {r.metric} {'<' if r.least else '>'} {r.percent} * {r.of})"
+
+    base, own = (" OR ".join(map(fails, x)) for x in (quality_rules.BASE, quality_rules.RULES))
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, list_filter(regexp_split_to_array(t, '{SPACES}'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+    g AS (SELECT doc_id, i, ws[i + 1 : i + 5] AS g FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 4, 0))) AS i FROM w)),
+    r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1) GROUP BY doc_id),
+    m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, ({" + ".join(gone(c) for c in "#*$%&|<>")})::BIGINT AS n_symbols,
+        ({gone("!")})::BIGINT AS n_exclaim, ({stop})::BIGINT AS n_stop, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+        coalesce(r.n, 0)::BIGINT AS n_repeat_words, 1 AS one FROM w LEFT JOIN r USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) AS base_failed, NOT ({base} OR {own}) AS kept, n_exclaim, n_stop, n_lines FROM m"""
+
+
+def license_sql() -> str:
+    tokens: dict[int, list[str]] = {}
+    labels: dict[int, str] = {}
+    for k, label, token in license_scan.template_tokens():
+        tokens.setdefault(k, []).append(token)
+        labels[k] = label
+    templates = ", ".join(f"({k}, '{labels[k]}', {v!r})" for k, v in tokens.items())
+    parts = []
+    for phrase, label in license_scan.PHRASES:
+        stands = " AND ".join(f"ws[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split()))
+        parts.append(f"SELECT doc_id, i, '{label}' AS label FROM (SELECT doc_id, ws, unnest(range(0, len(ws))) AS i FROM w) WHERE {stands}")
+    return f"""
+    WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '{BROKEN}'), lambda x: x <> '') AS ws FROM d),
+    p AS ({" UNION ALL ".join(parts)}),
+    pb AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
+    tpl(k, label, tk) AS (VALUES {templates}),
+    b AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(line, '{BROKEN}'), lambda x: x <> '')) AS bs FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+    h AS (SELECT doc_id, label, len(list_intersect(bs, tk)) / len(tk) AS share FROM b, tpl WHERE len(list_intersect(bs, tk)) >= ceil(len(tk) * {license_scan.CONTAINMENT} / 100.0)),
+    l AS (SELECT doc_id, label FROM h UNION SELECT doc_id, label FROM p),
+    al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM l GROUP BY doc_id),
+    s AS (SELECT doc_id, max(share) AS share FROM h GROUP BY doc_id)
+    SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+        coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+    FROM w LEFT JOIN pb USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
+ORACLES = {"op4_license_scan": license_sql(), "op9_quality_rules": quality_sql()}

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import small, stored
 
 PERCENT = 80
+#: Bits of a set's parity bitmap.
+PARITY = 1024
 SLICE_BITS = 16
 #: Members of one owner that are verified together.
 MEMBERS = 256
@@ -223,3 +225,19 @@ def verify(pairs: DataFrame, docs: DataFrame, elements: Callable[[], Callable[[s
 def close_sizes(n: Column, m: Column, percent: int = PERCENT) -> Column:
     """Whether sets of these sizes can be similar at all."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def differing_bits(a: Column, b: Column) -> Column:
+    """Bits in which two parity bitmaps differ: no more than the elements that one of the two sets alone has."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+
+
+def parity(found: np.ndarray) -> np.ndarray:
+    """A set's bitmap of ``PARITY`` bits: whether a bit's elements are odd in number. As 64-bit integers."""
+    odd = np.bincount((found & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(n: Column, m: Column, a: Column, b: Column, percent: int = PERCENT) -> Column:
+    """Whether sets of these sizes and bitmaps can be similar: sizes are close, and few enough elements differ."""
+    return close_sizes(n, m, percent) & (differing_bits(a, b) <= n + m - 2 * F.ceil((n + m) * percent / (100 + percent)))
