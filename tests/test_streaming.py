@@ -31,16 +31,15 @@ def test_confirmed_merge_is_idempotent(spark, tmp_path):
     assert {(r.symbol, r.close) for r in rows} == {("AB", 1.0), ("AB", 3.0)}
 
 
-class Pages(feeds.PagedCandles):
-    page = 3
-
-    @staticmethod
-    def fetch(symbol, interval, start, end, limit):
-        first = -(-start // 300_000) * 300_000
-        return [[str(x), "1", "2", "1", "1", "1", "1"] for x in range(first, end + 1, 300_000)][::-1]
+def test_paged_source_gives_each_candle_once(spark):
+    class Pages(feeds.PagedCandles):  # local, so that it goes to workers by value
+        page = 3
 
+        @staticmethod
+        def fetch(symbol, interval, start, end, limit):
+            first = -(-start // 300_000) * 300_000
+            return [[str(x), "1", "2", "1", "1", "1", "1"] for x in range(first, end + 1, 300_000)][::-1]
 
-def test_paged_source_gives_each_candle_once(spark):
     spark.dataSource.register(Pages)
     rows = spark.read.format("paged_candles").options(symbols="A,B", interval="5", start="0", end=str(300_000 * 9)).load()
     assert rows.count() == 20 and rows.distinct().count() == 20
