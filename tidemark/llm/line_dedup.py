@@ -5,10 +5,11 @@ a line before it (in an earlier document by id, or earlier in the same one) is s
 100 * |A and B| >= PERCENT * |A or B|. Whether the earlier line itself stays plays no part.
 
 Lines with one and the same set form a class, of which the first line alone takes part in the join. Words are put in order
-by their frequency over all lines, rarest first; each line is listed under its prefix, with its size and the place of the
-word, and words that one line alone has are left out. Every list first offers its earliest line to all others, which is
-linear and settles groups of near copies; lines not settled are then paired with the earlier ones of their lists. Pairs
-pass the length and positional filters and are verified on the whole lines.
+by their frequency over all lines, rarest first; each line is listed under its prefix, with its size, the place of the word
+and a parity bitmap of the set; words that one line alone has are left out. Pairs pass the length and positional filters
+and the bitmaps (bits that differ are words that differ) and are verified on the whole lines. Lists of up to ``SHORT``
+lines are paired at once. A longer list first offers its earliest line to all others, which is linear and settles groups
+of near copies; its lines that are not settled are then paired with the earlier ones by a join.
 
 Null and empty texts have no lines to remove and stay as they are. Rows without an id are left alone. Of repeated rows
 (one id) all lose the same lines; lines that repeat by it are later matches only of other ids or line numbers. A table
@@ -17,7 +18,6 @@ without rows gives an empty result; extra columns stay.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,112 +26,238 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, stored
-from .similarity import PERCENT, Hasher, close_sizes, frequency_levels, lists, prefix_size, rarest_first, verify
+from .similarity import PERCENT, Hasher, close_sizes, slices, summed_levels, verify
 
-MIN_WORDS, BITS = 5, 24
+MIN_WORDS, BITS, SHORT, HUGE = 5, 24, 256, 4096
+#: Bytes of text that are cut into words together; longer texts are cut at line ends.
+TOGETHER = 1_000_000
+POSTING = {"token": np.int64, "key": np.int64, "line": np.int32, "n": np.int32, "place": np.int32, "bits": np.int64}
 
 
-def line_sets(min_words: int = MIN_WORDS):
-    """A function from a text to its lines' sets: ``(line number, set)``."""
-    own = Hasher()
+def segments(keys: list, texts: list) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Texts in lower case, as lists of ``(key, first line, bytes)`` of about TOGETHER bytes; rows without a key are left out."""
+    held, size = [], 0
+    for key, text in zip(keys, texts, strict=True):
+        data = (text or "").encode("utf-8", "surrogatepass").lower()
+        if key is None or not data:
+            continue
+        line = at = 0
+        while at < len(data):
+            end = len(data)
+            if end - at > TOGETHER:
+                cut = data.find(b"\n", at + TOGETHER)
+                end = cut if cut >= 0 else end
+            held.append((key, line, data[at:end]))
+            size += end - at
+            line += data.count(b"\n", at, end) + 1
+            at = end + 1
+            if size >= TOGETHER:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+class Lines:
+    """Sets of the lines of some segments, as flat arrays: of words (``row``, ``word``) and of lines (the others)."""
 
-    def of(text: str | None) -> Iterator[tuple[int, np.ndarray]]:
-        kept = [(k, w) for k, line in enumerate((text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")) if len(w := line.split()) >= min_words]
-        hashes = own.windows([x for _, w in kept for x in w], 1)
-        at = 0
-        for k, w in kept:
-            yield k, np.unique(hashes[at : at + len(w)])
-            at += len(w)
+    def __init__(self, own: Hasher, held: list[tuple[int, int, bytes]], min_words: int, order=None):
+        data = b"\n".join(x for *_, x in held)
+        raw = np.frombuffer(data, np.uint8)
+        blank = np.ones(len(raw) + 2, bool)
+        blank[1:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        starts, ends = np.flatnonzero(blank[:-2] & ~blank[1:-1]), np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
+        row = np.cumsum(raw == 10)[starts] if len(raw) else starts
+        lines = np.array([x.count(b"\n") + 1 for *_, x in held])
+        first = np.concatenate(([0], np.cumsum(lines)))
+        long_enough = np.bincount(row, minlength=first[-1]) >= min_words
+        use = long_enough[row]
+        row, word = row[use], own.spans(data, starts[use], ends[use])
+        rank = word if order is None else order(word)
+        by = np.lexsort((rank, row))
+        row, word, rank = row[by], word[by], rank[by]
+        if len(row):
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
+            row, word = row[new], word[new]
+        self.word = word
+        self.starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, int)
+        self.n = np.diff(np.concatenate((self.starts, [len(row)]))).astype(np.int64) if len(row) else np.zeros(0, np.int64)
+        which = row[self.starts]
+        at = np.searchsorted(first, which, "right") - 1
+        self.key = np.array([k for k, *_ in held], np.int64)[at]
+        self.line = (which - first[at] + np.array([x for _, x, _ in held], np.int64)[at]).astype(np.int32)
 
-    return of
+    def sums(self, seed: int) -> np.ndarray:
+        """A 64-bit digest of each set: the sum of mixed hashes."""
+        h = (self.word ^ np.uint64(seed)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+        return np.add.reduceat(h ^ (h >> np.uint64(28)), self.starts).view(np.int64) if len(self.starts) else np.zeros(0, np.int64)
+
+    def parity(self) -> np.ndarray:
+        return np.bitwise_xor.reduceat(np.uint64(1) << (self.word & np.uint64(63)), self.starts).view(np.int64) if len(self.starts) else np.zeros(0, np.int64)
 
 
 def line_reader():
-    own = line_sets(1)
-    return lambda text: next((found for _, found in own(text)), np.zeros(0, np.uint64))
+    own = Hasher()
+    return lambda text: np.unique(own.windows((text or "").encode("utf-8", "surrogatepass").lower().split(), 1))
 
 
-def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``key``, ``line`` and a 128-bit digest ``k1``, ``k2`` of each line's set."""
+def counted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``key``, ``line`` and a 128-bit digest ``k1``, ``k2`` of each line's set; and, in rows of their own, slices of the tasks' word counts."""
+    names, none = ["key", "line", "k1", "k2", "slice", "data"], pa.null()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = line_sets(min_words)
+        own, table = Hasher(), np.zeros(1 << BITS, np.uint32)
         for batch in batches:
-            keys, at, digests = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, found in own(text) if key is not None else ():
-                    keys.append(key)
-                    at.append(k)
-                    digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-            k = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at, pa.int32()), pa.array(k[:, 0]), pa.array(k[:, 1])], ["key", "line", "k1", "k2"])
+            for held in segments(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = Lines(own, held, min_words)
+                np.add.at(table, x.word >> np.uint64(64 - BITS), 1)
+                nothing = [pa.nulls(len(x.key), none).cast(pa.int32()), pa.nulls(len(x.key), none).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(x.key), pa.array(x.line), pa.array(x.sums(1)), pa.array(x.sums(2)), *nothing], names)
+        for k, data in slices(table):
+            nothing = [pa.nulls(1, none).cast(t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array([k], pa.int32()), pa.array([data], pa.binary())], names)
 
-    return docs.mapInArrow(read, "key long, line int, k1 long, k2 long")
+    return docs.mapInArrow(read, "key long, line int, k1 long, k2 long, slice int, data binary")
 
 
 def postings(docs: DataFrame, levels: np.ndarray, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``token``, ``key``, ``line``, ``n`` (size of the set), ``place`` (of the word in it). A task lists a set once."""
+    """``token``, ``key``, ``line``, ``n`` (size of the set), ``place`` (of the word in it), ``bits``. ``docs`` has lines to leave out in ``gone``."""
     sent = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known, had = line_sets(min_words), np.frombuffer(sent.value, np.uint8), {}
-        shift = np.uint64(64 - BITS)
+        own, known, shift = Hasher(), np.frombuffer(sent.value, np.uint8), np.uint64(64 - BITS)
+        order = lambda word: (known[word >> shift].astype(np.uint64) << np.uint64(56)) | (word >> np.uint64(8))
+        for batch in batches:
+            keys, out = batch.column(0).to_pylist(), {k: g for k, g in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True) if g}
+            for held in segments(keys, batch.column(1).to_pylist()):
+                x = Lines(own, held, min_words, order)
+                if not len(x.key):
+                    continue
+                stays = np.ones(len(x.key), bool)
+                if out:
+                    own_gone = {k: set(out[k]) for k in {k for k, *_ in held} if k in out}
+                    for i in np.flatnonzero(np.isin(x.key, np.array(list(own_gone), np.int64))) if own_gone else ():
+                        stays[i] = int(x.line[i]) not in own_gone[int(x.key[i])]
+                at = np.repeat(np.arange(len(x.n)), x.n)
+                place = np.arange(len(x.word)) - x.starts[at]
+                prefix = x.n - -(-percent * x.n // 100) + 1
+                keep = (place < prefix[at]) & stays[at] & (known[x.word >> shift] != 1)  # 1: no other line has the word
+                at = at[keep]
+                columns = [x.word[keep].view(np.int64), x.key[at], x.line[at], x.n[at].astype(np.int32), place[keep].astype(np.int32), x.parity()[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(POSTING))
+
+    return docs.mapInArrow(read, "token long, key long, line int, n int, place int, bits long")
+
+
+def passes(x: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """The length, positional and bitmap filters for pairs of postings."""
+    n, m = x["n"][i].astype(np.int64), x["n"][j].astype(np.int64)
+    needed = -(-percent * (n + m) // (100 + percent))
+    ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n - x["place"][i], m - x["place"][j]) >= needed)
+    ok[ok] = np.bitwise_count((x["bits"][i[ok]] ^ x["bits"][j[ok]]).view(np.uint64)) <= (n + m - 2 * needed)[ok]
+    return ok
+
+
+def candidates(listed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs ``a``, ``a_line``, ``b``, ``b_line`` (a before b) of short lists and of long lists' first lines, and the postings of long lists."""
+    pair = ["a", "a_line", "b", "b_line"]
+    names = [*pair, *POSTING]
+
+    def pairs(x: dict, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        ok = passes(x, i, j, percent)
+        found = [pa.array(c) for c in (x["key"][i[ok]], x["line"][i[ok]], x["key"][j[ok]], x["line"][j[ok]])]
+        return pa.RecordBatch.from_arrays([*found, *(pa.nulls(int(ok.sum())).cast(pa.from_numpy_dtype(t)) for t in POSTING.values())], names)
+
+    def opened(x: dict, rows: np.ndarray) -> pa.RecordBatch:
+        nothing = [pa.nulls(len(rows)).cast(t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32())]
+        return pa.RecordBatch.from_arrays([*nothing, *(pa.array(x[c][rows]) for c in POSTING)], names)
+
+    def whole(x: dict) -> Iterator[pa.RecordBatch]:
+        """Rows of complete lists."""
+        t = x["token"]
+        start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        length = np.diff(np.concatenate((start, [len(t)])))
+        at = np.repeat(np.arange(len(start)), length)
+        left = start[at] + length[at] - 1 - np.arange(len(t))  # rows of the list after this one
+        index = np.flatnonzero((length[at] <= SHORT) & (left > 0))
+        d = 1
+        while len(index):
+            yield pairs(x, index, index + d)
+            d += 1
+            index = index[left[index] >= d]
+        if (length > SHORT).any():
+            rows = np.flatnonzero(length[at] > SHORT)
+            yield pairs(x, start[at[rows]], rows)
+            yield opened(x, rows)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: dict | None = None
+        endless = None  # the first row of a list of more than HUGE lines that still goes on
         for batch in batches:
-            tokens, heads = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, found in own(text) if key is not None else ():
-                    digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                    if digest in had and had[digest] <= (key, k):
-                        continue
-                    had[digest] = (key, k)
-                    mine = rarest_first(found, known, BITS)[: prefix_size(len(found), percent)]
-                    places = np.flatnonzero(known[mine >> shift] != 1)  # 1: no other line has the word
-                    if len(places):
-                        tokens.append(mine[places])
-                        heads.append((key, k, len(found), places))
-            if tokens:
-                sizes = [len(t) for t in tokens]
-                column = lambda i, kind: pa.array(np.repeat(np.array([h[i] for h in heads], kind), sizes))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), column(0, np.int64), column(1, np.int32), column(2, np.int32), pa.array(np.concatenate([h[3] for h in heads]).astype(np.int32))],
-                    ["token", "key", "line", "n", "place"],
-                )
-
-    return docs.mapInArrow(read, "token long, key long, line int, n int, place int")
-
-
-def may_match(n, place, m, other, percent: int = PERCENT):
-    """Length filter, and positional filter for the first word that both prefixes hold."""
+            x = {c: batch.column(k).to_numpy() for k, c in enumerate(POSTING)}
+            if not len(x["token"]):
+                continue
+            if endless is not None:
+                same = int(np.searchsorted(x["token"] != endless["token"][0], True))
+                y = {c: np.concatenate((endless[c], v[:same])) for c, v in x.items()}
+                rows = np.arange(1, same + 1)
+                if same:
+                    yield pairs(y, np.zeros(same, int), rows)
+                    yield opened(y, rows)
+                x = {c: v[same:] for c, v in x.items()}
+                if not len(x["token"]):
+                    continue
+                endless = None
+            if carry is not None:
+                x = {c: np.concatenate((carry[c], v)) for c, v in x.items()}
+            last = int(np.flatnonzero(x["token"] == x["token"][-1])[0])
+            if last:
+                yield from whole({c: v[:last] for c, v in x.items()})
+            carry = {c: v[last:] for c, v in x.items()}
+            if len(carry["token"]) > HUGE:
+                endless = {c: v[:1] for c, v in carry.items()}
+                yield from whole(carry)
+                carry = None
+        if carry is not None:
+            yield from whole(carry)
+
+    schema = "a long, a_line int, b long, b_line int, token long, key long, line int, n int, place int, bits long"
+    return listed.repartition("token").sortWithinPartitions("token", "key", "line").mapInArrow(read, schema)
+
+
+def may_match(x: str, y: str, percent: int = PERCENT):
+    """The same filters over columns of two aliases."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     needed = F.ceil((n + m) * percent / (100 + percent))
-    return close_sizes(n, m, percent) & (1 + F.least(n - place, m - other) - 1 >= needed)
+    room = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place"))
+    return close_sizes(n, m, percent) & (room >= needed) & (F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= n + m - 2 * needed)
 
 
 def later_matches(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
     """``key``, ``line`` of every line to remove; ``docs`` has columns ``key`` and ``text``."""
     item = ["key", "line"]
-    own = stored(lines(docs, min_words), "lines")
+    both = stored(counted_lines(docs, min_words), "lines")
+    own = both.where("slice is null").select(*item, "k1", "k2")
     firsts = own.groupBy("k1", "k2").agg(F.min(F.struct(*item)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = stored(own.join(firsts, ["k1", "k2"]).where(F.struct(*item) != F.col("first")).select(*item).distinct(), "copies")
+    gone = stored(copies.groupBy("key").agg(F.collect_list("line").alias("gone")), "copies")
+    levels = summed_levels(both.where("slice is not null").select("slice", "data"), BITS)
+
+    # of rows that repeat an id, the first copy alone is listed: equal lines of one id and number are one line
+    rows = docs.join(small(gone), "key", "left").select("key", "text", "gone")
+    found = stored(candidates(postings(rows, levels, min_words, percent), percent), "lists")
+    first = found.where("a is not null and (a <> b or a_line <> b_line)").select("a", "a_line", "b", "b_line").distinct()
+    as_item = lambda df: df.select(F.col("b").alias("key"), F.col("b_line").alias("line")).distinct()
+    settled = stored(as_item(verify(first, docs, line_reader, percent)), "settled")
 
-    def elements():
-        of = line_sets(min_words)
-        return lambda text: (found for _, found in of(text))
-
-    levels = frequency_levels(docs.select("text"), elements, BITS)
-    found = lists(postings(docs, levels, min_words, percent), "token", [*item, "n", "place"])
-    found = stored(found.join(small(copies), item, "left_anti"), "lists")
-    pivot = [f"pivot_{c}" for c in (*item, "n", "place")]
-    other = F.struct(*item) != F.struct(F.col("pivot_key").alias("key"), F.col("pivot_line").alias("line"))
-    offered = found.where(other & may_match(F.col("n"), F.col("place"), F.col("pivot_n"), F.col("pivot_place"), percent))
-    first = offered.select(F.col("pivot_key").alias("a"), F.col("pivot_line").alias("a_line"), F.col("key").alias("b"), F.col("line").alias("b_line")).distinct()
-    settled = stored(verify(first, docs, line_reader, percent).select(F.col("b").alias("key"), F.col("b_line").alias("line")).distinct(), "settled")
-
-    later = found.where(other).drop(*pivot).join(small(settled), item, "left_anti").alias("y")
-    earlier = found.where(other).drop(*pivot).alias("x")
+    long_lists = found.where("token is not null").select(*POSTING).distinct()
+    later = long_lists.join(small(settled), item, "left_anti").alias("y")
     at = lambda side: F.struct(F.col(f"{side}.key").alias("key"), F.col(f"{side}.line").alias("line"))
-    pairs = earlier.join(later, (F.col("x.token") == F.col("y.token")) & (at("x") < at("y")) & may_match(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent))
+    pairs = long_lists.alias("x").join(later, (F.col("x.token") == F.col("y.token")) & (at("x") < at("y")) & may_match("x", "y", percent))
     second = pairs.select(F.col("x.key").alias("a"), F.col("x.line").alias("a_line"), F.col("y.key").alias("b"), F.col("y.line").alias("b_line")).distinct()
-    more = verify(second, docs, line_reader, percent).select(F.col("b").alias("key"), F.col("b_line").alias("line"))
+    more = as_item(verify(second, docs, line_reader, percent))
     return copies.unionByName(settled).unionByName(more).distinct()
 
 

@@ -88,19 +88,31 @@ def frequency_levels(texts: DataFrame, elements: Callable[[], Callable[[str | No
     ``elements()`` makes a function from a text to its sets. Every task counts its own rows and sends a compressed table of
     fixed size, by slices; slices are summed apart from each other. The driver gets ``2 ** bits`` bytes.
     """
-    shift, width = np.uint64(64 - bits), 1 << SLICE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = elements(), np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for found in own(text):
-                    np.add.at(table, found >> shift, 1)
-        if table.any():
-            for k in range(0, 1 << bits, width):
-                part = table[k : k + width]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k >> SLICE_BITS], pa.int32()), pa.array([zlib.compress(np.minimum(part, 65535).astype("<u2").tobytes(), 1)], pa.binary())], ["slice", "data"])
+                    np.add.at(table, found >> np.uint64(64 - bits), 1)
+        for k, data in slices(table):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["slice", "data"])
+
+    return summed_levels(texts.mapInArrow(count, "slice int, data binary"), bits)
+
+
+def slices(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A task's counts as compressed slices; empty ones are left out."""
+    width = 1 << SLICE_BITS
+    for k in range(0, len(table), width):
+        part = table[k : k + width]
+        if part.any():
+            yield k >> SLICE_BITS, zlib.compress(np.minimum(part, 65535).astype("<u2").tobytes(), 1)
+
+
+def summed_levels(parts: DataFrame, bits: int) -> np.ndarray:
+    """The levels of all tasks' slices together; the driver gets ``2 ** bits`` bytes."""
+    width = 1 << SLICE_BITS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -112,10 +124,9 @@ def frequency_levels(texts: DataFrame, elements: Callable[[], Callable[[str | No
             level = np.where(total > 0, 1 + np.rint(4 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], ["slice", "data"])
 
-    schema = "slice int, data binary"
-    parts = texts.mapInArrow(count, schema).repartition(max(1, 1 << max(0, bits - SLICE_BITS - 3)), "slice").mapInArrow(add, schema)
+    summed = parts.repartition(max(1, 1 << max(0, bits - SLICE_BITS - 3)), "slice").mapInArrow(add, "slice int, data binary")
     out = np.zeros(1 << bits, np.uint8)
-    for row in parts.collect():  # 2 ** bits bytes, whatever the data
+    for row in summed.collect():
         out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row["data"]), np.uint8)
     return out
 
