@@ -134,14 +134,16 @@ def plan(histogram: dict[int, int], capacity: int, gap: float = 2e-4, rounds: in
     demand = np.array([histogram[k] for k in sizes], float)
     basis = np.diag(np.maximum(1, capacity // sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis))
-    for step in range(rounds):
-        if step % 64 == 63:
+    bound = 0.0
+    for step in range(rounds):  # einsum, as threads of a linear algebra library cost more than they bring at this size
+        if step % 512 == 511:
             inverse = np.linalg.inv(basis)
-        use, duals = inverse @ demand, inverse.sum(axis=0)
+        use, duals = np.einsum("ij,j->i", inverse, demand), inverse.sum(axis=0)
         value, column = knapsack(sizes, np.maximum(duals, 0), capacity)
-        if value <= 1 + gap:  # the sum of use, divided by value, bounds every plan from below
+        bound = max(bound, use.sum() / value)  # no plan takes fewer sequences
+        if use.sum() <= bound * (1 + gap):
             break
-        change = inverse @ column
+        change = np.einsum("ij,j->i", inverse, column)
         ratio = np.full(len(sizes), np.inf)
         np.divide(use, change, out=ratio, where=change > 1e-9)
         leave = int(ratio.argmin())
