@@ -20,6 +20,7 @@ from tidemark.operators import monitoring as mon
 from tidemark.operators import records as rec
 from tidemark.plans import router
 from tidemark.sources import feeds
+from tidemark.streaming import candles as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,10 +104,14 @@ for _id, _code in (("agg_rollup_1h", "60"), ("agg_rollup_4h", "240"), ("agg_roll
     )
 
 
-@query("agg_first_last_by_time", "SELECT user_id, first(value ORDER BY ts, event_id) AS first_value, last(value ORDER BY ts, event_id) AS last_value FROM events GROUP BY user_id")
-def agg_first_last(t):
-    at = F.struct("ts", "event_id")
-    return t("events").groupBy("user_id").agg(F.min_by("value", at).alias("first_value"), F.max_by("value", at).alias("last_value"))
+@query("agg_first_by_time", "SELECT user_id, first(value ORDER BY ts, event_id) AS first_value FROM events GROUP BY user_id")
+def agg_first(t):
+    return t("events").groupBy("user_id").agg(F.min_by("value", F.struct("ts", "event_id")).alias("first_value"))
+
+
+@query("agg_last_by_time", "SELECT user_id, last(value ORDER BY ts, event_id) AS last_value FROM events GROUP BY user_id")
+def agg_last(t):
+    return t("events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
 
 
 @query("agg_having_min_count", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 3")
@@ -615,10 +620,14 @@ def fn_align_range(t):
     return t("events").select("event_id", a.alias("a"), b.alias("b"))
 
 
-@query("fn_from_to_ms", "SELECT event_id, (epoch_us(ts) // 1000) AS ms, (epoch_us(ts) // 1000) // 1000 AS s FROM events")
-def fn_from_to_ms(t):
-    ms = iv.to_ms(F.col("ts"))
-    return t("events").select("event_id", iv.to_ms(iv.from_ms(ms)).alias("ms"), F.floor(ms / 1000).alias("s"))
+@query("fn_from_ms", "SELECT event_id, date_trunc('milliseconds', ts) AS t FROM events")
+def fn_from_ms(t):
+    return t("events").select("event_id", iv.from_ms(iv.to_ms(F.col("ts"))).cast("timestamp_ntz").alias("t"))
+
+
+@query("fn_to_ms", "SELECT event_id, (epoch_us(ts) // 1000) AS ms FROM events")
+def fn_to_ms(t):
+    return t("events").select("event_id", iv.to_ms(F.col("ts")).alias("ms"))
 
 
 @query("fn_format_ts", "SELECT event_id, strftime(ts, '%d-%m-%Y %H:%M') AS s FROM events")
@@ -689,9 +698,19 @@ def fn_norm_price(t):
     return t("customer").select("c_custkey", nm.price(F.col("c_acctbal")).alias("price"), nm.price_change(F.col("c_acctbal")).alias("change"))
 
 
-@query("fn_norm_supply_money", "SELECT p_partkey, round(p_retailprice, 8) AS supply, round(p_retailprice, 2) AS money FROM part")
+@query("fn_norm_supply", "SELECT p_partkey, round(p_retailprice / 3, 8) AS supply FROM part")
 def fn_norm_supply(t):
-    return t("part").select("p_partkey", nm.supply(F.col("p_retailprice")).alias("supply"), nm.money(F.col("p_retailprice")).alias("money"))
+    return t("part").select("p_partkey", nm.supply(F.col("p_retailprice") / 3).alias("supply"))
+
+
+@query("fn_norm_money", "SELECT p_partkey, round(p_retailprice, 2) AS money FROM part")
+def fn_norm_money(t):
+    return t("part").select("p_partkey", nm.money(F.col("p_retailprice")).alias("money"))
+
+
+@query("fn_pair", "SELECT p_partkey, p_brand || '/' || p_type AS pair FROM part")
+def fn_pair(t):
+    return t("part").select("p_partkey", nm.pair_label(F.col("p_brand"), F.col("p_type")).alias("pair"))
 
 
 @query("fn_parse_iso", f"SELECT event_id, CASE WHEN event_id % 3 = 0 THEN {NOW_MS} ELSE epoch_ms(date_trunc('second', ts)) END AS ms FROM events")
@@ -706,9 +725,9 @@ def fn_parse_genesis(t):
     return t("events").select("event_id", F.unix_millis(nm.genesis_date(raw)).alias("ms"))
 
 
-@query("fn_token_name", "SELECT p_partkey, lower(p_brand) AS name, p_brand || '/' || p_type AS pair FROM part")
+@query("fn_token_name", "SELECT p_partkey, lower(p_brand) AS name FROM part")
 def fn_token_name(t):
-    return t("part").select("p_partkey", F.lower("p_brand").alias("name"), nm.pair_label(F.col("p_brand"), F.col("p_type")).alias("pair"))
+    return t("part").select("p_partkey", F.lower("p_brand").alias("name"))
 
 
 @query("fn_lower_symbol", "SELECT c_custkey, lower(c_mktsegment) AS symbol FROM customer")
@@ -849,7 +868,61 @@ def val_candles(t):
 
 @query("st_resume_point", f"SELECT event_type AS symbol, CASE WHEN 1704067200000 < min((epoch_us(ts) // 1000)) THEN 1704067200000 ELSE max((epoch_us(ts) // 1000)) END AS start_ms, CASE WHEN 1704067200000 < min((epoch_us(ts) // 1000)) THEN min((epoch_us(ts) // 1000)) ELSE {NOW_MS} END AS end_ms FROM events GROUP BY 1")
 def st_resume(t):
-    from tidemark.streaming.candles import resume_side
-
     r = cd.time_range(t("events").select(F.col("event_type").alias("symbol"), "ts"))
-    return r.select("symbol", *resume_side(F.col("first_ms"), F.col("last_ms"), F.lit(1_704_067_200_000), F.lit(NOW_MS)))
+    return r.select("symbol", *st.resume_side(F.col("first_ms"), F.col("last_ms"), F.lit(1_704_067_200_000), F.lit(NOW_MS)))
+
+
+# streams ------------------------------------------------------------------------------------------------------------
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(kind).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_query(name: str, sql: str):
+    def keep(f: Callable[[SparkSession, str, str], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, st.work_dir(spark, name))
+        ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+BARS_ONLY = "symbol, ts, open, high, low, close, n"
+
+for _id, _code in (("st_tumbling", "60"), ("st_late_data", "240")):
+    stream_query(_id, f"WITH {bars_sql(_code)} SELECT {BARS_ONLY} FROM bars")(
+        lambda spark, sf_dir, work, code=_code: st.finished(st.rollup_stream(event_stream(spark, sf_dir), code, "event_type", "ts", "value", "event_id"), ["symbol", "ts"], work).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    )
+
+
+@stream_query("st_confirmed_upsert", "SELECT event_type AS symbol, '5' AS \"interval\", ts, value AS close FROM events WHERE event_id % 2 = 0")
+def st_confirmed_upsert(spark, sf_dir, work):
+    rows = event_stream(spark, sf_dir).where("event_id % 2 = 0").select(F.col("event_type").alias("symbol"), F.lit("5").alias("interval"), "ts", F.col("value").alias("close"), F.col("event_id").alias("arrived"))
+    return st.merged(st.confirmed(rows, "40 days"), work).select("symbol", "interval", F.col("ts").cast("timestamp_ntz").alias("ts"), "close")
+
+
+def holes(t: Table) -> tuple[DataFrame, DataFrame]:
+    full = hourly(t).select("symbol", "ts", "open", "close")
+    return full, full.where(~F.col("ts").between(moment("2024-01-10"), moment("2024-01-12")))
+
+
+@query("st_backfill_loop", f"WITH {bars_sql()} SELECT symbol, ts, open, close FROM bars")
+def st_backfill_loop(t):
+    full, state = holes(t)
+    state = [state]
+
+    def fetch(found):
+        ms = iv.to_ms(F.col("ts"))
+        return full.join(found, "symbol").where((ms >= F.col("gap_start")) & (ms < F.col("gap_end"))).select(full.columns)
+
+    st.backfill(lambda: state[0], fetch, lambda rows: state.append(mg.upsert(state.pop(), rows, ["symbol", "ts"])), BASE)
+    return state[0]
+
+
+@query("st_repair", f"WITH {bars_sql()} SELECT symbol, ts, open, close FROM bars")
+def st_repair(t):
+    full = hourly(t).select("symbol", "ts", "open", "close")
+    broken = full.withColumn("close", F.when(F.col("ts") >= moment("2024-01-20"), F.lit(-1.0)).otherwise(F.col("close")))
+    return mg.refresh_window(broken, full, "ts", moment("2024-01-20"), moment("2030-01-01"))

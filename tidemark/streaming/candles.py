@@ -2,19 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.intervals import width
 from tidemark.operators.candles import gaps
-from tidemark.operators.merge import upsert
+from tidemark.operators.merge import last_wins, upsert
 
 #: How far back each stored rollup takes late candles in.
 LATE = {"60": "3 hours", "240": "12 hours", "D": "3 days"}
 KEYS = ["symbol", "interval", "ts"]
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def finished(stream: DataFrame, keys: list[str], work: str) -> DataFrame:
+    """Runs an aggregation over what is there now, in update mode; the last row of each key."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{work}/out/{number}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{work}/out/*")
+    return last_wins(rows, keys, ["batch"]).drop("batch")
+
+
+def merged(stream: DataFrame, work: str, order: str = "arrived") -> DataFrame:
+    """Merges what is there now into a table, and reads it."""
+    q = merge_into(stream, f"{work}/table", f"{work}/checkpoint", order)
+    q.awaitTermination()
+    last = max((p["batchId"] for p in q.recentProgress), default=0)
+    spark = stream.sparkSession
+    path = f"{work}/table/{last % 2}"
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
+    return spark.read.parquet(path if there else f"{work}/table/{(last + 1) % 2}")
+
+
 def confirmed(stream: DataFrame, late: str = "3 hours") -> DataFrame:
     """Each candle once, though messages repeat within the watermark."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(KEYS)
