@@ -187,7 +187,7 @@ def test_chat_segments_reach_the_least_cost(roles, cut):
     m = np.full((4, 4), chat.FAR)
     m[range(4), range(4)] = 0
     for k in range(0, len(roles), cut):
-        step = chat.matrix_of(roles[k : k + cut])
+        step = np.array(chat.matrix_of(roles[k : k + cut]))
         m = np.minimum((m[:, :, None] + step[None]).min(axis=1), chat.FAR)
     assert min(m[chat.START][s] + chat.ENDS[s][0] for s in range(3)) == cheapest(roles)
 

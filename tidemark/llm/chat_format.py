@@ -76,22 +76,22 @@ def moves(role: int) -> list[tuple[int, int, int, str]]:
 MOVES = {role: moves(role) for role in (-1, 0, 1, 2)}
 
 
-def step(costs: np.ndarray, role: int) -> tuple[np.ndarray, dict[int, tuple[int, str]]]:
+def step(costs: list[int], role: int) -> tuple[list[int], dict[int, tuple[int, str]]]:
     """Least costs after a turn, and the move into each state."""
-    out, back = np.full(4, FAR), {}
+    out, back = [FAR] * 4, {}
     for before, after, cost, action in MOVES[role]:
         if costs[before] + cost < out[after]:
             out[after], back[after] = costs[before] + cost, (before, action)
-    return np.minimum(out, FAR), back
+    return out, back
 
 
-def matrix_of(roles: list[int]) -> np.ndarray:
+def matrix_of(roles: list[int]) -> list[list[int]]:
     """Least costs from each state to each over the turns."""
-    return np.array([_run(entry, roles) for entry in range(4)])
+    return [_run(entry, roles) for entry in range(4)]
 
 
-def _run(entry: int, roles: list[int]) -> np.ndarray:
-    costs = np.full(4, FAR)
+def _run(entry: int, roles: list[int]) -> list[int]:
+    costs = [FAR] * 4
     costs[entry] = 0
     for r in roles:
         costs, _ = step(costs, r)
@@ -100,7 +100,7 @@ def _run(entry: int, roles: list[int]) -> np.ndarray:
 
 def trace(roles: list[int], entry: int, leave: int) -> list[tuple[int, int, str]]:
     """``(state before, state after, action)`` of every turn on the cheapest way between two states."""
-    costs = np.full(4, FAR)
+    costs = [FAR] * 4
     costs[entry] = 0
     backs = []
     for r in roles:
@@ -166,18 +166,20 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     cut = stored(rows.repartitionByRange(*order).withColumn("segment", F.spark_partition_id()), "segments")
 
     def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ((*key, len(held), *matrix_of([r[2] for r in held]).ravel().tolist()) for key, held in groups(batches, 2))
+        found = ((*key, len(held), *(c for row in matrix_of([r[2] for r in held]) for c in row)) for key, held in groups(batches, 2))
         yield from batched(found, [("conv", pa.int64()), ("segment", pa.int32()), ("n", pa.int64()), *((f"c{i}", pa.int64()) for i in range(16))])
 
+    names = [f"c{i}" for i in range(16)]
     matrices = (
         cut.select("conv", "segment", "code", "turn", "hash").repartition("conv", "segment").sortWithinPartitions("conv", "segment", "turn", "hash")
-        .mapInArrow(costs, "conv long, segment int, n long, " + ", ".join(f"c{i} long" for i in range(16)))
+        .mapInArrow(costs, "conv long, segment int, n long, " + ", ".join(f"{c} long" for c in names))
     )
+    matrices = stored(matrices, "matrices")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         # one row per segment of one conversation: as many as range partitions at most
         pdf = pdf.sort_values("segment")
-        steps = pdf[[f"c{i}" for i in range(16)]].to_numpy().reshape(-1, 4, 4)
+        steps = pdf[names].to_numpy().reshape(-1, 4, 4)
         reach = [np.array([FAR, FAR, FAR, 0])]
         for m in steps:
             reach.append(np.minimum((reach[-1][:, None] + m).min(axis=0), FAR))
@@ -190,7 +192,13 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
         first = np.concatenate(([0], np.cumsum(pdf["n"].to_numpy())[:-1]))
         return pd.DataFrame({"conv": pdf["conv"], "segment": pdf["segment"], "entry": entry[::-1], "leave": leave[::-1], "first": first, "end": [-1] * (len(pdf) - 1) + [last]})
 
-    fixed = matrices.groupBy("conv").applyInPandas(chain, "conv long, segment int, entry int, leave int, first long, end int")
+    # nearly every conversation is one segment, whose end is the cheapest state; only the others are chained
+    counted = matrices.groupBy("conv").agg(F.count("*").alias("segments"), F.first(F.struct("segment", "n", *names)).alias("m"))
+    ends = F.array_min(F.array(*[F.struct((F.col(f"m.c{4 * START + s}") + ENDS[s][0]).alias("cost"), F.lit(int(s != 2)).alias("late"), F.lit(s).alias("state")) for s in range(3)]))
+    alone = counted.where("segments = 1").select("conv", "m.segment", F.lit(START).alias("entry"), ends["state"].alias("leave"), F.lit(0).cast("long").alias("first"), ends["state"].alias("end"))
+    several = counted.where("segments > 1").select(F.col("conv").alias("of"))
+    chained = matrices.join(several, F.col("conv").eqNullSafe(F.col("of")), "left_semi").groupBy("conv").applyInPandas(chain, "conv long, segment int, entry int, leave int, first long, end int")
+    fixed = alone.unionByName(chained)
     ready = cut.join(fixed, cut["conv"].eqNullSafe(fixed["conv"]) & (cut["segment"] == fixed["segment"]))
     ready = ready.select(cut["conv"], cut["segment"], "turn", "hash", "code", "role", "text", "entry", "leave", "first", "end")
 
