@@ -129,6 +129,16 @@ def test_line_dedup_equals_brute_force(spark):
         assert out[k].text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in expect[k])
 
 
+def test_long_lists_of_lines_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHORT", 3)
+    monkeypatch.setattr(line_dedup, "HUGE", 10)
+    docs = [(k, "\n".join(t for _, t in near_copies(25, 12, 2, k % 3))) for k in range(6)]
+    docs += [(100 + k, "\n".join(t for _, t in near_copies(30, 20, 3, 10 + k))) for k in range(3)]
+    out = {r.doc_id: r.removed_lines for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    expect = removed(docs)
+    assert out == {k: expect[k] for k, _ in docs} and any(expect.values())
+
+
 def test_line_dedup_edges(edges, empty):
     out = line_dedup.dedup(edges)
     found = defaultdict(list)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import small, stored
 from .similarity import PERCENT, Hasher, close_sizes, slices, summed_levels, verify
 
-MIN_WORDS, BITS, SHORT, HUGE = 5, 24, 256, 4096
+MIN_WORDS, BITS, SHORT, HUGE = 5, 24, 128, 4096
 #: Bytes of text that are cut into words together; longer texts are cut at line ends.
 TOGETHER = 1_000_000
 POSTING = {"token": np.int64, "key": np.int64, "line": np.int32, "n": np.int32, "place": np.int32, "bits": np.int64}
@@ -99,8 +99,8 @@ class Lines:
 
 
 def line_reader():
-    own = Hasher()
-    return lambda text: np.unique(own.windows((text or "").encode("utf-8", "surrogatepass").lower().split(), 1))
+    """Words themselves, so that verification takes no hash for a word."""
+    return lambda text: frozenset((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
 def counted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -182,11 +182,16 @@ def candidates(listed: DataFrame, percent: int = PERCENT) -> DataFrame:
         at = np.repeat(np.arange(len(start)), length)
         left = start[at] + length[at] - 1 - np.arange(len(t))  # rows of the list after this one
         index = np.flatnonzero((length[at] <= SHORT) & (left > 0))
-        d = 1
+        d, earlier, later, size = 1, [], [], 0
         while len(index):
-            yield pairs(x, index, index + d)
+            earlier.append(index)
+            later.append(index + d)
+            size += len(index)
             d += 1
             index = index[left[index] >= d]
+            if size > 200_000 or not len(index):  # few large batches, of bounded size
+                yield pairs(x, np.concatenate(earlier), np.concatenate(later))
+                earlier, later, size = [], [], 0
         if (length > SHORT).any():
             rows = np.flatnonzero(length[at] > SHORT)
             yield pairs(x, start[at[rows]], rows)

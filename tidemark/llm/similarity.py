@@ -194,7 +194,7 @@ def lists(postings: DataFrame, token: str, order: list[str]) -> DataFrame:
     )
 
 
-def verify(pairs: DataFrame, docs: DataFrame, elements: Callable[[], Callable[[str | None], np.ndarray]], percent: int = PERCENT) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, elements: Callable[[], Callable[[str | None], np.ndarray | frozenset]], percent: int = PERCENT) -> DataFrame:
     """The pairs whose sets are similar: ``a``, ``a_line``, ``b``, ``b_line`` (document and line; line -1: the whole text).
 
     Documents send only what the pairs ask for. What belongs to one ``a`` is verified in groups of ``MEMBERS``, each of
@@ -224,7 +224,8 @@ def verify(pairs: DataFrame, docs: DataFrame, elements: Callable[[], Callable[[s
                     now, mine = (a[i], al[i], s[i]), own(t[i])
                 elif now == (a[i], al[i], s[i]):
                     other = own(t[i])
-                    if similar(len(np.intersect1d(mine, other, assume_unique=True)), len(mine), len(other), percent):
+                    shared = len(mine & other) if isinstance(mine, frozenset) else len(np.intersect1d(mine, other, assume_unique=True))
+                    if similar(shared, len(mine), len(other), percent):
                         found.append((a[i], al[i], b[i], bl[i]))
             if found:
                 columns = list(zip(*found, strict=True))
