@@ -129,3 +129,19 @@ def test_mixing_meets_limit_and_budget(spark, edges, empty):
     assert mixing.mix(empty).count() == 0
     out = mixing.mix(edges, entropy_share=None, limit=2.0, budget_share=None)
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in edges.collect()}
+
+
+NOTICES = [
+    ("Released under the MIT License.", "mit"), ("Licensed under MIT license", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("Released under Apache-2.0", "apache-2.0"),
+    ("Released under the BSD License", "bsd"), ("Licensed under the BSD 3-Clause License.", "bsd"), ("Licensed under BSD-2-Clause", "bsd"), ("Released under the GNU General Public License", "gpl"),
+    ("Licensed under the GPL, version 3", "gpl"), ("Released under GPLv3", "gpl"), ("Licensed under GPLv2.", "gpl"), ("Released under the Mozilla Public License 2.0", "mpl-2.0"),
+    ("Licensed under the MPL 2.0", "mpl-2.0"), ("Licensed under the ISC license.", "isc"), ("Released under CC BY 4.0", "cc-by"), ("Licensed under the Creative Commons Attribution License", "cc-by"),
+    ("Released under CC0 1.0", "cc0"), ("Licensed under the Creative Commons Zero license", "cc0"), ("Released under the Unlicense.", "unlicense"), ("All rights reserved.", "reserved"),
+    ("Released under the terms of the license", ""), ("Licensed under the public license, version 2.0", ""), ("Licensed under the Creative Commons license", ""),
+]
+
+
+def test_license_notices_of_one_line(spark):
+    docs = spark.createDataFrame([(k, f"some prose\n{text}\nmore prose mit mpl") for k, (text, _) in enumerate(NOTICES)], "doc_id long, text string")
+    assert {label for label, _ in license_scan.TEMPLATES} <= {label for _, label in NOTICES}
+    assert {NOTICES[r.doc_id][0]: r.labels for r in license_scan.digest(docs).collect()} == dict(NOTICES)

@@ -28,7 +28,8 @@ CONTAINMENT = 80
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Opening sentences of public licenses, with labels.
+#: Opening sentences and short notices of public licenses, with labels. A notice has four words at
+#: most, so that all of them are needed at 80 %: of five words, one could be left out, and that could be the name.
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability"),
@@ -43,6 +44,21 @@ TEMPLATES = (
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("reserved", "Copyright, all rights reserved"),
+    ("mit", "under MIT License"),
+    ("apache-2.0", "under Apache License"),
+    ("apache-2.0", "under Apache 2.0"),
+    ("bsd", "under BSD License"),
+    ("bsd", "under BSD clause"),
+    ("gpl", "under GPL"),
+    ("gpl", "under GPLv2"),
+    ("gpl", "under GPLv3"),
+    ("mpl-2.0", "under Mozilla Public License"),
+    ("mpl-2.0", "under MPL 2.0"),
+    ("isc", "under ISC License"),
+    ("cc-by", "under Creative Commons Attribution"),
+    ("cc0", "under CC0"),
+    ("cc0", "under Creative Commons Zero"),
+    ("unlicense", "under Unlicense"),
 )
 
 
