@@ -145,3 +145,18 @@ def test_license_notices_of_one_line(spark):
     docs = spark.createDataFrame([(k, f"some prose\n{text}\nmore prose mit mpl") for k, (text, _) in enumerate(NOTICES)], "doc_id long, text string")
     assert {label for label, _ in license_scan.TEMPLATES} <= {label for _, label in NOTICES}
     assert {NOTICES[r.doc_id][0]: r.labels for r in license_scan.digest(docs).collect()} == dict(NOTICES)
+
+
+def test_license_templates_wrapped_over_lines(spark):
+    import textwrap
+
+    texts, whole = {}, dict(enumerate(license_scan.TEMPLATES))
+    for k, (_, text) in whole.items():
+        texts[k] = "First paragraph.\n \n" + "\n".join(f" * {x}" for x in textwrap.wrap(text, max(6, min(40, len(text) // 2)), break_long_words=False, break_on_hyphens=False)) + "\n\nlast one"
+    texts[100] = "under\nthe\n\nmit\nlicense"  # an empty line ends a block
+    texts[101] = "under the\n" + "word " * 10 + "license\nmit"  # words that don't stand together
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r.labels.split(",") for r in license_scan.digest(docs).collect()}
+    assert all(label in out[k] for k, (label, _) in whole.items()) and out[100] == out[101] == [""]
+    found = license_scan.wrapped(docs, "doc_id", "text", license_scan.CONTAINMENT).collect()
+    assert all(any(r.doc_id == k == r.template and r.n_held == r.n_template for r in found) for k in whole)

@@ -1,7 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in built-in functions only.
 
 A block is a line of the text; its tokens are the distinct words of it. A block carries a template's label when it holds
-at least ``CONTAINMENT`` percent of the template's distinct words. The join is exact: template words are put in order of
+at least ``CONTAINMENT`` percent of the template's distinct words. Paragraphs of several lines (up to an empty line) are
+blocks too, so that wrapped notices are found; in them the words must stand together, in a run of words of which the
+template could be ``CONTAINMENT`` percent, as a whole text without empty lines holds the words of short notices by chance.
+The join of lines is exact: template words are put in order of
 their frequency over all blocks, rarest first, and a block that meets the threshold must hold one of the first
 ``size - needed + 1`` of them (prefix), at a place that leaves enough words after it (position), and must itself hold
 ``needed`` words or more (length). What passes is verified on the whole sets. Only the template index is broadcast; its
@@ -20,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, let
 
 #: Percent of a template's distinct words that a block must hold.
 CONTAINMENT = 80
@@ -108,8 +111,39 @@ def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines.select(key, "block", F.array_intersect(F.split("line", NOT_WORD), vocabulary).alias("held")).where(F.size("held") > 0)
 
 
+def window(template: int, percent: int) -> int:
+    """Words of a paragraph among which a template's words must stand."""
+    return -(-len([x for x in re.split(NOT_WORD, TEMPLATES[template][1].lower()) if x]) * 100 // percent)
+
+
+def wrapped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """Every paragraph of several lines that meets a template, as ``scan``; ``block`` is the paragraph's number below -1."""
+    sets: dict[int, list[str]] = {}
+    for k, _, token in template_tokens():
+        sets.setdefault(k, []).append(token)
+    words = lambda x: F.array(*[F.lit(t) for t in x])
+    every = F.array(*[
+        F.struct(F.lit(k).alias("template"), F.lit(TEMPLATES[k][0]).alias("label"), words(v).alias("tokens"), F.lit(-(-len(v) * percent // 100)).alias("needed"), F.lit(window(k, percent)).alias("window"))
+        for k, v in sets.items()
+    ])
+    vocabulary = words(sorted({t for v in sets.values() for t in v}))
+    parts = F.posexplode(F.split(ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), r"\n[ \t\r\f\x0B]*\n\s*"))
+    paragraphs = docs.select(F.col(f"`{key}`").alias(key), parts.alias("block", "paragraph")).where(F.contains("paragraph", F.lit("\n")))
+    cut = F.split("paragraph", NOT_WORD)
+    # whole paragraphs first, as few hold enough of a template's words; ``let`` and the outer form keep this from being done twice
+    enough = lambda held: F.filter(every, lambda t: (F.size(held) >= t["needed"]) & (F.size(F.array_intersect(held, t["tokens"])) >= t["needed"]))
+    met = paragraphs.select(key, "block", "paragraph", F.explode_outer(let(F.array_intersect(cut, vocabulary), enough)).alias("t")).where("t is not null")
+
+    def most(x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: F.array_contains("t.tokens", F.element_at(x, i)))
+        return F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(x, i, F.col("t.window")), F.col("t.tokens")))))
+
+    found = met.select(key, "block", "t", let(F.array_remove(cut, ""), most).alias("n_held")).where(F.col("n_held") >= F.col("t.needed"))
+    return found.select(key, (-2 - F.col("block")).alias("block"), "t.template", "t.label", F.col("n_held").cast("long").alias("n_held"), F.size("t.tokens").cast("long").alias("n_template"))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = CONTAINMENT) -> DataFrame:
-    """Every block that meets a template: ``key``, ``block``, ``label``, ``template``, ``n_held``, ``n_template``."""
+    """Every block that meets a template: ``key``, ``block`` (line number; of paragraphs below -1), ``label``, ``template``, ``n_held``, ``n_template``."""
     spark = docs.sparkSession
     sets = spark.createDataFrame(template_tokens(), "template int, label string, token string")
     found = blocks(docs, key, text)
@@ -124,9 +158,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     token = found.where(F.size("held") > 1).select(key, "block", "held", F.explode("held").alias("token"))
     pairs = token.join(F.broadcast(index), "token").where(F.size("held") >= F.col("needed"))
     met = pairs.withColumn("n_held", F.size(F.array_intersect("held", "tokens"))).where(F.col("n_held") >= F.col("needed"))
-    return met.groupBy(key, "block", "template").agg(
+    lines = met.groupBy(key, "block", "template").agg(
         F.first("label").alias("label"), F.first("n_held").cast("long").alias("n_held"), F.first(F.size("tokens")).cast("long").alias("n_template")
     )
+    return lines.unionByName(wrapped(docs, key, text, percent))
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
