@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are later matches; a document left without a word by that goes, as a copy."""
-    out = lines.dedup(docs)
+    out = lines.dedup(docs, min_words=1)
     kept = out.where((F.size("removed_lines") == 0) | (F.size(words_of(F.col("text"))) > 0))
     return kept.withColumn("n_chars", F.when(F.size("removed_lines") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 

@@ -235,3 +235,19 @@ def test_html_extraction(spark):
     assert text[20] == "A b c" and text[21] == "x y" and text[22] == text[23] == ""
     assert text[24].startswith("a < b")
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_line_dedup_query_takes_lines_of_any_length(spark, tmp_path):
+    import corpus_pipeline
+    from tidemark.llm import queries
+
+    texts = ["short\nShort\n\n \ntwo words\nwords two", "a b c\na b c d\nd c b a\na b c d e\nx", "SHORT\nx\ntwo\n a  b c d f\nc b a e d"]
+    docs = [(k, "\n".join([t, *(x for _, x in near_copies(6, 4, 1, k)), *(x for _, x in near_copies(6, 3, 1, 9))])) for k, t in enumerate(texts)]
+    lines = [(k, i, set(w)) for k, t in docs for i, line in enumerate(t.lower().split("\n")) if (w := line.split())]
+    expect = {k: [i for j, (o, i, s) in enumerate(lines) if o == k and any(100 * len(s & b) >= 80 * len(s | b) for *_, b in lines[:j])] for k, _ in docs}
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.removed_lines for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {k: ",".join(map(str, v)) for k, v in expect.items()} and expect[0][:2] == [1, 5]
+    cleaned = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame, "").collect()}
+    assert cleaned == {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in expect[k]) for k, t in docs}

@@ -1,12 +1,13 @@
 """Line dedup: an exact set-similarity join of lines, which removes later matches.
 
-A line's set holds its distinct lower-cased words; lines of fewer than ``MIN_WORDS`` words are left alone. A line goes if
+A line's set holds its distinct lower-cased words; lines of fewer than ``min_words`` words are left alone (the query and the
+pipeline's stage ask for 1: every line with a word takes part; ``MIN_WORDS`` holds where none is given). A line goes if
 a line before it (in an earlier document by id, or earlier in the same one) is similar:
 100 * |A and B| >= PERCENT * |A or B|. Whether the earlier line itself stays plays no part.
 
 Lines with one and the same set form a class, of which the first line alone takes part in the join. Words are put in order
 by their frequency over all lines, rarest first; each line is listed under its prefix, with its size, the place of the word
-and a parity bitmap of the set; words that one line alone has are left out. Pairs pass the length and positional filters
+and a parity bitmap of the set; words that one line alone has are left out, and sets so small that only equal ones are similar. Pairs pass the length and positional filters
 and the bitmaps (bits that differ are words that differ) and are verified on the whole lines. Lists of up to ``SHORT``
 lines are paired at once. A longer list first offers its earliest line to all others, which is linear and settles groups
 of near copies; its lines that are not settled are then paired with the earlier ones by a join.
@@ -143,7 +144,8 @@ def postings(docs: DataFrame, levels: np.ndarray, min_words: int = MIN_WORDS, pe
                 at = np.repeat(np.arange(len(x.n)), x.n)
                 place = np.arange(len(x.word)) - x.starts[at]
                 prefix = x.n - -(-percent * x.n // 100) + 1
-                keep = (place < prefix[at]) & stays[at] & (known[x.word >> shift] != 1)  # 1: no other line has the word
+                more = x.n * (100 - percent) >= percent  # else only equal sets are similar, and classes settle those
+                keep = (place < prefix[at]) & (stays & more)[at] & (known[x.word >> shift] != 1)  # 1: no other line has the word
                 at = at[keep]
                 columns = [x.word[keep].view(np.int64), x.key[at], x.line[at], x.n[at].astype(np.int32), place[keep].astype(np.int32), x.parity()[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(POSTING))

@@ -25,7 +25,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = line_dedup.dedup(docs.select("doc_id", "text"))
+    out = line_dedup.dedup(docs.select("doc_id", "text"), min_words=1)
     return out.select(
         "doc_id", F.size("removed_lines").cast("long").alias("n_removed"), F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",").alias("removed_lines"),
         F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
