@@ -251,3 +251,16 @@ def test_line_dedup_query_takes_lines_of_any_length(spark, tmp_path):
     assert found == {k: ",".join(map(str, v)) for k, v in expect.items()} and expect[0][:2] == [1, 5]
     cleaned = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame, "").collect()}
     assert cleaned == {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in expect[k]) for k, t in docs}
+
+
+def extracted(spark, bodies, host="g.example"):
+    rows = [(k, f"http://{host}/{k}", f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)]
+    return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_keeps_varying_siblings(spark):
+    long = lambda k: f"text {k} " * 30
+    own = [f"<p>same on all</p><div><h1>Title {k}</h1><div><p>{long(k)}</p></div><section>tail {k}</section></div>" for k in range(8)]
+    assert extracted(spark, own) == {k: " ".join(f"Title {k} {long(k)} tail {k}".split()) for k in range(8)}
+    own[3] = f"<p>same on all</p><div><h1>Title 3</h1><div><p>{long(3)}</p></div><section>tail 3</section><section><p>{long(33)}</p></section></div>"
+    assert long(33).strip() in extracted(spark, own)[3]
