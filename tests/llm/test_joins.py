@@ -264,3 +264,10 @@ def test_html_keeps_varying_siblings(spark):
     assert extracted(spark, own) == {k: " ".join(f"Title {k} {long(k)} tail {k}".split()) for k in range(8)}
     own[3] = f"<p>same on all</p><div><h1>Title 3</h1><div><p>{long(3)}</p></div><section>tail 3</section><section><p>{long(33)}</p></section></div>"
     assert long(33).strip() in extracted(spark, own)[3]
+
+
+def test_html_embedded_elements_end():
+    for tag in ("<svg-icon></svg-icon>", "<select-menu>", "<template-x></template-x>", "<svg/>", "<iframe src='x'/>", "<object>", "<svg class='i'>", "<select>", "<noscript>", "<svg>no</svg>", "<svg><svg>no</svg>"):
+        text = html_extract.own_content(html_extract.parse(f"<body><p>before</p>{tag}<p>after</p></body>"))
+        assert text == "before after", tag
+    assert html_extract.own_content(html_extract.parse("<body>a<title-x>b</title-x><script>c</body>")) == "a b"
