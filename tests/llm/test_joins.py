@@ -271,3 +271,17 @@ def test_html_embedded_elements_end():
         text = html_extract.own_content(html_extract.parse(f"<body><p>before</p>{tag}<p>after</p></body>"))
         assert text == "before after", tag
     assert html_extract.own_content(html_extract.parse("<body>a<title-x>b</title-x><script>c</body>")) == "a b"
+
+
+def test_html_names_mark_whole_tokens(spark):
+    read = lambda body: html_extract.own_content(html_extract.parse(f"<body>{body}</body>"))
+    for body in ("<article class='post has-sidebar'>kept</article>", "<div class='content no-ads'>kept</div>", "<div class='article-header'>kept</div>", "<div class='page sidebar'>kept</div>", "<div id='main-nav'><main>kept</main></div>"):
+        assert read(body) == "kept", body
+    for name in ("ad", "post ads", "sidebar-left", "site-footer", "comments_list"):
+        assert read(f"<p>{'kept ' * 9}</p><div class='{name}'>gone</div>") == " ".join(["kept"] * 9), name
+
+
+def test_html_deep_markup_never_fails(spark):
+    bodies = [("<div>" * 3000 if k % 2 else "<span>" * 3000) + f"deep {k}" for k in range(4)]
+    bodies += ["<font>" * 3000 + "deep 4", "<div>" * 3000 + "deep 5"]
+    assert extracted(spark, bodies, "deep.example") == {k: f"deep {k}" for k in range(6)}
