@@ -75,6 +75,14 @@ def test_classifier_holds_out_and_separates(spark, edges, empty):
     assert quality_classifier.classify(edges, none).first().score == 1.0
 
 
+def test_chunks_are_encoded_as_whole_texts():
+    draw, letters = np.random.default_rng(5), list("ab'sZİßǅé\u0301한글1２.,;:!?#$%&*()[]{}+-/=@^_~<|>\x01\x1c\x85\u00a0\u200b😀 \t\n\u2003\u3000İI'ReS’ς")
+    texts = ["".join(draw.choice(letters, draw.integers(0, 60))) for _ in range(4000)] + ["<|endoftext|> a", "x<|startoftext|>y", "", None, "'s", "don't.", "it's,", "\x01", "a \x01 b"]
+    own = packing.ChunkEncoder(tokenizer_path())
+    for _ in range(2):  # chunks new and known
+        assert list(own.encode(texts)) == [np.asarray([*own.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+
+
 def check_pieces(found, texts, repeats=1):
     encoder = packing.ChunkEncoder(tokenizer_path()).tokenizer
     ids = {k: np.array([*encoder.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for k, t in texts.items()}

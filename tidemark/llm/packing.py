@@ -1,7 +1,8 @@
 """Packing by cutting-stock column generation.
 
 A row's ids are cut into pieces of ``CAPACITY`` tokens and a remainder. Lengths, rounded up to ``UNIT`` tokens, form a
-histogram of at most ``CAPACITY // UNIT`` classes, whatever the size of the data. Over it a linear program chooses how
+histogram of at most ``CAPACITY // UNIT`` classes, whatever the size of the data; the rounding leaves up to ``UNIT - 1``
+tokens of padding behind a piece's share of a sequence. Over it a linear program chooses how
 often to use each pattern (a multiset of classes that fits one sequence); a knapsack by dynamic programming over its
 duals prices new patterns until none improves the bound. Pattern counts are rounded down, the few pieces left over are
 packed largest first, and pieces take the slots of the patterns by their rank in their class. Ranks are counted in salted
@@ -22,31 +23,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 CAPACITY, UNIT, END_ID = 4096, 16, 2
-#: Runs of letters whose ids a worker remembers, and twice the chunks; the others are encoded again.
-REMEMBERED = 600_000
+#: Chunks whose ids a worker remembers, and words; the others are encoded again.
+REMEMBERED = 700_000
+#: What may follow a word of letters in its chunk; such marks are one run to the tokenizer.
+MARKS = ".,;:!?#$%&*()[]{}+-/=@^_~"
+#: A character that is a token of its own between white space; it parts chunks that are encoded together.
+BETWEEN = "\x01"
 #: Pieces ranked together in one salted group, about.
 GROUP = 200_000
+#: Letters that lower-casing and composition leave letters, each for itself.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 #: White space to Python's split() that the tokenizer takes as ordinary characters.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Chunks that lower-casing changes letter by letter and that no special token's text can be part of.
-LATIN = re.compile("[!-;=?-~\u00a1-\u012f\u0132-\u0148\u014a-\u017e]+")
-#: Fixed value: how the tokenizer's file cuts text.
-RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class ChunkEncoder:
     """Ids of whole texts, put together from the ids of their chunks between white space.
 
-    The tokenizer drops white space and no token crosses it, so this equals encoding the text at once. A chunk of Latin
-    letters is put together in turn from the runs that the tokenizer's own pattern cuts it into; other chunks go to the
-    tokenizer whole.
+    The tokenizer drops white space and no token crosses it, so this equals encoding the text at once. Of chunks not met
+    before, most are letters with or without marks behind them, each one run to the tokenizer, whose last token ends a
+    word. Such runs are encoded in one go and parted at these tokens, other chunks in one go with ``BETWEEN`` among them,
+    and those that hold it, or might hold a special token's text, singly.
     """
 
     def __init__(self, path: str):
@@ -54,33 +57,63 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.chunks, self.runs = Tokenizer.from_file(path), {}, {}
-
-    def fresh(self, parts: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(parts, found, strict=True)}
-
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def together(self, parts: list[str], between: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([between.join(parts)], add_special_tokens=False)[0].ids, "<u4")
+
+    @staticmethod
+    def cut(ids: np.ndarray, starts: list[int], ends: list[int]) -> list[bytes]:
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
+
+    def of_runs(self, runs: list[str]) -> dict[str, bytes]:
+        ids = self.together(runs, " ")
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        return dict(zip(runs, self.cut(ids, [0, *ends[:-1]], ends), strict=True)) if runs else {}
+
+    def of_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        ids = self.together(chunks, f" {BETWEEN} ")
+        gaps = np.flatnonzero(ids == self.between).tolist()
+        return dict(zip(chunks, self.cut(ids, [0, *(k + 1 for k in gaps)], [*gaps, len(ids)]), strict=True)) if chunks else {}
+
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks not met before."""
-        cut = {c: RUNS.findall(c.lower()) if LATIN.fullmatch(c) else [c] for c in chunks}
-        runs = self.runs
-        new = self.fresh(list({r for parts in cut.values() for r in parts if r not in runs}))
-        if len(runs) + len(new) <= REMEMBERED:
-            runs.update(new)
-        return {c: b"".join([runs[r] if r in runs else new[r] for r in parts]) for c, parts in cut.items()}
+        words, plain, odd, runs = [], [], [], self.runs
+        for c in chunks:
+            word = c.rstrip(MARKS)
+            if LETTERS.fullmatch(word):
+                words.append((c, word.lower(), c[len(word) :]))
+            elif BETWEEN in c or "<|" in c or ODD_SPACE.search(c):
+                odd.append(c)
+            else:
+                plain.append(c)
+        new = self.of_runs(list({r for _, *both in words for r in both if r and r not in runs}))
+        runs.update(new)
+        out = {c: runs[word] + runs[marks] if marks else runs[word] for c, word, marks in words}
+        out |= self.of_chunks(plain)
+        single = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+        out |= {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(odd, single, strict=True)}
+        if len(runs) > REMEMBERED:
+            for r in new:
+                del runs[r]
+        return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end token included."""
         end, known = np.asarray([END_ID], "<u4").tobytes(), self.chunks
         for at in range(0, len(texts), 256):
-            parts = []
-            for text in texts[at : at + 256]:
-                text = text or ""
-                parts.append([text] if ODD_SPACE.search(text) else text.split())
-            extra = self.learn({c for part in parts for c in part if c not in known})
-            if len(known) < REMEMBERED // 2:
-                known.update((c, b) for c, b in extra.items() if len(c) <= 24)
+            parts = [[t] if ODD_SPACE.search(t) else t.split() for t in (t or "" for t in texts[at : at + 256])]
+            new = list(set().union(*parts).difference(known))
+            extra = self.learn(new) if new else {}
+            known.update(extra)
             for part in parts:
-                yield b"".join([known[c] if c in known else extra[c] for c in part]) + end
+                yield b"".join(map(known.__getitem__, part)) + end
+            for c in new if len(known) > REMEMBERED else [c for c in new if len(c) > 24]:
+                del known[c]
 
 
 @functools.lru_cache(maxsize=2)
@@ -126,6 +159,22 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
+def inverted(basis: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with pivots, in plain array operations: a library's threads may hang where few are allowed."""
+    n = len(basis)
+    both = np.hstack((basis, np.eye(n)))
+    for k in range(n):
+        p = k + int(np.abs(both[k:, k]).argmax())
+        if p != k:
+            both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        column = both[:, k].copy()
+        column[k] = 0
+        rows = np.flatnonzero(column)
+        both[rows] -= column[rows, None] * both[k]
+    return both[:, n:]
+
+
 def plan(histogram: dict[int, int], capacity: int, gap: float = 2e-4, rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
     """Patterns ``({size: times}, copies)`` that use each size exactly as often as the histogram has it."""
     sizes = np.array(sorted(k for k, v in histogram.items() if v > 0), int)
@@ -137,7 +186,7 @@ def plan(histogram: dict[int, int], capacity: int, gap: float = 2e-4, rounds: in
     bound = 0.0
     for step in range(rounds):  # einsum, as threads of a linear algebra library cost more than they bring at this size
         if step % 512 == 511:
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
         use, duals = np.einsum("ij,j->i", inverse, demand), inverse.sum(axis=0)
         value, column = knapsack(sizes, np.maximum(duals, 0), capacity)
         bound = max(bound, use.sum() / value)  # no plan takes fewer sequences
@@ -153,7 +202,7 @@ def plan(histogram: dict[int, int], capacity: int, gap: float = 2e-4, rounds: in
         row = inverse[leave] / change[leave]
         inverse = inverse - np.outer(change, row)
         inverse[leave] = row
-    use = np.maximum(np.linalg.solve(basis, demand), 0)
+    use = np.maximum(np.einsum("ij,j->i", inverted(basis), demand), 0)
     out, left = [], demand.astype(int)
     for k in np.argsort(-use):
         pattern = basis[:, k].astype(int)
