@@ -6,6 +6,7 @@ from collections import defaultdict
 from itertools import product
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def test_components(spark):
 
 
 def removed(docs):
-    lines = [(k, i, set(w)) for k, t in sorted(docs) for i, line in enumerate((t or "").encode().lower().split(b"\n")) if len(w := line.split()) >= 5]
+    lines = [(k, i, set(w)) for k, t in sorted(docs) for i, line in enumerate((t or "").encode().lower().split(b"\n")) if (w := line.split())]
     out, before = defaultdict(list), []
     for k, i, s in lines:
         if any(100 * len(s & o) >= 80 * len(s | o) for o in before):
@@ -129,9 +130,10 @@ def test_line_dedup_equals_brute_force(spark):
         assert out[k].text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in expect[k])
 
 
-def test_long_lists_of_lines_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SHORT", 3)
-    monkeypatch.setattr(line_dedup, "HUGE", 10)
+@pytest.mark.parametrize("limits", [(2, 256, 2, 16, 1024, 4096), (3, 15, 1, 2, 10, 10), (8, 8, 1, 1, 4, 8), (512, 256, 1, 16, 1024, 20)])
+def test_long_lists_of_lines_equal_brute_force(spark, monkeypatch, limits):
+    for name, value in zip(("FREQUENT", "LONG", "CLOSEST", "FEW", "CROWD", "HUGE"), limits, strict=True):
+        monkeypatch.setattr(line_dedup, name, value)
     docs = [(k, "\n".join(t for _, t in near_copies(25, 12, 2, k % 3))) for k in range(6)]
     docs += [(100 + k, "\n".join(t for _, t in near_copies(30, 20, 3, 10 + k))) for k in range(3)]
     out = {r.doc_id: r.removed_lines for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
-#: Rows up to which a side of a join counts as small enough to broadcast.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a side of a join counts as small enough to broadcast.
+BROADCAST_BYTES = 48 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows; ``df`` itself otherwise."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its values take ``limit`` bytes at most, as counted over all rows; ``df`` itself otherwise."""
+    held = F.lit(16)
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        held = held + (16 + 8 * F.coalesce(F.size(c), F.lit(0)) if kind == "array" else F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8))
+    most = df.agg(F.sum(held.cast("long"))).first()[0]
+    return F.broadcast(df) if (most or 0) <= limit else df
+
+
+def partitions(df: DataFrame) -> int:
+    """The number of partitions that a shuffle has, as set in the session."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

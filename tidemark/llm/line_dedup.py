@@ -1,20 +1,24 @@
 """Line dedup: an exact set-similarity join of lines, which removes later matches.
 
-A line's set holds its distinct lower-cased words; lines of fewer than ``min_words`` words are left alone (the query and the
-pipeline's stage ask for 1: every line with a word takes part; ``MIN_WORDS`` holds where none is given). A line goes if
-a line before it (in an earlier document by id, or earlier in the same one) is similar:
-100 * |A and B| >= PERCENT * |A or B|. Whether the earlier line itself stays plays no part.
+A line's set holds its distinct lower-cased words; lines of fewer than ``min_words`` words are left alone (1 where none is
+given: every line with a word takes part). A line goes if a line before it (in an earlier document by id, or earlier in
+the same one) is similar: 100 * |A and B| >= PERCENT * |A or B|. Whether the earlier line itself stays plays no part.
 
 Lines with one and the same set form a class, of which the first line alone takes part in the join. Words are put in order
 by their frequency over all lines, rarest first; each line is listed under its prefix, with its size, the place of the word
-and a parity bitmap of the set; words that one line alone has are left out, and sets so small that only equal ones are similar. Pairs pass the length and positional filters
-and the bitmaps (bits that differ are words that differ) and are verified on the whole lines. Lists of up to ``SHORT``
-lines are paired at once. A longer list first offers its earliest line to all others, which is linear and settles groups
-of near copies; its lines that are not settled are then paired with the earlier ones by a join.
+and a parity bitmap of the set. A frequent word is listed together with each word after it, as similar sets share two
+words or more, so its lists stay short; lines of more than ``LONG`` words are listed by single words, and those near
+that size both ways. Pairs within a list pass the length, positional and bitmap filters (bits that differ are words that
+differ). Of the earlier lines that pass, a line takes the ``CLOSEST`` by bitmap to be verified on the whole lines; if it has
+more and none proves similar, it asks again, against all lines, in a round that lets more through, until it has asked all.
+So a group of near copies isn't expanded into its pairs, and no match is lost.
+
+A map task keeps ``FEW`` of the members that a list has in a batch if these are over ``CROWD``, and pairs the others itself; a
+list of over ``HUGE`` members in a task is cut by a hash. Both make the members ask again unless they are matched.
 
 Null and empty texts have no lines to remove and stay as they are. Rows without an id are left alone. Of repeated rows
 (one id) all lose the same lines; lines that repeat by it are later matches only of other ids or line numbers. A table
-without rows gives an empty result; extra columns stay.
+without rows gives an empty result. Extra columns stay, whatever their names; one called ``removed_lines`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,13 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
-from .similarity import PERCENT, Hasher, close_sizes, slices, summed_levels, verify
+from .common import partitions, small, stored
+from .similarity import ASKS, CROWDED, PERCENT, Hasher, closest, dealt, gathered, slices, summed_levels, together, verify
 
-MIN_WORDS, BITS, SHORT, HUGE = 5, 24, 128, 4096
+BITS, LONG, CLOSEST, FEW, CROWD, HUGE = 22, 256, 2, 16, 1024, 4096
+#: Words in more lines than this are listed together with a second word.
+FREQUENT = 512
 #: Bytes of text that are cut into words together; longer texts are cut at line ends.
 TOGETHER = 1_000_000
-POSTING = {"token": np.int64, "key": np.int64, "line": np.int32, "n": np.int32, "place": np.int32, "bits": np.int64}
+#: Postings or lines that a task holds before it deals them out, and that a bucket holds, about.
+HELD = 500_000
+LINE = {"k1": np.uint64, "k2": np.uint64, "key": np.int64, "line": np.int32}
+POSTING = {"token": np.uint64, "key": np.int64, "line": np.int32, "n": np.int32, "place": np.int32, "bits": np.uint64, "flags": np.uint8}
+PAIR = {"a": np.int64, "a_line": np.int32, "b": np.int64, "b_line": np.int32}
 
 
 def segments(keys: list, texts: list) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -60,23 +70,26 @@ def segments(keys: list, texts: list) -> Iterator[list[tuple[int, int, bytes]]]:
 
 
 class Lines:
-    """Sets of the lines of some segments, as flat arrays: of words (``row``, ``word``) and of lines (the others)."""
+    """Sets of the lines of some segments, as flat arrays: of words (``word``, in the order of ``level``, then hash) and of lines (the others)."""
 
-    def __init__(self, own: Hasher, held: list[tuple[int, int, bytes]], min_words: int, order=None):
+    def __init__(self, own: Hasher, held: list[tuple[int, int, bytes]], min_words: int, levels: np.ndarray | None = None):
         data = b"\n".join(x for *_, x in held)
         raw = np.frombuffer(data, np.uint8)
         blank = np.ones(len(raw) + 2, bool)
         blank[1:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        starts, ends = np.flatnonzero(blank[:-2] & ~blank[1:-1]), np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
-        row = np.cumsum(raw == 10)[starts] if len(raw) else starts
+        edge = blank[1:] != blank[:-1]
+        starts, ends = np.flatnonzero(edge).reshape(-1, 2).T
+        breaks = np.flatnonzero(raw == 10)
+        row = np.searchsorted(breaks, starts)
         lines = np.array([x.count(b"\n") + 1 for *_, x in held])
         first = np.concatenate(([0], np.cumsum(lines)))
-        long_enough = np.bincount(row, minlength=first[-1]) >= min_words
-        use = long_enough[row]
+        use = (np.bincount(row, minlength=first[-1]) >= min_words)[row]
         row, word = row[use], own.spans(data, starts[use], ends[use])
-        rank = word if order is None else order(word)
-        by = np.lexsort((rank, row))
-        row, word, rank = row[by], word[by], rank[by]
+        order = word >> np.uint64(20)
+        if levels is not None:
+            order = (levels[word >> np.uint64(64 - BITS)].astype(np.uint64) << np.uint64(36)) | (word >> np.uint64(28))
+        by = np.argsort((row.astype(np.uint64) << np.uint64(44)) | order)
+        row, word = row[by], word[by]
         if len(row):
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
@@ -93,10 +106,10 @@ class Lines:
         """A 64-bit digest of each set: the sum of mixed hashes."""
         h = (self.word ^ np.uint64(seed)) * np.uint64(0xC2B2AE3D27D4EB4F)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-        return np.add.reduceat(h ^ (h >> np.uint64(28)), self.starts).view(np.int64) if len(self.starts) else np.zeros(0, np.int64)
+        return np.add.reduceat(h ^ (h >> np.uint64(28)), self.starts) if len(self.starts) else np.zeros(0, np.uint64)
 
     def parity(self) -> np.ndarray:
-        return np.bitwise_xor.reduceat(np.uint64(1) << (self.word & np.uint64(63)), self.starts).view(np.int64) if len(self.starts) else np.zeros(0, np.int64)
+        return np.bitwise_xor.reduceat(np.uint64(1) << (self.word & np.uint64(63)), self.starts) if len(self.starts) else np.zeros(0, np.uint64)
 
 
 def line_reader():
@@ -104,177 +117,214 @@ def line_reader():
     return lambda text: frozenset((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
-def counted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``key``, ``line`` and a 128-bit digest ``k1``, ``k2`` of each line's set; and, in rows of their own, slices of the tasks' word counts."""
-    names, none = ["key", "line", "k1", "k2", "slice", "data"], pa.null()
+def copies_in(x: dict[str, np.ndarray]) -> np.ndarray:
+    """Which lines have the set of a line before them; rows that repeat an id and a line number are one line."""
+    by = np.lexsort((x["line"], x["key"], x["k2"], x["k1"]))
+    k1, k2, key, line = (x[c][by] for c in ("k1", "k2", "key", "line"))
+    same = np.zeros(len(by), bool)
+    same[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
+    item = ~same
+    item[1:] |= (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    out = np.zeros(len(by), bool)
+    out[by] = same[np.maximum.accumulate(np.where(item, np.arange(len(by)), 0))]
+    return out
+
+
+def counted_lines(docs: DataFrame, buckets: int, min_words: int) -> DataFrame:
+    """Rows of three ``kind``s: lines and their digests by bucket (0), copies of a line of the same batch (1), slices of word counts (2)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = Hasher(), np.zeros(1 << BITS, np.uint32)
+        held: list[dict[str, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = {c: np.concatenate([h[c] for h in held]) for c in LINE}
+            held.clear()
+            again = copies_in(x)
+            yield dealt(1, x["k1"][again], {c: x[c][again] for c in ("key", "line")}, buckets)
+            yield dealt(0, x["k1"][~again], {c: v[~again] for c, v in x.items()}, buckets)
+
         for batch in batches:
-            for held in segments(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = Lines(own, held, min_words)
-                np.add.at(table, x.word >> np.uint64(64 - BITS), 1)
-                nothing = [pa.nulls(len(x.key), none).cast(pa.int32()), pa.nulls(len(x.key), none).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(x.key), pa.array(x.line), pa.array(x.sums(1)), pa.array(x.sums(2)), *nothing], names)
-        for k, data in slices(table):
-            nothing = [pa.nulls(1, none).cast(t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*nothing, pa.array([k], pa.int32()), pa.array([data], pa.binary())], names)
+            for part in segments(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = Lines(own, part, min_words)
+                np.add.at(table, (x.word >> np.uint64(64 - BITS)).astype(np.int64), 1)
+                held.append({"k1": x.sums(1), "k2": x.sums(2), "key": x.key, "line": x.line})
+                if sum(len(h["key"]) for h in held) > HELD:
+                    yield from flush()
+        if held:
+            yield from flush()
+        found = list(slices(table))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), 2, np.int32)), pa.array([k for k, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["kind", "bucket", "data"])
 
-    return docs.mapInArrow(read, "key long, line int, k1 long, k2 long, slice int, data binary")
+    return docs.mapInArrow(read, "kind int, bucket int, data binary")
 
 
-def postings(docs: DataFrame, levels: np.ndarray, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``token``, ``key``, ``line``, ``n`` (size of the set), ``place`` (of the word in it), ``bits``. ``docs`` has lines to leave out in ``gone``."""
-    sent = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
+def later_copies(counted: DataFrame) -> DataFrame:
+    """``key``, ``line`` of the lines whose set an earlier line has."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known, shift = Hasher(), np.frombuffer(sent.value, np.uint8), np.uint64(64 - BITS)
-        order = lambda word: (known[word >> shift].astype(np.uint64) << np.uint64(56)) | (word >> np.uint64(8))
+        for kind, data in gathered(batches):
+            if kind == 1:
+                x = together(data, {c: LINE[c] for c in ("key", "line")})
+            else:
+                x = together(data, LINE)
+                again = copies_in(x)
+                x = {c: x[c][again] for c in ("key", "line")}
+            yield pa.RecordBatch.from_arrays([pa.array(x["key"]), pa.array(x["line"])], ["key", "line"])
+
+    return counted.where("kind < 2").repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(read, "key long, line int")
+
+
+def listed(x: Lines, levels: np.ndarray, stays: np.ndarray, asks: np.ndarray, percent: int) -> dict[str, np.ndarray]:
+    """Postings of lines: prefix words, or prefix words with a second one."""
+    at = np.repeat(np.arange(len(x.n)), x.n)
+    place = np.arange(len(x.word)) - x.starts[at]
+    prefix = x.n - -(-percent * x.n // 100) + 1
+    level = levels[x.word >> np.uint64(64 - BITS)]
+    often = level > 1 + np.rint(4 * np.log2(FREQUENT))
+    # sets so small that only equal ones are similar have no part, as classes settle those; level 1: no other line has the word
+    use = (stays & (x.n * (100 - percent) >= percent))[at] & (level != 1)
+    first = use & (place < prefix[at])
+    single = np.flatnonzero(first & (~often | (100 * x.n > percent * LONG)[at]))
+    out = [{"token": x.word[single], "at": at[single], "place": place[single]}]
+    lead, d = np.flatnonzero(first & often & (x.n <= LONG)[at]), 1
+    while len(lead):
+        lead = lead[place[lead] + d <= prefix[at[lead]]]  # the second word shared is one place further at most
+        second = lead + d
+        ok = use[second]
+        i, j = lead[ok], second[ok]
+        mixed = (x.word[i] ^ (x.word[i] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + x.word[j]
+        out.append({"token": (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9), "at": at[i], "place": place[j] - 1})
+        d += 1
+    token, at, place = (np.concatenate([o[c] for o in out]) for c in ("token", "at", "place"))
+    return {"token": token, "key": x.key[at], "line": x.line[at], "n": x.n[at].astype(np.int32), "place": place.astype(np.int32), "bits": x.parity()[at], "flags": asks[at] * np.uint8(ASKS)}
+
+
+def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_words: int, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """Postings by ``bucket`` (``kind`` 0), and pairs of crowded lists (1). ``docs`` has ``key``, ``text``, ``gone`` (lines to leave out)
+    and ``asks`` (lines that ask; null: all do, if ``wanted`` is not given). ``wanted``: bits of the tokens to list alone."""
+    sent = docs.sparkSession.sparkContext.broadcast((levels.tobytes(), None if wanted is None else wanted.tobytes()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = Hasher(), np.frombuffer(sent.value[0], np.uint8)
+        asked = None if sent.value[1] is None else np.frombuffer(sent.value[1], np.uint8)
+        held: list[dict[str, np.ndarray]] = []
+
+        def marked(x: Lines, marks: dict[int, set[int]], other: bool) -> np.ndarray:
+            out = np.full(len(x.key), other)
+            if marks:
+                for i in np.flatnonzero(np.isin(x.key, np.array(list(marks), np.int64))):
+                    out[i] = (int(x.line[i]) in marks[int(x.key[i])]) != other
+            return out
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = {c: np.concatenate([h[c] for h in held]) for c in POSTING}
+            held.clear()
+            _, which, members = np.unique(x["token"], return_inverse=True, return_counts=True)
+            crowded = members[which] > CROWD
+            if asked is None and crowded.any():
+                y = {c: v[crowded] for c, v in x.items()}
+                pairs = closest(y, room, percent, HUGE, every=True)
+                yield dealt(1, pairs["b"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), pairs, buckets)
+                by = np.lexsort((y["line"], y["key"], y["token"]))
+                t = y["token"][by]
+                start = np.maximum.accumulate(np.where(np.concatenate(([True], t[1:] != t[:-1])), np.arange(len(t)), 0))
+                few = np.flatnonzero(crowded)[by[np.arange(len(t)) - start < FEW]]
+                x["flags"][few] |= CROWDED
+                stay = ~crowded
+                stay[few] = True
+                x = {c: v[stay] for c, v in x.items()}
+            yield dealt(0, x["token"], x, buckets)
+
         for batch in batches:
-            keys, out = batch.column(0).to_pylist(), {k: g for k, g in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True) if g}
-            for held in segments(keys, batch.column(1).to_pylist()):
-                x = Lines(own, held, min_words, order)
-                if not len(x.key):
-                    continue
-                stays = np.ones(len(x.key), bool)
-                if out:
-                    own_gone = {k: set(out[k]) for k in {k for k, *_ in held} if k in out}
-                    for i in np.flatnonzero(np.isin(x.key, np.array(list(own_gone), np.int64))) if own_gone else ():
-                        stays[i] = int(x.line[i]) not in own_gone[int(x.key[i])]
-                at = np.repeat(np.arange(len(x.n)), x.n)
-                place = np.arange(len(x.word)) - x.starts[at]
-                prefix = x.n - -(-percent * x.n // 100) + 1
-                more = x.n * (100 - percent) >= percent  # else only equal sets are similar, and classes settle those
-                keep = (place < prefix[at]) & (stays & more)[at] & (known[x.word >> shift] != 1)  # 1: no other line has the word
-                at = at[keep]
-                columns = [x.word[keep].view(np.int64), x.key[at], x.line[at], x.n[at].astype(np.int32), place[keep].astype(np.int32), x.parity()[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(POSTING))
-
-    return docs.mapInArrow(read, "token long, key long, line int, n int, place int, bits long")
-
-
-def passes(x: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """The length, positional and bitmap filters for pairs of postings."""
-    n, m = x["n"][i].astype(np.int64), x["n"][j].astype(np.int64)
-    needed = -(-percent * (n + m) // (100 + percent))
-    ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n - x["place"][i], m - x["place"][j]) >= needed)
-    ok[ok] = np.bitwise_count((x["bits"][i[ok]] ^ x["bits"][j[ok]]).view(np.uint64)) <= (n + m - 2 * needed)[ok]
-    return ok
-
-
-def candidates(listed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs ``a``, ``a_line``, ``b``, ``b_line`` (a before b) of short lists and of long lists' first lines, and the postings of long lists."""
-    pair = ["a", "a_line", "b", "b_line"]
-    names = [*pair, *POSTING]
-
-    def pairs(x: dict, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        ok = passes(x, i, j, percent)
-        found = [pa.array(c) for c in (x["key"][i[ok]], x["line"][i[ok]], x["key"][j[ok]], x["line"][j[ok]])]
-        return pa.RecordBatch.from_arrays([*found, *(pa.nulls(int(ok.sum())).cast(pa.from_numpy_dtype(t)) for t in POSTING.values())], names)
-
-    def opened(x: dict, rows: np.ndarray) -> pa.RecordBatch:
-        nothing = [pa.nulls(len(rows)).cast(t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32())]
-        return pa.RecordBatch.from_arrays([*nothing, *(pa.array(x[c][rows]) for c in POSTING)], names)
-
-    def whole(x: dict) -> Iterator[pa.RecordBatch]:
-        """Rows of complete lists."""
-        t = x["token"]
-        start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        length = np.diff(np.concatenate((start, [len(t)])))
-        at = np.repeat(np.arange(len(start)), length)
-        left = start[at] + length[at] - 1 - np.arange(len(t))  # rows of the list after this one
-        index = np.flatnonzero((length[at] <= SHORT) & (left > 0))
-        d, earlier, later, size = 1, [], [], 0
-        while len(index):
-            earlier.append(index)
-            later.append(index + d)
-            size += len(index)
-            d += 1
-            index = index[left[index] >= d]
-            if size > 200_000 or not len(index):  # few large batches, of bounded size
-                yield pairs(x, np.concatenate(earlier), np.concatenate(later))
-                earlier, later, size = [], [], 0
-        if (length > SHORT).any():
-            rows = np.flatnonzero(length[at] > SHORT)
-            yield pairs(x, start[at[rows]], rows)
-            yield opened(x, rows)
+            keys = batch.column(0).to_pylist()
+            gone, asks = ({k: set(g) for k, g in zip(keys, batch.column(c).to_pylist(), strict=True) if g and k is not None} for c in (2, 3))
+            for part in segments(keys, batch.column(1).to_pylist()):
+                x = Lines(own, part, min_words, known)
+                y = listed(x, known, marked(x, gone, True), marked(x, asks, False) if asked is not None else np.ones(len(x.key), bool), percent)
+                if asked is not None:
+                    use = (asked[(y["token"] >> np.uint64(43)).astype(np.int64)] >> ((y["token"] >> np.uint64(40)) & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    y = {c: v[use] for c, v in y.items()}
+                held.append(y)
+                if sum(len(h["key"]) for h in held) > HELD:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return docs.mapInArrow(read, "kind int, bucket int, data binary")
+
+
+def candidates(posted: DataFrame, room: int, percent: int, huge: int | None) -> DataFrame:
+    """Pairs ``a``, ``a_line``, ``b``, ``b_line`` (a before b); of lines that have to ask again, ``a_line`` is -1."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, data in gathered(batches):
+            x = together(data, PAIR) if kind == 1 else closest(together(data, POSTING), room, percent, huge)
+            yield pa.RecordBatch.from_arrays([pa.array(x[c]) for c in PAIR], list(PAIR))
+
+    return posted.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(read, "a long, a_line int, b long, b_line int")
+
+
+def by_key(lines: DataFrame, name: str) -> DataFrame:
+    """``key`` and the array ``name`` of its lines: no longer than the text has lines."""
+    return lines.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias(name))
+
+
+def token_bits(posted: DataFrame) -> np.ndarray:
+    """2^24 bits: which tokens the postings may have, by their first 24 bits. The driver gets 2 MB."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: dict | None = None
-        endless = None  # the first row of a list of more than HUGE lines that still goes on
+        seen = np.zeros(1 << 24, np.uint32)
         for batch in batches:
-            x = {c: batch.column(k).to_numpy() for k, c in enumerate(POSTING)}
-            if not len(x["token"]):
-                continue
-            if endless is not None:
-                same = int(np.searchsorted(x["token"] != endless["token"][0], True))
-                y = {c: np.concatenate((endless[c], v[:same])) for c, v in x.items()}
-                rows = np.arange(1, same + 1)
-                if same:
-                    yield pairs(y, np.zeros(same, int), rows)
-                    yield opened(y, rows)
-                x = {c: v[same:] for c, v in x.items()}
-                if not len(x["token"]):
-                    continue
-                endless = None
-            if carry is not None:
-                x = {c: np.concatenate((carry[c], v)) for c, v in x.items()}
-            last = int(np.flatnonzero(x["token"] == x["token"][-1])[0])
-            if last:
-                yield from whole({c: v[:last] for c, v in x.items()})
-            carry = {c: v[last:] for c, v in x.items()}
-            if len(carry["token"]) > HUGE:
-                endless = {c: v[:1] for c, v in carry.items()}
-                yield from whole(carry)
-                carry = None
-        if carry is not None:
-            yield from whole(carry)
-
-    schema = "a long, a_line int, b long, b_line int, token long, key long, line int, n int, place int, bits long"
-    return listed.repartition("token").sortWithinPartitions("token", "key", "line").mapInArrow(read, schema)
-
-
-def may_match(x: str, y: str, percent: int = PERCENT):
-    """The same filters over columns of two aliases."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    needed = F.ceil((n + m) * percent / (100 + percent))
-    room = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place"))
-    return close_sizes(n, m, percent) & (room >= needed) & (F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= n + m - 2 * needed)
-
-
-def later_matches(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
+            for data in batch.column(2).to_pylist():
+                seen[together([data], POSTING)["token"] >> np.uint64(40)] = 1
+        found = list(slices(seen))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["slice", "data"])
+
+    return np.packbits(summed_levels(posted.mapInArrow(read, "slice int, data binary"), 24) > 0, bitorder="little")
+
+
+def later_matches(docs: DataFrame, min_words: int = 1, percent: int = PERCENT) -> DataFrame:
     """``key``, ``line`` of every line to remove; ``docs`` has columns ``key`` and ``text``."""
-    item = ["key", "line"]
-    both = stored(counted_lines(docs, min_words), "lines")
-    own = both.where("slice is null").select(*item, "k1", "k2")
-    firsts = own.groupBy("k1", "k2").agg(F.min(F.struct(*item)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = stored(own.join(firsts, ["k1", "k2"]).where(F.struct(*item) != F.col("first")).select(*item).distinct(), "copies")
-    gone = stored(copies.groupBy("key").agg(F.collect_list("line").alias("gone")), "copies")
-    levels = summed_levels(both.where("slice is not null").select("slice", "data"), BITS)
-
-    # of rows that repeat an id, the first copy alone is listed: equal lines of one id and number are one line
-    rows = docs.join(small(gone), "key", "left").select("key", "text", "gone")
-    found = stored(candidates(postings(rows, levels, min_words, percent), percent), "lists")
-    first = found.where("a is not null and (a <> b or a_line <> b_line)").select("a", "a_line", "b", "b_line").distinct()
-    as_item = lambda df: df.select(F.col("b").alias("key"), F.col("b_line").alias("line")).distinct()
-    settled = stored(as_item(verify(first, docs, line_reader, percent)), "settled")
-
-    long_lists = found.where("token is not null").select(*POSTING).distinct()
-    later = long_lists.join(small(settled), item, "left_anti").alias("y")
-    at = lambda side: F.struct(F.col(f"{side}.key").alias("key"), F.col(f"{side}.line").alias("line"))
-    pairs = long_lists.alias("x").join(later, (F.col("x.token") == F.col("y.token")) & (at("x") < at("y")) & may_match("x", "y", percent))
-    second = pairs.select(F.col("x.key").alias("a"), F.col("x.line").alias("a_line"), F.col("y.key").alias("b"), F.col("y.line").alias("b_line")).distinct()
-    more = as_item(verify(second, docs, line_reader, percent))
-    return copies.unionByName(settled).unionByName(more).distinct()
-
-
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
+    item, at_least = ["key", "line"], partitions(docs)
+    counted = stored(counted_lines(docs, 4 * at_least, min_words), "lines")
+    copies = stored(later_copies(counted), "copies")
+    levels = summed_levels(counted.where("kind = 2").select(F.col("bucket").alias("slice"), "data"), BITS)
+    words = float(np.where(levels > 0, 2.0 ** ((levels - 1.0) / 4), 0).sum())
+    buckets = max(2 * at_least, int(words / 4 / HELD) + 1)
+
+    gone = stored(by_key(copies, "gone"), "gone")
+    none = F.lit(None).cast("array<int>")
+    rows = docs.join(small(gone), "key", "left").select("key", "text", "gone", none.alias("asks"))
+    room = CLOSEST
+    found = stored(candidates(postings(rows, levels, buckets, room, min_words, percent), room, percent, HUGE), "candidates")
+    settled, rounds = None, 0
+    while True:
+        pairs = found.where("a_line >= 0").distinct()
+        matched = stored(verify(pairs, docs, line_reader, percent).select(F.col("b").alias("key"), F.col("b_line").alias("line")).distinct(), "settled")
+        settled = matched if settled is None else settled.unionByName(matched)
+        again = stored(found.where("a_line < 0").select(F.col("b").alias("key"), F.col("b_line").alias("line")).distinct().join(matched, item, "left_anti"), "open")
+        if again.isEmpty():
+            return copies.unionByName(settled).distinct()
+        # what is left asks all lines, and takes more of them; the lists that it doesn't ask aren't made
+        room *= 32
+        asks = stored(by_key(again, "asks"), "asks")
+        mine = docs.join(small(asks), "key").join(small(gone), "key", "left").select("key", "text", "gone", "asks")
+        wanted = token_bits(postings(mine, levels, buckets, room, min_words, percent, np.full(1 << 21, 255, np.uint8)))
+        rows = docs.join(small(asks), "key", "left").join(small(gone), "key", "left").select("key", "text", "gone", "asks")
+        found = stored(candidates(postings(rows, levels, buckets, room, min_words, percent, wanted), room, percent, None), "candidates")
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 1, percent: int = PERCENT) -> DataFrame:
     """``docs`` with ``text`` free of later matches, and with ``removed_lines`` (sorted line numbers, from 0) added."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    gone = stored(later_matches(rows, min_words, percent).groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("_gone")).withColumnRenamed("key", "_key"), "gone")
-    joined = docs.join(small(gone), docs[key].cast("long") == F.col("_key"), "left")
-    left = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    cleaned = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
+    gone = stored(by_key(later_matches(rows, min_words, percent), "gone"), "gone")
+    names = [c for c in docs.columns if c != "removed_lines"]
+    nested = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    joined = nested.join(small(gone), "key", "left")
+    lines = F.split("text", "\n")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))
+    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return joined.select(
-        *[cleaned.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns], F.coalesce("_gone", F.array().cast("array<int>")).alias("removed_lines")
+        *[cleaned.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names], F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines")
     )

@@ -78,6 +78,10 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def overlap(a: np.ndarray | frozenset, b: np.ndarray | frozenset) -> int:
+    return len(a & b) if isinstance(a, frozenset) else len(np.intersect1d(a, b, assume_unique=True))
+
+
 def similar(shared: int, n: int, m: int, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (n + m - shared)
 
@@ -194,39 +198,176 @@ def lists(postings: DataFrame, token: str, order: list[str]) -> DataFrame:
     )
 
 
+def dealt(kind: int, by: np.ndarray, columns: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Rows as one binary for each bucket that ``by`` (64-bit hashes) deals them to: ``kind``, ``bucket``, ``data``."""
+    bucket = ((by >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    order = np.argsort(bucket, kind="stable")
+    found, starts = np.unique(bucket[order], return_index=True)
+    ends, columns = [*starts[1:], len(order)][: len(starts)], [v[order] for v in columns.values()]
+    data = [b"".join([c[a:b].tobytes() for c in columns]) for a, b in zip(starts, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), kind, np.int32)), pa.array(found.astype(np.int32)), pa.array(data, pa.binary())], ["kind", "bucket", "data"])
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The binaries of each bucket and kind, of rows ``kind``, ``bucket``, ``data`` in the order of these."""
+    now, held = None, []
+    for batch in batches:
+        for kind, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if (kind, bucket) != now:
+                if held:
+                    yield now[0], held
+                now, held = (kind, bucket), []
+            held.append(data)
+    if held:
+        yield now[0], held
+
+
+def together(data: list[bytes], kinds: dict[str, type]) -> dict[str, np.ndarray]:
+    """Columns of the binaries of ``dealt``."""
+    width, parts = sum(np.dtype(t).itemsize for t in kinds.values()), {c: [] for c in kinds}
+    for x in data:
+        n, at = len(x) // width, 0
+        for c, t in kinds.items():
+            parts[c].append(np.frombuffer(x, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return {c: np.concatenate(v) for c, v in parts.items()}
+
+
+#: Flags of a posting: its line asks for earlier ones; it stands for others that were left out of the list.
+ASKS, CROWDED = 1, 2
+
+
+def offsets(token: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of each list, of rows in the order of ``token`` and ``n``, as long as the sizes allow."""
+    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    length = np.diff(np.concatenate((start, [len(token)])))
+    last = np.repeat(start + length - 1, length)
+    i, d = np.flatnonzero(last > np.arange(len(token))), 1
+    while len(i):
+        i = i[100 * n[i] >= percent * n[i + d]]
+        yield i, i + d
+        d += 1
+        i = i[last[i] >= i + d]
+
+
+def asked_pairs(token: np.ndarray, asks: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each row that asks with all rows of its list, of rows in the order of ``token``."""
+    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+    length = np.diff(np.concatenate((start, [len(token)])))
+    at = np.repeat(np.arange(len(start)), length)
+    rows = np.flatnonzero(asks)
+    done = 0
+    while done < len(rows):
+        many = length[at[rows[done:]]]
+        take = max(1, int(np.searchsorted(np.cumsum(many), most)))
+        mine = rows[done : done + take]
+        many = many[:take]
+        yield np.repeat(mine, many), np.repeat(start[at[mine]] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        done += take
+
+
+def closest(x: dict[str, np.ndarray], room: int, percent: int, huge: int | None, every: bool = False) -> dict[str, np.ndarray]:
+    """Of postings, for each item (``key``, ``line``) that asks, the ``room`` earlier items of its lists that pass all filters and whose bitmaps are closest.
+
+    Pairs as ``a``, ``a_line``, ``b``, ``b_line``; ``a_line`` is -1 for items that have to ask again: they had more than
+    ``room``, or stood in a list that was cut (``huge``; None: lists of any length are read by those that ask) or crowded.
+    """
+    rows = len(x["token"])
+    by = np.lexsort((x["line"], x["key"]))
+    key, line = x["key"][by], x["line"][by]
+    new = np.ones(rows, bool)
+    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    key, line = key[new], line[new]
+    item = np.empty(rows, np.int64)
+    item[by] = np.cumsum(new) - 1
+    asks, token = (x["flags"] & ASKS) > 0, x["token"]
+    over = np.full(len(key), every)
+    _, which, members = np.unique(token, return_inverse=True, return_counts=True)
+    if huge is not None and (members > huge).any():
+        long = members[which] > huge
+        over[item[long]] = True
+        parts = -(-members[which[long]] // huge)
+        token = token.copy()
+        token[long] += (((item[long].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % parts.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+    crowded = np.zeros(len(members), bool)
+    crowded[which[(x["flags"] & CROWDED) > 0]] = True
+    over[item[crowded[which]]] = True
+    order = np.lexsort((x["n"], token))
+    token, n, place, bits, item, asks = token[order], x["n"][order].astype(np.int64), x["place"][order].astype(np.int64), x["bits"][order], item[order], asks[order]
+    asker = np.zeros(len(key), bool)
+    asker[item[asks]] = True
+    found: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def best() -> tuple[np.ndarray, ...]:
+        later, earlier, far = (np.concatenate(c) for c in zip(*found, strict=True))
+        o = np.lexsort((earlier, far, later))
+        later, earlier, far = later[o], earlier[o], far[o]
+        once = np.ones(len(o), bool)
+        once[1:] = (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1])
+        later, earlier, far = later[once], earlier[once], far[once]
+        first = np.maximum.accumulate(np.where(np.concatenate(([True], later[1:] != later[:-1])), np.arange(len(later)), 0)) if len(later) else np.zeros(0, int)
+        keep = np.arange(len(later)) - first < room
+        over[later[~keep]] = True
+        return later[keep], earlier[keep], far[keep]
+
+    for i, j in asked_pairs(token, asks) if huge is None else offsets(token, n, percent):
+        both = n[i] + n[j]
+        needed = -(-percent * both // (100 + percent))
+        ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= needed) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j, spare = i[ok], j[ok], (both - 2 * needed)[ok]
+        far = np.bitwise_count(bits[i] ^ bits[j])
+        earlier, later = np.minimum(item[i], item[j]), np.maximum(item[i], item[j])
+        ok = (far <= spare) & (earlier != later) & asker[later]
+        if ok.any():
+            found.append((later[ok], earlier[ok], far[ok]))
+            size += int(ok.sum())
+            if size > 2_000_000:
+                found[:] = [best()]
+                size = len(found[0][0])
+    later, earlier, _ = best() if found else (np.zeros(0, np.int64),) * 3
+    again = np.flatnonzero(over & asker)
+    return {
+        "a": np.concatenate((key[earlier], np.zeros(len(again), np.int64))), "a_line": np.concatenate((line[earlier], np.full(len(again), -1, np.int32))).astype(np.int32),
+        "b": np.concatenate((key[later], key[again])), "b_line": np.concatenate((line[later], line[again])).astype(np.int32),
+    }
+
+
 def verify(pairs: DataFrame, docs: DataFrame, elements: Callable[[], Callable[[str | None], np.ndarray | frozenset]], percent: int = PERCENT) -> DataFrame:
     """The pairs whose sets are similar: ``a``, ``a_line``, ``b``, ``b_line`` (document and line; line -1: the whole text).
 
-    Documents send only what the pairs ask for. What belongs to one ``a`` is verified in groups of ``MEMBERS``, each of
-    which gets a copy of a's text, so an owner of many pairs is spread over tasks.
+    Documents send only what the pairs ask for, once. What belongs to one ``a`` is verified in groups of ``MEMBERS``, each
+    of which gets a copy of a's text, so an owner of many pairs is spread over tasks.
     """
+    pairs = stored(pairs, "pairs")
     owners = pairs.groupBy("a", "a_line").agg(F.count("*").alias("members"))
-    salted = pairs.join(owners, ["a", "a_line"]).select(
-        "a", "a_line", "b", "b_line", F.pmod(F.xxhash64("b", "b_line"), F.ceil(F.col("members") / MEMBERS)).alias("salt")
-    )
-    part = lambda doc, line, own: F.struct(F.col("a").alias("a"), F.col("a_line").alias("a_line"), F.col("salt").alias("salt"), F.lit(own).alias("own"), F.col(doc).alias("b"), F.col(line).alias("b_line"))
-    asked = salted.select(F.col("b").alias("doc"), part("b", "b_line", 1).alias("ask")).unionByName(
-        salted.select("a", "a_line", "salt").distinct().select(F.col("a").alias("doc"), part("a", "a_line", 0).alias("ask"))
+    crowded = owners.where(F.col("members") > MEMBERS)
+    salted = pairs.join(small(crowded), ["a", "a_line"], "left").select(
+        "a", "a_line", "b", "b_line", F.pmod(F.xxhash64("b", "b_line"), F.ceil(F.coalesce("members", F.lit(1)) / MEMBERS)).alias("salt")
     )
-    asked = stored(asked.groupBy("doc").agg(F.collect_list("ask").alias("asks")), "asked")
-    texts = docs.select(F.col("key").alias("doc"), "text")
-    lines = texts.join(small(asked), "doc").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    sent = lines.select(F.explode(F.transform("asks", lambda x: F.struct(x.alias("ask"), F.when(x["b_line"] < 0, F.col("text")).otherwise(F.get("lines", x["b_line"])).alias("text")))).alias("r"))
-    rows = sent.select("r.ask.*", "r.text").repartition("a", "a_line", "salt").sortWithinPartitions("a", "a_line", "salt", "own", "b", "b_line")
+    part = lambda doc, line, own: (F.col(doc).alias("doc"), F.col(line).alias("at"), "a", "a_line", "salt", F.lit(own).alias("own"), F.col(doc).alias("b"), F.col(line).alias("b_line"))
+    asks = salted.select(*part("b", "b_line", 1)).unionByName(salted.select("a", "a_line", "salt").distinct().select(*part("a", "a_line", 0)))
+    # each text gives what is asked of it once; it goes on to those that ask from there
+    asked = stored(asks.select("doc", "at").distinct().groupBy("doc").agg(F.collect_list("at").alias("ats")), "asked")
+    texts = docs.select(F.col("key").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.split("text", "\n")
+    given = texts.join(small(asked), "doc").select("doc", F.explode(F.transform("ats", lambda i: F.struct(i.alias("at"), F.when(i < 0, F.col("text")).otherwise(F.get(lines, i)).alias("text")))).alias("r"))
+    rows = asks.join(given.select("doc", "r.at", "r.text"), ["doc", "at"]).drop("doc", "at")
+    rows = rows.select("a", "a_line", "salt", "own", "b", "b_line", "text").repartition("a", "a_line", "salt").sortWithinPartitions("a", "a_line", "salt", "own", "b", "b_line")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, now, mine = elements(), None, None
+        own, now, mine = elements(), None, []
         for batch in batches:
             found: list[tuple] = []
             a, al, s, o, b, bl, t = (batch.column(i).to_pylist() for i in range(7))
             for i in range(len(a)):
+                if now != (a[i], al[i], s[i]):
+                    now, mine = (a[i], al[i], s[i]), []
+                other = own(t[i])
                 if o[i] == 0:
-                    now, mine = (a[i], al[i], s[i]), own(t[i])
-                elif now == (a[i], al[i], s[i]):
-                    other = own(t[i])
-                    shared = len(mine & other) if isinstance(mine, frozenset) else len(np.intersect1d(mine, other, assume_unique=True))
-                    if similar(shared, len(mine), len(other), percent):
-                        found.append((a[i], al[i], b[i], bl[i]))
+                    mine.append(other)  # more than one where rows repeat an id
+                elif any(similar(overlap(m, other), len(m), len(other), percent) for m in mine):
+                    found.append((a[i], al[i], b[i], bl[i]))
             if found:
                 columns = list(zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[k], (pa.int64(), pa.int32())[k % 2]) for k in range(4)], ["a", "a_line", "b", "b_line"])
