@@ -30,18 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small, stored
+from .common import let, partitions, small, stored
 from .similarity import ASKS, CROWDED, PERCENT, Hasher, closest, dealt, gathered, slices, summed_levels, together, verify
 
-BITS, LONG, CLOSEST, FEW, CROWD, HUGE = 22, 256, 2, 16, 1024, 4096
+BITS, LONG, CLOSEST, FEW, CROWD, HUGE = 22, 256, 4, 16, 1024, 4096
+#: Of larger sets the bitmaps tell little, so they have more candidates verified at once.
+DENSE, MORE = 200, 64
 #: Words in more lines than this are listed together with a second word.
 FREQUENT = 512
 #: Bytes of text that are cut into words together; longer texts are cut at line ends.
 TOGETHER = 1_000_000
 #: Postings or lines that a task holds before it deals them out, and that a bucket holds, about.
-HELD = 500_000
+HELD = 250_000
 LINE = {"k1": np.uint64, "k2": np.uint64, "key": np.int64, "line": np.int32}
-POSTING = {"token": np.uint64, "key": np.int64, "line": np.int32, "n": np.int32, "place": np.int32, "bits": np.uint64, "flags": np.uint8}
+#: ``n`` stops at 65535, which makes the filters of larger sets weaker; ``token`` holds 32 bits of those that don't tell the bucket.
+POSTING = {"token": np.uint32, "key": np.int64, "line": np.int32, "n": np.uint16, "place": np.uint16, "bits": np.dtype((np.uint64, (2,))), "flags": np.uint8}
 PAIR = {"a": np.int64, "a_line": np.int32, "b": np.int64, "b_line": np.int32}
 
 
@@ -109,7 +112,12 @@ class Lines:
         return np.add.reduceat(h ^ (h >> np.uint64(28)), self.starts) if len(self.starts) else np.zeros(0, np.uint64)
 
     def parity(self) -> np.ndarray:
-        return np.bitwise_xor.reduceat(np.uint64(1) << (self.word & np.uint64(63)), self.starts) if len(self.starts) else np.zeros(0, np.uint64)
+        """Bitmaps of 128 bits: whether a bit's words are odd in number."""
+        if not len(self.starts):
+            return np.zeros((0, 2), np.uint64)
+        bit = np.uint64(1) << (self.word & np.uint64(63))
+        upper = (self.word & np.uint64(64)) > 0
+        return np.stack([np.bitwise_xor.reduceat(np.where(upper == k, bit, np.uint64(0)), self.starts) for k in (False, True)], axis=1)
 
 
 def line_reader():
@@ -197,7 +205,11 @@ def listed(x: Lines, levels: np.ndarray, stays: np.ndarray, asks: np.ndarray, pe
         out.append({"token": (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9), "at": at[i], "place": place[j] - 1})
         d += 1
     token, at, place = (np.concatenate([o[c] for o in out]) for c in ("token", "at", "place"))
-    return {"token": token, "key": x.key[at], "line": x.line[at], "n": x.n[at].astype(np.int32), "place": place.astype(np.int32), "bits": x.parity()[at], "flags": asks[at] * np.uint8(ASKS)}
+    n = x.n[at]
+    return {
+        "token": token, "key": x.key[at], "line": x.line[at], "n": np.minimum(n, 65535).astype(np.uint16), "place": np.where(n < 65535, place, 0).astype(np.uint16),
+        "bits": x.parity()[at], "flags": asks[at] * np.uint8(ASKS),
+    }
 
 
 def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_words: int, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
@@ -224,7 +236,7 @@ def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_w
             crowded = members[which] > CROWD
             if asked is None and crowded.any():
                 y = {c: v[crowded] for c, v in x.items()}
-                pairs = closest(y, room, percent, HUGE, every=True)
+                pairs = closest(y, (room, DENSE, max(room, MORE)), percent, HUGE, every=True)
                 yield dealt(1, pairs["b"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), pairs, buckets)
                 by = np.lexsort((y["line"], y["key"], y["token"]))
                 t = y["token"][by]
@@ -234,7 +246,7 @@ def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_w
                 stay = ~crowded
                 stay[few] = True
                 x = {c: v[stay] for c, v in x.items()}
-            yield dealt(0, x["token"], x, buckets)
+            yield dealt(0, x["token"], x | {"token": x["token"].astype(np.uint32)}, buckets)
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
@@ -243,7 +255,8 @@ def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_w
                 x = Lines(own, part, min_words, known)
                 y = listed(x, known, marked(x, gone, True), marked(x, asks, False) if asked is not None else np.ones(len(x.key), bool), percent)
                 if asked is not None:
-                    use = (asked[(y["token"] >> np.uint64(43)).astype(np.int64)] >> ((y["token"] >> np.uint64(40)) & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    at = (y["token"] & np.uint64(0xFFFFFF)).astype(np.int64)
+                    use = (asked[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
                     y = {c: v[use] for c, v in y.items()}
                 held.append(y)
                 if sum(len(h["key"]) for h in held) > HELD:
@@ -259,7 +272,7 @@ def candidates(posted: DataFrame, room: int, percent: int, huge: int | None) ->
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, data in gathered(batches):
-            x = together(data, PAIR) if kind == 1 else closest(together(data, POSTING), room, percent, huge)
+            x = together(data, PAIR) if kind == 1 else closest(together(data, POSTING), (room, DENSE, max(room, MORE)), percent, huge)
             yield pa.RecordBatch.from_arrays([pa.array(x[c]) for c in PAIR], list(PAIR))
 
     return posted.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(read, "a long, a_line int, b long, b_line int")
@@ -271,13 +284,13 @@ def by_key(lines: DataFrame, name: str) -> DataFrame:
 
 
 def token_bits(posted: DataFrame) -> np.ndarray:
-    """2^24 bits: which tokens the postings may have, by their first 24 bits. The driver gets 2 MB."""
+    """2^24 bits: which tokens the postings may have, by their last 24 bits. The driver gets 2 MB."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << 24, np.uint32)
+        seen = np.zeros(1 << 24, np.uint16)
         for batch in batches:
             for data in batch.column(2).to_pylist():
-                seen[together([data], POSTING)["token"] >> np.uint64(40)] = 1
+                seen[together([data], POSTING)["token"] & 0xFFFFFF] = 1
         found = list(slices(seen))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["slice", "data"])
 
@@ -322,9 +335,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     names = [c for c in docs.columns if c != "removed_lines"]
     nested = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     joined = nested.join(small(gone), "key", "left")
-    lines = F.split("text", "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))
-    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    left = let(F.split("text", "\n"), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i)), "\n"))
+    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
     return joined.select(
         *[cleaned.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names], F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines")
     )

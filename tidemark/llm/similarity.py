@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import let, small, stored
 
 PERCENT = 80
 #: Bits of a set's parity bitmap.
@@ -250,7 +250,7 @@ def offsets(token: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np
         i = i[last[i] >= i + d]
 
 
-def asked_pairs(token: np.ndarray, asks: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def asked_pairs(token: np.ndarray, asks: np.ndarray, most: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of each row that asks with all rows of its list, of rows in the order of ``token``."""
     start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     length = np.diff(np.concatenate((start, [len(token)])))
@@ -266,11 +266,12 @@ def asked_pairs(token: np.ndarray, asks: np.ndarray, most: int = 1_000_000) -> I
         done += take
 
 
-def closest(x: dict[str, np.ndarray], room: int, percent: int, huge: int | None, every: bool = False) -> dict[str, np.ndarray]:
-    """Of postings, for each item (``key``, ``line``) that asks, the ``room`` earlier items of its lists that pass all filters and whose bitmaps are closest.
+def closest(x: dict[str, np.ndarray], room: tuple[int, int, int], percent: int, huge: int | None, every: bool = False) -> dict[str, np.ndarray]:
+    """Of postings, for each item (``key``, ``line``) that asks, the earlier items of its lists that pass all filters and whose bitmaps are closest: as many as
+    ``room`` holds, for sets larger than its second number as its third one says.
 
-    Pairs as ``a``, ``a_line``, ``b``, ``b_line``; ``a_line`` is -1 for items that have to ask again: they had more than
-    ``room``, or stood in a list that was cut (``huge``; None: lists of any length are read by those that ask) or crowded.
+    Pairs as ``a``, ``a_line``, ``b``, ``b_line``; ``a_line`` is -1 for items that have to ask again: they had more,
+    or stood in a list that was cut (``huge``; None: lists of any length are read by those that ask) or crowded.
     """
     rows = len(x["token"])
     by = np.lexsort((x["line"], x["key"]))
@@ -280,22 +281,22 @@ def closest(x: dict[str, np.ndarray], room: int, percent: int, huge: int | None,
     key, line = key[new], line[new]
     item = np.empty(rows, np.int64)
     item[by] = np.cumsum(new) - 1
-    asks, token = (x["flags"] & ASKS) > 0, x["token"]
+    asks, token = (x["flags"] & ASKS) > 0, x["token"].astype(np.uint64)
     over = np.full(len(key), every)
     _, which, members = np.unique(token, return_inverse=True, return_counts=True)
     if huge is not None and (members > huge).any():
         long = members[which] > huge
         over[item[long]] = True
         parts = -(-members[which[long]] // huge)
-        token = token.copy()
         token[long] += (((item[long].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % parts.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
     crowded = np.zeros(len(members), bool)
     crowded[which[(x["flags"] & CROWDED) > 0]] = True
     over[item[crowded[which]]] = True
     order = np.lexsort((x["n"], token))
     token, n, place, bits, item, asks = token[order], x["n"][order].astype(np.int64), x["place"][order].astype(np.int64), x["bits"][order], item[order], asks[order]
-    asker = np.zeros(len(key), bool)
+    asker, most = np.zeros(len(key), bool), np.full(len(key), room[0])
     asker[item[asks]] = True
+    most[item[n > room[1]]] = room[2]
     found: list[tuple[np.ndarray, ...]] = []
     size = 0
 
@@ -307,7 +308,7 @@ def closest(x: dict[str, np.ndarray], room: int, percent: int, huge: int | None,
         once[1:] = (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1])
         later, earlier, far = later[once], earlier[once], far[once]
         first = np.maximum.accumulate(np.where(np.concatenate(([True], later[1:] != later[:-1])), np.arange(len(later)), 0)) if len(later) else np.zeros(0, int)
-        keep = np.arange(len(later)) - first < room
+        keep = np.arange(len(later)) - first < most[later]
         over[later[~keep]] = True
         return later[keep], earlier[keep], far[keep]
 
@@ -316,13 +317,13 @@ def closest(x: dict[str, np.ndarray], room: int, percent: int, huge: int | None,
         needed = -(-percent * both // (100 + percent))
         ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= needed) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         i, j, spare = i[ok], j[ok], (both - 2 * needed)[ok]
-        far = np.bitwise_count(bits[i] ^ bits[j])
+        far = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int32)
         earlier, later = np.minimum(item[i], item[j]), np.maximum(item[i], item[j])
         ok = (far <= spare) & (earlier != later) & asker[later]
         if ok.any():
             found.append((later[ok], earlier[ok], far[ok]))
             size += int(ok.sum())
-            if size > 2_000_000:
+            if size > 500_000:
                 found[:] = [best()]
                 size = len(found[0][0])
     later, earlier, _ = best() if found else (np.zeros(0, np.int64),) * 3
@@ -350,8 +351,10 @@ def verify(pairs: DataFrame, docs: DataFrame, elements: Callable[[], Callable[[s
     # each text gives what is asked of it once; it goes on to those that ask from there
     asked = stored(asks.select("doc", "at").distinct().groupBy("doc").agg(F.collect_list("at").alias("ats")), "asked")
     texts = docs.select(F.col("key").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.split("text", "\n")
-    given = texts.join(small(asked), "doc").select("doc", F.explode(F.transform("ats", lambda i: F.struct(i.alias("at"), F.when(i < 0, F.col("text")).otherwise(F.get(lines, i)).alias("text")))).alias("r"))
+    given = texts.join(small(asked), "doc").select("doc", F.explode(let(
+        F.when(F.exists("ats", lambda i: i >= 0), F.split("text", "\n")),
+        lambda lines: F.transform("ats", lambda i: F.struct(i.alias("at"), F.when(i < 0, F.col("text")).otherwise(F.get(lines, i)).alias("text"))),
+    )).alias("r"))
     rows = asks.join(given.select("doc", "r.at", "r.text"), ["doc", "at"]).drop("doc", "at")
     rows = rows.select("a", "a_line", "salt", "own", "b", "b_line", "text").repartition("a", "a_line", "salt").sortWithinPartitions("a", "a_line", "salt", "own", "b", "b_line")
 
