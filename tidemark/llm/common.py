@@ -70,18 +70,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(edges: DataFrame, left: str, right: str, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Connected components of an undirected edge list: columns ``node``, ``component`` (the smallest node reachable).
 
     Alternates large-star and small-star steps, so the edge list never grows beyond its first size and no list of
     neighbours is gathered. Each step is written to the shared folder. Nodes without edges are absent; self loops and
-    repeated edges are harmless; an empty edge list gives an empty result.
+    repeated edges are harmless; an empty edge list gives an empty result. Steps go on until nothing changes, about as many
+    as the logarithm of the longest path.
     """
     a, b = F.col(left).cast("long"), F.col(right).cast("long")
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = stored(now, "star")
     state = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours of u hang on the least of u's neighbourhood

@@ -8,11 +8,12 @@ fixed size that a link can ask for; two small sets link through an equal subset.
 rarest elements of each set. The boundary is the size up to which enumeration costs less than scanning lists of the
 average length found in the data; sets just below it are in the lists as well, for links across it.
 
-Every list first offers one member to all others, which is linear and joins up groups of near copies; lists fall into
-``PIVOTS`` kinds, which put members in different orders, so that a group gets several members offered. Only pairs that are
-still in different components are then paired within lists. Pairs pass a filter on sizes and on parity bitmaps (bits that
-differ are elements that differ), and are verified on whole texts. So no link between different components is lost, and a
-group of near copies isn't expanded into all its pairs.
+Lists are read in tasks, each list in the order of sizes. Pairs within it pass the length and positional filters; each
+member takes up to ``OFFERS`` of those before it, in the first place those that it meets in most lists, to be verified on
+whole texts. Lists of which pairs were left out stay open: after the components of the links found so far are known, only
+pairs across components count in them, and more of these pass in each further round, until no list is open. So no
+link between different components is lost, and a group of near copies isn't expanded into all its pairs. Of a list that
+is crowded within a batch, ``FEW`` members stay where the list is read; the others are read by batch, and the list is open.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Rows without an id get no
 component. Repeated rows are copies. A table without rows gives an empty result; extra columns play no part.
@@ -30,10 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small, stored
-from .similarity import PERCENT, Hasher, frequency_levels, lists, lower_words, may_link, parity, prefix_size, rarest_first, verify
+from .common import components, partitions, small, stored
+from .similarity import PERCENT, Hasher, asked_pairs, dealt, gathered, lower_words, offsets, prefix_size, rarest_first, slices, summed_levels, together, verify
 
-WIDTH, BITS, MOST_SMALL, PIVOTS = 5, 22, 24, 4
+WIDTH, BITS, MOST_SMALL, OFFERS, FEW, CROWD, HUGE = 5, 22, 24, 4, 16, 1024, 4096
+#: What it takes to verify a pair, in rows of a list.
+VERIFY = 8
+#: Postings that a task holds before it deals them out, and that a bucket holds, about.
+HELD = 250_000
+#: ``place`` stops at 65535, which makes the positional filter of larger places weaker; ``token`` holds 32 bits of those that don't tell the bucket.
+POSTING = {"token": np.uint32, "key": np.int64, "n": np.int32, "place": np.uint16, "crowded": np.bool_}
 
 
 def shingler(width: int = WIDTH):
@@ -41,10 +48,6 @@ def shingler(width: int = WIDTH):
     return lambda text: np.unique(own.windows(lower_words(text), width))
 
 
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
 def subset_sizes(n: int, percent: int = PERCENT) -> set[int]:
     """Overlaps that a link between a set of n elements and another asks for."""
     sizes = range(-(-percent * n // 100), 100 * n // percent + 1)
@@ -52,13 +55,13 @@ def subset_sizes(n: int, percent: int = PERCENT) -> set[int]:
 
 
 def boundary(levels: np.ndarray, percent: int = PERCENT) -> int:
-    """The largest size up to which enumerating subsets costs no more than scanning lists of the average length."""
+    """The largest size up to which enumerating subsets costs no more rows than listing the prefix and verifying what lists of the average length pair up."""
     counts = np.where(levels > 0, 2.0 ** ((levels.astype(float) - 1) / 4), 0)
     total = counts.sum()
-    length = max(1.0, (counts**2).sum() / total - total / len(counts)) if total else 1.0
+    others = max(0.0, (counts**2).sum() / total - 1 - total / len(counts)) if total else 0.0
     best = 0
     for n in range(1, MOST_SMALL + 1):
-        if sum(comb(n, c) for c in subset_sizes(n, percent) if c <= n) <= prefix_size(n, percent) * length:
+        if sum(comb(n, c) for c in subset_sizes(n, percent) if c <= n) <= prefix_size(n, percent) * (1 + VERIFY * others):
             best = n
         else:
             break
@@ -79,92 +82,216 @@ def small_signatures(found: np.ndarray, percent: int = PERCENT) -> list[int]:
 
 
 def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``key``, ``n``, a 128-bit digest ``k1``, ``k2`` and a parity bitmap ``bits`` of each row's set."""
+    """``key``, ``n`` and a 128-bit digest ``k1``, ``k2`` of each row's set; and, in rows of their own, slices of the tasks' counts of shingles."""
+    names, none = ["key", "n", "k1", "k2", "slice", "data"], pa.null()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shingler(width)
+        own, table = shingler(width), np.zeros(1 << BITS, np.uint32)
         for batch in batches:
-            n, digests, bits = [], [], []
+            n, digests = [], []
             for text in batch.column(1).to_pylist():
                 found = own(text)
+                np.add.at(table, (found >> np.uint64(64 - BITS)).astype(np.int64), 1)
                 n.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                bits.append(parity(found))
             k = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(bits, pa.list_(pa.int64()))], ["key", "n", "k1", "k2", "bits"])
-
-    return docs.mapInArrow(read, "key long, n long, k1 long, k2 long, bits array<bigint>")
-
+            nothing = [pa.nulls(len(n), none).cast(pa.int32()), pa.nulls(len(n), none).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), *nothing], names)
+        for at, data in slices(table):
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, none).cast(pa.int64())] * 4, pa.array([at], pa.int32()), pa.array([data], pa.binary())], names)
 
-def shuffled(keys: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """A place of each key in the order of its kind of list."""
-    h = (keys.view(np.uint64) + kinds * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(29))).view(np.int64)
+    return docs.mapInArrow(read, "key long, n long, k1 long, k2 long, slice int, data binary")
 
 
-def postings(docs: DataFrame, levels: np.ndarray, edge: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``token``, ``mix``, ``key``: what each set puts into the lists, and its place there. A task leaves out sets it has had."""
+def postings(docs: DataFrame, levels: np.ndarray, edge: int, buckets: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """What each set puts into the lists, by ``bucket``."""
     sent = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known, had = shingler(width), np.frombuffer(sent.value, np.uint8), set()
+        own, known = shingler(width), np.frombuffer(sent.value, np.uint8)
+        tokens: list[np.ndarray] = []
+        keys: list[int] = []
+        sizes: list[int] = []
+        places: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            lengths = [len(t) for t in tokens]
+            token = np.concatenate(tokens)
+            x = {"token": token.astype(np.uint32), "key": np.repeat(np.array(keys, np.int64), lengths), "n": np.repeat(np.array(sizes, np.int32), lengths), "place": np.concatenate(places)}
+            _, which, members = np.unique(token, return_inverse=True, return_counts=True)
+            x["crowded"] = members[which] > CROWD
+            if x["crowded"].any():  # the others are read in a bucket that the batch has for the list
+                by = np.argsort(which, kind="stable")
+                start = np.repeat(np.cumsum(members) - members, members)
+                rest = np.zeros(len(token), bool)
+                rest[by[np.arange(len(by)) - start >= FEW]] = True
+                token = np.where(x["crowded"] & rest, (token ^ np.uint64(keys[0] & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15), token)
+            for held in (tokens, keys, sizes, places):
+                held.clear()
+            return dealt(0, token, x, buckets)
+
         for batch in batches:
-            tokens, keys = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = own(text)
                 n = len(found)
-                digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                if key is None or not n or digest in had:
+                if key is None or not n:
                     continue
-                had.add(digest)
-                mine = []
                 if n <= edge:
-                    mine.append(np.array(small_signatures(found, percent), np.uint64))
+                    mine = np.array(small_signatures(found, percent), np.uint64)
+                    tokens.append(mine)
+                    places.append(np.zeros(len(mine), np.uint16))
+                    keys.append(key)
+                    sizes.append(n)
                 if n > edge or 100 * n >= percent * (edge + 1):
-                    mine.append(rarest_first(found, known, BITS)[: prefix_size(n, percent)])
-                all_mine = np.concatenate(mine)
-                tokens.append(all_mine)
-                keys.append(np.full(len(all_mine), key, np.int64))
-            if tokens:
-                token, key_of = np.concatenate(tokens), np.concatenate(keys)
-                mix = shuffled(key_of, token % np.uint64(PIVOTS))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(mix), pa.array(key_of)], ["token", "mix", "key"])
+                    mine = rarest_first(found, known, BITS)[: prefix_size(n, percent)]
+                    tokens.append(mine)
+                    places.append(np.minimum(np.arange(len(mine)), 65535).astype(np.uint16))
+                    keys.append(key)
+                    sizes.append(n)
+                if len(tokens) >= 2048 or sum(map(len, tokens[-1:])) > HELD:
+                    yield flush()
+        if tokens:
+            yield flush()
+
+    return docs.mapInArrow(read, "kind int, bucket int, data binary")
+
+
+def offers(x: dict[str, np.ndarray], label: np.ndarray, room: int, percent: int, huge: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of keys across labels in common lists (two arrays), and the rows of lists of which pairs were left out."""
+    key, item = np.unique(x["key"], return_inverse=True)
+    token, which, members = np.unique(x["token"], return_inverse=True, return_counts=True)
+    opened = np.zeros(len(token), bool)
+    opened[which[x["crowded"]]] = True
+    listed = which.astype(np.int64)
+    if huge is not None and (members > huge).any():
+        opened |= members > huge
+        long = opened[which] & (members[which] > huge)
+        listed[long] += len(token) * (1 + ((item[long].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % -(-members[which[long]] // huge))
+    order = np.lexsort((x["n"], listed))
+    listed, n, place, who, label = listed[order], x["n"][order].astype(np.int64), x["place"][order].astype(np.int64), item[order], label[order]
+    if huge is None:  # all but the members of a list's most frequent label ask the whole list
+        by = np.lexsort((label, listed))
+        new = np.concatenate(([True], (listed[by][1:] != listed[by][:-1]) | (label[by][1:] != label[by][:-1]))) if len(by) else np.zeros(0, bool)
+        run = np.cumsum(new) - 1
+        size = np.bincount(run)
+        first = np.flatnonzero(new)
+        best = np.lexsort((-size, listed[by][first]))
+        top = np.zeros(len(first), bool)
+        top[best[np.concatenate(([True], listed[by][first][best][1:] != listed[by][first][best][:-1]))]] = True
+        asks = np.zeros(len(by), bool)
+        asks[by] = ~top[run]
+    found: list[tuple[np.ndarray, ...]] = []
+    held = 0
+
+    def best_of() -> tuple[np.ndarray, ...]:
+        later, earlier, far, times, lists = (np.concatenate(c) for c in zip(*found, strict=True))
+        o = np.lexsort((earlier, later))
+        later, earlier, far, times, lists = later[o], earlier[o], far[o], times[o], lists[o]
+        new = np.flatnonzero(np.concatenate(([True], (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1]))))
+        times = np.add.reduceat(times, new)
+        o2 = np.lexsort((earlier[new], far[new], -times, later[new]))
+        group = later[new][o2]
+        first = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(len(group)), 0))
+        keep = np.zeros(len(new), bool)
+        keep[o2] = np.arange(len(group)) - first < room
+        opened[lists[new][~keep]] = True  # one list of a pair is enough to find it again
+        return later[new][keep], earlier[new][keep], far[new][keep], times[keep], lists[new][keep]
+
+    for i, j in asked_pairs(listed, asks) if huge is None else offsets(listed, n, percent):
+        ok = (label[i] != label[j]) & (who[i] != who[j])
+        i, j = i[ok], j[ok]
+        needed = -(-percent * (n[i] + n[j]) // (100 + percent))
+        ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= needed) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        if len(i):
+            found.append((np.maximum(who[i], who[j]), np.minimum(who[i], who[j]), np.abs(n[i] - n[j]), np.ones(len(i), np.int64), listed[i] % len(token)))
+            held += len(i)
+            if held > 500_000:
+                found[:] = [best_of()]
+                held = len(found[0][0])
+    later, earlier = best_of()[:2] if found else (np.zeros(0, np.int64),) * 2
+    return key[earlier], key[later], np.flatnonzero(opened[which])
+
+
+OFFERED = "a long, b long, token long, n int, place int"
+
+
+def batch_of(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Pairs (``a``, ``b``), and postings of open lists (``a``: the key; ``token``, ``n``, ``place``)."""
+    none = lambda n, kind: pa.nulls(n).cast(kind)
+    columns = [
+        pa.concat_arrays([pa.array(a, pa.int64()), pa.array(x["key"][rows], pa.int64())]), pa.concat_arrays([pa.array(b, pa.int64()), none(len(rows), pa.int64())]),
+        *(pa.concat_arrays([none(len(a), kind), pa.array(x[c][rows].astype(t))]) for c, t, kind in (("token", np.int64, pa.int64()), ("n", np.int32, pa.int32()), ("place", np.int32, pa.int32()))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "token", "n", "place"])
+
+
+def first_offers(posted: DataFrame, percent: int) -> DataFrame:
+    room, huge = OFFERS, HUGE
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data in gathered(batches):
+            x = together(data, POSTING)
+            yield batch_of(x, *offers(x, x["key"], room, percent, huge))
+
+    return posted.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(read, OFFERED)
 
-    return docs.mapInArrow(read, "token long, mix long, key long")
+
+def more_offers(held: DataFrame, room: int, percent: int) -> DataFrame:
+    """``held``: ``token``, ``key``, ``n``, ``place``, ``component`` of open lists."""
+    most = HELD
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[dict[str, np.ndarray]] = []
+
+        def settle(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+            return batch_of(x, *offers(x | {"crowded": np.zeros(len(x["key"]), bool)}, x["component"], room, percent, None))
+
+        for batch in batches:
+            parts.append({c: batch.column(k).to_numpy() for k, c in enumerate(("token", "key", "n", "place", "component"))})
+            if sum(len(p["key"]) for p in parts) > most:
+                x = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+                last = int(np.searchsorted(x["token"], x["token"][-1]))  # the list that may go on
+                if last:
+                    yield settle({c: v[:last] for c, v in x.items()})
+                parts = [{c: v[last:] for c, v in x.items()}]
+        if parts:
+            yield settle({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
+
+    rows = held.select("token", "key", "n", "place", "component").repartition("token").sortWithinPartitions("token")
+    return rows.mapInArrow(read, OFFERED)
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` (the smallest key reachable over links) of every row."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    own = stored(sets(rows, width), "sets")
+    both = stored(sets(rows, width), "sets")
+    own = both.where("slice is null").select("key", "n", "k1", "k2")
+    levels = summed_levels(both.where("slice is not null").select("slice", "data"), BITS)
     reps = own.where("n > 0 and key is not null").groupBy("k1", "k2").agg(F.min("key").alias("class"))
     classes = stored(own.join(reps, ["k1", "k2"], "left").select("key", "n", "class"), "classes")
-    bits = own.where("key is not null").dropDuplicates(["key"]).select(F.col("key").alias("class"), "bits")
-    levels = frequency_levels(rows.select("text"), lambda: (lambda own: lambda t: iter((own(t),)))(shingler(width)), BITS)
-    found = stored(lists(postings(rows, levels, boundary(levels, percent), width, percent), "token", ["mix", "key"]), "lists")
-
-    of = classes.where("class is not null").select("key", "n", "class").dropDuplicates(["key"])
-    member = lambda name: of.select(F.col("key").alias(name), F.col("n").alias(f"{name}_n"), F.col("class").alias(f"{name}_class"))
-    with_bits = lambda rows, name: rows.join(bits.select(F.col("class").alias(name), F.col("bits").alias(f"{name}_bits")), name)
-    offered = found.select("key", "pivot_key").where("key <> pivot_key").distinct().join(member("key"), "key").join(member("pivot_key"), "pivot_key")
-    offered = offered.select("key_class", "key_n", "pivot_key_class", "pivot_key_n").where("key_class <> pivot_key_class").distinct()
-    offered = with_bits(with_bits(offered, "key_class"), "pivot_key_class")
-    offered = offered.where(may_link(F.col("key_n"), F.col("pivot_key_n"), F.col("key_class_bits"), F.col("pivot_key_class_bits"), percent))
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.lit(-1).alias("a_line"), F.greatest(a, b).alias("b"), F.lit(-1).alias("b_line"))
-    first = stored(offered.select(*pair(F.col("pivot_key_class"), F.col("key_class"))).distinct(), "offered")
-    whole = lambda: shingler(width)
-    edges = stored(verify(first, rows, whole, percent), "links")
-    joined = components(edges, "a", "b")
-
-    held = found.select("token", "key").join(member("key"), "key").select("token", F.col("key_class").alias("class"), F.col("key_n").alias("n")).distinct()
-    held = stored(held.join(joined.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")), "held")
-    open_lists = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    held = held.join(open_lists, "token").join(bits, "class")
-    x, y = held.alias("x"), held.alias("y")
-    apart = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & may_link(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"), percent))
-    rest = apart.select(*pair(F.col("x.class"), F.col("y.class"))).distinct()
-    more = stored(verify(rest.join(first, ["a", "a_line", "b", "b_line"], "left_anti"), rows, whole, percent), "links")
-    final = components(edges.unionByName(more), "a", "b").select(F.col("node").alias("class"), "component")
+    # what stands for a class is listed; a row that repeats an id is left out only if all rows of this id are copies
+    copies = stored(classes.where("class is not null").groupBy("key").agg(F.bool_and(F.col("class") != F.col("key")).alias("copy")).where("copy").select("key"), "copies")
+    total = float(np.where(levels > 0, 2.0 ** ((levels - 1.0) / 4), 0).sum())
+    buckets = max(2 * partitions(docs), int(total / 5 / HELD) + 1)
+    single = rows.where("key is not null").join(small(copies), "key", "left_anti")
+    found = stored(first_offers(postings(single, levels, boundary(levels, percent), buckets, width, percent), percent), "offers")
+    edges, room = None, OFFERS
+    minus = F.lit(-1)
+    while True:
+        pairs = found.where("b is not null").select("a", minus.alias("a_line"), "b", minus.alias("b_line")).distinct()
+        links = stored(verify(pairs, rows, lambda: shingler(width), percent).select("a", "b"), "links")
+        edges = links if edges is None else edges.unionByName(links)
+        joined = components(edges, "a", "b")
+        left = found.where("b is null").select(F.col("a").alias("key"), "token", "n", "place")
+        if left.isEmpty():
+            break
+        labels = joined.select(F.col("node").alias("key"), "component")
+        held = stored(left.distinct().join(small(labels), "key", "left").withColumn("component", F.coalesce("component", "key")), "held")
+        apart = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+        room *= 32
+        found = stored(more_offers(held.join(apart, "token", "left_semi"), room, percent), "offers")
+    final = joined.select(F.col("node").alias("class"), "component")
     return classes.join(small(final), "class", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "class", "key").alias("component_id")
     )

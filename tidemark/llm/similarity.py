@@ -13,14 +13,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, small, stored
 
 PERCENT = 80
-#: Bits of a set's parity bitmap.
-PARITY = 1024
 SLICE_BITS = 16
 #: Members of one owner that are verified together.
 MEMBERS = 256
@@ -86,25 +84,6 @@ def similar(shared: int, n: int, m: int, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (n + m - shared)
 
 
-def frequency_levels(texts: DataFrame, elements: Callable[[], Callable[[str | None], Iterator[np.ndarray]]], bits: int) -> np.ndarray:
-    """For each of ``2 ** bits`` buckets of hashes a level: 0 none, 1 one row, then four levels for each doubling.
-
-    ``elements()`` makes a function from a text to its sets. Every task counts its own rows and sends a compressed table of
-    fixed size, by slices; slices are summed apart from each other. The driver gets ``2 ** bits`` bytes.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = elements(), np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for found in own(text):
-                    np.add.at(table, found >> np.uint64(64 - bits), 1)
-        for k, data in slices(table):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["slice", "data"])
-
-    return summed_levels(texts.mapInArrow(count, "slice int, data binary"), bits)
-
-
 def slices(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """A task's counts as compressed slices; empty ones are left out."""
     width = 1 << SLICE_BITS
@@ -141,63 +120,6 @@ def rarest_first(found: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray
     return found[np.argsort((level << np.uint64(56)) | (found >> np.uint64(8)), kind="stable")]
 
 
-def lists(postings: DataFrame, token: str, order: list[str]) -> DataFrame:
-    """Postings of tokens that two or more items have, each with the first item of its list as ``pivot`` (a struct).
-
-    Rows are dealt by token and read in order, so a list passes through a task without being gathered; repeated postings
-    are dropped on the way. A list too long for one task would need a salt; rare-first prefixes keep lists short.
-    """
-    names = [token, *order]
-    spec = postings.schema
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_now = first = last = None
-        told = False
-        for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(len(names))]
-            t = columns[0]
-            n = len(t)
-            if not n:
-                continue
-            before = [c[:-1] for c in columns]
-            new = np.ones(n, bool)
-            new[1:] = t[1:] != t[:-1]
-            new[0] = token_now is None or t[0] != token_now
-            same = ~new
-            same[1:] &= np.logical_and.reduce([c[1:] == b for c, b in zip(columns, before, strict=True)])
-            same[0] = (not new[0]) and last == tuple(c[0] for c in columns)
-            # where each row's list starts in this batch; -1: in an earlier one
-            start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            keep = ~new & ~same
-            rows = np.flatnonzero(keep)
-            if len(rows):
-                at = start[rows]
-                pivot = [np.where(at >= 0, c[np.maximum(at, 0)], 0) for c in columns[1:]]
-                if (at < 0).any():
-                    for p, v in zip(pivot, first, strict=True):
-                        p[at < 0] = v
-                heads = np.unique(at)
-                if heads[0] < 0:
-                    heads = heads[1:]
-                own = [columns[0][rows], *(c[rows] for c in columns[1:]), *pivot]
-                head = [columns[0][heads], *(c[heads] for c in columns[1:]), *(c[heads] for c in columns[1:])]
-                if (at < 0).any() and not told:
-                    head = [np.concatenate((x, np.array([v], x.dtype))) for x, v in zip(head, [t[0], *first, *first], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, b))) for a, b in zip(head, own, strict=True)], out_names)
-            if start[-1] >= 0:
-                first, told = tuple(c[start[-1]] for c in columns[1:]), bool(keep[start[-1] :].any())
-            else:
-                told = told or bool(keep.any())
-            token_now, last = t[-1], tuple(c[-1] for c in columns)
-
-    out_names = [*names, *(f"pivot_{c}" for c in order)]
-    kinds = [spec[c].dataType.simpleString() for c in names] + [spec[c].dataType.simpleString() for c in order]
-    return (
-        postings.select(*names).repartition(token).sortWithinPartitions(*names)
-        .mapInArrow(read, ", ".join(f"{c} {k}" for c, k in zip(out_names, kinds, strict=True)))
-    )
-
-
 def dealt(kind: int, by: np.ndarray, columns: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
     """Rows as one binary for each bucket that ``by`` (64-bit hashes) deals them to: ``kind``, ``bucket``, ``data``."""
     bucket = ((by >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -268,7 +190,7 @@ def asked_pairs(token: np.ndarray, asks: np.ndarray, most: int = 300_000) -> Ite
 
 def closest(x: dict[str, np.ndarray], room: tuple[int, int, int], percent: int, huge: int | None, every: bool = False) -> dict[str, np.ndarray]:
     """Of postings, for each item (``key``, ``line``) that asks, the earlier items of its lists that pass all filters and whose bitmaps are closest: as many as
-    ``room`` holds, for sets larger than its second number as its third one says.
+    ``room`` says first; as it says last for sets larger than its second number, and where even the closest bitmap is far.
 
     Pairs as ``a``, ``a_line``, ``b``, ``b_line``; ``a_line`` is -1 for items that have to ask again: they had more,
     or stood in a list that was cut (``huge``; None: lists of any length are read by those that ask) or crowded.
@@ -301,16 +223,16 @@ def closest(x: dict[str, np.ndarray], room: tuple[int, int, int], percent: int,
     size = 0
 
     def best() -> tuple[np.ndarray, ...]:
-        later, earlier, far = (np.concatenate(c) for c in zip(*found, strict=True))
+        later, earlier, far, spare = (np.concatenate(c) for c in zip(*found, strict=True))
         o = np.lexsort((earlier, far, later))
-        later, earlier, far = later[o], earlier[o], far[o]
+        later, earlier, far, spare = later[o], earlier[o], far[o], spare[o]
         once = np.ones(len(o), bool)
         once[1:] = (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1])
-        later, earlier, far = later[once], earlier[once], far[once]
+        later, earlier, far, spare = later[once], earlier[once], far[once], spare[once]
         first = np.maximum.accumulate(np.where(np.concatenate(([True], later[1:] != later[:-1])), np.arange(len(later)), 0)) if len(later) else np.zeros(0, int)
-        keep = np.arange(len(later)) - first < most[later]
+        keep = np.arange(len(later)) - first < np.where(2 * far > spare, room[2], most[later])[first]
         over[later[~keep]] = True
-        return later[keep], earlier[keep], far[keep]
+        return later[keep], earlier[keep], far[keep], spare[keep]
 
     for i, j in asked_pairs(token, asks) if huge is None else offsets(token, n, percent):
         both = n[i] + n[j]
@@ -321,12 +243,12 @@ def closest(x: dict[str, np.ndarray], room: tuple[int, int, int], percent: int,
         earlier, later = np.minimum(item[i], item[j]), np.maximum(item[i], item[j])
         ok = (far <= spare) & (earlier != later) & asker[later]
         if ok.any():
-            found.append((later[ok], earlier[ok], far[ok]))
+            found.append((later[ok], earlier[ok], far[ok], spare[ok]))
             size += int(ok.sum())
             if size > 500_000:
                 found[:] = [best()]
                 size = len(found[0][0])
-    later, earlier, _ = best() if found else (np.zeros(0, np.int64),) * 3
+    later, earlier = best()[:2] if found else (np.zeros(0, np.int64),) * 2
     again = np.flatnonzero(over & asker)
     return {
         "a": np.concatenate((key[earlier], np.zeros(len(again), np.int64))), "a_line": np.concatenate((line[earlier], np.full(len(again), -1, np.int32))).astype(np.int32),
@@ -376,24 +298,3 @@ def verify(pairs: DataFrame, docs: DataFrame, elements: Callable[[], Callable[[s
                 yield pa.RecordBatch.from_arrays([pa.array(columns[k], (pa.int64(), pa.int32())[k % 2]) for k in range(4)], ["a", "a_line", "b", "b_line"])
 
     return rows.mapInArrow(read, "a long, a_line int, b long, b_line int")
-
-
-def close_sizes(n: Column, m: Column, percent: int = PERCENT) -> Column:
-    """Whether sets of these sizes can be similar at all."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
-
-
-def differing_bits(a: Column, b: Column) -> Column:
-    """Bits in which two parity bitmaps differ: no more than the elements that one of the two sets alone has."""
-    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
-
-
-def parity(found: np.ndarray) -> np.ndarray:
-    """A set's bitmap of ``PARITY`` bits: whether a bit's elements are odd in number. As 64-bit integers."""
-    odd = np.bincount((found & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def may_link(n: Column, m: Column, a: Column, b: Column, percent: int = PERCENT) -> Column:
-    """Whether sets of these sizes and bitmaps can be similar: sizes are close, and few enough elements differ."""
-    return close_sizes(n, m, percent) & (differing_bits(a, b) <= n + m - 2 * F.ceil((n + m) * percent / (100 + percent)))
