@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from .common import let, partitions, small, stored
 from .similarity import ASKS, CROWDED, PERCENT, Hasher, closest, dealt, gathered, slices, summed_levels, together, verify
 
-BITS, LONG, CLOSEST, FEW, CROWD, HUGE = 22, 256, 4, 16, 1024, 4096
-#: Of larger sets the bitmaps tell little, so they have more candidates verified at once.
-DENSE, MORE = 200, 64
+BITS, LONG, CLOSEST, FEW, CROWD, HUGE = 22, 256, 8, 16, 1024, 4096
+#: Of larger sets, and where no bitmap is close, the bitmaps tell little, so more candidates are verified at once.
+DENSE, MORE = 200, 512
 #: Words in more lines than this are listed together with a second word.
-FREQUENT = 512
+FREQUENT = 1024
 #: Bytes of text that are cut into words together; longer texts are cut at line ends.
 TOGETHER = 1_000_000
 #: Postings or lines that a task holds before it deals them out, and that a bucket holds, about.
@@ -212,15 +212,17 @@ def listed(x: Lines, levels: np.ndarray, stays: np.ndarray, asks: np.ndarray, pe
     }
 
 
-def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_words: int, percent: int, wanted: np.ndarray | None = None) -> DataFrame:
+def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_words: int, percent: int, wanted: np.ndarray | None = None, only_tokens: bool = False) -> DataFrame:
     """Postings by ``bucket`` (``kind`` 0), and pairs of crowded lists (1). ``docs`` has ``key``, ``text``, ``gone`` (lines to leave out)
-    and ``asks`` (lines that ask; null: all do, if ``wanted`` is not given). ``wanted``: bits of the tokens to list alone."""
+    and ``asks`` (lines that ask; null: all do, if ``wanted`` is not given). ``wanted``: bits of the tokens to list alone.
+    ``only_tokens``: slices of a table of the last 24 bits of the tokens of lines that ask instead (kind 2)."""
     sent = docs.sparkSession.sparkContext.broadcast((levels.tobytes(), None if wanted is None else wanted.tobytes()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = Hasher(), np.frombuffer(sent.value[0], np.uint8)
         asked = None if sent.value[1] is None else np.frombuffer(sent.value[1], np.uint8)
         held: list[dict[str, np.ndarray]] = []
+        seen = np.zeros(1 << 24 if only_tokens else 0, np.uint16)
 
         def marked(x: Lines, marks: dict[int, set[int]], other: bool) -> np.ndarray:
             out = np.full(len(x.key), other)
@@ -253,7 +255,11 @@ def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_w
             gone, asks = ({k: set(g) for k, g in zip(keys, batch.column(c).to_pylist(), strict=True) if g and k is not None} for c in (2, 3))
             for part in segments(keys, batch.column(1).to_pylist()):
                 x = Lines(own, part, min_words, known)
-                y = listed(x, known, marked(x, gone, True), marked(x, asks, False) if asked is not None else np.ones(len(x.key), bool), percent)
+                every = asked is None and not only_tokens
+                y = listed(x, known, marked(x, gone, True), np.ones(len(x.key), bool) if every else marked(x, asks, False), percent)
+                if only_tokens:
+                    seen[(y["token"][y["flags"] > 0] & np.uint64(0xFFFFFF)).astype(np.int64)] = 1
+                    continue
                 if asked is not None:
                     at = (y["token"] & np.uint64(0xFFFFFF)).astype(np.int64)
                     use = (asked[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
@@ -263,6 +269,9 @@ def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_w
                     yield from flush()
         if held:
             yield from flush()
+        found = list(slices(seen))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), 2, np.int32)), pa.array([k for k, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["kind", "bucket", "data"])
 
     return docs.mapInArrow(read, "kind int, bucket int, data binary")
 
@@ -283,20 +292,6 @@ def by_key(lines: DataFrame, name: str) -> DataFrame:
     return lines.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias(name))
 
 
-def token_bits(posted: DataFrame) -> np.ndarray:
-    """2^24 bits: which tokens the postings may have, by their last 24 bits. The driver gets 2 MB."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << 24, np.uint16)
-        for batch in batches:
-            for data in batch.column(2).to_pylist():
-                seen[together([data], POSTING)["token"] & 0xFFFFFF] = 1
-        found = list(slices(seen))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], ["slice", "data"])
-
-    return np.packbits(summed_levels(posted.mapInArrow(read, "slice int, data binary"), 24) > 0, bitorder="little")
-
-
 def later_matches(docs: DataFrame, min_words: int = 1, percent: int = PERCENT) -> DataFrame:
     """``key``, ``line`` of every line to remove; ``docs`` has columns ``key`` and ``text``."""
     item, at_least = ["key", "line"], partitions(docs)
@@ -323,7 +318,8 @@ def later_matches(docs: DataFrame, min_words: int = 1, percent: int = PERCENT) -
         room *= 32
         asks = stored(by_key(again, "asks"), "asks")
         mine = docs.join(small(asks), "key").join(small(gone), "key", "left").select("key", "text", "gone", "asks")
-        wanted = token_bits(postings(mine, levels, buckets, room, min_words, percent, np.full(1 << 21, 255, np.uint8)))
+        tokens = postings(mine, levels, buckets, room, min_words, percent, only_tokens=True).select(F.col("bucket").alias("slice"), "data")
+        wanted = np.packbits(summed_levels(tokens, 24) > 0, bitorder="little")  # 2 MB
         rows = docs.join(small(asks), "key", "left").join(small(gone), "key", "left").select("key", "text", "gone", "asks")
         found = stored(candidates(postings(rows, levels, buckets, room, min_words, percent, wanted), room, percent, None), "candidates")
 
