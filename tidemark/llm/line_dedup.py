@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import let, partitions, small, stored
 from .similarity import ASKS, CROWDED, PERCENT, Hasher, closest, dealt, gathered, slices, summed_levels, together, verify
 
-BITS, LONG, CLOSEST, FEW, CROWD, HUGE = 22, 256, 8, 16, 1024, 4096
+BITS, LONG, CLOSEST, FEW, CROWD, HUGE = 22, 256, 4, 16, 1024, 4096
 #: Of larger sets, and where no bitmap is close, the bitmaps tell little, so more candidates are verified at once.
 DENSE, MORE = 200, 512
 #: Words in more lines than this are listed together with a second word.
@@ -45,7 +45,7 @@ HELD = 250_000
 LINE = {"k1": np.uint64, "k2": np.uint64, "key": np.int64, "line": np.int32}
 #: ``n`` stops at 65535, which makes the filters of larger sets weaker; ``token`` holds 32 bits of those that don't tell the bucket.
 POSTING = {"token": np.uint32, "key": np.int64, "line": np.int32, "n": np.uint16, "place": np.uint16, "bits": np.dtype((np.uint64, (2,))), "flags": np.uint8}
-PAIR = {"a": np.int64, "a_line": np.int32, "b": np.int64, "b_line": np.int32}
+PAIR = {"a": np.int64, "a_line": np.int32, "b": np.int64, "b_line": np.int32, "far": np.int16, "most": np.int32}
 
 
 def segments(keys: list, texts: list) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -239,7 +239,7 @@ def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_w
             if asked is None and crowded.any():
                 y = {c: v[crowded] for c, v in x.items()}
                 pairs = closest(y, (room, DENSE, max(room, MORE)), percent, HUGE, every=True)
-                yield dealt(1, pairs["b"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), pairs, buckets)
+                yield dealt(1, by_later(pairs), pairs, buckets)
                 by = np.lexsort((y["line"], y["key"], y["token"]))
                 t = y["token"][by]
                 start = np.maximum.accumulate(np.where(np.concatenate(([True], t[1:] != t[:-1])), np.arange(len(t)), 0))
@@ -276,15 +276,49 @@ def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_w
     return docs.mapInArrow(read, "kind int, bucket int, data binary")
 
 
-def candidates(posted: DataFrame, room: int, percent: int, huge: int | None) -> DataFrame:
-    """Pairs ``a``, ``a_line``, ``b``, ``b_line`` (a before b); of lines that have to ask again, ``a_line`` is -1."""
+def by_later(pairs: dict[str, np.ndarray]) -> np.ndarray:
+    """A hash of the later line of each pair."""
+    h = (pairs["b"].view(np.uint64) + pairs["b_line"].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def chosen(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of the pairs of all lists, the closest of each later line, and whether it has to ask again."""
+    by = np.lexsort((x["a_line"], x["a"], x["far"], x["a_line"] < 0, x["b_line"], x["b"]))
+    a, al, b, bl, _, most = (x[c][by] for c in PAIR)
+    line = np.ones(len(by), bool)
+    line[1:] = (b[1:] != b[:-1]) | (bl[1:] != bl[:-1])
+    pair = line.copy()
+    pair[1:] |= (a[1:] != a[:-1]) | (al[1:] != al[:-1])
+    a, al, b, bl, most, line = a[pair], al[pair], b[pair], bl[pair], most[pair], line[pair]
+    which = np.cumsum(line) - 1
+    place = np.arange(len(a)) - np.flatnonzero(line)[which] if len(a) else np.zeros(0, int)
+    room = np.zeros(which[-1] + 1 if len(a) else 0, np.int32)
+    np.maximum.at(room, which, most)
+    keep = (al >= 0) & (place < room[which])
+    again = np.unique(which[~keep])  # pairs that were left out, or a row that says so
+    head = np.flatnonzero(line)[again]
+    return {
+        "a": np.concatenate((a[keep], np.zeros(len(again), np.int64))), "a_line": np.concatenate((al[keep], np.full(len(again), -1, np.int32))),
+        "b": np.concatenate((b[keep], b[head])), "b_line": np.concatenate((bl[keep], bl[head])),
+    }
+
+
+def candidates(posted: DataFrame, buckets: int, room: int, percent: int, huge: int | None) -> DataFrame:
+    """Pairs ``a``, ``a_line``, ``b``, ``b_line`` (a before b), each once; of lines that have to ask again, ``a_line`` is -1."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, data in gathered(batches):
             x = together(data, PAIR) if kind == 1 else closest(together(data, POSTING), (room, DENSE, max(room, MORE)), percent, huge)
-            yield pa.RecordBatch.from_arrays([pa.array(x[c]) for c in PAIR], list(PAIR))
+            yield dealt(0, by_later(x), x, buckets)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data in gathered(batches):
+            x = chosen(together(data, PAIR))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in x.values()], list(x))
 
-    return posted.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(read, "a long, a_line int, b long, b_line int")
+    found = posted.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(read, "kind int, bucket int, data binary")
+    return found.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(choose, "a long, a_line int, b long, b_line int")
 
 
 def by_key(lines: DataFrame, name: str) -> DataFrame:
@@ -305,13 +339,13 @@ def later_matches(docs: DataFrame, min_words: int = 1, percent: int = PERCENT) -
     none = F.lit(None).cast("array<int>")
     rows = docs.join(small(gone), "key", "left").select("key", "text", "gone", none.alias("asks"))
     room = CLOSEST
-    found = stored(candidates(postings(rows, levels, buckets, room, min_words, percent), room, percent, HUGE), "candidates")
+    found = stored(candidates(postings(rows, levels, buckets, room, min_words, percent), buckets, room, percent, HUGE), "candidates")
     settled, rounds = None, 0
     while True:
-        pairs = found.where("a_line >= 0").distinct()
+        pairs = found.where("a_line >= 0")
         matched = stored(verify(pairs, docs, line_reader, percent).select(F.col("b").alias("key"), F.col("b_line").alias("line")).distinct(), "settled")
         settled = matched if settled is None else settled.unionByName(matched)
-        again = stored(found.where("a_line < 0").select(F.col("b").alias("key"), F.col("b_line").alias("line")).distinct().join(matched, item, "left_anti"), "open")
+        again = stored(found.where("a_line < 0").select(F.col("b").alias("key"), F.col("b_line").alias("line")).join(matched, item, "left_anti"), "open")
         if again.isEmpty():
             return copies.unionByName(settled).distinct()
         # what is left asks all lines, and takes more of them; the lists that it doesn't ask aren't made
@@ -321,7 +355,7 @@ def later_matches(docs: DataFrame, min_words: int = 1, percent: int = PERCENT) -
         tokens = postings(mine, levels, buckets, room, min_words, percent, only_tokens=True).select(F.col("bucket").alias("slice"), "data")
         wanted = np.packbits(summed_levels(tokens, 24) > 0, bitorder="little")  # 2 MB
         rows = docs.join(small(asks), "key", "left").join(small(gone), "key", "left").select("key", "text", "gone", "asks")
-        found = stored(candidates(postings(rows, levels, buckets, room, min_words, percent, wanted), room, percent, None), "candidates")
+        found = stored(candidates(postings(rows, levels, buckets, room, min_words, percent, wanted), buckets, room, percent, None), "candidates")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 1, percent: int = PERCENT) -> DataFrame:

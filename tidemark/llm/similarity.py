@@ -107,7 +107,7 @@ def summed_levels(parts: DataFrame, bits: int) -> np.ndarray:
             level = np.where(total > 0, 1 + np.rint(4 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], ["slice", "data"])
 
-    summed = parts.repartition(max(1, 1 << max(0, bits - SLICE_BITS - 3)), "slice").mapInArrow(add, "slice int, data binary")
+    summed = parts.repartition(1 << max(0, bits - SLICE_BITS), "slice").mapInArrow(add, "slice int, data binary")
     out = np.zeros(1 << bits, np.uint8)
     for row in summed.collect():
         out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(row["data"]), np.uint8)
@@ -192,7 +192,7 @@ def closest(x: dict[str, np.ndarray], room: tuple[int, int, int], percent: int,
     """Of postings, for each item (``key``, ``line``) that asks, the earlier items of its lists that pass all filters and whose bitmaps are closest: as many as
     ``room`` says first; as it says last for sets larger than its second number, and where even the closest bitmap is far.
 
-    Pairs as ``a``, ``a_line``, ``b``, ``b_line``; ``a_line`` is -1 for items that have to ask again: they had more,
+    Pairs as ``a``, ``a_line``, ``b``, ``b_line``, with differing bits (``far``) and room of b (``most``); ``a_line`` is -1 for items that have to ask again: they had more,
     or stood in a list that was cut (``huge``; None: lists of any length are read by those that ask) or crowded.
     """
     rows = len(x["token"])
@@ -230,7 +230,8 @@ def closest(x: dict[str, np.ndarray], room: tuple[int, int, int], percent: int,
         once[1:] = (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1])
         later, earlier, far, spare = later[once], earlier[once], far[once], spare[once]
         first = np.maximum.accumulate(np.where(np.concatenate(([True], later[1:] != later[:-1])), np.arange(len(later)), 0)) if len(later) else np.zeros(0, int)
-        keep = np.arange(len(later)) - first < np.where(2 * far > spare, room[2], most[later])[first]
+        most[later[first]] = np.where(2 * far > spare, room[2], most[later])[first]
+        keep = np.arange(len(later)) - first < most[later]
         over[later[~keep]] = True
         return later[keep], earlier[keep], far[keep], spare[keep]
 
@@ -248,11 +249,12 @@ def closest(x: dict[str, np.ndarray], room: tuple[int, int, int], percent: int,
             if size > 500_000:
                 found[:] = [best()]
                 size = len(found[0][0])
-    later, earlier = best()[:2] if found else (np.zeros(0, np.int64),) * 2
+    later, earlier, far = best()[:3] if found else (np.zeros(0, np.int64),) * 3
     again = np.flatnonzero(over & asker)
     return {
         "a": np.concatenate((key[earlier], np.zeros(len(again), np.int64))), "a_line": np.concatenate((line[earlier], np.full(len(again), -1, np.int32))).astype(np.int32),
         "b": np.concatenate((key[later], key[again])), "b_line": np.concatenate((line[later], line[again])).astype(np.int32),
+        "far": np.concatenate((far, np.zeros(len(again)))).astype(np.int16), "most": most[np.concatenate((later, again))].astype(np.int32),
     }
 
 
