@@ -239,6 +239,25 @@ def test_chat_renders_legal_conversations(spark):
     assert chat.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_result_costs_the_least(spark):
+    draw = np.random.default_rng(6)
+    names = ["system", "user", "assistant", "bot"]
+    chats = {c: draw.integers(0, 4, draw.integers(1, 8)).tolist() for c in range(80)}
+    rows = [(c, k, names[r], f"t{k}", 1, "x") for c, roles in chats.items() for k, r in enumerate(roles)]
+    out = chat.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment int, position string")).collect()
+    by = defaultdict(list)
+    for r in sorted(out, key=lambda r: r.position):
+        by[r.conv_id].append(r)
+    for c, roles in chats.items():
+        codes, state, cost = [r if r < 3 else -1 for r in roles], chat.START, 0
+        for k, r in enumerate(by[c]):
+            assert r.turn == k
+            after = chat.ROLES.index(r.new_role)
+            cost += min(m for before, to, m, action in chat.MOVES[codes[k]] if (before, to, action) == (state, after, r.action))
+            state = after
+        assert cost + chat.ENDS[state][0] == cheapest(codes), (c, roles)
+
+
 def page(k, body, extra=""):
     return (k, f"http://h.example/{k}", f'<html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><a href="/x">menu {k}</a></nav><div class="ad">buy {k}</div>{body}{extra}<footer>&copy; end</footer></body></html>')
 
@@ -303,3 +322,46 @@ def test_html_deep_markup_never_fails(spark):
     bodies = [("<div>" * 3000 if k % 2 else "<span>" * 3000) + f"deep {k}" for k in range(4)]
     bodies += ["<font>" * 3000 + "deep 4", "<div>" * 3000 + "deep 5"]
     assert extracted(spark, bodies, "deep.example") == {k: f"deep {k}" for k in range(6)}
+
+
+def test_html_scanning_and_alignment_stay_linear(spark):
+    assert html_extract.own_content(html_extract.parse("<p>first</p>" + '<a x="' * 170_000 + "<p>last</p>")).startswith("first")
+    for broken in ("<a title='it\"s'>x</a>", '<a href="y>x</a>'):
+        assert html_extract.own_content(html_extract.parse(f"<p>{broken} more")) == "x more"
+    assert html_extract.own_content(html_extract.parse("<div>" * 100_000 + "deep")) == "deep"
+    items = lambda n, k: "<ul>" + "".join(f"<li>{'<b>' if (i * k) % 7 == 0 else '<i>'}item {k} {i}</li>" for i in range(n)) + "</ul>"
+    found = extracted(spark, [f"<div class='menu'>m</div><article>{items(20_000 + k, k + 1)}</article>" for k in range(3)], "wide.example")
+    assert all(found[k] == " ".join(f"item {k + 1} {i}" for i in range(20_000 + k)) for k in found)
+
+
+def test_html_wide_match_is_the_heaviest():
+    draw = np.random.default_rng(4)
+    tags = ["<p></p>", "<p><b></b></p>", "<ul><li></li><li></li></ul>", "<ul></ul>"]
+    for _ in range(60):
+        x, y = (html_extract.elements(html_extract.parse("".join(tags[k] for k in draw.integers(0, 4, draw.integers(1, 9))))) for _ in range(2))
+        weight = lambda a, b: a.size if a.shape == b.shape else int(a.tag == b.tag)
+        best = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + weight(a, b) if weight(a, b) else 0)
+        found = html_extract.wide(x, y)
+        assert sum(weight(x[i], y[j]) for i, j in found) == best[-1, -1]
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(found, found[1:]))
+
+
+def test_html_leaves_constant_blocks_out(spark):
+    bodies = [f"<article><h1>Title {k}</h1><p>Follow us on our channels</p><p>text {k} words</p><div><span>Share</span> this</div><p>end {k}</p></article>" for k in range(6)]
+    assert extracted(spark, bodies, "const.example") == {k: f"Title {k} text {k} words end {k}" for k in range(6)}
+    two = [f"<article><p>same words</p><p>text {k}</p></article>" for k in range(2)]  # too few pages to tell
+    assert extracted(spark, two, "two.example") == {k: f"same words text {k}" for k in range(2)}
+
+
+def test_html_keeps_content_with_telling_names(spark):
+    body = "<article><h2 class='section-header'>Head</h2><p class='related-work'>work</p><p class='share-buttons'>gone</p><p class='comment'>gone</p></article>"
+    assert html_extract.own_content(html_extract.parse(body)) == "Head work"
+
+
+def test_html_edges_and_clashing_columns(spark):
+    rows = [(1, "http://e.example/1", None, "a", 1), (1, "http://e.example/1", "<p>x</p>", "b", 2), (1, "http://e.example/1", "<p>x</p>", "b", 2), (None, None, "y", None, None)]
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string, node int")).collect()
+    assert sorted((r.page_id or 0, r.text) for r in out) == [(0, "y"), (1, ""), (1, "x"), (1, "x")]

@@ -47,6 +47,8 @@ def test_quality_rules_edges(edges, empty):
         words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
         assert (r.n_words, r.n_repeat_words, r.word_chars) == (len(words), repeated(words), sum(map(len, words)))
         assert r.base_failed == (len(words) < 10 or 100 * r.n_repeat_words > 20 * len(words)) and not (r.base_failed and r.kept)
+        low = [w.lower() for w in words]
+        assert r.n_stop == sum(w in quality_rules.STOP_WORDS for w in low) and ("stop_words" in r.failed) == (len(words) >= 100 and 100 * r.n_stop < 2 * len(words))
     kept = quality_rules.keep(edges)
     assert kept.columns == edges.columns and quality_rules.keep(empty).count() == 0
 
@@ -139,6 +141,21 @@ def test_mixing_meets_limit_and_budget(spark, edges, empty):
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in edges.collect()}
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "source", "end", "left", "low", "fine", "passes", "open", "n_words", "copy", "_hash", "_source", "taken"]
+    rows = [(k, "w " * (k % 5), "ab"[k % 2], *[f"{n}{k}" for n in names[3:]]) for k in range(40)] + [(None, None, None, *[None] * 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names[3:]))
+    out = mixing.mix(docs, entropy_share=None, limit=2.0, budget_share=None)
+    assert out.columns == [n for n in names if n not in ("n_words", "copy")] + ["n_words", "copy", "order_key"]
+    assert all(r.end == f"end{r.doc_id}" and r.left == f"left{r.doc_id}" and r.n_words == r.doc_id % 5 for r in out.collect() if r.doc_id is not None)
+
+
+def test_license_digest_keeps_repeated_rows_apart(spark):
+    texts = [(1, "under the MIT license"), (1, "cc by and more words"), (1, "cc by and more words"), (None, "all rights reserved"), (None, None), (None, "plain")]
+    out = license_scan.digest(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.labels) for r in out) == [(0, 0, ""), (0, 1, ""), (0, 3, "reserved"), (1, 4, "mit"), (1, 5, "cc-by"), (1, 5, "cc-by")]
+
+
 NOTICES = [
     ("Released under the MIT License.", "mit"), ("Licensed under MIT license", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"), ("Released under Apache-2.0", "apache-2.0"),
     ("Released under the BSD License", "bsd"), ("Licensed under the BSD 3-Clause License.", "bsd"), ("Licensed under BSD-2-Clause", "bsd"), ("Released under the GNU General Public License", "gpl"),

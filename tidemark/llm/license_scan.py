@@ -170,13 +170,12 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     The score is 1 where a phrase stands, else the largest share of a template's words that one block holds among
     templates met, else 0.
     """
-    own = phrases(docs, key, text)
-    met = scan(docs, key, text).groupBy(key).agg(F.collect_set("label").alias("met"), F.max(F.col("n_held") / F.col("n_template")).alias("share"))
-    none = F.lit(None)
-    rows = own.select("*", none.cast("array<string>").alias("met"), none.cast("double").alias("share")).unionByName(
-        met.select(key, *[none.cast(own.schema[c].dataType).alias(c) for c in own.columns if c != key], "met", "share")
-    )
-    by = rows.groupBy(key).agg(*[F.max(c).alias(c) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "met", "share")])
+    # a row is known by its id and two hashes of its text, as ids may repeat or be null
+    marked = docs.select(F.struct(F.col(f"`{key}`").alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")).alias("_id"), F.col(f"`{text}`").alias("_text"))
+    own = phrases(marked, "_id", "_text")
+    met = scan(marked, "_id", "_text").groupBy("_id").agg(F.collect_set("label").alias("met"), F.max(F.col("n_held") / F.col("n_template")).alias("share"))
+    same = F.col("o._id.h1").eqNullSafe(F.col("m._id.h1")) & F.col("o._id.h2").eqNullSafe(F.col("m._id.h2")) & F.col("o._id.key").eqNullSafe(F.col("m._id.key"))
+    by = own.alias("o").join(met.alias("m"), same, "left").select("o.*", "met", "share").withColumn(key, F.col("_id.key"))
     every = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("met", F.array().cast("array<string>")))))
     return by.select(
         key, "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base_labels"), ",").alias("base_labels"),

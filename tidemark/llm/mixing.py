@@ -9,7 +9,7 @@ which a budget ends is looked at row by row, and no source lands in one task.
 
 A null source counts as the empty one. Null and empty texts have no words; such rows follow the passes of their source.
 Rows of one id that repeat are dealt alike. Equal hashes are ordered by id. A table without rows gives an empty result; extra
-columns stay.
+columns stay, whatever their names; those called ``n_words``, ``copy`` or ``order_key`` are replaced.
 """
 
 from __future__ import annotations
@@ -84,7 +84,9 @@ def mix(
     Sorting by ``copy`` and ``order_key`` gives the permutation of each pass.
     """
     hashed = F.xxhash64(F.lit(SEED), F.col(f"`{key}`"))
-    rows = docs.withColumns({"n_words": F.size(words_of(F.col(f"`{text}`"))).cast("long"), "_source": F.coalesce(F.col(f"`{source}`"), F.lit("")), "_hash": hashed})
+    # a row's own columns stay in one, so that their names can't clash with those in here
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(own, F.col(f"`{key}`").alias("_key"), F.size(words_of(F.col(f"`{text}`"))).cast("long").alias("n_words"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("_source"), hashed.alias("_hash"))
     bits = BITS  # 2 ** BITS blocks of a source, and as many cells of the block in which its budget ends
     fine = stored(rows.groupBy("_source", F.shiftrightunsigned("_hash", 64 - bits).alias("fine")).agg(F.sum("n_words").alias("words"), F.count("*").alias("rows")), "blocks")
     totals = fine.groupBy("_source").agg(F.sum("words").alias("words"), F.sum("rows").alias("rows"))
@@ -104,7 +106,7 @@ def mix(
     plan = stored(plan.join(end, "_source", "left").select("_source", "passes", "open", F.coalesce("end.fine", F.lit(1 << bits)).alias("end"), F.coalesce("end.left", F.lit(0.0)).alias("left")), "plan")
 
     dealt = rows.join(small(plan), "_source").withColumn("fine", F.shiftrightunsigned("_hash", 64 - bits))
-    edge = dealt.where("fine = end").select("_source", F.col(f"`{key}`").alias("_key"), "_hash", "n_words", "left")
+    edge = dealt.where("fine = end").select("_source", "_key", "_hash", "n_words", "left")
     low = F.shiftrightunsigned(F.shiftleft("_hash", bits), 64 - bits)
     inner = edge.groupBy("_source", low.alias("low")).agg(F.sum("n_words").alias("words"), F.first("left").alias("left"))
     inner = inner.withColumn("until", F.sum("words").over(Window.partitionBy("_source").orderBy("low")))
@@ -115,8 +117,9 @@ def mix(
     taken = stored(cell.where(F.col("until") <= F.col("low_left")).select("_source", "_key").distinct().withColumn("_taken", F.lit(True)), "taken")
 
     out = dealt.join(small(last), "_source", "left").withColumn("low", low)
-    out = out.join(small(taken.withColumnRenamed("_source", "_of")), (F.col(f"`{key}`") == F.col("_key")) & (F.col("_source") == F.col("_of")), "left")
+    out = out.join(small(taken), ["_key", "_source"], "left")
     inside = (F.col("fine") < F.col("end")) | ((F.col("fine") == F.col("end")) & (F.col("low") < F.coalesce("low_end", F.lit(1 << bits)))) | F.coalesce("_taken", F.lit(False))
     copies = F.col("passes") + F.when(F.col("open") & inside, 1).otherwise(0)
     several = out.withColumn("_copies", copies).where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    return several.select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", "copy", F.xxhash64("_hash", "copy").alias("order_key"))
+    added = {"n_words": F.col("n_words"), "copy": F.col("copy"), "order_key": F.xxhash64("_hash", "copy")}
+    return several.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in added], *[v.alias(c) for c, v in added.items()])

@@ -9,11 +9,9 @@ SPACES, BROKEN = r"[\x20\x09-\x0D]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def quality_sql() -> str:
     gone = lambda c: f"length(t) - length(replace(t, '{c}', ''))"
-    stop = " + ".join(f"contains(' ' || t || ' ', ' {w} ')::INT" for w in quality_rules.STOP_WORDS)
+    stop = f"len(list_filter(ws, lambda x: list_contains({list(quality_rules.STOP_WORDS)}, lower(x))))"
 
     def fails(r: quality_rules.Rule) -> str:
-        if r.name == "too_short":
-            return f"{r.of} < {r.percent}"
         return f"(n_words >= {r.from_words} AND 100 * {r.metric} {'<' if r.least else '>'} {r.percent} * {r.of})"
 
     base, own = (" OR ".join(map(fails, x)) for x in (quality_rules.BASE, quality_rules.RULES))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, let, parts_of
 
 WINDOW = 5
-#: Frequent function words of English, French, German and Spanish; n_stop counts those that stand between blanks.
+#: Frequent function words of English, French, German and Spanish; n_stop counts the words of a text that are one, in any case.
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "de", "la", "le", "et", "der", "die", "und", "que", "el", "en")
 
 
@@ -23,7 +23,7 @@ STOP_WORDS = ("the", "of", "and", "to", "in", "is", "de", "la", "le", "et", "der
 class Rule:
     """Rejects a text when ``100 * metric`` exceeds ``percent * of`` (or falls below it, for ``least``).
 
-    Applies to texts of ``from_words`` words or more.
+    Applies to texts of ``from_words`` words or more. ``one`` as ``of`` makes ``percent`` the hundredfold of a count.
     """
 
     name: str
@@ -36,7 +36,7 @@ class Rule:
 
 #: The base rules: too few words (n_words < 10), or too many words in repeated windows.
 BASE = (
-    Rule("too_short", "one", "n_words", 10, from_words=0),
+    Rule("too_short", "n_words", "one", 1000, least=True),
     Rule("repeated_windows", "n_repeat_words", "n_words", 20),
 )
 #: The method's own table.
@@ -45,7 +45,7 @@ RULES = (
     Rule("shouting", "n_exclaim", "n_words", 30),
     Rule("long_words", "word_chars", "n_words", 1200),
     Rule("short_words", "word_chars", "n_words", 200, least=True),
-    Rule("stop_words", "n_stop", "one", 200, least=True, from_words=100),
+    Rule("stop_words", "n_stop", "n_words", 2, least=True, from_words=100),
     Rule("repeated_lines", "n_dup_lines", "n_lines", 50),
 )
 
@@ -85,13 +85,19 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             rest = F.replace(rest, F.lit(c), F.lit(""))
         return (F.length(t) - F.length(rest)).cast("long")
 
-    padded = F.concat(F.lit(" "), t, F.lit(" "))
+    # each stop word becomes one mark, and marks are counted; two blanks between words, as one match takes both of its own
+    mark = "\x01"
+    spaced = F.lower(F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" ")))
+    marked = spaced
+    for x in STOP_WORDS:
+        marked = F.replace(marked, F.lit(f" {x} "), F.lit(mark))
+    marks = lambda x: F.length(F.replace(x, F.lit(mark), F.lit(mark * 2))) - F.length(x)
     return second.withColumns({
         "n_words": n.cast("long"),
         "word_chars": (F.length(t) - F.size("_parts") + 1).cast("long"),
         "n_symbols": count("#*$%&|<>"),
         "n_exclaim": count("!"),
-        "n_stop": sum((F.contains(padded, F.lit(f" {x} ")).cast("long") for x in STOP_WORDS), F.lit(0)).cast("long"),
+        "n_stop": let(F.struct(spaced.alias("a"), marked.alias("b")), lambda x: marks(x["b"]) - marks(x["a"])).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_hashes")).cast("long"),
@@ -100,9 +106,7 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fails(rule: Rule) -> Column:
-    """The rule as an expression. ``too_short`` compares counts: it holds where n_words < percent."""
-    if rule.name == "too_short":
-        return F.col(rule.of) < rule.percent
+    """The rule as an expression."""
     left, right = 100 * F.col(rule.metric), rule.percent * F.col(rule.of)
     return (F.col("n_words") >= rule.from_words) & ((left < right) if rule.least else (left > right))
 
