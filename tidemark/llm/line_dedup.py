@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from .common import let, partitions, small, stored
 from .similarity import ASKS, CROWDED, PERCENT, Hasher, closest, dealt, gathered, slices, summed_levels, together, verify
 
-BITS, LONG, CLOSEST, FEW, CROWD, HUGE = 22, 256, 4, 16, 1024, 4096
+BITS, LONG, CLOSEST, FEW, CROWD, HUGE = 22, 256, 2, 16, 1024, 4096
 #: Of larger sets, and where no bitmap is close, the bitmaps tell little, so more candidates are verified at once.
 DENSE, MORE = 200, 512
 #: Words in more lines than this are listed together with a second word.
 FREQUENT = 1024
+#: Lines that may ask for all candidates at once, and as many as there may be.
+FEW_LEFT, ALL = 10_000, 1 << 30
 #: Bytes of text that are cut into words together; longer texts are cut at line ends.
 TOGETHER = 1_000_000
 #: Postings or lines that a task holds before it deals them out, and that a bucket holds, about.
@@ -75,7 +77,8 @@ def segments(keys: list, texts: list) -> Iterator[list[tuple[int, int, bytes]]]:
 class Lines:
     """Sets of the lines of some segments, as flat arrays: of words (``word``, in the order of ``level``, then hash) and of lines (the others)."""
 
-    def __init__(self, own: Hasher, held: list[tuple[int, int, bytes]], min_words: int, levels: np.ndarray | None = None):
+    def __init__(self, own: Hasher, held: list[tuple[int, int, bytes]], min_words: int, levels: np.ndarray | None = None, wanted: np.ndarray | None = None):
+        """``wanted``: a table of the last 24 bits of words; lines that hold none of them are left out."""
         data = b"\n".join(x for *_, x in held)
         raw = np.frombuffer(data, np.uint8)
         blank = np.ones(len(raw) + 2, bool)
@@ -88,6 +91,10 @@ class Lines:
         first = np.concatenate(([0], np.cumsum(lines)))
         use = (np.bincount(row, minlength=first[-1]) >= min_words)[row]
         row, word = row[use], own.spans(data, starts[use], ends[use])
+        if wanted is not None:
+            hits = np.zeros(first[-1], bool)
+            hits[row[wanted[(word & np.uint64(0xFFFFFF)).astype(np.int64)] > 0]] = True
+            row, word = row[hits[row]], word[hits[row]]
         order = word >> np.uint64(20)
         if levels is not None:
             order = (levels[word >> np.uint64(64 - BITS)].astype(np.uint64) << np.uint64(36)) | (word >> np.uint64(28))
@@ -212,17 +219,17 @@ def listed(x: Lines, levels: np.ndarray, stays: np.ndarray, asks: np.ndarray, pe
     }
 
 
-def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_words: int, percent: int, wanted: np.ndarray | None = None, only_tokens: bool = False) -> DataFrame:
+def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_words: int, percent: int, wanted: np.ndarray | None = None, only_words: bool = False) -> DataFrame:
     """Postings by ``bucket`` (``kind`` 0), and pairs of crowded lists (1). ``docs`` has ``key``, ``text``, ``gone`` (lines to leave out)
-    and ``asks`` (lines that ask; null: all do, if ``wanted`` is not given). ``wanted``: bits of the tokens to list alone.
-    ``only_tokens``: slices of a table of the last 24 bits of the tokens of lines that ask instead (kind 2)."""
+    and ``asks`` (lines that ask; null: all do, if ``wanted`` is not given). ``wanted``: bits of the words that lines must hold to be listed.
+    ``only_words``: slices of a table of the last 24 bits of the prefix words of lines that ask instead (kind 2)."""
     sent = docs.sparkSession.sparkContext.broadcast((levels.tobytes(), None if wanted is None else wanted.tobytes()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = Hasher(), np.frombuffer(sent.value[0], np.uint8)
-        asked = None if sent.value[1] is None else np.frombuffer(sent.value[1], np.uint8)
+        asked = None if sent.value[1] is None else np.unpackbits(np.frombuffer(sent.value[1], np.uint8), bitorder="little")
         held: list[dict[str, np.ndarray]] = []
-        seen = np.zeros(1 << 24 if only_tokens else 0, np.uint16)
+        seen = np.zeros(1 << 24 if only_words else 0, np.uint16)
 
         def marked(x: Lines, marks: dict[int, set[int]], other: bool) -> np.ndarray:
             out = np.full(len(x.key), other)
@@ -254,17 +261,13 @@ def postings(docs: DataFrame, levels: np.ndarray, buckets: int, room: int, min_w
             keys = batch.column(0).to_pylist()
             gone, asks = ({k: set(g) for k, g in zip(keys, batch.column(c).to_pylist(), strict=True) if g and k is not None} for c in (2, 3))
             for part in segments(keys, batch.column(1).to_pylist()):
-                x = Lines(own, part, min_words, known)
-                every = asked is None and not only_tokens
-                y = listed(x, known, marked(x, gone, True), np.ones(len(x.key), bool) if every else marked(x, asks, False), percent)
-                if only_tokens:
-                    seen[(y["token"][y["flags"] > 0] & np.uint64(0xFFFFFF)).astype(np.int64)] = 1
+                x = Lines(own, part, min_words, known, asked)
+                if only_words:
+                    at = np.repeat(np.arange(len(x.n)), x.n)
+                    prefix = (np.arange(len(x.word)) - x.starts[at] <= (x.n - -(-percent * x.n // 100))[at]) & marked(x, asks, False)[at]
+                    seen[(x.word[prefix] & np.uint64(0xFFFFFF)).astype(np.int64)] = 1
                     continue
-                if asked is not None:
-                    at = (y["token"] & np.uint64(0xFFFFFF)).astype(np.int64)
-                    use = (asked[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-                    y = {c: v[use] for c, v in y.items()}
-                held.append(y)
+                held.append(listed(x, known, marked(x, gone, True), np.ones(len(x.key), bool) if asked is None else marked(x, asks, False), percent))
                 if sum(len(h["key"]) for h in held) > HELD:
                     yield from flush()
         if held:
@@ -348,12 +351,12 @@ def later_matches(docs: DataFrame, min_words: int = 1, percent: int = PERCENT) -
         again = stored(found.where("a_line < 0").select(F.col("b").alias("key"), F.col("b_line").alias("line")).join(matched, item, "left_anti"), "open")
         if again.isEmpty():
             return copies.unionByName(settled).distinct()
-        # what is left asks all lines, and takes more of them; the lists that it doesn't ask aren't made
-        room *= 32
+        # what is left asks all lines, and takes more of them (a few lines take all); lines that hold no word of theirs aren't listed
+        room = ALL if again.count() <= FEW_LEFT else room * 32
         asks = stored(by_key(again, "asks"), "asks")
         mine = docs.join(small(asks), "key").join(small(gone), "key", "left").select("key", "text", "gone", "asks")
-        tokens = postings(mine, levels, buckets, room, min_words, percent, only_tokens=True).select(F.col("bucket").alias("slice"), "data")
-        wanted = np.packbits(summed_levels(tokens, 24) > 0, bitorder="little")  # 2 MB
+        words_of_mine = postings(mine, levels, buckets, room, min_words, percent, only_words=True).select(F.col("bucket").alias("slice"), "data")
+        wanted = np.packbits(summed_levels(words_of_mine, 24) > 0, bitorder="little")  # 2 MB
         rows = docs.join(small(asks), "key", "left").join(small(gone), "key", "left").select("key", "text", "gone", "asks")
         found = stored(candidates(postings(rows, levels, buckets, room, min_words, percent, wanted), buckets, room, percent, None), "candidates")
 

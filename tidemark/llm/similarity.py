@@ -189,7 +189,7 @@ def asked_pairs(token: np.ndarray, asks: np.ndarray, most: int = 300_000) -> Ite
 
 
 def closest(x: dict[str, np.ndarray], room: tuple[int, int, int], percent: int, huge: int | None, every: bool = False) -> dict[str, np.ndarray]:
-    """Of postings, for each item (``key``, ``line``) that asks, the earlier items of its lists that pass all filters and whose bitmaps are closest: as many as
+    """Of postings of sets that all differ, for each item (``key``, ``line``) that asks, the earlier items of its lists that pass all filters and whose bitmaps are closest: as many as
     ``room`` says first; as it says last for sets larger than its second number, and where even the closest bitmap is far.
 
     Pairs as ``a``, ``a_line``, ``b``, ``b_line``, with differing bits (``far``) and room of b (``most``); ``a_line`` is -1 for items that have to ask again: they had more,
@@ -242,7 +242,7 @@ def closest(x: dict[str, np.ndarray], room: tuple[int, int, int], percent: int,
         i, j, spare = i[ok], j[ok], (both - 2 * needed)[ok]
         far = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int32)
         earlier, later = np.minimum(item[i], item[j]), np.maximum(item[i], item[j])
-        ok = (far <= spare) & (earlier != later) & asker[later]
+        ok = (far <= spare) & (spare > 0) & (earlier != later) & asker[later]  # sets listed are unlike, so a pair that leaves no room fails
         if ok.any():
             found.append((later[ok], earlier[ok], far[ok], spare[ok]))
             size += int(ok.sum())
