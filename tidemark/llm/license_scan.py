@@ -4,15 +4,16 @@ A block is a line of the text; its tokens are the distinct words of it. A block
 at least ``CONTAINMENT`` percent of the template's distinct words. Paragraphs of several lines (up to an empty line) are
 blocks too, so that wrapped notices are found; in them the words must stand together, in a run of words of which the
 template could be ``CONTAINMENT`` percent, as a whole text without empty lines holds the words of short notices by chance.
+Texts are read once: what a document holds of the templates' words is kept, and its text where that is enough for one.
 The join of lines is exact: template words are put in order of
-their frequency over all blocks, rarest first, and a block that meets the threshold must hold one of the first
+their frequency over all documents, rarest first, and a block that meets the threshold must hold one of the first
 ``size - needed + 1`` of them (prefix), at a place that leaves enough words after it (position), and must itself hold
 ``needed`` words or more (length). What passes is verified on the whole sets. Only the template index is broadcast; its
 size is fixed by ``TEMPLATES`` below, not by the data.
 
 Beside the templates, phrases are found as consecutive words anywhere in the text.
 
-Null and empty texts have no words and no labels. Repeated rows give repeated results by their ids; ties in frequency
+Null and empty texts have no words and no labels. Repeated rows give repeated results, whatever their ids; ties in frequency
 are broken by the word; extra columns play no part. A table without rows gives an empty result.
 """
 
@@ -23,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, let, stored
 
 #: Percent of a template's distinct words that a block must hold.
 CONTAINMENT = 80
@@ -85,19 +86,6 @@ def phrase_places(words: Column, phrase: str) -> Column:
     return F.when(every, F.filter(F.sequence(F.lit(0), F.size(words) - 1), stands)).otherwise(F.array().cast("array<int>"))
 
 
-def phrases(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_words``, ``n_base`` (places of all phrases), ``first_word``, ``last_word`` and ``base_labels`` (array)."""
-    w = docs.select(F.col(f"`{key}`").alias(key), word_list(F.col(f"`{text}`")).alias("_w"))
-    p = w.select(key, F.size("_w").cast("long").alias("n_words"), *[phrase_places(F.col("_w"), phrase).alias(f"_p{k}") for k, (phrase, _) in enumerate(PHRASES)])
-    places = [F.col(f"_p{k}") for k in range(len(PHRASES))]
-    every = F.concat(*places)
-    labels = F.filter(F.array(*[F.when(F.size(x) > 0, F.lit(label)) for x, (_, label) in zip(places, PHRASES, strict=True)]), lambda x: x.isNotNull())
-    return p.select(
-        key, "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"),
-        F.array_max(every).cast("long").alias("last_word"), F.array_distinct(labels).alias("base_labels"),
-    )
-
-
 def template_tokens() -> list[tuple[int, str, str]]:
     """``(template, label, token)`` for the distinct words of each template."""
     cut = lambda text: dict.fromkeys(x for x in re.split(NOT_WORD, text.lower()) if x)
@@ -142,12 +130,39 @@ def wrapped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     return found.select(key, (-2 - F.col("block")).alias("block"), "t.template", "t.label", F.col("n_held").cast("long").alias("n_held"), F.size("t.tokens").cast("long").alias("n_template"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = CONTAINMENT) -> DataFrame:
-    """Every block that meets a template: ``key``, ``block`` (line number; of paragraphs below -1), ``label``, ``template``, ``n_held``, ``n_template``."""
-    spark = docs.sparkSession
+def read_once(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """One row per document, from one reading of the texts: ``_row`` (its number), ``key``, ``n_words``, ``n_base`` (places of all phrases),
+    ``first_word``, ``last_word``, ``base_labels`` (array), ``_held`` (its words that any template has), and ``_text``.
+
+    The text stays where the whole document holds enough of a template's words, as only then a block of it can.
+    """
+    tokens: dict[int, list[str]] = {}
+    for k, _, token in template_tokens():
+        tokens.setdefault(k, []).append(token)
+    listed = lambda words: F.array(*[F.lit(x) for x in words])
+    every = F.array(*[F.struct(listed(v).alias("tokens"), F.lit(-(-len(v) * percent // 100)).alias("needed")) for v in tokens.values()])
+    vocabulary = listed(sorted({x for v in tokens.values() for x in v}))
+    own = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text"))
+    w = own.withColumn("_w", word_list(F.col("_text")))
+    p = w.select(
+        "_row", key, "_text", F.size("_w").cast("long").alias("n_words"), F.array_intersect("_w", vocabulary).alias("_held"),
+        *[phrase_places(F.col("_w"), phrase).alias(f"_p{k}") for k, (phrase, _) in enumerate(PHRASES)],
+    )
+    places = [F.col(f"_p{k}") for k in range(len(PHRASES))]
+    found = F.concat(*places)
+    labels = F.filter(F.array(*[F.when(F.size(x) > 0, F.lit(label)) for x, (_, label) in zip(places, PHRASES, strict=True)]), lambda x: x.isNotNull())
+    possible = F.exists(every, lambda t: (F.size("_held") >= t["needed"]) & (F.size(F.array_intersect("_held", t["tokens"])) >= t["needed"]))
+    return stored(p.select(
+        "_row", key, "n_words", F.size(found).cast("long").alias("n_base"), F.array_min(found).cast("long").alias("first_word"),
+        F.array_max(found).cast("long").alias("last_word"), F.array_distinct(labels).alias("base_labels"), "_held", F.when(possible, F.col("_text")).alias("_text"),
+    ), "licenses")
+
+
+def met_templates(rows: DataFrame, percent: int) -> DataFrame:
+    """Every block that meets a template, of the rows of ``read_once``: ``_row``, ``block``, ``template``, ``label``, ``n_held``, ``n_template``."""
+    spark = rows.sparkSession
     sets = spark.createDataFrame(template_tokens(), "template int, label string, token string")
-    found = blocks(docs, key, text)
-    frequency = found.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    frequency = rows.select(F.explode("_held").alias("token")).groupBy("token").agg(F.count("*").alias("n"))  # as many rows as templates have words
     ordered = Window.partitionBy("template").orderBy(F.coalesce("n", F.lit(0)), "token")
     whole = Window.partitionBy("template")
     ranked = sets.join(F.broadcast(frequency), "token", "left").select(
@@ -155,27 +170,31 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     )
     needed = F.ceil(F.size("tokens") * percent / 100).cast("int")
     index = ranked.withColumn("needed", needed).where(F.col("place") <= F.size("tokens") - F.col("needed") + 1)
-    token = found.where(F.size("held") > 1).select(key, "block", "held", F.explode("held").alias("token"))
+    texts = rows.where("_text is not null").select("_row", "_text")
+    token = blocks(texts, "_row", "_text").where(F.size("held") > 1).select("_row", "block", "held", F.explode("held").alias("token"))
     pairs = token.join(F.broadcast(index), "token").where(F.size("held") >= F.col("needed"))
     met = pairs.withColumn("n_held", F.size(F.array_intersect("held", "tokens"))).where(F.col("n_held") >= F.col("needed"))
-    lines = met.groupBy(key, "block", "template").agg(
+    lines = met.groupBy("_row", "block", "template").agg(
         F.first("label").alias("label"), F.first("n_held").cast("long").alias("n_held"), F.first(F.size("tokens")).cast("long").alias("n_template")
     )
-    return lines.unionByName(wrapped(docs, key, text, percent))
+    return lines.unionByName(wrapped(texts, "_row", "_text", percent))
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = CONTAINMENT) -> DataFrame:
+    """Every block that meets a template: ``key``, ``block`` (line number; of paragraphs below -1), ``label``, ``template``, ``n_held``, ``n_template``."""
+    rows = read_once(docs, key, text, percent)
+    return met_templates(rows, percent).join(rows.select("_row", key), "_row").drop("_row")
 
 
-def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = CONTAINMENT) -> DataFrame:
     """One row per document: counts and places of the phrases, labels of phrases and templates, and a score.
 
     The score is 1 where a phrase stands, else the largest share of a template's words that one block holds among
     templates met, else 0.
     """
-    # a row is known by its id and two hashes of its text, as ids may repeat or be null
-    marked = docs.select(F.struct(F.col(f"`{key}`").alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")).alias("_id"), F.col(f"`{text}`").alias("_text"))
-    own = phrases(marked, "_id", "_text")
-    met = scan(marked, "_id", "_text").groupBy("_id").agg(F.collect_set("label").alias("met"), F.max(F.col("n_held") / F.col("n_template")).alias("share"))
-    same = F.col("o._id.h1").eqNullSafe(F.col("m._id.h1")) & F.col("o._id.h2").eqNullSafe(F.col("m._id.h2")) & F.col("o._id.key").eqNullSafe(F.col("m._id.key"))
-    by = own.alias("o").join(met.alias("m"), same, "left").select("o.*", "met", "share").withColumn(key, F.col("_id.key"))
+    rows = read_once(docs, key, text, percent)
+    met = met_templates(rows, percent).groupBy("_row").agg(F.collect_set("label").alias("met"), F.max(F.col("n_held") / F.col("n_template")).alias("share"))
+    by = rows.drop("_held", "_text").join(met, "_row", "left")
     every = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("met", F.array().cast("array<string>")))))
     return by.select(
         key, "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base_labels"), ",").alias("base_labels"),
