@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before numpy is imported: its threads may hang where few are allowed
+
 import pytest
 from pyspark.sql import SparkSession
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,23 @@ def test_folds_against_loops_and_order(spark):
     assert all(abs(r.histogram - (r.macd - r.signal)) < 1e-12 for r in ind.macd(mixed).collect())
 
 
+def test_segments_make_no_difference(spark):
+    closes = [100 + ((k * 37) % 23) - ((k * 11) % 7) * 1.5 for k in range(300)]
+    rows = candles(spark, range(300), closes=closes).unionByName(candles(spark, range(45), "b", closes[100:]))
+    for fold, names in ((ind.Ema(20), ["ema"]), (ind.Macd(12, 26, 9), ["macd", "signal", "histogram"]), (ind.Rsi(14), ["rsi"])):
+        one, many = ({(r.symbol, r.ts): [r[n] for n in names] for r in ind.folded(rows, fold, names, parts).collect()} for parts in (1, 40))
+        assert one.keys() == many.keys() and all(many[k] == pytest.approx(v) for k, v in one.items())
+
+
+def test_recurrence_by_blocks():
+    z = [((k * 7919) % 101) / 7 - 5 for k in range(5000)]
+    y, expect = 3.0, []
+    for x in z:
+        y = 0.9 * y + x
+        expect.append(y)
+    assert ind.recur(np.array(z), 0.9, 3.0) == pytest.approx(expect)
+
+
 def test_too_few_rows(spark):
     few = candles(spark, range(20))
     assert ind.sma(few).count() == 0 and ind.rsi(few).count() == 0

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import normalize as nm
@@ -27,10 +29,17 @@ def test_candle_rules(spark):
 
 
 def test_normalisers(spark):
-    values = ["1,234.5", "3.2%", "", "abc", "inf", "nan", "1e-11", None]
-    found = [one(spark, nm.decimal(F.lit(v), 4, 10, -1.0)) for v in values]
-    assert found == [1234.5, 3.2, -1.0, -1.0, -1.0, -1.0, 0.0, -1.0]
-    assert one(spark, nm.price(F.lit("-1.5"))) == 1e-10 and one(spark, nm.price_change(F.lit("-1.5"))) == -1.5
+    found = {
+        "1,234.5": "1234.5", " 3.2% ": "3.2", "": "-1", "abc": "-1", "inf": "-1", "nan": "-1", "1e-11": "0", "3%5": "-1", "1d": "-1", "0.00005": "0.0001", "-0.00005": "-0.0001",
+        "12345678.123456": "12345678.12", "12345678901": "9999999999", "-1e30": "-9999999999",
+    }
+    for raw, value in found.items():
+        assert one(spark, nm.decimal(F.lit(raw), 4, 10, "-1")) == Decimal(value), raw
+    null = F.lit(None).cast("string")
+    assert one(spark, nm.decimal(null, 4, 10, "-1")) == -1 and one(spark, nm.money(null)) == 0 and one(spark, nm.price(null)) == Decimal("1e-10")
+    assert one(spark, nm.price(F.lit("-1.5"))) == Decimal("1e-10") and one(spark, nm.price_change(F.lit("-1.5"))) == Decimal("-1.5")
+    assert one(spark, nm.percent(F.lit("-1e300"))) == Decimal("-999999.9999") and one(spark, nm.supply(F.lit("1e25"))) == 0 and one(spark, nm.money(F.lit("inf"))) == 0
+    assert one(spark, nm.price(F.lit("123456789012.123456"))) == Decimal("123456789012.12346")
 
 
 def test_handles(spark):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import candles as cd
@@ -27,8 +28,8 @@ def test_confirmed_merge_is_idempotent(spark, tmp_path):
     (tmp_path / "in/a.txt").write_text("\n".join(lines))
     stream = feeds.stream_rows(spark.readStream.text(f"{tmp_path}/in")).withColumn("arrived", F.lit(1))
     st.merge_into(st.confirmed(stream), f"{tmp_path}/table", f"{tmp_path}/ck").awaitTermination()
-    rows = [r for k in (0, 1) if (tmp_path / f"table/{k}").exists() for r in spark.read.parquet(f"{tmp_path}/table/{k}").collect()]
-    assert {(r.symbol, r.close) for r in rows} == {("AB", 1.0), ("AB", 3.0)}
+    rows = feeds.stored_candles(spark, f"{tmp_path}/table", stream.schema).collect()
+    assert sorted((r.symbol, r.close) for r in rows) == [("AB", 1.0), ("AB", 3.0)]
 
 
 def test_paged_source_gives_each_candle_once(spark):
@@ -48,3 +49,24 @@ def test_paged_source_gives_each_candle_once(spark):
 def test_metric_text(spark):
     lines = spark.createDataFrame([(0, "# HELP x"), (1, 'x{a="b"} 1'), (2, "x 2.5"), (3, ""), (4, "y nope")], "position int, value string")
     assert [tuple(r) for r in feeds.metric_text(lines).collect()] == [("x", 2.5)]
+
+
+def test_candle_table_merges_by_partition(spark, tmp_path):
+    rows = spark.sql("SELECT 'A' AS symbol, '60' AS interval, TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(id * 10) AS ts, 1.0D AS close FROM range(10)").withColumn("ts", F.col("ts"))
+    path = f"{tmp_path}/candles"
+    symbols = spark.createDataFrame([("A",)], "symbol string")
+    feeds.merge_candles(spark, path, rows, ["symbol", "interval", "ts"], ["ts"], symbols)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "candles").rglob("*.parquet")}
+    before = files()
+    late = rows.where("ts >= '2024-03-01'").withColumn("close", F.lit(2.0))
+    for _ in range(2):
+        feeds.merge_candles(spark, path, late, ["symbol", "interval", "ts"], ["ts"], symbols)
+    stored = feeds.stored_candles(spark, path, rows.schema)
+    assert stored.count() == 10 and stored.where("close = 2").count() == late.count() > 0
+    assert sum(before.get(k) == v for k, v in files().items()) == 10 - late.count()  # each candle has a week of its own
+    plan = feeds.read_candles(spark, path, rows.schema, "60", "2024-01-08", "2024-01-20")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(interval" in plan and plan.count("week") > 3
+    with pytest.raises(Exception, match="unknown symbol B"):
+        feeds.merge_candles(spark, path, rows.withColumn("symbol", F.lit("B")), ["symbol", "interval", "ts"], ["ts"], symbols)
+    feeds.delete_symbols(spark, path, rows.schema, symbols)
+    assert feeds.stored_candles(spark, path, rows.schema).count() == 0

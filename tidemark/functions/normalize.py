@@ -6,39 +6,55 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TINY = 1e-10
+#: Digits that a value may have in all before it counts as invalid.
+MOST_DIGITS = 28
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def number(raw: Column, default: float | None = None) -> Column:
-    """A double from text such as ``1,234.5`` or ``3.2%``; the default for null, invalid or non-finite input."""
-    x = F.regexp_replace(F.trim(raw.cast("string")), "[,%]", "").try_cast("double")
-    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(default).cast("double")).otherwise(x)
+def number(raw: Column) -> Column:
+    """A double from text such as ``1,234.5`` or ``3.2%``; null for null, invalid or non-finite input."""
+    text = F.regexp_replace(F.trim(F.replace(raw.cast("string"), F.lit(","), F.lit(""))), "%$", "")
+    x = F.when(F.trim(text).rlike(NUMBER), F.trim(text).try_cast("double"))
+    return F.when(F.abs(x) < float("inf"), x)
 
 
-def decimal(raw: Column, scale: int, digits: int, default: float | None = None) -> Column:
-    """``number`` with tiny values at 0, clamped to ``digits`` integer digits, rounded half up to ``scale``."""
-    x, most = number(raw, default), float(10**digits - 1)
-    return F.round(F.when(F.abs(x) < TINY, F.lit(0.0)).otherwise(F.greatest(F.lit(-most), F.least(F.lit(most), x))), scale)
+def decimal(raw: Column, scale: int, digits: int, default: str = "0") -> Column:
+    """A decimal of ``scale`` places, rounded half up; the default for null, invalid or non-finite input.
 
+    Values below 1e-10 are 0, those of more than ``digits`` digits are clamped. Where whole digits leave less room than
+    ``scale`` within ``digits``, the value is rounded to the places that are left. What would take more than
+    ``MOST_DIGITS`` digits at the full scale is invalid.
+    """
+    kind = f"decimal(38,{scale})"
+    x, most = number(raw), F.lit("9" * digits).cast("decimal(38,0)")
+    clamped = F.when(x >= float(f"1e{digits}"), most.try_cast(kind)).when(x <= -float(f"1e{digits}"), (-most).try_cast(kind)).otherwise(x.try_cast(kind))
+    value = F.when(F.abs(x) < TINY, F.lit(0).cast(kind)).otherwise(clamped)
+    out = F.when(F.abs(value) >= F.lit("1" + "0" * (MOST_DIGITS - scale)).cast("decimal(38,0)"), F.lit(None).cast(kind))
+    for places in range(scale):  # the widest values first
+        out = out.when(F.abs(value) >= F.lit("1" + "0" * (digits - places - 1)).cast("decimal(38,0)"), F.round(value, places).cast(kind))
+    return F.coalesce(out.otherwise(value), F.lit(default).cast(kind))
 
-def percent(raw: Column, default: float | None = None) -> Column:
-    return F.greatest(F.lit(-999999.9999), F.least(F.lit(999999.9999), decimal(raw, 4, 12, default)))
 
+def percent(raw: Column, default: str = "0") -> Column:
+    most = F.lit("999999.9999").cast("decimal(38,4)")
+    return F.greatest(-most, F.least(most, decimal(raw, 4, 16, default)))
 
-def price(raw: Column, default: float | None = None) -> Column:
+
+def price(raw: Column, default: str = "0.0000000001") -> Column:
     """A price, at least 1e-10. Applied to a change it makes every fall 1e-10; ``price_change`` keeps the sign."""
-    return F.greatest(F.lit(TINY), decimal(raw, 10, 10, default))
+    return F.greatest(F.lit("0.0000000001").cast("decimal(38,10)"), decimal(raw, 10, 20, default))
 
 
-def price_change(raw: Column, default: float | None = None) -> Column:
-    return decimal(raw, 10, 10, default)
+def price_change(raw: Column, default: str = "0") -> Column:
+    return decimal(raw, 10, 20, default)
 
 
-def supply(raw: Column, default: float | None = None) -> Column:
-    return decimal(raw, 8, 22, default)
+def supply(raw: Column, default: str = "0") -> Column:
+    return decimal(raw, 8, 30, default)
 
 
-def money(raw: Column, default: float | None = None) -> Column:
-    return decimal(raw, 2, 28, default)
+def money(raw: Column, default: str = "0") -> Column:
+    return decimal(raw, 2, 30, default)
 
 
 def iso_time(raw: Column, now: Column) -> Column:

@@ -54,6 +54,16 @@ def engagement(tweets: DataFrame, by: str, likes: str, shares: str, replies: str
     return tweets.groupBy(by).agg(F.coalesce(F.try_divide(total, F.count("*")), F.lit(0.0)).alias("engagement"))
 
 
+def post_activity(posts: DataFrame, by: str, comments: str, text: str) -> DataFrame:
+    """Posts, comments and the posts' texts (sorted) of each group."""
+    return posts.groupBy(by).agg(F.count("*").alias("posts"), F.sum(comments).alias("comments"), F.sort_array(F.collect_list(text)).alias("texts"))
+
+
+def message_activity(messages: DataFrame, by: str, text: str) -> DataFrame:
+    """Messages that have a text, and the texts (sorted), of each group."""
+    return messages.where(F.length(text) > 0).groupBy(by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(text)).alias("texts"))
+
+
 def with_children(parents: DataFrame, children: DataFrame, key: str, fields: list[str], name: str) -> DataFrame:
     """One row per parent with its children as a sorted array; none gives an empty one."""
     listed = children.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))

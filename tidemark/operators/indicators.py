@@ -1,25 +1,28 @@
 """Technical indicators over candles, all symbols in one plan.
 
-SMA, Bollinger bands and OBV are window frames. EMA, MACD and RSI carry a state from candle to candle: rows are dealt by
-symbol, sorted, and folded as a stream, so no series is held in memory. Rows are put in order of time first, whatever the
-order of the input. Symbols with fewer than ``MIN_ROWS`` candles have no rows; neither have warm-up candles.
+SMA, Bollinger bands and OBV are window frames. EMA, MACD and RSI carry a state from candle to candle: series are cut into
+segments whose maps of the state are chained, so a long series is spread over tasks. Rows are put in order of time first,
+whatever the order of the input. Symbols with fewer than ``MIN_ROWS`` candles have no rows; neither have warm-up candles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.store import stored
+
 MIN_ROWS = 30
 
 
 def eligible(candles: DataFrame) -> DataFrame:
     """Candles of the symbols that have enough of them."""
-    enough = candles.groupBy("symbol").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS).select("symbol")
-    return candles.join(enough, "symbol", "left_semi")
+    return candles.withColumn("_n", F.count("*").over(Window.partitionBy("symbol"))).where(F.col("_n") >= MIN_ROWS).drop("_n")
 
 
 def too_short(candles: DataFrame) -> DataFrame:
@@ -60,99 +63,174 @@ def obv(candles: DataFrame) -> DataFrame:
     return rows.select("symbol", "ts", F.sum("signed").over(_order().rowsBetween(Window.unboundedPreceding, 0)).alias("obv")).where(finite("obv"))
 
 
-class Ema:
-    """Seeded by the mean of the first ``n`` values; None before."""
+def recur(z: np.ndarray, r: float, start: float, block: int = 64) -> np.ndarray:
+    """``y[k] = r * y[k - 1] + z[k]`` with ``y[-1] = start``, by blocks: within them as a matrix, between them by itself."""
+    n = len(z)
+    if n <= block:
+        out = np.empty(n)
+        for k in range(n):
+            out[k] = start = r * start + z[k]
+        return out
+    rows = -(-n // block)
+    padded = np.zeros(rows * block)
+    padded[:n] = z
+    at = np.arange(block)
+    weights = np.where(at[:, None] >= at[None], r ** np.maximum(at[:, None] - at[None], 0), 0.0)
+    own = np.einsum("kj,ij->ki", padded.reshape(rows, block), weights)
+    ends = recur(own[:, -1], r**block, start, block)
+    before = np.concatenate(([start], ends[:-1]))
+    return (own + before[:, None] * r ** (at + 1)).ravel()[:n]
+
+
+def seeded(x: np.ndarray, first: int, n: int, alpha: float, state: float) -> tuple[np.ndarray, float]:
+    """An average that starts ``first`` rows into ``x`` (fewer than none: before it) as the mean of ``n`` values and then moves by ``alpha``; NaN before.
+
+    The state is the sum of the values so far until there are ``n``, and the average from then on, so that it maps linearly.
+    """
+    out = np.full(len(x), np.nan)
+    begin, end = (min(max(0, k), len(x)) for k in (first, first + n))
+    if end > begin:
+        sums = state + np.cumsum(x[begin:end])
+        state = float(sums[-1])
+        if first + n <= len(x):
+            state /= n
+            out[end - 1] = state
+    if first + n < len(x):
+        out[end:] = recur(alpha * x[end:], 1 - alpha, state)
+        state = float(out[-1])
+    return out, state
 
-    def __init__(self, n: int):
-        self.n, self.seen, self.value = n, 0, 0.0
 
-    def add(self, x: float) -> float | None:
-        self.seen += 1
-        if self.seen < self.n:
-            self.value += x
-            return None
-        self.value = (self.value + x) / self.n if self.seen == self.n else self.value + (x - self.value) * 2 / (self.n + 1)
-        return self.value
+class Ema:
+    """Seeded by the mean of the first ``n`` values."""
+
+    size = 1
 
+    def __init__(self, n: int):
+        self.n = n
 
-class EmaFold(Ema):
-    def row(self, close: float) -> tuple | None:
-        value = self.add(close)
-        return None if value is None else (value,)
+    def run(self, x: np.ndarray, k: int, before: float, state: list[float]) -> tuple[list[np.ndarray], list[float]]:
+        """Values over closes ``x``, of which the first is the symbol's ``k``-th and follows ``before``; and the state behind them."""
+        out, end = seeded(x, -k, self.n, 2 / (self.n + 1), state[0])
+        return [out], [end]
 
 
-class MacdFold:
+class Macd:
     """The fast average starts with the slow one: it is seeded by the last values of the slow one's seed."""
 
+    size = 3
+
     def __init__(self, fast: int, slow: int, signal: int):
-        fast, slow = min(fast, slow), max(fast, slow)
-        self.skip, self.fast, self.slow, self.signal = slow - fast, Ema(fast), Ema(slow), Ema(signal)
-
-    def row(self, close: float) -> tuple | None:
-        slow = self.slow.add(close)
-        fast = self.fast.add(close) if self.slow.seen > self.skip else None
-        if slow is None or fast is None:
-            return None
+        self.fast, self.slow, self.signal = min(fast, slow), max(fast, slow), signal
+
+    def run(self, x: np.ndarray, k: int, before: float, state: list[float]) -> tuple[list[np.ndarray], list[float]]:
+        fast, a = seeded(x, self.slow - self.fast - k, self.fast, 2 / (self.fast + 1), state[0])
+        slow, b = seeded(x, -k, self.slow, 2 / (self.slow + 1), state[1])
         line = fast - slow
-        signal = self.signal.add(line)
-        return None if signal is None else (line, signal, line - signal)
+        there = np.nan_to_num(line)
+        signal, c = seeded(there, self.slow - 1 - k, self.signal, 2 / (self.signal + 1), state[2])
+        return [line, signal, line - signal], [a, b, c]
 
 
-class RsiFold:
+class Rsi:
     """Wilder's averages of gains and losses, seeded by the means of the first ``n`` changes."""
 
+    size = 2
+
     def __init__(self, n: int):
-        self.n, self.seen, self.last, self.gain, self.loss = n, -1, 0.0, 0.0, 0.0
-
-    def row(self, close: float) -> tuple | None:
-        change, self.last = close - self.last, close
-        self.seen += 1
-        if self.seen == 0:
-            return None
-        up, down = max(change, 0.0), max(-change, 0.0)
-        if self.seen <= self.n:
-            self.gain, self.loss = self.gain + up, self.loss + down
-            if self.seen < self.n:
-                return None
-            self.gain, self.loss = self.gain / self.n, self.loss / self.n
-        else:
-            self.gain, self.loss = (self.gain * (self.n - 1) + up) / self.n, (self.loss * (self.n - 1) + down) / self.n
-        total = self.gain + self.loss
-        return (100 * self.gain / total if total else 0.0,)
-
-
-def folded(candles: DataFrame, fold: Callable, names: list[str]) -> DataFrame:
-    """A fold over each symbol's closes in order of time; rows for which it has no value yet are left out."""
-    rows = eligible(candles).select("symbol", "ts", F.col("close").cast("double").alias("close"))
+        self.n = n
+
+    def run(self, x: np.ndarray, k: int, before: float, state: list[float]) -> tuple[list[np.ndarray], list[float]]:
+        change = np.diff(x, prepend=before if k else x[:1])
+        gain, a = seeded(np.maximum(change, 0), 1 - k, self.n, 1 / self.n, state[0])
+        loss, b = seeded(np.maximum(-change, 0), 1 - k, self.n, 1 / self.n, state[1])
+        total = gain + loss
+        return [np.where(total == 0, 0.0, 100 * gain / np.where(total == 0, 1.0, total))], [a, b]
+
+
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows of each symbol and segment, of sorted batches; a segment is bounded by its range partition."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        symbol, segment = batch.column(0), batch.column(1)
+        codes = symbol.dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(segment.to_numpy()) != 0)) + 1
+        ends = [0, *cuts.tolist(), batch.num_rows]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            key = (symbol[a].as_py(), segment[a].as_py())
+            if key != now:
+                if held:
+                    yield now, pa.Table.from_batches(held)
+                now, held = key, []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def folded(candles: DataFrame, fold: Ema | Macd | Rsi, names: list[str], segments: int | None = None) -> DataFrame:
+    """A fold over each symbol's closes in order of time; rows for which it has no value yet are left out.
+
+    Series are cut into segments by range partitioning, so one symbol runs in several tasks. A segment maps the state
+    before it linearly to the state behind it; these maps, one row a segment, are chained per symbol, and each segment runs from its state.
+    """
+    rows = eligible(candles).where("close IS NOT NULL").select("symbol", "ts", F.col("close").cast("double").alias("close"))
+    dealt = rows.repartitionByRange(segments, "symbol", "ts") if segments else rows.repartitionByRange("symbol", "ts")
+    cut = stored(dealt.select("symbol", F.spark_partition_id().alias("segment"), "ts", "close"), "segments")
+    ahead = Window.partitionBy("symbol").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy("symbol", "segment").agg(F.count("*").alias("n"), F.max_by("close", "ts").alias("last"))
+    starts = stored(counts.select("symbol", "segment", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("k"), F.coalesce(F.last("last").over(ahead), F.lit(0.0)).alias("before")), "starts")
+    size, kind = fold.size, rows.schema["symbol"].dataType.simpleString()
+    state = [f"s{i}" for i in range(size)]
+
+    def dealt_by_segment(extra: DataFrame) -> DataFrame:
+        return cut.join(extra, ["symbol", "segment"]).repartition("symbol", "segment").sortWithinPartitions("symbol", "segment", "ts")
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (symbol, segment), t in runs_of(batches):
+            x, k, before = t.column(3).to_numpy(), t.column(4)[0].as_py(), t.column(5)[0].as_py()
+            ends = [fold.run(x, k, before, [float(i == j) for j in range(size)])[1] for i in range(-1, size)]
+            rest = [[e - z for e, z in zip(ends[i + 1], ends[0], strict=True)] for i in range(size)]
+            columns = [pa.array([symbol], t.schema.field(0).type), pa.array([segment], pa.int32()), pa.array([[*ends[0], *(v for row in rest for v in row)]], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["symbol", "segment", "map"])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("segment")
+        now, out = np.zeros(size), []
+        for m in pdf["map"]:
+            out.append(now)
+            m = np.asarray(m)
+            now = m[:size] + now @ m[size:].reshape(size, size)
+        return pd.DataFrame({"symbol": pdf["symbol"], "segment": pdf["segment"], **{c: [s[i] for s in out] for i, c in enumerate(state)}})
+
+    linear = dealt_by_segment(starts).mapInArrow(maps, f"symbol {kind}, segment int, map array<double>")
+    entries = linear.groupBy("symbol").applyInPandas(chain, f"symbol {kind}, segment int, " + ", ".join(f"{c} double" for c in state))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = object(), None
-        for batch in batches:
-            keep, out = [], []
-            for i, (symbol, close) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if symbol != now:
-                    now, state = symbol, fold()
-                if close is not None and (value := state.row(close)) is not None:
-                    keep.append(i)
-                    out.append(value)
-            if keep:
-                kept = batch.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), *(pa.array(c, pa.float64()) for c in zip(*out, strict=True))], ["symbol", "ts", *names])
-
-    schema = f"symbol {rows.schema['symbol'].dataType.simpleString()}, ts {rows.schema['ts'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
-    return rows.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInArrow(run, schema).where(finite(*names))
+        for _, t in runs_of(batches):
+            x, k, before = t.column(3).to_numpy(), t.column(4)[0].as_py(), t.column(5)[0].as_py()
+            values, _ = fold.run(x, k, before, [t.column(6 + i)[0].as_py() for i in range(size)])
+            keep = np.flatnonzero(np.isfinite(np.sum(values, axis=0)))
+            kept = t.take(pa.array(keep)).combine_chunks()
+            for part in pa.table([kept.column(0), kept.column(2), *(pa.array(v[keep]) for v in values)], ["symbol", "ts", *names]).to_batches():
+                yield part
+
+    schema = f"symbol {kind}, ts {rows.schema['ts'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
+    return dealt_by_segment(starts.join(entries, ["symbol", "segment"])).mapInArrow(run, schema).where(finite(*names))
 
 
 def ema(candles: DataFrame, length: int = 20) -> DataFrame:
-    return folded(candles, lambda: EmaFold(length), ["ema"])
+    return folded(candles, Ema(length), ["ema"])
 
 
 def macd(candles: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    return folded(candles, lambda: MacdFold(fast, slow, signal), ["macd", "signal", "histogram"])
+    return folded(candles, Macd(fast, slow, signal), ["macd", "signal", "histogram"])
 
 
 def rsi(candles: DataFrame, length: int = 14) -> DataFrame:
-    return folded(candles, lambda: RsiFold(length), ["rsi"])
+    return folded(candles, Rsi(length), ["rsi"])
 
 
 def indicator(candles: DataFrame, name: str, **given: float | None) -> DataFrame:

@@ -35,6 +35,16 @@ def replace_children(children: DataFrame, batch: DataFrame, parent: str) -> Data
     return children.join(batch.select(parent).distinct(), parent, "left_anti").unionByName(batch.select(children.columns))
 
 
+def missing(wanted: DataFrame, received: DataFrame, key: str) -> DataFrame:
+    """What was asked for and isn't there, once each."""
+    return wanted.select(key).distinct().join(received.select(key), key, "left_anti")
+
+
+def delete_everywhere(tables: dict[str, DataFrame], gone: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """Every table without the rows of keys that go."""
+    return {name: delete(rows, gone, keys) for name, rows in tables.items()}
+
+
 def delete(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(*keys), keys, "left_anti")
 

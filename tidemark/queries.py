@@ -74,18 +74,32 @@ def rounded(candles: DataFrame) -> DataFrame:
     return candles.select("symbol", "ts", "open", "high", "low", "close", F.round("volume", 4).alias("volume"), F.round("turnover", 4).alias("turnover"), "n")
 
 
+def candle_table(t: Table, name: str):
+    """A stored table of hourly and daily candles of the events: session, path, and columns of a candle."""
+    h = hourly(t).withColumn("interval", F.lit(BASE))
+    rows = h.unionByName(cd.rollup(h.drop("n"), "D").withColumn("interval", F.lit("D")).select(h.columns))
+    path = st.work_dir(rows.sparkSession, name)
+    feeds.write_candles(rows, path)
+    return rows.sparkSession, path, rows.schema
+
+
 # candles ------------------------------------------------------------------------------------------------------------
 
 
 @query("src_base_klines", f"WITH {bars_sql()} SELECT {ROUNDED} FROM bars WHERE symbol = 'purchase' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' ORDER BY ts DESC LIMIT 100")
 def src_base_klines(t):
+    spark, path, kind = candle_table(t, "src_base_klines")
     symbols = t("events").select(F.col("event_type").alias("symbol")).distinct().where("symbol = 'purchase'")
-    return rounded(cd.newest(cd.in_range(hourly(t), "2024-01-05", "2024-01-20").join(symbols, "symbol", "left_semi"), cd.capped(100)))
+    rows = feeds.read_candles(spark, path, kind, BASE, "2024-01-05", "2024-01-20").join(symbols, "symbol", "left_semi")
+    return rounded(cd.newest(rows, cd.capped(100)))
 
 
 @query("src_stored_klines", f"WITH {bars_sql()}, day AS ({candle_sql('bars', 'D')}) SELECT {ROUNDED} FROM day ORDER BY ts DESC, symbol LIMIT 50")
 def src_stored_klines(t):
-    return rounded(router.candles("D", BASE, hourly(t), lambda view: cd.rollup(hourly(t), "D"), 50))
+    spark, path, kind = candle_table(t, "src_stored_klines")
+    table = feeds.stored_candles(spark, path, kind)
+    base = table.where(F.col("interval") == BASE)
+    return rounded(router.candles("D", BASE, base, lambda view: table.where(F.col("interval") == "D"), 50))
 
 
 @query("agg_ohlcv_complete", f"WITH {bars_sql()} SELECT {ROUNDED} FROM ({candle_sql('bars', '240', 'HAVING count(*) >= 4')})")
@@ -269,12 +283,12 @@ def ind_rsi(t):
     return ind.rsi(hourly(t)).select("symbol", "ts", *r6("rsi"))
 
 
-BY_USER = "u AS (SELECT user_id::VARCHAR AS symbol, count(*) AS n_rows FROM events GROUP BY 1)"
+BY_USER = "u AS (SELECT user_id::VARCHAR || event_type AS symbol, count(*) AS n_rows FROM events GROUP BY 1)"
 
 
 @query("ind_min_rows", f"WITH {BY_USER} SELECT symbol, n_rows FROM u WHERE n_rows < 30")
 def ind_min_rows(t):
-    return ind.too_short(t("events").select(F.col("user_id").cast("string").alias("symbol")))
+    return ind.too_short(t("events").select(F.concat(F.col("user_id").cast("string"), "event_type").alias("symbol")))
 
 
 @query("ind_dispatch", f"WITH {ENOUGH}, s AS (SELECT symbol, ts, k, avg(close) {FRAME} AS sma FROM e) SELECT symbol, ts, round(sma, 6) AS sma FROM s WHERE k >= 20")
@@ -391,15 +405,28 @@ def join_semi(t):
     return t("lineitem").join(t("part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi").select("l_orderkey", "l_linenumber")
 
 
-ANTI = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+@query("join_anti_missing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' OR o_orderdate >= DATE '1998-01-01')")
+def join_anti_missing(t):
+    recent = t("orders").where("o_orderstatus = 'P' OR o_orderdate >= DATE '1998-01-01'").select(F.col("o_custkey").alias("c_custkey"))
+    return mg.missing(t("customer").select("c_custkey"), recent, "c_custkey")
+
+
+@query("set_missing_ids", "SELECT 'coin-' || p_partkey AS id FROM part WHERE p_size % 3 = 0")
+def set_missing_ids(t):
+    wanted = t("part").select(F.concat(F.lit("coin-"), F.col("p_partkey").cast("string")).alias("id"))
+    return mg.missing(wanted, feeds.market_rows(market_pages(t)), "id")
 
 
-def customers_without_orders(t):
-    return t("customer").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+@query("src_coin_markets", "SELECT 'coin-' || p_partkey AS id, p_retailprice::DOUBLE AS price, (p_size * 1000)::DOUBLE AS cap FROM part WHERE p_size % 3 <> 0")
+def src_coin_markets(t):
+    return feeds.market_rows(market_pages(t))
 
 
-for _id in ("join_anti_missing", "set_missing_ids", "src_coin_markets"):
-    query(_id, ANTI)(customers_without_orders)
+def market_pages(t):
+    """Pages of coins as a market source sends them, by brand; one page is empty."""
+    coin = F.struct(F.concat(F.lit("coin-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_retailprice").cast("double").alias("current_price"), (F.col("p_size") * 1000).cast("double").alias("market_cap"))
+    pages = t("part").where("p_size % 3 <> 0").groupBy("p_brand").agg(F.to_json(F.collect_list(coin)).alias("value")).select("value")
+    return pages.unionByName(pages.sparkSession.createDataFrame([("[]",), (None,)], "value string"))
 
 PLATFORMS = """SELECT user_id AS u, avg(value) FILTER (event_type = 'click') / 100 AS a, avg(value) FILTER (event_type = 'view') / 100 AS b, avg(value) FILTER (event_type = 'purchase') / 100 AS c FROM events GROUP BY 1"""
 
@@ -430,20 +457,20 @@ def join_halves(t):
 
 
 def symbol_sets(t):
-    now = t("events").where(F.col("ts") >= moment("2024-01-15")).select("user_id").distinct()
-    return now, t("events").where(F.col("ts") < moment("2024-01-15")).select("user_id").distinct()
+    day = lambda d: t("events").where(F.col("ts").cast("date") == d).select("user_id").distinct()
+    return day("2024-01-16"), day("2024-01-15")
 
 
-@query("set_new", "SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15' EXCEPT SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-15'")
+@query("set_new", "SELECT user_id FROM events WHERE ts::DATE = DATE '2024-01-16' EXCEPT SELECT user_id FROM events WHERE ts::DATE = DATE '2024-01-15'")
 def set_new(t):
     now, before = symbol_sets(t)
-    return now.join(before, "user_id", "left_anti")
+    return mg.missing(now, before, "user_id")
 
 
-@query("set_delisted", "SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-15' EXCEPT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
+@query("set_delisted", "SELECT user_id FROM events WHERE ts::DATE = DATE '2024-01-15' EXCEPT SELECT user_id FROM events WHERE ts::DATE = DATE '2024-01-16'")
 def set_delisted(t):
     now, before = symbol_sets(t)
-    return before.join(now, "user_id", "left_anti")
+    return mg.missing(before, now, "user_id")
 
 
 @query("set_union_tokens", "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -474,8 +501,30 @@ def one_instrument(t):
     return fd.one_instrument(rows, "o_custkey", "quote", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-for _id in ("dedup_symbol", "src_rest_symbols"):
-    query(_id, INSTRUMENTS)(one_instrument)
+query("dedup_symbol", INSTRUMENTS)(one_instrument)
+
+
+@query("src_rest_symbols", """WITH i AS (SELECT 'P' || p_partkey AS symbol, p_brand AS base, CASE p_partkey % 3 WHEN 0 THEN 'USDT' WHEN 1 THEN 'USDC' ELSE 'EUR' END AS quote, p_size AS launch_ms, p_partkey FROM part
+    WHERE p_size > 10 AND p_partkey % 3 < 2) SELECT symbol, base, quote, launch_ms::BIGINT AS launch_ms FROM i QUALIFY row_number() OVER (PARTITION BY base ORDER BY (quote <> 'USDT') DESC, p_partkey DESC) = 1""")
+def src_rest_symbols(t):
+    k = F.col("p_partkey") % 3
+    item = F.struct(
+        F.col("p_partkey"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_brand").alias("baseCoin"), F.when(k == 0, "USDT").when(k == 1, "USDC").otherwise("EUR").alias("quoteCoin"),
+        F.when(F.col("p_size") > 10, "Trading").otherwise("Closed").alias("status"), F.col("p_size").cast("string").alias("launchTime"),
+    )
+    page = t("part").groupBy("p_brand").agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("list"))).alias("value"))
+    return fd.one_instrument(feeds.instruments(page), "base", "quote", "position").select("symbol", "base", "quote", "launch_ms")
+
+
+@query("src_rest_klines", f"WITH {bars_sql()} SELECT symbol, '60' AS \"interval\", epoch_us(ts) // 1000 AS ts_ms, open, high, low, close FROM bars")
+def src_rest_klines(t):
+    bars = hourly(t)
+    text = lambda c: F.col(c).cast("string")
+    row = F.array(iv.to_ms(F.col("ts")).cast("string"), *[text(c) for c in ("open", "high", "low", "close", "volume", "turnover")])
+    pages = bars.groupBy("symbol", iv.bucket("ts", "D").alias("day")).agg(F.lit("60").alias("interval"), F.sort_array(F.collect_list(row), asc=False).alias("list"))
+    path = st.work_dir(bars.sparkSession, "src_rest_klines")
+    pages.select("symbol", "interval", "list").write.json(path)
+    return feeds.candle_pages(bars.sparkSession, path).select("symbol", "interval", "ts_ms", "open", "high", "low", "close")
 
 
 # writes -------------------------------------------------------------------------------------------------------------
@@ -497,8 +546,34 @@ def upsert_orders(t):
     return mg.upsert(old, batch, ["o_orderkey"], ["v"])
 
 
-for _id in ("dml_upsert_klines", "snk_klines", "dml_upsert_metrics", "dml_upsert_sentiment"):
-    query(_id, UPSERT)(upsert_orders)
+query("dml_upsert_klines", UPSERT)(upsert_orders)
+
+
+@query("dml_upsert_metrics", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice + 5 ELSE p_retailprice END AS p_retailprice FROM part")
+def dml_upsert_metrics(t):
+    rows = t("part").select("p_partkey", "p_retailprice")
+    return mg.upsert(rows, rows.where("p_partkey % 2 = 0").withColumn("p_retailprice", F.col("p_retailprice") + 5), ["p_partkey"])
+
+
+@query("dml_upsert_sentiment", "SELECT s_suppkey, CASE WHEN s_nationkey < 10 THEN 0.5 ELSE -1.0 END::DOUBLE AS score FROM supplier WHERE s_nationkey < 20")
+def dml_upsert_sentiment(t):
+    s = t("supplier")
+    old = s.where("s_nationkey >= 5 AND s_nationkey < 20").select("s_suppkey", F.lit(-1.0).alias("score"))
+    return mg.upsert(old, s.where("s_nationkey < 10").select("s_suppkey", F.lit(0.5).alias("score")), ["s_suppkey"])
+
+
+@query("snk_klines", f"WITH {bars_sql()}, day AS ({candle_sql('bars', 'D')}) SELECT symbol, 'D' AS \"interval\", ts, CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN close + 1 ELSE close END AS close FROM day UNION ALL SELECT symbol, '60', ts, close FROM bars")
+def snk_klines(t):
+    spark, path, kind = candle_table(t, "snk_klines")
+    symbols = t("events").select(F.col("event_type").alias("symbol")).distinct()
+    later = feeds.read_candles(spark, path, kind, "D", "2024-01-20", "2030-01-01").withColumn("close", F.col("close") + 1)
+    batch = later.withColumn("v", F.lit(2)).unionByName(later.withColumn("v", F.lit(1)).withColumn("close", F.lit(0.0)))
+    feeds.merge_candles(spark, path, last_of(batch), ["symbol", "interval", "ts"], ["ts"], symbols)
+    return feeds.stored_candles(spark, path, kind).select("symbol", "interval", "ts", "close")
+
+
+def last_of(batch):
+    return mg.last_wins(batch, ["symbol", "interval", "ts"], ["v"]).drop("v")
 
 
 @query("snk_symbol", "SELECT o_orderkey, o_custkey, o_totalprice + CASE WHEN o_orderkey % 2 = 1 THEN 2 ELSE 0 END AS o_totalprice FROM orders")
@@ -523,14 +598,29 @@ def kept_orders(t):
     return mg.delete_cascade(t("customer"), t("orders"), gone, "c_custkey", "o_custkey")[1].select("o_orderkey")
 
 
-for _id in ("dml_delete_symbol", "dml_delete_batched", "st_delist"):
-    query(_id, KEPT_ORDERS)(kept_orders)
+query("dml_delete_symbol", KEPT_ORDERS)(kept_orders)
+
 
+@query("dml_delete_batched", f"WITH {bars_sql()}, day AS ({candle_sql('bars', 'D')}) SELECT \"interval\", symbol, count(*) AS n FROM (SELECT '60' AS \"interval\", symbol FROM bars UNION ALL SELECT 'D', symbol FROM day) WHERE symbol <> 'click' GROUP BY ALL")
+def dml_delete_batched(t):
+    spark, path, kind = candle_table(t, "dml_delete_batched")
+    feeds.delete_symbols(spark, path, kind, spark.createDataFrame([("click",)], "symbol string"))
+    return feeds.stored_candles(spark, path, kind).groupBy("interval", "symbol").agg(F.count("*").alias("n"))
 
-@query("dml_delete_by_symbols", "SELECT c_custkey FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') OR c_mktsegment IS NULL")
+
+@query("st_delist", "WITH now AS (SELECT DISTINCT user_id FROM events WHERE ts::DATE = DATE '2024-01-16'), gone AS (SELECT DISTINCT user_id FROM events WHERE ts::DATE = DATE '2024-01-15' AND user_id NOT IN (SELECT user_id FROM now)) SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM gone)")
+def st_delist(t):
+    now, before = symbol_sets(t)
+    users = t("events").select("user_id").distinct()
+    return mg.delete_cascade(users, t("events"), mg.missing(before, now, "user_id"), "user_id", "user_id")[1].select("event_id")
+
+
+@query("dml_delete_by_symbols", "SELECT 'customer' AS kind, c_custkey AS k FROM customer WHERE c_nationkey NOT IN (3, 7) UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_nationkey NOT IN (3, 7)")
 def dml_by_symbols(t):
-    gone = t("customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_mktsegment").distinct()
-    return mg.delete(t("customer"), gone, ["c_mktsegment"]).select("c_custkey")
+    gone = t("nation").where(F.col("n_nationkey").isin(3, 7)).select(F.col("n_nationkey").alias("nation"))
+    tables = {"customer": t("customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation")), "supplier": t("supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("nation"))}
+    left = mg.delete_everywhere(tables, gone, ["nation"])
+    return left["customer"].unionByName(left["supplier"]).drop("nation")
 
 
 @query("st_add_remove_tokens", "SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0")
@@ -538,14 +628,18 @@ def st_add_remove(t):
     return mg.delete(t("customer"), t("customer").where("c_custkey % 5 = 0"), ["c_custkey"]).select("c_custkey")
 
 
-@query("dml_platforms", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey = 1")
+@query("dml_platforms", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 4 <> 0 UNION ALL SELECT o_orderkey, 1, 7 FROM orders WHERE o_orderkey % 8 = 0")
 def dml_platforms(t):
-    return t("lineitem").where("l_orderkey = 1").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    parents = t("orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    batch = t("orders").where("o_orderkey % 8 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).cast(rows.schema["l_linenumber"].dataType).alias("l_linenumber"), F.lit(7).cast(rows.schema["l_partkey"].dataType).alias("l_partkey"))
+    return mg.replace_children(mg.delete(rows, parents, ["l_orderkey"]), batch, "l_orderkey")
 
 
-@query("mnt_hypertable", "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n FROM events GROUP BY 1")
+@query("mnt_hypertable", f"WITH {bars_sql()}, day AS ({candle_sql('bars', 'D')}) SELECT \"interval\", strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n FROM (SELECT '60' AS \"interval\", ts FROM bars UNION ALL SELECT 'D', ts FROM day) GROUP BY ALL")
 def mnt_hypertable(t):
-    return t("events").groupBy(iv.bucket("ts", "W").cast("date").cast("string").alias("week")).agg(F.count("*").alias("n"))
+    spark, path, kind = candle_table(t, "mnt_hypertable")
+    return feeds.stored_candles(spark, path, kind).groupBy("interval", F.col("week").cast("string").alias("week")).agg(F.count("*").alias("n"))
 
 
 @query("mnt_retention", f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY")
@@ -553,10 +647,22 @@ def mnt_retention(t):
     return mg.retain(t("events"), "ts", moment(NOW), 10).select("event_id")
 
 
-@query("mnt_refresh_policy", f"WITH {bars_sql()} SELECT {ROUNDED} FROM ({candle_sql('bars', 'D')})")
+def refresh_sql() -> str:
+    """Every view's stored close is -1 but for whole buckets between the offsets of its policy."""
+    views = []
+    for code in st.START_HOURS:
+        inside = f"ts >= TIMESTAMP '{NOW}' - INTERVAL {st.START_HOURS[code]} HOUR AND ts + INTERVAL '{WIDTHS[code]}' <= TIMESTAMP '{NOW}' - INTERVAL {st.END_HOURS[code]} HOUR"
+        views.append(f"SELECT '{code}' AS view, symbol, ts, CASE WHEN {inside} THEN close ELSE -1.0 END AS close FROM ({candle_sql('bars', code)})")
+    return f"WITH {bars_sql('5')} " + " UNION ALL ".join(views)
+
+
+@query("mnt_refresh_policy", refresh_sql())
 def mnt_refresh(t):
-    day = cd.rollup(hourly(t), "D")
-    return rounded(mg.refresh_window(day.withColumn("close", F.when(F.col("ts") >= moment("2024-01-10"), F.lit(-1.0)).otherwise(F.col("close"))), day, "ts", moment("2024-01-10"), moment("2030-01-01")))
+    base, out = cd.bars(t("events"), "5", "event_type", "ts", "value", "event_id"), []
+    for code in st.START_HOURS:
+        fresh = cd.rollup(base.drop("n"), code)
+        out.append(st.refreshed(fresh.withColumn("close", F.lit(-1.0)), fresh, code, moment(NOW)).select(F.lit(code).alias("view"), "symbol", "ts", "close"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("mnt_full_refresh", f"WITH {bars_sql()} SELECT {ROUNDED} FROM ({candle_sql('bars', 'D')})")
@@ -682,30 +788,57 @@ def fn_symbol_format(t):
     return t("supplier").select("s_suppkey", nm.symbol_label(F.col("s_name"), F.lit("sim")).alias("label"), nm.pair_label(F.col("s_name"), F.lit("USD")).alias("pair"))
 
 
-@query("fn_norm_decimal", "SELECT c_custkey, round(c_acctbal, 2) AS money, round(c_acctbal / 7, 8) AS supply FROM customer")
+#: Numbers as sources send them, good and bad, by the remainder of a row's key: the text of ``x``, and what there is beside it.
+DIRTY = (None, "junk", "inf", "-Infinity", "NaN", "", " 12.5% ", "1,234,567.891234567", "-0.00000000004", "123456789012.75", "1234567890123.5", "1e40", "-1e40", "3%5", "1e12", "2.5e-7", "1d", "-987654.32109")
+
+
+def dirty(key: str, x) -> F.Column:
+    """Every other row has its own value, with commas, the others those of ``DIRTY`` in turn."""
+    listed = F.array(*[F.lit(v).cast("string") for v in DIRTY])
+    return F.when(F.col(key) % 2 == 0, F.format_number(x, 6)).otherwise(F.get(listed, (F.floor(F.col(key) / 2) % len(DIRTY)).cast("int")))
+
+
+def dirty_sql(key: str, x: str, table: str, scale: int, digits: int, default: str) -> str:
+    """Beside the rule itself, the decimal is read from the text at once: no value has more digits than a double tells."""
+    values = ", ".join("NULL" if v is None else f"'{v}'" for v in DIRTY)
+    kind = f"DECIMAL(38,{scale})"
+    shed = " ".join(f"WHEN abs(d) >= 1e{digits - k - 1} THEN round(d, {k})::{kind}" for k in range(scale))
+    most = f"{'9' * digits}::{kind}"
+    return f"""(SELECT k, coalesce(CASE WHEN abs(d) >= 1e{28 - scale} THEN NULL {shed} ELSE d END, {default}::{kind}) AS v FROM (
+        SELECT k, CASE WHEN abs(x) < 1e-10 THEN 0::{kind} WHEN x >= 1e{digits} THEN {most} WHEN x <= -1e{digits} THEN -({most}) WHEN contains(t, 'e') THEN try_cast(x AS {kind}) WHEN x IS NOT NULL THEN try_cast(t AS {kind}) END AS d FROM (
+        SELECT k, t, CASE WHEN regexp_matches(t, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$') THEN try_cast(t AS DOUBLE) END AS x FROM (
+        SELECT {key} AS k, trim(regexp_replace(trim(replace(CASE WHEN {key} % 2 = 0 THEN printf('%.6f', ({x})::DOUBLE) ELSE ([{values}])[1 + ({key} // 2) % {len(DIRTY)}] END, ',', '')), '%$', '')) AS t FROM {table}))))"""
+
+
+def as_double(**columns) -> list:
+    return [c.cast("double").alias(k) for k, c in columns.items()]
+
+
+@query("fn_norm_decimal", f"SELECT k AS c_custkey, m.v::DOUBLE AS money, s.v::DOUBLE AS supply FROM {dirty_sql('c_custkey', 'c_acctbal', 'customer', 2, 30, '0')} m JOIN {dirty_sql('c_custkey', 'c_acctbal', 'customer', 8, 30, '7')} s USING (k)")
 def fn_norm_decimal(t):
-    messy = F.concat(F.format_number("c_acctbal", 6), F.lit("%"))
-    return t("customer").select("c_custkey", F.round(nm.money(messy), 2).alias("money"), nm.supply((F.col("c_acctbal") / 7)).alias("supply"))
+    x = dirty("c_custkey", "c_acctbal")
+    return t("customer").select("c_custkey", *as_double(money=nm.decimal(x, 2, 30), supply=nm.decimal(x, 8, 30, "7")))
 
 
-@query("fn_norm_pct", "SELECT l_orderkey, l_linenumber, least(greatest(round(l_discount * 100, 4), -999999.9999), 999999.9999)::DOUBLE AS pct FROM lineitem")
+@query("fn_norm_pct", f"SELECT k AS o_orderkey, least(greatest(v, -999999.9999), 999999.9999)::DOUBLE AS pct FROM {dirty_sql('o_orderkey', 'o_totalprice', 'orders', 4, 16, '0')}")
 def fn_norm_pct(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", nm.percent(F.concat((F.col("l_discount") * 100).cast("string"), F.lit("%"))).alias("pct"))
+    return t("orders").select("o_orderkey", *as_double(pct=nm.percent(dirty("o_orderkey", "o_totalprice"))))
 
 
-@query("fn_norm_price", "SELECT c_custkey, greatest(1e-10, round(c_acctbal, 10)) AS price, round(c_acctbal, 10) AS change FROM customer")
+@query("fn_norm_price", f"SELECT k AS c_custkey, greatest(p.v, 0.0000000001)::DOUBLE AS price, c.v::DOUBLE AS change FROM {dirty_sql('c_custkey', 'c_acctbal', 'customer', 10, 20, '0.0000000001')} p JOIN {dirty_sql('c_custkey', 'c_acctbal', 'customer', 10, 20, '0')} c USING (k)")
 def fn_norm_price(t):
-    return t("customer").select("c_custkey", nm.price(F.col("c_acctbal")).alias("price"), nm.price_change(F.col("c_acctbal")).alias("change"))
+    x = dirty("c_custkey", "c_acctbal")
+    return t("customer").select("c_custkey", *as_double(price=nm.price(x), change=nm.price_change(x)))
 
 
-@query("fn_norm_supply", "SELECT p_partkey, round(p_retailprice / 3, 8) AS supply FROM part")
+@query("fn_norm_supply", f"SELECT k AS p_partkey, v::DOUBLE AS supply FROM {dirty_sql('p_partkey', 'p_retailprice', 'part', 8, 30, '0')}")
 def fn_norm_supply(t):
-    return t("part").select("p_partkey", nm.supply(F.col("p_retailprice") / 3).alias("supply"))
+    return t("part").select("p_partkey", *as_double(supply=nm.supply(dirty("p_partkey", "p_retailprice"))))
 
 
-@query("fn_norm_money", "SELECT p_partkey, round(p_retailprice, 2) AS money FROM part")
+@query("fn_norm_money", f"SELECT k AS p_partkey, v::DOUBLE AS money FROM {dirty_sql('p_partkey', 'p_retailprice', 'part', 2, 30, '0')}")
 def fn_norm_money(t):
-    return t("part").select("p_partkey", nm.money(F.col("p_retailprice")).alias("money"))
+    return t("part").select("p_partkey", *as_double(money=nm.money(dirty("p_partkey", "p_retailprice"))))
 
 
 @query("fn_pair", "SELECT p_partkey, p_brand || '/' || p_type AS pair FROM part")
@@ -808,18 +941,55 @@ def tweets(t):
     return fd.engagement(rows, "user_id", "value", "shares", "replies").withColumn("engagement", F.round("engagement", 4))
 
 
-for _id in ("agg_engagement_rate", "src_twitter"):
-    query(_id, TWEETS)(tweets)
+query("agg_engagement_rate", TWEETS)(tweets)
 
 
+@query("src_twitter", f"SELECT user_id, count(*) AS tweets, round(sum(value + event_id % 7 + event_id % 3) / count(*), 4) AS engagement FROM events WHERE ts BETWEEN TIMESTAMP '{DAY_BEFORE}' AND TIMESTAMP '{NOW}' GROUP BY user_id")
+def src_twitter(t):
+    """Tweets as JSON, of the last 24 hours."""
+    tweet = F.to_json(F.struct("user_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created_at"), F.col("value").alias("likes"), (F.col("event_id") % 7).alias("retweets"), (F.col("event_id") % 3).alias("replies")))
+    rows = t("events").select(F.from_json(tweet, "user_id bigint, created_at timestamp_ntz, likes double, retweets bigint, replies bigint").alias("x")).select("x.*").where(F.col("created_at") <= moment(NOW))
+    fresh = fd.recent(rows, "created_at", moment(NOW))
+    rate = fd.engagement(fresh, "user_id", "likes", "retweets", "replies").withColumn("engagement", F.round("engagement", 4))
+    return fresh.groupBy("user_id").agg(F.count("*").alias("tweets")).join(rate, "user_id").withColumn("user_id", F.col("user_id").cast(t("events").schema["user_id"].dataType))
+
+
+TEXTS = "coalesce(md5(string_agg(text, '|' ORDER BY text)), '') AS texts"
+
+
+@query("agg_posts_comments", f"SELECT conv_id, count(*) AS posts, CAST(sum(turn) AS BIGINT) AS comments, {TEXTS} FROM conversations GROUP BY conv_id")
 def posts(t):
-    return t("conversations").groupBy("conv_id").agg(F.count("*").alias("posts"), F.sum("turn").alias("comments"), F.sum(F.length("text")).alias("chars"))
+    return digest(fd.post_activity(t("conversations"), "conv_id", "turn", "text"))
+
+
+def digest(rows):
+    """The list of texts as one hash, which SQL can compare."""
+    return rows.withColumn("texts", F.when(F.size("texts") > 0, F.md5(F.array_join("texts", "|").cast("binary"))).otherwise(""))
 
 
-for _id in ("agg_posts_comments", "src_reddit"):
-    query(_id, "SELECT conv_id, count(*) AS posts, CAST(sum(turn) AS BIGINT) AS comments, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")(posts)
-for _id in ("agg_messages", "src_telegram"):
-    query(_id, "SELECT role, count(*) AS n FROM conversations WHERE text <> '' GROUP BY role")(lambda t: t("conversations").where("text <> ''").groupBy("role").agg(F.count("*").alias("n")))
+POSTED = f"TIMESTAMP '{NOW}' - to_hours(CAST(conv_id % 48 AS INTEGER)) - to_minutes(CAST(turn AS INTEGER))"
+
+
+def posted(t):
+    """Turns as posts: each conversation began up to two days before now."""
+    back = F.make_dt_interval(F.lit(0), (F.col("conv_id") % 48).cast("int"), F.col("turn").cast("int"))
+    return t("conversations").withColumn("at", moment(NOW) - back)
+
+
+@query("src_reddit", f"SELECT conv_id, count(*) AS posts, CAST(sum(turn) AS BIGINT) AS comments, {TEXTS} FROM conversations WHERE {POSTED} >= TIMESTAMP '{DAY_BEFORE}' GROUP BY conv_id")
+def src_reddit(t):
+    return digest(fd.post_activity(fd.recent(posted(t), "at", moment(NOW)), "conv_id", "turn", "text"))
+
+
+@query("agg_messages", f"SELECT role, count(*) AS n, {TEXTS} FROM conversations WHERE text <> '' GROUP BY role")
+def messages(t):
+    return digest(fd.message_activity(t("conversations"), "role", "text"))
+
+
+@query("src_telegram", f"WITH m AS (SELECT role, text, {POSTED} AS posted_at FROM conversations QUALIFY row_number() OVER (PARTITION BY role ORDER BY {POSTED} DESC, conv_id, turn, text) <= 100) SELECT role, count(*) AS n, {TEXTS} FROM m WHERE text <> '' AND posted_at >= TIMESTAMP '{DAY_BEFORE}' GROUP BY role")
+def src_telegram(t):
+    page = feeds.newest_items(posted(t), "role", "at", ["conv_id", "turn", "text"], 100)
+    return digest(fd.message_activity(fd.recent(page, "at", moment(NOW)), "role", "text"))
 
 
 @query("agg_error_summary", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -891,10 +1061,25 @@ def stream_query(name: str, sql: str):
 
 BARS_ONLY = "symbol, ts, open, high, low, close, n"
 
-for _id, _code in (("st_tumbling", "60"), ("st_late_data", "240")):
-    stream_query(_id, f"WITH {bars_sql(_code)} SELECT {BARS_ONLY} FROM bars")(
-        lambda spark, sf_dir, work, code=_code: st.finished(st.rollup_stream(event_stream(spark, sf_dir), code, "event_type", "ts", "value", "event_id"), ["symbol", "ts"], work).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    )
+@stream_query("st_tumbling", f"WITH {bars_sql('60')} SELECT {BARS_ONLY} FROM bars")
+def st_tumbling(spark, sf_dir, work):
+    rolled = st.rollup_stream(event_stream(spark, sf_dir), "60", "event_type", "ts", "value", "event_id")
+    return st.finished(rolled, ["symbol", "ts"], work).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@stream_query("st_late_data", f"""WITH late AS (SELECT * FROM events WHERE event_id % 5 > 0 OR time_bucket(INTERVAL '4 hours', ts) + INTERVAL '4 hours' > (SELECT max(ts) FROM events WHERE event_id % 5 > 1) - INTERVAL '12 hours'),
+    {bars_sql('240').replace('FROM events', 'FROM late')} SELECT {BARS_ONLY} FROM bars""")
+def st_late_data(spark, sf_dir, work):
+    """Every fifth trade arrives in a third batch, late by up to the whole span: buckets that ended before the watermark leave it out.
+
+    A batch leaves out what was late by the watermark of the batch before it, which follows from the first one here.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for k, part in enumerate(("event_id % 5 > 1", "event_id % 5 = 1", "event_id % 5 = 0")):
+        events.where(part).withColumn("part", F.lit(k)).coalesce(1).write.mode("append").partitionBy("part").parquet(f"{work}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{work}/in")
+    rolled = st.rollup_stream(stream.drop("part"), "240", "event_type", "ts", "value", "event_id")
+    return st.finished(rolled, ["symbol", "ts"], work).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @stream_query("st_confirmed_upsert", "SELECT event_type AS symbol, '5' AS \"interval\", ts, value AS close FROM events WHERE event_id % 2 = 0")
@@ -921,8 +1106,7 @@ def st_backfill_loop(t):
     return state[0]
 
 
-@query("st_repair", f"WITH {bars_sql()} SELECT symbol, ts, open, close FROM bars")
+@query("st_repair", f"WITH {bars_sql()} SELECT symbol, ts, open, CASE WHEN ts BETWEEN TIMESTAMP '{NOW}' - INTERVAL 5 HOUR AND TIMESTAMP '{NOW}' THEN close ELSE -1.0 END AS close FROM bars")
 def st_repair(t):
     full = hourly(t).select("symbol", "ts", "open", "close")
-    broken = full.withColumn("close", F.when(F.col("ts") >= moment("2024-01-20"), F.lit(-1.0)).otherwise(F.col("close")))
-    return mg.refresh_window(broken, full, "ts", moment("2024-01-20"), moment("2030-01-01"))
+    return st.repaired(full.withColumn("close", F.lit(-1.0)), full, BASE, moment(NOW))

@@ -1,25 +1,7 @@
-"""Table shapes as DDL. Prices and volumes are decimals at rest; computation takes doubles."""
+"""Shapes of messages as DDL."""
 
 from __future__ import annotations
 
-SYMBOLS = (
-    "id bigint, name string, exchange string, base_asset string, quote_asset string, price_scale int, tick_size string, "
-    "qty_step string, max_qty string, min_notional string, max_leverage string, funding_interval int, launch_time bigint"
-)
-CANDLES = (
-    "id bigint, symbol_id bigint, timestamp timestamp, interval string, open_price decimal(18,8), high_price decimal(18,8), "
-    "low_price decimal(18,8), close_price decimal(18,8), volume decimal(36,8), turnover decimal(36,8)"
-)
-ROLLUPS = (
-    "bucket timestamp, symbol_id bigint, interval string, open_price decimal(18,8), high_price decimal(18,8), low_price decimal(18,8), "
-    "close_price decimal(18,8), volume decimal(36,8), turnover decimal(36,8)"
-)
-TOKEN_METADATA = (
-    "id string, symbol string, name string, description string, categories array<string>, launch_time timestamp, market_cap_rank bigint, "
-    "hashing_algorithm string, image_thumb string, image_small string, image_large string, website string, whitepaper string, "
-    "reddit string, twitter string, telegram string, github string, updated_at timestamp, data_source string"
-)
-TOKEN_PLATFORMS = "token_id string, platform_id string, contract_address string"
 #: A message of the candle stream.
 STREAM_MESSAGE = (
     "topic string, data array<struct<start: bigint, open: string, high: string, low: string, close: string, volume: string, turnover: string, confirm: boolean>>"

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from tidemark.functions.intervals import INTERVALS
+from tidemark.operators.candles import in_range
+from tidemark.operators.merge import delete, upsert
 from tidemark.schemas import STREAM_MESSAGE
 
+#: Quote assets of the instruments that are collected.
+QUOTES = ("USDT", "USDC")
+
 
 def candle_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of candles, each a JSON line with ``symbol``, ``interval`` and ``list`` of arrays of strings, newest first."""
@@ -35,13 +41,85 @@ def metric_text(lines: DataFrame, column: str = "value", position: str = "positi
     return rows.where(F.col("value").isNotNull()).groupBy("name").agg(F.max_by("value", position).alias("value"))
 
 
+def instruments(pages: DataFrame, column: str = "value") -> DataFrame:
+    """Instruments of JSON pages that are traded against one of ``QUOTES``; ``position`` is their place in the page."""
+    kind = "list array<struct<symbol: string, baseCoin: string, quoteCoin: string, status: string, launchTime: string>>"
+    rows = pages.select(F.posexplode(F.from_json(column, kind)["list"]).alias("position", "i"))
+    traded = rows.where((F.col("i.status") == "Trading") & F.col("i.quoteCoin").isin(*QUOTES))
+    launch = F.coalesce(F.col("i.launchTime").try_cast("long"), F.lit(0))
+    return traded.select(F.col("i.symbol").alias("symbol"), F.col("i.baseCoin").alias("base"), F.col("i.quoteCoin").alias("quote"), launch.alias("launch_ms"), "position")
+
+
+def market_rows(pages: DataFrame, column: str = "value") -> DataFrame:
+    """Coins of JSON pages, each page an array; an empty page has none."""
+    rows = pages.select(F.explode(F.from_json(column, "array<struct<id: string, current_price: double, market_cap: double>>")).alias("c"))
+    return rows.select("c.id", F.col("c.current_price").alias("price"), F.col("c.market_cap").alias("cap"))
+
+
+def newest_items(items: DataFrame, channel: str, ts: str, tie: list[str], limit: int | None = None) -> DataFrame:
+    """The newest ``limit`` items of each channel, as a source pages through them."""
+    if limit is None:
+        return items
+    place = F.row_number().over(Window.partitionBy(channel).orderBy(F.desc(ts), *tie))
+    return items.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
+
+
+def by_week(candles: DataFrame) -> DataFrame:
+    return candles.withColumn("week", F.date_trunc("week", "ts").cast("date"))
+
+
 def write_candles(candles: DataFrame, path: str) -> None:
-    """Parquet by interval and week, sorted for range reads; weeks take the place of hypertable chunks."""
-    week = F.date_trunc("week", "ts").cast("date")
-    out = candles.withColumn("week", week).repartition("interval", "week").sortWithinPartitions("symbol", "ts")
+    """Parquet by interval and week, sorted for range reads; weeks take the place of hypertable chunks. Partitions that have rows are replaced."""
+    out = by_week(candles).repartition("interval", "week").sortWithinPartitions("symbol", "ts")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "week").parquet(path)
 
 
+def stored_candles(spark: SparkSession, path: str, columns: StructType) -> DataFrame:
+    """All of a candle table, with its partition column ``week``; ``columns`` are those of a candle."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.fields if f.name != "week")
+    return spark.read.schema(f"{kinds}, week date").parquet(path)
+
+
+def read_candles(spark: SparkSession, path: str, columns: StructType, interval: str, start: str, end: str) -> DataFrame:
+    """Stored candles of an interval between two times; partitions of other intervals and weeks aren't read."""
+    first, last = (F.date_trunc("week", F.lit(x).cast("timestamp")).cast("date") for x in (start, end))
+    rows = stored_candles(spark, path, columns).where((F.col("interval") == interval) & F.col("week").between(first, last))
+    return in_range(rows, start, end).drop("week")
+
+
+def merge_candles(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], order: list[str], symbols: DataFrame | None = None) -> None:
+    """Merges a batch into a candle table: partitions that it touches are read, merged and replaced, the others stay as they are.
+
+    A batch that runs again changes nothing. With ``symbols``, a row of an unknown symbol is an error.
+    """
+    if symbols is not None:
+        known = symbols.select("symbol").distinct().withColumn("_known", F.lit(True))
+        wrong = F.raise_error(F.concat(F.lit("unknown symbol "), F.coalesce("symbol", F.lit("null"))))
+        batch = batch.join(known, "symbol", "left").withColumn("symbol", F.when(F.col("_known"), F.col("symbol")).otherwise(wrong)).select(batch.columns)
+    new = by_week(batch)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
+    old = stored_candles(spark, path, batch.schema) if there else new.limit(0)
+    touched = old.join(F.broadcast(new.select("interval", "week").distinct()), ["interval", "week"], "left_semi")  # intervals times weeks, at most
+    write_candles(upsert(touched.select(new.columns), new, keys, order).drop("week"), path)
+
+
+def delete_symbols(spark: SparkSession, path: str, columns: StructType, gone: DataFrame) -> None:
+    """Takes symbols out of a candle table; partitions without them stay as they are, those that hold nothing else go."""
+    rows = stored_candles(spark, path, columns)
+    marked = rows.join(gone.select("symbol").distinct().withColumn("_gone", F.lit(True)), "symbol", "left")
+    # as many rows as there are intervals and weeks
+    parts = marked.groupBy("interval", "week").agg(F.count("_gone").alias("gone"), F.count("*").alias("n")).where("gone > 0").collect()
+    touched = spark.createDataFrame([(r["interval"], r["week"]) for r in parts if r["gone"] < r["n"]], "interval string, week date")
+    left = delete(rows.join(F.broadcast(touched), ["interval", "week"], "left_semi"), gone, ["symbol"])
+    left.repartition("interval", "week").sortWithinPartitions("symbol", "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "week").parquet(path)
+    jvm = spark.sparkContext._jvm
+    for r in parts:
+        if r["gone"] == r["n"]:
+            empty = jvm.org.apache.hadoop.fs.Path(f"{path}/interval={r['interval']}/week={r['week']}")
+            empty.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(empty, True)
+
+
 class PagedCandles(DataSource):
     """A data source for paged candle interfaces: one partition per symbol and page.
 

@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.intervals import width
+from tidemark.functions.intervals import INTERVALS, width
 from tidemark.operators.candles import gaps
 from tidemark.operators.merge import last_wins, upsert
+from tidemark.plans.store import work_dir  # noqa: F401  for those that start streams
+from tidemark.sources.feeds import merge_candles, stored_candles
 
 #: How far back each stored rollup takes late candles in.
 LATE = {"60": "3 hours", "240": "12 hours", "D": "3 days"}
+#: How long before now each stored rollup's refresh ends, in hours; it starts ``LATE`` before now.
+END_HOURS = {"60": 1, "240": 4, "D": 24}
+START_HOURS = {"60": 3, "240": 12, "D": 72}
 KEYS = ["symbol", "interval", "ts"]
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def finished(stream: DataFrame, keys: list[str], work: str) -> DataFrame:
     """Runs an aggregation over what is there now, in update mode; the last row of each key."""
     def write(batch: DataFrame, number: int) -> None:
@@ -36,14 +33,8 @@ def finished(stream: DataFrame, keys: list[str], work: str) -> DataFrame:
 
 def merged(stream: DataFrame, work: str, order: str = "arrived") -> DataFrame:
     """Merges what is there now into a table, and reads it."""
-    q = merge_into(stream, f"{work}/table", f"{work}/checkpoint", order)
-    q.awaitTermination()
-    last = max((p["batchId"] for p in q.recentProgress), default=0)
-    spark = stream.sparkSession
-    path = f"{work}/table/{last % 2}"
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-    return spark.read.parquet(path if there else f"{work}/table/{(last + 1) % 2}")
+    merge_into(stream, f"{work}/table", f"{work}/checkpoint", order).awaitTermination()
+    return stored_candles(stream.sparkSession, f"{work}/table", stream.schema).drop("week")
 
 
 def confirmed(stream: DataFrame, late: str = "3 hours") -> DataFrame:
@@ -52,21 +43,13 @@ def confirmed(stream: DataFrame, late: str = "3 hours") -> DataFrame:
 
 
 def merge_into(stream: DataFrame, path: str, checkpoint: str, order: str = "arrived") -> StreamingQuery:
-    """Merges every micro-batch into a table; a batch that runs again changes nothing.
+    """Merges every micro-batch into a table by interval and week; a batch that runs again changes nothing.
 
-    The table is written to one of two folders in turn (``path/0``, ``path/1``), by the batch's number, and read from the
-    other, so that a batch that fails half-way leaves what it reads untouched.
+    A batch rewrites the partitions that it touches, which are replaced when all of its files are written.
     """
-    spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        try:
-            old = spark.read.parquet(f"{path}/{(number + 1) % 2}") if number else batch.limit(0)
-        except Exception as e:  # nothing was written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.limit(0)
-        upsert(old, batch, KEYS, [order]).write.mode("overwrite").parquet(f"{path}/{number % 2}")
+        merge_candles(batch.sparkSession, path, batch, KEYS, [order])
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -80,6 +63,20 @@ def rollup_stream(ticks: DataFrame, code: str, symbol: str, ts: str, price: str,
     ).select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "n")
 
 
+def refreshed(stored: DataFrame, fresh: DataFrame, code: str, now) -> DataFrame:
+    """A stored rollup after a run of its refresh: whole buckets between its start and end offset come from ``fresh``."""
+    before = lambda hours: now - F.make_dt_interval(F.lit(0), F.lit(hours))
+    whole = F.col("ts") + F.expr(f"INTERVAL {width(code)}") <= before(END_HOURS[code])
+    inside = (F.col("ts") >= before(START_HOURS[code])) & whole
+    return stored.where(~inside).unionByName(fresh.where(inside))
+
+
+def repaired(stored: DataFrame, fresh: DataFrame, code: str, now, last: int = 5) -> DataFrame:
+    """After an error in a stream: the last candles are collected anew and merged."""
+    again = fresh.where((F.col("ts") >= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(last * INTERVALS[code] // 1000))) & (F.col("ts") <= now))
+    return upsert(stored, again, ["symbol", "ts"])
+
+
 def backfill(read, fetch, write, code: str, rounds: int = 10) -> int:
     """Fills gaps until none is left or a round brings nothing new; returns the rounds run.
 
