@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
+#: Rows of a batch that a Python worker gets in jobs that ``stored`` runs.
+ROWS_AT_ONCE, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Bytes up to which a side of a join counts as small enough to broadcast.
 BROADCAST_BYTES = 48 << 20
 
@@ -26,10 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Python workers get ``BATCH_ROWS`` rows at once while it runs, as texts may be long.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ROWS_AT_ONCE)
+    spark.conf.set(ROWS_AT_ONCE, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ROWS_AT_ONCE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
