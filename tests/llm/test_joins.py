@@ -167,14 +167,15 @@ def test_line_dedup_edges(edges, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("sample", [neighbours.SAMPLE, 300])  # 300: trees split a part of the table, so leaves grow
+def test_neighbours(spark, sample):
     draw = np.random.default_rng(2)
     points = draw.standard_normal((1500, 16))
     points[700:900] = points[700]  # a large class of equal vectors
     rows = [(k, [float(x) for x in p]) for k, p in enumerate(points)]
     rows += [(2000, None), (2100, []), (2200, [0.0] * 16), (2300, [float("nan")] * 16), (2400, [None] + [1.0] * 15), (2500, [1.0] * 3), (None, [1.0] * 16), (100, rows[100][1])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = neighbours.search(table, F.col("id") % 100 == 0).collect()
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, leaf string, `class` int")
+    found = neighbours.search(table, F.col("id") % 100 == 0, sample=sample).collect()
     by = defaultdict(list)
     for r in sorted(found, key=lambda r: r["rank"]):
         by[r.query_id].append(r)

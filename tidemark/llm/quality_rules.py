@@ -85,19 +85,12 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             rest = F.replace(rest, F.lit(c), F.lit(""))
         return (F.length(t) - F.length(rest)).cast("long")
 
-    # each stop word becomes one mark, and marks are counted; two blanks between words, as one match takes both of its own
-    mark = "\x01"
-    spaced = F.lower(F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" ")))
-    marked = spaced
-    for x in STOP_WORDS:
-        marked = F.replace(marked, F.lit(f" {x} "), F.lit(mark))
-    marks = lambda x: F.length(F.replace(x, F.lit(mark), F.lit(mark * 2))) - F.length(x)
     return second.withColumns({
         "n_words": n.cast("long"),
         "word_chars": (F.length(t) - F.size("_parts") + 1).cast("long"),
         "n_symbols": count("#*$%&|<>"),
         "n_exclaim": count("!"),
-        "n_stop": let(F.struct(spaced.alias("a"), marked.alias("b")), lambda x: marks(x["b"]) - marks(x["a"])).cast("long"),
+        "n_stop": F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_hashes")).cast("long"),
