@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_rules
+from . import decontamination, license_scan, quality_rules
 
 SPACES, BROKEN = r"[\x20\x09-\x0D]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -53,4 +53,19 @@ def license_sql() -> str:
     FROM w LEFT JOIN pb USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 
-ORACLES = {"op4_license_scan": license_sql(), "op9_quality_rules": quality_sql()}
+def decontamination_sql() -> str:
+    cut = lambda c: f"list_filter(regexp_split_to_array(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BROKEN}'), lambda x: x <> '')"
+    width = decontamination.WIDTH
+    return f"""
+    WITH w AS (SELECT doc_id, {cut("text")} AS ws FROM documents),
+    b AS (SELECT item_id, ws, least({width}, len(ws)) AS k FROM (SELECT item_id, {cut("text")} AS ws FROM benchmark) WHERE len(ws) > 0),
+    bw AS (SELECT DISTINCT item_id, k, array_to_string(ws[i + 1 : i + k], ' ') AS g FROM (SELECT *, unnest(range(0, len(ws) - k + 1)) AS i FROM b)),
+    dw AS (SELECT doc_id, k, i, array_to_string(ws[i + 1 : i + k], ' ') AS g FROM (SELECT doc_id, ws, k, unnest(range(0, greatest(len(ws) - k + 1, 0))) AS i FROM w, (SELECT DISTINCT k FROM bw))),
+    h AS (SELECT DISTINCT doc_id, i, k, item_id FROM dw JOIN bw USING (k, g)),
+    hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
+    it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+    FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+ORACLES = {"op4_license_scan": license_sql(), "op9_quality_rules": quality_sql(), "op11_decontamination": decontamination_sql()}
