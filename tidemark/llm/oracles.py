@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scan, quality_rules
+from . import collocations, decontamination, license_scan, quality_rules
 
 SPACES, BROKEN = r"[\x20\x09-\x0D]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -68,4 +68,22 @@ def decontamination_sql() -> str:
     FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 
-ORACLES = {"op4_license_scan": license_sql(), "op9_quality_rules": quality_sql(), "op11_decontamination": decontamination_sql()}
+def collocations_sql() -> str:
+    least, top, longest = collocations.LEAST, collocations.TOP, collocations.LONGEST
+    return f"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+    n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+    i AS (SELECT lang, ws, k, unnest(range(0, greatest(len(ws) - k + 1, 0))) AS i FROM w, (SELECT unnest(range(1, {longest + 1})) AS k)),
+    f AS (SELECT lang, k, array_to_string(ws[i + 1 : i + k], ' ') AS phrase, count(*) AS f FROM i GROUP BY ALL HAVING count(*) >= {least}),
+    c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+    own AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS x WHERE x.lang = c.lang AND x.k > c.k AND x.f >= c.f AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))),
+    j AS (SELECT *, unnest(range(1, k)) AS j FROM own),
+    s AS (SELECT j.lang, j.phrase, j.f AS a, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * j.f * n.n) // (l.f::HUGEINT * r.f) AS score
+        FROM j JOIN f AS l ON l.lang = j.lang AND l.phrase = array_to_string(j.ws[1 : j], ' ') JOIN f AS r ON r.lang = j.lang AND r.phrase = array_to_string(j.ws[j + 1 :], ' ') JOIN n ON n.lang = j.lang
+        QUALIFY row_number() OVER (PARTITION BY j.lang, j.phrase ORDER BY score, j) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {top}"""
+
+
+ORACLES = {"op4_license_scan": license_sql(), "op9_quality_rules": quality_sql(), "op11_decontamination": decontamination_sql(), "op12_collocations": collocations_sql()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extract, license_scan, line_dedup, mixing, neighbours, ngram_join, packing, quality_classifier, quality_rules
+from . import chat_format, collocations, decontamination, html_extract, license_scan, line_dedup, mixing, neighbours, ngram_join, packing, quality_classifier, quality_rules
 from .common import table
 
 
@@ -67,4 +67,8 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_chat_format, op3_line_dedup, op4_license_scan, op5_packing, op6_quality_classifier, op7_html_extract, op8_source_mixing, op9_quality_rules, op10_ngram_join, op11_decontamination)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_chat_format, op3_line_dedup, op4_license_scan, op5_packing, op6_quality_classifier, op7_html_extract, op8_source_mixing, op9_quality_rules, op10_ngram_join, op11_decontamination, op12_collocations)}
