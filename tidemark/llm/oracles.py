@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import collocations, decontamination, license_scan, quality_rules
+from . import collocations, decontamination, license_scan, quality_rules, spelling
+from .queries import SLIP_EVERY
 
 SPACES, BROKEN = r"[\x20\x09-\x0D]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -86,4 +87,22 @@ def collocations_sql() -> str:
     FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {top}"""
 
 
-ORACLES = {"op4_license_scan": license_sql(), "op9_quality_rules": quality_sql(), "op11_decontamination": decontamination_sql(), "op12_collocations": collocations_sql()}
+def spelling_sql() -> str:
+    table = f"[{', '.join(map(str, spelling.crc_table().tolist()))}]"
+    return f"""
+    WITH r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+    g AS (SELECT doc_id, run, count(*) AS many, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r WHERE length(run) >= {spelling.LENGTH} GROUP BY doc_id, run),
+    h AS (SELECT run, many, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT)),
+        lambda c, b: xor({table}[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS h FROM g),
+    s AS (SELECT CASE WHEN h % {SLIP_EVERY} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, many FROM h),
+    w AS (SELECT word, sum(many)::BIGINT AS n FROM s WHERE length(word) >= {spelling.LENGTH} GROUP BY word HAVING sum(many) >= {spelling.LEAST}),
+    d AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS cut FROM (SELECT *, unnest(range(0, length(word))) AS k FROM w)),
+    pairs AS (SELECT a.word, b.word AS near FROM d AS a JOIN d AS b ON a.cut = b.cut AND a.k = b.k AND a.word <> b.word
+        UNION SELECT d.word, w.word FROM d JOIN w ON w.word = d.cut UNION SELECT w.word, d.word FROM d JOIN w ON w.word = d.cut),
+    m AS (SELECT p.word, count(*) AS n_near, arg_min(b.word, (-b.n, b.word)) AS near, max(b.n) AS near_n FROM pairs AS p JOIN w AS b ON b.word = p.near GROUP BY p.word),
+    f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= {spelling.RATIO} * w.n THEN near END AS form, CASE WHEN near_n >= {spelling.RATIO} * w.n THEN near_n END::BIGINT AS form_n FROM w LEFT JOIN m USING (word)),
+    up AS (WITH RECURSIVE u AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT u.word, f.form, steps + 1 FROM u JOIN f ON f.word = u.root WHERE f.form IS NOT NULL) SELECT word, arg_max(root, steps) AS root FROM u GROUP BY word)
+    SELECT f.word, form, root, n, n_near, form_n FROM f JOIN up USING (word)"""
+
+
+ORACLES = {"op4_license_scan": license_sql(), "op9_quality_rules": quality_sql(), "op11_decontamination": decontamination_sql(), "op12_collocations": collocations_sql(), "op13_spelling_variants": spelling_sql()}

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, collocations, decontamination, html_extract, license_scan, line_dedup, mixing, neighbours, ngram_join, packing, quality_classifier, quality_rules
+from . import chat_format, collocations, decontamination, html_extract, license_scan, line_dedup, mixing, neighbours, ngram_join, packing, quality_classifier, quality_rules, spelling
 from .common import table
 
+#: A run loses a code point where this divides its hash: one in so many words is misspelt.
+SLIP_EVERY = 199
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -71,4 +74,8 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_chat_format, op3_line_dedup, op4_license_scan, op5_packing, op6_quality_classifier, op7_html_extract, op8_source_mixing, op9_quality_rules, op10_ngram_join, op11_decontamination, op12_collocations)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), slip_every=SLIP_EVERY)
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_chat_format, op3_line_dedup, op4_license_scan, op5_packing, op6_quality_classifier, op7_html_extract, op8_source_mixing, op9_quality_rules, op10_ngram_join, op11_decontamination, op12_collocations, op13_spelling_variants)}
