@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,11 +13,16 @@ MOST_DIGITS = 28
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def number(raw: Column) -> Column:
     """A double from text such as ``1,234.5`` or ``3.2%``; null for null, invalid or non-finite input."""
-    text = F.regexp_replace(F.trim(F.replace(raw.cast("string"), F.lit(","), F.lit(""))), "%$", "")
-    x = F.when(F.trim(text).rlike(NUMBER), F.trim(text).try_cast("double"))
-    return F.when(F.abs(x) < float("inf"), x)
+    text = F.trim(F.regexp_replace(F.trim(F.replace(raw.cast("string"), F.lit(","), F.lit(""))), "%$", ""))
+    read = let(text, lambda t: F.when(t.rlike(NUMBER), t.try_cast("double")))
+    return let(read, lambda x: F.when(F.abs(x) < float("inf"), x))
 
 
 def decimal(raw: Column, scale: int, digits: int, default: str = "0") -> Column:
@@ -23,16 +30,23 @@ def decimal(raw: Column, scale: int, digits: int, default: str = "0") -> Column:
 
     Values below 1e-10 are 0, those of more than ``digits`` digits are clamped. Where whole digits leave less room than
     ``scale`` within ``digits``, the value is rounded to the places that are left. What would take more than
-    ``MOST_DIGITS`` digits at the full scale is invalid.
+    ``MOST_DIGITS`` digits at the full scale is invalid. Text, number and value are each evaluated once.
     """
     kind = f"decimal(38,{scale})"
-    x, most = number(raw), F.lit("9" * digits).cast("decimal(38,0)")
-    clamped = F.when(x >= float(f"1e{digits}"), most.try_cast(kind)).when(x <= -float(f"1e{digits}"), (-most).try_cast(kind)).otherwise(x.try_cast(kind))
-    value = F.when(F.abs(x) < TINY, F.lit(0).cast(kind)).otherwise(clamped)
-    out = F.when(F.abs(value) >= F.lit("1" + "0" * (MOST_DIGITS - scale)).cast("decimal(38,0)"), F.lit(None).cast(kind))
-    for places in range(scale):  # the widest values first
-        out = out.when(F.abs(value) >= F.lit("1" + "0" * (digits - places - 1)).cast("decimal(38,0)"), F.round(value, places).cast(kind))
-    return F.coalesce(out.otherwise(value), F.lit(default).cast(kind))
+    most = F.lit("9" * digits).cast("decimal(38,0)")
+    whole = lambda n: F.lit("1" + "0" * n).cast("decimal(38,0)")
+
+    def value(x: Column) -> Column:
+        clamped = F.when(x >= float(f"1e{digits}"), most.try_cast(kind)).when(x <= -float(f"1e{digits}"), (-most).try_cast(kind)).otherwise(x.try_cast(kind))
+        return F.when(F.abs(x) < TINY, F.lit(0).cast(kind)).otherwise(clamped)
+
+    def shed(v: Column) -> Column:
+        out = F.when(F.abs(v) >= whole(MOST_DIGITS - scale), F.lit(None).cast(kind))
+        for places in range(scale):  # the widest values first
+            out = out.when(F.abs(v) >= whole(digits - places - 1), F.round(v, places).cast(kind))
+        return out.otherwise(v)
+
+    return F.coalesce(let(let(number(raw), value), shed), F.lit(default).cast(kind))
 
 
 def percent(raw: Column, default: str = "0") -> Column:

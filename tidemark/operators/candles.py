@@ -6,10 +6,11 @@ operators work on any number of symbols in one plan and shuffle on (symbol, buck
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import INTERVALS, bucket, to_ms
+from tidemark.plans.series import cut
 
 MAX_LIMIT = 1000
 VALUES = ["open", "high", "low", "close", "volume", "turnover"]
@@ -55,21 +56,24 @@ def in_range(candles: DataFrame, start: str, end: str) -> DataFrame:
     return candles.where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
 
 
-def gaps(candles: DataFrame, code: str, by: list[str] | None = None) -> DataFrame:
+def gaps(candles: DataFrame, code: str, by: list[str] | None = None, segments: int | None = None) -> DataFrame:
     """``gap_start`` (ms, included) and ``gap_end`` (ms, not included) of holes of two candles or more.
 
-    One missing candle is no gap, and neither is what lacks before the first or after the last candle.
+    One missing candle is no gap, and neither is what lacks before the first or after the last candle. Series are cut by key and time
+    (``plans/series``), and the first candle of a segment is handed to the segment before it. Rows without a key or a time are left out.
     """
     keys, w = by or ["symbol"], INTERVALS[code]
-    ms = candles.select(*keys, to_ms(F.col("ts")).alias("ms"))
-    following = F.lead("ms").over(Window.partitionBy(*keys).orderBy("ms"))
-    found = ms.withColumn("gap_end", following).where(F.col("gap_end") - F.col("ms") > 2 * w)
+    s = cut(candles.select(*keys, to_ms(F.col("ts")).alias("ms")), keys, "ms", segments)
+    kinds = "next long"
+    heads = s.rows.groupBy(*s.key).agg(F.min("ms").alias("head"))
+    rows = s.with_carried(s.rows, s.carried(heads, lambda chain: [(r["head"],) for r in chain[1:]] + [(None,)], kinds), kinds)
+    found = rows.withColumn("gap_end", F.coalesce(F.lead("ms").over(s.within()), "next")).where(F.col("gap_end") - F.col("ms") > 2 * w)
     return found.select(*keys, (F.col("ms") + w).alias("gap_start"), "gap_end")
 
 
-def first_gap(candles: DataFrame, code: str, last_complete_ms: int) -> DataFrame:
+def first_gap(candles: DataFrame, code: str, last_complete_ms: int, segments: int | None = None) -> DataFrame:
     """Each symbol's earliest gap, if it ends before the last complete candle."""
-    first = gaps(candles, code).groupBy("symbol").agg(F.min(F.struct("gap_start", "gap_end")).alias("gap"))
+    first = gaps(candles, code, segments=segments).groupBy("symbol").agg(F.min(F.struct("gap_start", "gap_end")).alias("gap"))
     return first.select("symbol", "gap.gap_start", "gap.gap_end").where(F.col("gap_end") < last_complete_ms)
 
 

@@ -291,9 +291,15 @@ def ind_min_rows(t):
     return ind.too_short(t("events").select(F.concat(F.col("user_id").cast("string"), "event_type").alias("symbol")))
 
 
-@query("ind_dispatch", f"WITH {ENOUGH}, s AS (SELECT symbol, ts, k, avg(close) {FRAME} AS sma FROM e) SELECT symbol, ts, round(sma, 6) AS sma FROM s WHERE k >= 20")
+SIX = " LEFT JOIN ".join(f"({ORACLES[f'ind_{name}']}){' USING (symbol, ts)' if k else ''}" for k, name in enumerate(("obv", "sma", "ema", "rsi", "macd", "bbands")))
+
+
+@query("ind_dispatch", f"SELECT symbol, ts, obv, sma, ema, rsi, macd, signal, histogram, upper, middle, lower, bandwidth FROM {SIX}")
 def ind_dispatch(t):
-    return ind.indicator(hourly(t), "sma", length=0).select("symbol", "ts", *r6("sma"))
+    """All six from one cut of the series; a parameter of 0 takes its default."""
+    names = ("sma", "ema", "rsi", "macd", "signal", "histogram", "upper", "middle", "lower", "bandwidth")
+    out = ind.indicators(hourly(t), {"obv": {}, "sma": {"length": 0}, "ema": {}, "rsi": {}, "macd": {}, "bb": {}})
+    return out.select("symbol", "ts", F.round("obv", 4).alias("obv"), *r6(*names))
 
 
 @query("flt_finite", "SELECT event_id, value FROM events WHERE value IS NOT NULL AND isfinite(value)")
