@@ -6,6 +6,7 @@ Trades are the rows of ``events``: the event type is the symbol, the value its p
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -648,9 +649,11 @@ def mnt_hypertable(t):
     return feeds.stored_candles(spark, path, kind).groupBy("interval", F.col("week").cast("string").alias("week")).agg(F.count("*").alias("n"))
 
 
-@query("mnt_retention", f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY")
+@query("mnt_retention", f"WITH {bars_sql()}, day AS ({candle_sql('bars', 'D')}) SELECT * FROM (SELECT '60' AS \"interval\", symbol, ts, close FROM bars UNION ALL SELECT 'D', symbol, ts, close FROM day) WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY")
 def mnt_retention(t):
-    return mg.retain(t("events"), "ts", moment(NOW), 10).select("event_id")
+    spark, path, kind = candle_table(t, "mnt_retention")
+    feeds.retain_candles(spark, path, kind, datetime.fromisoformat(NOW) - timedelta(days=10))
+    return feeds.stored_candles(spark, path, kind).select("interval", "symbol", "ts", "close")
 
 
 def refresh_sql() -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from datetime import datetime, time, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -87,37 +89,94 @@ def read_candles(spark: SparkSession, path: str, columns: StructType, interval:
     return in_range(rows, start, end).drop("week")
 
 
+def partitions_of(rows: DataFrame) -> list[tuple]:
+    """The intervals and weeks of rows; there are as many as the table has partitions, at most."""
+    return [(r["interval"], r["week"]) for r in rows.select("interval", "week").distinct().collect()]
+
+
+def within(parts: list[tuple]) -> Column:
+    """A filter by literals, so that other partitions aren't even listed for the scan."""
+    weeks: dict[str, list] = {}
+    for interval, week in parts:
+        weeks.setdefault(interval, []).append(week)
+    out = F.lit(False)
+    for interval, some in weeks.items():
+        out = out | ((F.col("interval") == interval) & F.col("week").isin(sorted(some)))
+    return out
+
+
+def folder(spark: SparkSession, path: str):
+    """A path as the file system knows it, and the file system."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_partitions(spark: SparkSession, path: str, parts: list[tuple]) -> None:
+    for interval, week in parts:
+        gone, files = folder(spark, f"{path}/interval={interval}/week={week}")
+        files.delete(gone, True)
+
+
 def merge_candles(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], order: list[str], symbols: DataFrame | None = None) -> None:
-    """Merges a batch into a candle table: partitions that it touches are read, merged and replaced, the others stay as they are.
+    """Merges a batch into a candle table: partitions that it touches are read, merged and replaced, the others stay as they are and aren't read.
 
-    A batch that runs again changes nothing. With ``symbols``, a row of an unknown symbol is an error.
+    A batch that runs again changes nothing. With ``symbols``, a row of an unknown symbol is an error. Rows without interval or time are no candles and are left out.
     """
+    batch = batch.where("interval IS NOT NULL AND ts IS NOT NULL")
     if symbols is not None:
         known = symbols.select("symbol").distinct().withColumn("_known", F.lit(True))
         wrong = F.raise_error(F.concat(F.lit("unknown symbol "), F.coalesce("symbol", F.lit("null"))))
         batch = batch.join(known, "symbol", "left").withColumn("symbol", F.when(F.col("_known"), F.col("symbol")).otherwise(wrong)).select(batch.columns)
     new = by_week(batch)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-    old = stored_candles(spark, path, batch.schema) if there else new.limit(0)
-    touched = old.join(F.broadcast(new.select("interval", "week").distinct()), ["interval", "week"], "left_semi")  # intervals times weeks, at most
-    write_candles(upsert(touched.select(new.columns), new, keys, order).drop("week"), path)
+    touched = partitions_of(new)
+    if not touched:
+        return
+    jpath, files = folder(spark, path)
+    old = stored_candles(spark, path, batch.schema).where(within(touched)) if files.exists(jpath) else new.limit(0)
+    write_candles(upsert(old.select(new.columns), new, keys, order).drop("week"), path)
+
+
+def rewrite(spark: SparkSession, path: str, kept: DataFrame) -> None:
+    """Replaces the partitions that ``kept`` has rows of."""
+    out = kept.repartition("interval", "week").sortWithinPartitions("symbol", "ts")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "week").parquet(path)
+
+
+#: Symbols up to which a delete looks for them by a filter that reaches the files, which are sorted by symbol.
+NAMED = 1000
 
 
 def delete_symbols(spark: SparkSession, path: str, columns: StructType, gone: DataFrame) -> None:
-    """Takes symbols out of a candle table; partitions without them stay as they are, those that hold nothing else go."""
+    """Takes symbols out of a candle table; partitions without them stay as they are, those that hold nothing else go.
+
+    To find the partitions, only the column of symbols is read, and of it, for few symbols, only the row groups that may hold them.
+    """
+    rows, names = stored_candles(spark, path, columns), gone.select("symbol").where("symbol IS NOT NULL").distinct()
+    listed = [r["symbol"] for r in names.limit(NAMED + 1).collect()]
+    found = rows.where(F.col("symbol").isin(listed)) if len(listed) <= NAMED else rows.join(names, "symbol", "left_semi")
+    hits = {(r["interval"], r["week"]): r["n"] for r in found.groupBy("interval", "week").agg(F.count("*").alias("n")).collect()}
+    if not hits:
+        return
+    touched = rows.where(within(list(hits)))
+    all_rows = {(r["interval"], r["week"]): r["n"] for r in touched.groupBy("interval", "week").agg(F.count("*").alias("n")).collect()}
+    left = [k for k, n in hits.items() if n < all_rows[k]]
+    if left:
+        some = rows.where(within(left))
+        rewrite(spark, path, some.where(~F.col("symbol").isin(listed) | F.col("symbol").isNull()) if len(listed) <= NAMED else delete(some, names, ["symbol"]))
+    drop_partitions(spark, path, [k for k in hits if k not in left])
+
+
+def retain_candles(spark: SparkSession, path: str, columns: StructType, oldest: datetime) -> None:
+    """Takes candles before a moment out of a table: whole weeks are dropped, and only the week that holds the moment is read and rewritten."""
     rows = stored_candles(spark, path, columns)
-    marked = rows.join(gone.select("symbol").distinct().withColumn("_gone", F.lit(True)), "symbol", "left")
-    # as many rows as there are intervals and weeks
-    parts = marked.groupBy("interval", "week").agg(F.count("_gone").alias("gone"), F.count("*").alias("n")).where("gone > 0").collect()
-    touched = spark.createDataFrame([(r["interval"], r["week"]) for r in parts if r["gone"] < r["n"]], "interval string, week date")
-    left = delete(rows.join(F.broadcast(touched), ["interval", "week"], "left_semi"), gone, ["symbol"])
-    left.repartition("interval", "week").sortWithinPartitions("symbol", "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "week").parquet(path)
-    jvm = spark.sparkContext._jvm
-    for r in parts:
-        if r["gone"] == r["n"]:
-            empty = jvm.org.apache.hadoop.fs.Path(f"{path}/interval={r['interval']}/week={r['week']}")
-            empty.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(empty, True)
+    old = [(i, w) for i, w in partitions_of(rows.where(F.col("week") <= F.lit(oldest.date()))) if w is not None]
+    ends = lambda w: datetime.combine(w, time()) + timedelta(days=7)
+    cut = [(i, w) for i, w in old if ends(w) > oldest]
+    kept = rows.where(within(cut) & (F.col("ts") >= F.lit(oldest).cast(rows.schema["ts"].dataType)))
+    there = partitions_of(kept) if cut else []
+    if there:
+        rewrite(spark, path, kept)
+    drop_partitions(spark, path, [k for k in old if k not in there])
 
 
 class PagedCandles(DataSource):
