@@ -60,12 +60,6 @@ def retain(rows: DataFrame, ts: str, now, days: int) -> DataFrame:
     return rows.where(F.col(ts) >= now - F.make_dt_interval(F.lit(days)))
 
 
-def refresh_window(stored: DataFrame, fresh: DataFrame, ts: str, start, end) -> DataFrame:
-    """A rollup whose buckets in [start, end) are taken from a fresh computation, all others from the stored table."""
-    inside = (F.col(ts) >= start) & (F.col(ts) < end)
-    return stored.where(~inside).unionByName(fresh.where(inside))
-
-
 def stale(entities: DataFrame, stored: DataFrame, key: str, now, max_age_s: int) -> DataFrame:
     """Entities to collect: those never stored, or stored ``max_age_s`` seconds ago or earlier."""
     age = F.unix_timestamp(now) - F.unix_timestamp(F.col("updated_at").cast("timestamp"))

@@ -19,7 +19,7 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import merge as mg
 from tidemark.operators import monitoring as mon
 from tidemark.operators import records as rec
-from tidemark.plans import router
+from tidemark.plans import rollups, router
 from tidemark.sources import feeds
 from tidemark.streaming import candles as st
 
@@ -656,22 +656,68 @@ def mnt_retention(t):
     return feeds.stored_candles(spark, path, kind).select("interval", "symbol", "ts", "close")
 
 
+def inside_sql(code: str, now: str) -> str:
+    return f"ts >= TIMESTAMP '{now}' - INTERVAL {rollups.START_HOURS[code]} HOUR AND ts + INTERVAL '{WIDTHS[code]}' <= TIMESTAMP '{now}' - INTERVAL {rollups.END_HOURS[code]} HOUR"
+
+
 def refresh_sql() -> str:
     """Every view's stored close is -1 but for whole buckets between the offsets of its policy."""
-    views = []
-    for code in st.START_HOURS:
-        inside = f"ts >= TIMESTAMP '{NOW}' - INTERVAL {st.START_HOURS[code]} HOUR AND ts + INTERVAL '{WIDTHS[code]}' <= TIMESTAMP '{NOW}' - INTERVAL {st.END_HOURS[code]} HOUR"
-        views.append(f"SELECT '{code}' AS view, symbol, ts, CASE WHEN {inside} THEN close ELSE -1.0 END AS close FROM ({candle_sql('bars', code)})")
+    views = [f"SELECT '{code}' AS view, symbol, ts, CASE WHEN {inside_sql(code, NOW)} THEN close ELSE -1.0 END AS close FROM ({candle_sql('bars', code)})" for code in rollups.HOURS]
     return f"WITH {bars_sql('5')} " + " UNION ALL ".join(views)
 
 
+def five_minutes(t: Table) -> DataFrame:
+    return cd.bars(t("events"), "5", "event_type", "ts", "value", "event_id").withColumn("interval", F.lit("5"))
+
+
+def views_of(r: rollups.Rollups) -> DataFrame:
+    kept = feeds.stored_candles(r.spark, f"{r.path}/candles", r.columns).where(F.col("interval").isin(*rollups.HOURS))
+    return kept.select(F.col("interval").alias("view"), "symbol", "ts", "close", "n")
+
+
 @query("mnt_refresh_policy", refresh_sql())
 def mnt_refresh(t):
-    base, out = cd.bars(t("events"), "5", "event_type", "ts", "value", "event_id"), []
-    for code in st.START_HOURS:
-        fresh = cd.rollup(base.drop("n"), code)
-        out.append(st.refreshed(fresh.withColumn("close", F.lit(-1.0)), fresh, code, moment(NOW)).select(F.lit(code).alias("view"), "symbol", "ts", "close"))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    base = five_minutes(t)
+    r = rollups.Rollups(base.sparkSession, st.work_dir(base.sparkSession, "mnt_refresh_policy"), "5", base.schema)
+    for code in rollups.HOURS:
+        old = cd.rollup(base.drop("n"), code).withColumn("close", F.lit(-1.0)).withColumn("interval", F.lit(code))
+        feeds.write_candles(old.select(base.columns), f"{r.path}/candles")
+    r.ingest(base)
+    for code in rollups.HOURS:
+        r.refresh(code, datetime.fromisoformat(NOW))
+    return views_of(r).drop("n")
+
+
+BEFORE = "2024-01-20 07:34:56"
+
+
+def late_sql() -> str:
+    """Buckets of the later refresh hold all trades; of the others, those of the earlier one hold what had come by then."""
+    early = bars_sql("5").replace("bars AS", "early AS").replace("FROM events", "FROM events WHERE event_id % 5 > 0")
+    views = []
+    for code in rollups.HOURS:
+        now, before = inside_sql(code, NOW), inside_sql(code, BEFORE)
+        views.append(f"SELECT '{code}' AS view, symbol, ts, close, n FROM ({counted_sql('bars', code)}) WHERE {now}")
+        views.append(f"SELECT '{code}', symbol, ts, close, n FROM ({counted_sql('early', code)}) WHERE {before} AND NOT ({now})")
+    return f"WITH {bars_sql('5')}, {early} " + " UNION ALL ".join(views)
+
+
+def counted_sql(source: str, code: str) -> str:
+    return candle_sql(source, code).replace("count(*) AS n", "sum(n)::BIGINT AS n")
+
+
+@query("mnt_refresh_late", late_sql())
+def mnt_refresh_late(t):
+    """Every fifth trade comes after a first refresh, and only the buckets that it touches are computed anew by the second."""
+    base = five_minutes(t)
+    r = rollups.Rollups(base.sparkSession, st.work_dir(base.sparkSession, "mnt_refresh_late"), "5", base.schema)
+    late = t("events").where("event_id % 5 = 0").select(F.col("event_type").alias("symbol"), iv.bucket("ts", "5").alias("ts")).distinct()
+    early = cd.bars(t("events").where("event_id % 5 > 0"), "5", "event_type", "ts", "value", "event_id").withColumn("interval", F.lit("5"))
+    for batch, now in ((early, BEFORE), (base.join(late, ["symbol", "ts"], "left_semi"), NOW)):
+        r.ingest(batch)
+        for code in rollups.HOURS:
+            r.refresh(code, datetime.fromisoformat(now))
+    return views_of(r)
 
 
 @query("mnt_full_refresh", f"WITH {bars_sql()} SELECT {ROUNDED} FROM ({candle_sql('bars', 'D')})")

@@ -14,9 +14,6 @@ from tidemark.sources.feeds import merge_candles, stored_candles
 
 #: How far back each stored rollup takes late candles in.
 LATE = {"60": "3 hours", "240": "12 hours", "D": "3 days"}
-#: How long before now each stored rollup's refresh ends, in hours; it starts ``LATE`` before now.
-END_HOURS = {"60": 1, "240": 4, "D": 24}
-START_HOURS = {"60": 3, "240": 12, "D": 72}
 KEYS = ["symbol", "interval", "ts"]
 
 
@@ -63,14 +60,6 @@ def rollup_stream(ticks: DataFrame, code: str, symbol: str, ts: str, price: str,
     ).select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "n")
 
 
-def refreshed(stored: DataFrame, fresh: DataFrame, code: str, now) -> DataFrame:
-    """A stored rollup after a run of its refresh: whole buckets between its start and end offset come from ``fresh``."""
-    before = lambda hours: now - F.make_dt_interval(F.lit(0), F.lit(hours))
-    whole = F.col("ts") + F.expr(f"INTERVAL {width(code)}") <= before(END_HOURS[code])
-    inside = (F.col("ts") >= before(START_HOURS[code])) & whole
-    return stored.where(~inside).unionByName(fresh.where(inside))
-
-
 def repaired(stored: DataFrame, fresh: DataFrame, code: str, now, last: int = 5) -> DataFrame:
     """After an error in a stream: the last candles are collected anew and merged."""
     again = fresh.where((F.col("ts") >= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(last * INTERVALS[code] // 1000))) & (F.col("ts") <= now))
