@@ -38,8 +38,8 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: Fixed values: ``[.,;:!?\\x0A-\\x0D]`` ends a piece, blanks and tabs end a word.
 ENDS = byte_class(".,;:!?" + between((0x0A, 0x0D)))
 BLANK = byte_class(" \t")
-BYTES_A_CELL, LEAST_BITS, MOST_BITS, SLICE = 64, 16, 26, 1 << 16
-#: Phrases that a task holds before it gives them out.
+BYTES_A_CELL, LEAST_BITS, MOST_BITS, SLICE = 128, 16, 26, 1 << 16
+#: Phrases that a task holds before it gives them out, and that a bucket holds, about.
 HELD = 300_000
 
 
@@ -122,45 +122,62 @@ def sketched(docs: DataFrame, bits: int, number: int, rounds: int, least: int) -
                 part = tables[row, k * SLICE : (k + 1) * SLICE]
                 if part.any():
                     yield made([row * per_row + k], [zlib.compress(part.tobytes(), 1)], [None], [None])
-        yield made([None] * len(words), [None] * len(words), list(words), list(words.values()))
+        yield made([-1] * len(words), [None] * len(words), list(words), list(words.values()))
 
-    return stored(docs.mapInArrow(read, "slice int, data binary, lang string, n long"), "sketch")
+    return docs.mapInArrow(read, "slice int, data binary, lang string, n long")
 
 
-def merged(sketches: DataFrame, bits: int, least: int) -> np.ndarray:
-    """Which cells reach ``least`` in all tasks' sketches together, as bits: two rows of ``2 ** bits``."""
+def merged(sketches: DataFrame, bits: int, least: int) -> tuple[np.ndarray, DataFrame]:
+    """Which cells reach ``least`` in all tasks' sketches together, as bits: two rows of ``2 ** bits``; and the words by language, ``lang`` and ``n``."""
     kind, per_row, width = np.uint8 if least < 256 else np.uint32, max(1, (1 << bits) // SLICE), min(SLICE, 1 << bits)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        words: dict[str, int] = defaultdict(int)
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(data), kind)
-                sums[k] = np.minimum(sums[k] + part, least).astype(np.int64) if k in sums else part.astype(np.int64)
+            for k, data, lang, n in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if lang is not None:
+                    words[lang] += n
+                    continue
+                part = np.frombuffer(zlib.decompress(data), kind).astype(np.int64)
+                sums[k] = np.minimum(sums[k] + part, least) if k in sums else part
         for k, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["slice", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], ["slice", "data", "lang", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.binary()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["slice", "data", "lang", "n"])
 
-    slices = sketches.where("slice IS NOT NULL").select("slice", "data")
+    dealt = sketches.repartition(min(2 * per_row, 4 * partitions(sketches)), "slice", "lang")
+    found = stored(dealt.mapInArrow(add, "slice int, data binary, lang string, n long"), "sketch")
     out = np.zeros((2, (1 << bits) // 8), np.uint8)
-    for row in slices.repartition(min(2 * per_row, 4 * partitions(slices)), "slice").mapInArrow(add, "slice int, data binary").collect():
+    for row in found.where("slice IS NOT NULL").select("slice", "data").collect():
         at = row["slice"] % per_row * (width // 8)
         out[row["slice"] // per_row, at : at + width // 8] = np.frombuffer(row["data"], np.uint8)
-    return out
+    return out, found.where("lang IS NOT NULL").select("lang", "n")
 
 
-def survivors(docs: DataFrame, reached: np.ndarray, bits: int, number: int, rounds: int) -> DataFrame:
-    """Counts by task of the phrases whose cells all reach the threshold: ``lang``, ``phrase``, ``n``."""
+def survivors(docs: DataFrame, reached: np.ndarray, bits: int, number: int, rounds: int, least: int, buckets: int) -> DataFrame:
+    """Exact counts of the phrases whose cells all reach the threshold, and that reach it themselves: ``lang``, ``phrase``, ``a``.
+
+    A task sends its phrases as packed lists, one for each bucket and language, and a bucket adds up those of all tasks.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(reached.tobytes())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, other = Hasher(), Hasher(11)
         there = np.frombuffer(sent.value, np.uint8).reshape(2, -1)
-        held: dict[tuple[str, bytes], int] = defaultdict(int)
+        held: dict[str, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
 
         def given() -> pa.RecordBatch:
-            out = [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())]
+            lists: dict[tuple[int, str], tuple[list, list]] = defaultdict(lambda: ([], []))
+            for lang, found in held.items():
+                for phrase, n in found.items():
+                    phrases, counts = lists[zlib.crc32(phrase) % buckets, lang]
+                    phrases.append(phrase)
+                    counts.append(n)
             held.clear()
-            return pa.RecordBatch.from_arrays(out, ["lang", "phrase", "n"])
+            columns = [pa.array([k[0] for k in lists], pa.int32()), pa.array([k[1] for k in lists], pa.string())]
+            columns.append(pa.array([zlib.compress(b"\n".join(v[0]), 1) for v in lists.values()], pa.binary()))
+            columns.append(pa.array([zlib.compress(np.array(v[1], "<i8").tobytes(), 1) for v in lists.values()], pa.binary()))
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "lang", "phrases", "counts"])
 
         def kept(cell: np.ndarray, row: int) -> np.ndarray:
             return (there[row, cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
@@ -176,27 +193,47 @@ def survivors(docs: DataFrame, reached: np.ndarray, bits: int, number: int, roun
                     at = at[kept(first, 0) & kept(last, 1)]
                     one, many, _ = distinct(h[at], h2[at])
                     for i, n in zip(at[one].tolist(), many.tolist(), strict=True):
-                        held[langs[x.rows[i]], x.phrase(i, k)] += n
-                if len(held) > HELD:
+                        held[langs[x.rows[i]]][x.phrase(i, k)] += n
+                if sum(map(len, held.values())) > HELD:
+                    yield given()
+        yield given()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, defaultdict(int)
+
+        def given() -> pa.RecordBatch:
+            found = [(p, n) for p, n in sums.items() if n >= least]
+            sums.clear()
+            columns = [pa.array([now[1]] * len(found) if now else [], pa.string()), pa.array([p for p, _ in found], pa.binary()).cast(pa.string()), pa.array([n for _, n in found], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "a"])
+
+        for batch in batches:
+            for bucket, lang, phrases, counts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if (bucket, lang) != now:
                     yield given()
+                    now = (bucket, lang)
+                for p, n in zip(zlib.decompress(phrases).split(b"\n"), np.frombuffer(zlib.decompress(counts), "<i8").tolist(), strict=True):
+                    sums[p] += n
         yield given()
 
-    return docs.mapInArrow(read, "lang string, phrase string, n long")
+    lists = docs.mapInArrow(read, "bucket int, lang string, phrases binary, counts binary")
+    return lists.repartition(buckets, "bucket", "lang").sortWithinPartitions("bucket", "lang").mapInArrow(add, "lang string, phrase string, a long")
 
 
 def frequent(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
     """Exact counts of all phrases of 1 to ``LONGEST`` words that come ``least`` times or more (``lang``, ``phrase``, ``a``), and ``lang``, ``n`` (all words)."""
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    wanted = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 100 // (least * BYTES_A_CELL)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = size * 100 // (least * BYTES_A_CELL)
     bits = min(most_bits, max(LEAST_BITS, int(wanted).bit_length()))
     rounds = max(1, -(-wanted >> bits))
+    # no more than size / 2 phrases of a length can stand in a text, of which one in ``least`` comes so often
+    buckets = max(partitions(rows), LONGEST * size // (2 * least * HELD))
     totals = counts = None
     for number in range(rounds):
-        sketches = sketched(rows, bits, number, rounds, least)
-        if totals is None:
-            totals = stored(sketches.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "words")
-        found = survivors(rows, merged(sketches, bits, least), bits, number, rounds).groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        found = stored(found, "phrases")
+        reached, words = merged(sketched(rows, bits, number, rounds, least), bits, least)
+        totals = words if totals is None else totals
+        found = stored(survivors(rows, reached, bits, number, rounds, least, buckets), "phrases")
         counts = found if counts is None else counts.unionByName(found)
     return counts, totals
 
