@@ -19,7 +19,7 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import merge as mg
 from tidemark.operators import monitoring as mon
 from tidemark.operators import records as rec
-from tidemark.plans import rollups, router
+from tidemark.plans import coverage, rollups, router
 from tidemark.sources import feeds
 from tidemark.streaming import candles as st
 
@@ -173,6 +173,10 @@ GAPS = f"""WITH {bars_sql()}, l AS (SELECT symbol, (epoch_us(ts) // 1000) AS ms,
     g AS (SELECT symbol, ms + 3600000 AS gap_start, gap_end FROM l WHERE gap_end - ms > 7200000)"""
 
 
+ISLANDS = f"""{bars_sql()}, m AS (SELECT symbol, (epoch_us(ts) // 1000) AS ms FROM bars), g AS (SELECT symbol, ms, ms - 3600000 * row_number() OVER (PARTITION BY symbol ORDER BY ms) AS run FROM m),
+    covered AS (SELECT symbol, min(ms) AS start_ms, max(ms) + 3600000 AS end_ms FROM g GROUP BY symbol, run)"""
+
+
 @query("op_gaps", GAPS + " SELECT * FROM g")
 def op_gaps(t):
     return cd.gaps(hourly(t), BASE)
@@ -1091,9 +1095,9 @@ def val_candles(t):
     return rows.select("event_id", F.array_join(rec.errors(rec.candle_rules(F.lit(NOW_MS))), ",").alias("errors"))
 
 
-@query("st_resume_point", f"SELECT event_type AS symbol, CASE WHEN 1704067200000 < min((epoch_us(ts) // 1000)) THEN 1704067200000 ELSE max((epoch_us(ts) // 1000)) END AS start_ms, CASE WHEN 1704067200000 < min((epoch_us(ts) // 1000)) THEN min((epoch_us(ts) // 1000)) ELSE {NOW_MS} END AS end_ms FROM events GROUP BY 1")
+@query("st_resume_point", f"WITH {ISLANDS} SELECT symbol, CASE WHEN 1704067200000 < min(start_ms) THEN 1704067200000 ELSE max(end_ms) - 3600000 END AS start_ms, CASE WHEN 1704067200000 < min(start_ms) THEN min(start_ms) ELSE {NOW_MS} END AS end_ms FROM covered GROUP BY symbol")
 def st_resume(t):
-    r = cd.time_range(t("events").select(F.col("event_type").alias("symbol"), "ts"))
+    r = coverage.ends(coverage.of_candles(hourly(t), BASE), BASE)
     return r.select("symbol", *st.resume_side(F.col("first_ms"), F.col("last_ms"), F.lit(1_704_067_200_000), F.lit(NOW_MS)))
 
 
@@ -1148,17 +1152,36 @@ def holes(t: Table) -> tuple[DataFrame, DataFrame]:
     return full, full.where(~F.col("ts").between(moment("2024-01-10"), moment("2024-01-12")))
 
 
-@query("st_backfill_loop", f"WITH {bars_sql()} SELECT symbol, ts, open, close FROM bars")
-def st_backfill_loop(t):
+def backfilled(t: Table, name: str):
+    """A table with holes, filled round by round; its path and columns, and what is covered."""
     full, state = holes(t)
-    state = [state]
+    full = full.withColumn("interval", F.lit(BASE))
+    path = st.work_dir(full.sparkSession, name)
+    feeds.write_candles(state.withColumn("interval", F.lit(BASE)), path)
 
     def fetch(found):
-        ms = iv.to_ms(F.col("ts"))
-        return full.join(found, "symbol").where((ms >= F.col("gap_start")) & (ms < F.col("gap_end"))).select(full.columns)
+        w = iv.INTERVALS[BASE]
+        page = F.sequence(F.col("gap_start"), F.col("gap_end") - w, F.lit(w))
+        asked = found.select("symbol", F.explode(page).alias("ms")).select("symbol", iv.from_ms(F.col("ms")).cast("timestamp_ntz").alias("ts"))
+        return full.join(asked, ["symbol", "ts"], "left_semi").select(full.columns)
+
+    def write(rows):
+        feeds.merge_candles(full.sparkSession, path, rows, ["symbol", "interval", "ts"], ["ts"])
+
+    covered, _ = st.backfill(coverage.of_candles(state, BASE), fetch, write, BASE)
+    return full.sparkSession, path, full.schema, covered
+
+
+@query("st_backfill_loop", f"WITH {bars_sql()} SELECT symbol, ts, open, close FROM bars")
+def st_backfill_loop(t):
+    spark, path, kind, _ = backfilled(t, "st_backfill_loop")
+    return feeds.stored_candles(spark, path, kind).select("symbol", "ts", "open", "close")
+
 
-    st.backfill(lambda: state[0], fetch, lambda rows: state.append(mg.upsert(state.pop(), rows, ["symbol", "ts"])), BASE)
-    return state[0]
+@query("st_covered", f"WITH {ISLANDS} SELECT symbol, start_ms, end_ms FROM covered")
+def st_covered(t):
+    """What a backfill says is covered, without a look at the candles."""
+    return backfilled(t, "st_covered")[3]
 
 
 @query("st_repair", f"WITH {bars_sql()} SELECT symbol, ts, open, CASE WHEN ts BETWEEN TIMESTAMP '{NOW}' - INTERVAL 5 HOUR AND TIMESTAMP '{NOW}' THEN close ELSE -1.0 END AS close FROM bars")

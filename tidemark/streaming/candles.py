@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.intervals import INTERVALS, width
-from tidemark.operators.candles import gaps
 from tidemark.operators.merge import last_wins, upsert
-from tidemark.plans.store import work_dir  # noqa: F401  for those that start streams
+from tidemark.plans import coverage
+from tidemark.plans.store import stored, work_dir  # noqa: F401  for those that start streams
 from tidemark.sources.feeds import merge_candles, stored_candles
 
 #: How far back each stored rollup takes late candles in.
@@ -66,20 +66,23 @@ def repaired(stored: DataFrame, fresh: DataFrame, code: str, now, last: int = 5)
     return upsert(stored, again, ["symbol", "ts"])
 
 
-def backfill(read, fetch, write, code: str, rounds: int = 10) -> int:
-    """Fills gaps until none is left or a round brings nothing new; returns the rounds run.
+def backfill(covered: DataFrame, fetch, write, code: str, rounds: int = 10) -> tuple[DataFrame, int]:
+    """Fills gaps until none is left or a round brings nothing new; what is covered then, and the rounds run.
 
-    ``read()`` gives the stored candles, ``fetch(gaps)`` candles for a table of gaps, ``write(candles)`` stores them.
+    ``fetch(gaps)`` gives candles for a table of gaps, ``write(candles)`` stores them. A round reads the covered intervals and the candles
+    that it fetched; stored candles aren't read.
     """
-    before = None
     for k in range(rounds):
-        found = gaps(read(), code)
-        n = found.count()
-        if n == 0 or n == before:
-            return k
-        before = n
-        write(fetch(found))
-    return rounds
+        found = stored(coverage.gaps(covered, code), "gaps")
+        if found.isEmpty():
+            return covered, k
+        rows = stored(fetch(found), "fetched")
+        write(rows)
+        after = stored(coverage.added(covered, rows, code), "covered")
+        if coverage.total(after) == coverage.total(covered):
+            return after, k
+        covered = after
+    return covered, rounds
 
 
 def resume_side(first_ms, last_ms, launch_ms, now_ms):
