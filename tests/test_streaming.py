@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import candles as cd
 from tidemark.sources import feeds
+from tidemark.sources.pages import PagedCandles, pages
 from tidemark.streaming import candles as st
 
 DATA = "/root/testdata/sf0.001"
@@ -32,18 +35,63 @@ def test_confirmed_merge_is_idempotent(spark, tmp_path):
     assert sorted((r.symbol, r.close) for r in rows) == [("AB", 1.0), ("AB", 3.0)]
 
 
+class Pages(PagedCandles):
+    """An interface of one candle in 5 minutes with a hole of many pages; it counts what it is asked."""
+
+    page, chain = 3, 4
+
+    @classmethod
+    def name(cls):
+        return "test_pages"
+
+    @staticmethod
+    def fetch(options, symbol, interval, start, limit):
+        every = [x for x in range(0, 300_000 * 200, 300_000) if not 300_000 * 20 <= x < 300_000 * 150]
+        return [[str(x), "1", "2", "1", "1", "1", "1"] for x in every if x >= start][:limit][::-1]
+
+    @staticmethod
+    def newest(options, symbol, interval, end):
+        every = [x for x in range(0, 300_000 * 200, 300_000) if not 300_000 * 20 <= x < 300_000 * 150]
+        return max((x for x in every if x <= end), default=None)
+
+
+def test_pages_stop_at_the_end_and_at_an_empty_page():
+    asked = []
+
+    def fetch(symbol, interval, start, limit):
+        asked.append(start)
+        return Pages.fetch({}, symbol, interval, start, limit)
+
+    found = [int(r[0]) // 300_000 for page in pages(fetch, "A", "5", 0, 300_000 * 151, 3) for r in page]
+    assert found == [*range(20), 150, 151] and len(asked) == 8  # the hole costs no page of its own
+    asked.clear()
+    assert not list(pages(fetch, "A", "5", 300_000 * 200, 300_000 * 999, 3)) and len(asked) == 1
+
+
 def test_paged_source_gives_each_candle_once(spark):
-    class Pages(feeds.PagedCandles):  # local, so that it goes to workers by value
-        page = 3
+    pickled(Pages)
+    spark.dataSource.register(Pages)
+    rows = spark.read.format("test_pages").options(symbols="A,B", interval="5", start="0", end=str(300_000 * 160)).load()
+    assert rows.count() == rows.distinct().count() == 2 * 31
 
-        @staticmethod
-        def fetch(symbol, interval, start, end, limit):
-            first = -(-start // 300_000) * 300_000
-            return [[str(x), "1", "2", "1", "1", "1", "1"] for x in range(first, end + 1, 300_000)][::-1]
 
+def test_paged_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    pickled(Pages)
     spark.dataSource.register(Pages)
-    rows = spark.read.format("paged_candles").options(symbols="A,B", interval="5", start="0", end=str(300_000 * 9)).load()
-    assert rows.count() == 20 and rows.distinct().count() == 20
+    out = lambda: spark.read.parquet(f"{tmp_path}/out").select("symbol", "ts_ms")
+    seen = []
+    for symbols, end in (("A", 10), ("A,B", 155), ("A,B", 155), ("A,B", 400)):
+        stream = spark.readStream.format("test_pages").options(symbols=symbols, interval="5", start="0", end=str(300_000 * end)).load()
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+        seen.append(out().count())
+    assert seen == [11, 52, 52, 140] and out().distinct().count() == 140
+
+
+def pickled(kind):
+    """Sends a class of this file to workers by value."""
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[kind.__module__])
 
 
 def test_metric_text(spark):

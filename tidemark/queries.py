@@ -21,6 +21,7 @@ from tidemark.operators import monitoring as mon
 from tidemark.operators import records as rec
 from tidemark.plans import coverage, rollups, router
 from tidemark.sources import feeds
+from tidemark.sources.pages import FolderPages
 from tidemark.streaming import candles as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -527,15 +528,36 @@ def src_rest_symbols(t):
     return fd.one_instrument(feeds.instruments(page), "base", "quote", "position").select("symbol", "base", "quote", "launch_ms")
 
 
-@query("src_rest_klines", f"WITH {bars_sql()} SELECT symbol, '60' AS \"interval\", epoch_us(ts) // 1000 AS ts_ms, open, high, low, close FROM bars")
-def src_rest_klines(t):
+def kept_pages(t: Table, name: str) -> tuple[SparkSession, str, dict]:
+    """Hourly candles as an interface of pages keeps them; with the options to read them."""
     bars = hourly(t)
     text = lambda c: F.col(c).cast("string")
-    row = F.array(iv.to_ms(F.col("ts")).cast("string"), *[text(c) for c in ("open", "high", "low", "close", "volume", "turnover")])
-    pages = bars.groupBy("symbol", iv.bucket("ts", "D").alias("day")).agg(F.lit("60").alias("interval"), F.sort_array(F.collect_list(row), asc=False).alias("list"))
-    path = st.work_dir(bars.sparkSession, "src_rest_klines")
-    pages.select("symbol", "interval", "list").write.json(path)
-    return feeds.candle_pages(bars.sparkSession, path).select("symbol", "interval", "ts_ms", "open", "high", "low", "close")
+    ms = iv.to_ms(F.col("ts"))
+    row = F.array(ms.cast("string"), *[text(c) for c in ("open", "high", "low", "close", "volume", "turnover")])
+    spark, path = bars.sparkSession, st.work_dir(bars.sparkSession, name)
+    days = F.floor(ms / iv.DAY).cast("int")
+    bars.select("symbol", days.alias("day"), row.alias("row")).repartition("symbol", "day").write.partitionBy("symbol", "day").json(f"{path}/pages")
+    span = bars.agg(F.min(days).alias("a"), F.max(days).alias("b")).first()
+    symbols = [r["symbol"] for r in bars.select("symbol").distinct().orderBy("symbol").collect()]
+    return spark, path, {"path": f"{path}/pages", "symbols": ",".join(symbols), "interval": BASE, "first_day": str(span["a"]), "last_day": str(span["b"]), "start": str(FIRST_MS)}
+
+
+FIRST_MS, HALF_MS = 1_704_200_400_000, 1_705_300_000_000
+
+
+@query("src_rest_klines", f"WITH {bars_sql()} SELECT symbol, '60' AS \"interval\", epoch_us(ts) // 1000 AS ts_ms, open, high, low, close FROM bars WHERE epoch_us(ts) // 1000 BETWEEN {FIRST_MS} AND {NOW_MS}")
+def src_rest_klines(t):
+    """Pages read as a stream in two runs from one checkpoint, the first up to some moment and the second up to now."""
+    spark, path, options = kept_pages(t, "src_rest_klines")
+    spark.dataSource.register(FolderPages)
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    for end in (HALF_MS, NOW_MS):
+        stream = spark.readStream.format("folder_pages").options(**options, end=str(end)).load()
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("symbol", "interval", "ts_ms", "open", "high", "low", "close")
 
 
 # writes -------------------------------------------------------------------------------------------------------------

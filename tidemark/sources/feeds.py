@@ -6,10 +6,8 @@ from datetime import datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from tidemark.functions.intervals import INTERVALS
 from tidemark.operators.candles import in_range
 from tidemark.operators.merge import delete, upsert
 from tidemark.schemas import STREAM_MESSAGE
@@ -177,44 +175,3 @@ def retain_candles(spark: SparkSession, path: str, columns: StructType, oldest:
     if there:
         rewrite(spark, path, kept)
     drop_partitions(spark, path, [k for k in old if k not in there])
-
-
-class PagedCandles(DataSource):
-    """A data source for paged candle interfaces: one partition per symbol and page.
-
-    ``fetch`` is the class that talks to the interface: ``fetch(symbol, interval, start_ms, end_ms, limit)`` gives rows of
-    numbers, newest first. Subclasses set it; there is no network here.
-    """
-
-    page = 1000
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_candles"
-
-    def schema(self) -> str:
-        return "symbol string, interval string, ts_ms bigint, open double, high double, low double, close double, volume double, turnover double"
-
-    @staticmethod
-    def fetch(symbol: str, interval: str, start: int, end: int, limit: int) -> list[list]:
-        raise NotImplementedError("set fetch() to the interface's client")
-
-    def reader(self, schema) -> DataSourceReader:
-        return PagedReader(self.options, type(self).fetch, self.page)
-
-
-class PagedReader(DataSourceReader):
-    def __init__(self, options: dict, fetch, page: int):
-        self.options, self.fetch, self.page = options, fetch, page
-
-    def partitions(self) -> list[InputPartition]:
-        o = self.options
-        w = INTERVALS[o["interval"]] * self.page
-        return [InputPartition((s, a, min(a + w - 1, int(o["end"])))) for s in o["symbols"].split(",") for a in range(int(o["start"]), int(o["end"]) + 1, w)]
-
-    def read(self, partition: InputPartition):
-        symbol, start, end = partition.value
-        interval = self.options["interval"]
-        for r in reversed(self.fetch(symbol, interval, start, end, self.page)):
-            if start <= int(r[0]) <= end:
-                yield symbol, interval, int(r[0]), *map(float, r[1:7])
