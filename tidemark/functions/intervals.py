@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MINUTE, DAY, WEEK = 60_000, 86_400_000, 604_800_000
@@ -26,9 +26,9 @@ def valid_target(base: Column, target: Column) -> Column:
     return F.coalesce((t >= b) & (t % b == 0), F.lit(False))
 
 
-def valid_targets(spark: SparkSession, base: str) -> DataFrame:
-    rows = spark.createDataFrame([(c,) for c in INTERVALS], "interval string")
-    return rows.where(valid_target(F.lit(base), F.col("interval")))
+def valid_targets(base: Column) -> Column:
+    """The codes that candles of ``base`` can be put together to, in order."""
+    return F.filter(F.array(*[F.lit(c) for c in INTERVALS]), lambda c: valid_target(base, c))
 
 
 def width(code: str) -> str:

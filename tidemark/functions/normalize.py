@@ -113,3 +113,21 @@ def symbol_label(name: Column, exchange: Column) -> Column:
 
 def pair_label(base: Column, quote: Column) -> Column:
     return F.concat_ws("/", base, quote)
+
+
+def done_percent(processed: Column, total: Column) -> Column:
+    """Percent of a collector's work that is done; a total that is missing counts as 1."""
+    return share(processed, F.coalesce(total, F.lit(1)), 100.0)
+
+
+def rate(processed: Column, first: Column, last: Column) -> Column:
+    """What was processed per second between two times; 0 if no time passed."""
+    micros = F.unix_micros(last.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))
+    return share(processed, F.greatest(micros, F.lit(0)) / 1_000_000)
+
+
+def one_of(raw: Column, known: dict[str, str]) -> Column:
+    """The name that stands for a value; null for null, an error for any other that isn't known."""
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    wrong = F.raise_error(F.concat(F.lit("unknown value "), raw)).cast("string")
+    return F.when(raw.isNull(), F.lit(None).cast("string")).when(raw.isin(*known), F.try_element_at(table, raw)).otherwise(wrong)

@@ -5,22 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A small open lexicon; polarity is the mean of the words found, in [-1, 1]. An approximation of larger lexica.
+from tidemark.functions.normalize import without_digits
+from tidemark.plans.store import stored
+
+#: A small open lexicon of values in [-1, 1], words that strengthen or weaken what follows, and words that turn it round. An approximation of larger lexica.
 LEXICON = {"good": 0.7, "great": 0.8, "best": 1.0, "nice": 0.6, "love": 0.5, "gain": 0.4, "bad": -0.7, "worst": -1.0, "hate": -0.8, "loss": -0.4, "idiot": -0.8, "worthless": -0.8, "pathetic": -1.0, "clown": -0.4}
+MODIFIERS = {"very": 1.3, "really": 1.2, "extremely": 1.5, "so": 1.2, "too": 1.1, "quite": 0.9, "rather": 0.8, "slightly": 0.5, "barely": 0.3, "not": -0.5, "no": -0.5, "never": -0.5}
+
 
+def token_score(coin_id: Column, coin_name: Column, ticker: Column) -> tuple[Column, Column, Column]:
+    """How well a coin's id and name go with a ticker, and how plain its id is; more is better, and they compare in this order.
 
-def best_match(scored: DataFrame, key: str, score: list[str], position: str) -> DataFrame:
-    """The candidate of the highest score for each key; scores compare in order, earlier candidates win ties."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in score], position))
-    return scored.withColumn("_place", place).where("_place = 1").drop("_place")
+    Fixed values: 100 if the ticker is one of the words of the id (cut at hyphens) or name (at white space) and 50 otherwise, less one for each word; and 100 less one for each
+    character of the id and for each that is no letter or digit.
+    """
+    t, words = F.lower(ticker), lambda x, at: F.array_remove(F.split(F.lower(x), at), "")
+    by = lambda w: F.when(F.array_contains(w, t), 100).otherwise(50) - F.size(w)
+    odd = F.length(F.regexp_replace(coin_id, r"[\p{L}\p{N}]", ""))
+    return by(F.split(F.lower(coin_id), "-")), by(words(coin_name, r"\s+")), 100 - odd - F.length(coin_id)
 
 
-def token_score(coin_id: Column, coin_name: Column, ticker: Column) -> tuple[Column, Column, Column]:
-    """Scores of a candidate: its id is or holds the ticker, its name is or holds it, and how plain its id is."""
-    t, i, n = F.lower(ticker), F.lower(coin_id), F.lower(coin_name)
-    by_id = F.when(i == t, 2).when(F.array_contains(F.split(i, "-"), t), 1).otherwise(0)
-    by_name = F.when(n == t, 2).when(F.array_contains(F.split(n, " "), t), 1).otherwise(0)
-    return by_id, by_name, -F.size(F.split(i, "-"))
+def coin_index(coins: DataFrame) -> DataFrame:
+    """The best coin for each ticker: ``token`` (its symbol in lower case), ``id``. Of equal scores the first by ``position`` wins.
+
+    A coin is only weighed for the ticker that it has, so this is one aggregation over the coins, whatever the number of tickers.
+    """
+    scores = token_score(F.col("id"), F.col("name"), F.col("symbol"))
+    weighed = coins.select(F.lower("symbol").alias("token"), F.struct(*[x.alias(f"s{k}") for k, x in enumerate(scores)], (-F.col("position")).alias("first"), "id").alias("c"))
+    return weighed.where("token IS NOT NULL").groupBy("token").agg(F.max("c")["id"].alias("id"))
+
+
+def resolve(tickers: DataFrame, coins: DataFrame) -> DataFrame:
+    """The coin of each distinct ``ticker``: ``ticker``, ``id`` (null if there is none) and ``step``, 1 for its own spelling, 2 without leading digits.
+
+    Only tickers that the first look-up doesn't find, and that begin with a digit, go to the second one. ``coins`` have ``id``, ``symbol``, ``name`` and ``position``.
+    """
+    index, asked = stored(coin_index(coins), "coins"), tickers.select("ticker").where("ticker IS NOT NULL").distinct()
+    first = asked.join(index, F.lower("ticker") == F.col("token"), "left").select("ticker", "id")
+    again = first.where(F.col("id").isNull() & F.col("ticker").rlike("^[0-9]")).select("ticker", F.lower(without_digits(F.col("ticker"))).alias("token"))
+    second = again.join(index, "token").select("ticker", F.col("id").alias("other"))
+    both = first.join(second, "ticker", "left")
+    return both.select("ticker", F.coalesce("id", "other").alias("id"), F.when(F.col("id").isNotNull(), 1).when(F.col("other").isNotNull(), 2).alias("step"))
 
 
 def one_instrument(instruments: DataFrame, base: str, quote: str, position: str) -> DataFrame:
@@ -30,12 +55,30 @@ def one_instrument(instruments: DataFrame, base: str, quote: str, position: str)
 
 
 def polarity(text: Column) -> Column:
-    """Mean value of the lexicon's words in a text, 0 without any; an expression of built-in functions."""
-    table = F.create_map(*[F.lit(x) for pair in LEXICON.items() for x in pair])
-    known = F.array(*[F.lit(w) for w in LEXICON])
-    held = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda w: F.array_contains(known, w))
-    total = F.aggregate(held, F.lit(0.0), lambda a, w: a + F.element_at(table, w))
-    return F.when(F.size(held) > 0, total / F.size(held)).otherwise(0.0)
+    """Mean value of the lexicon's words in a text, 0 without any; an expression of built-in functions.
+
+    A fold over the words carries what the modifiers since the last other word make of the next one: ``not very good`` is -0.5 * 1.3 * 0.7. A word's value stays within
+    [-1, 1], and any word that is no modifier ends what was carried.
+    """
+    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
+    values, factors = table(LEXICON), table(MODIFIERS)
+    begin = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(1.0).alias("carry"))
+
+    def step(state: Column, word: Column) -> Column:
+        value, factor = F.try_element_at(values, word), F.try_element_at(factors, word)
+        own = F.when(value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value * state["carry"]))).otherwise(0.0)
+        return F.struct(
+            (state["total"] + own).alias("total"), (state["n"] + value.isNotNull().cast("int")).alias("n"),
+            F.when(factor.isNotNull(), state["carry"] * factor).otherwise(F.lit(1.0)).alias("carry"),
+        )
+
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+")
+    return F.aggregate(words, begin, step, lambda s: F.when(s["n"] > 0, s["total"] / s["n"]).otherwise(0.0))
+
+
+def mean_polarity(texts: DataFrame, by: str, text: str) -> DataFrame:
+    """The mean polarity of each group's texts; null for a group that has none."""
+    return texts.groupBy(by).agg(F.avg(F.when(F.length(text) > 0, polarity(F.col(text)))).alias("score"))
 
 
 def present_mean(*scores: Column) -> Column:
@@ -60,8 +103,8 @@ def post_activity(posts: DataFrame, by: str, comments: str, text: str) -> DataFr
 
 
 def message_activity(messages: DataFrame, by: str, text: str) -> DataFrame:
-    """Messages that have a text, and the texts (sorted), of each group."""
-    return messages.where(F.length(text) > 0).groupBy(by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(text)).alias("texts"))
+    """How many messages of each group have a text, and how many characters these have in all; the texts stay rows."""
+    return messages.where(F.length(text) > 0).groupBy(by).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("n_chars"))
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, fields: list[str], name: str) -> DataFrame:

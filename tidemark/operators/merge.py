@@ -35,6 +35,13 @@ def replace_children(children: DataFrame, batch: DataFrame, parent: str) -> Data
     return children.join(batch.select(parent).distinct(), parent, "left_anti").unionByName(batch.select(children.columns))
 
 
+def upsert_with_children(parents: DataFrame, children: DataFrame, batch: DataFrame, batch_children: DataFrame, key: str, child_key: str) -> tuple[DataFrame, DataFrame]:
+    """Parents merged by ``key``; the children of every parent in the batch, also of one that comes without any, are replaced by the batch's."""
+    gone = batch.select(F.col(key).alias(child_key)).distinct()
+    mine = batch_children.join(gone, child_key, "left_semi")  # those of other parents aren't the batch's to write
+    return upsert(parents, batch, [key]), children.join(gone, child_key, "left_anti").unionByName(mine.select(children.columns))
+
+
 def missing(wanted: DataFrame, received: DataFrame, key: str) -> DataFrame:
     """What was asked for and isn't there, once each."""
     return wanted.select(key).distinct().join(received.select(key), key, "left_anti")

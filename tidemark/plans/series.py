@@ -66,8 +66,8 @@ class Series:
         return self.table(found, kinds) if found else None
 
     def table(self, found: list[tuple], kinds: str) -> DataFrame:
-        own = ", ".join(f"`{c}` {self.rows.schema[c].dataType.simpleString()}" for c in self.by)
-        return self.rows.sparkSession.createDataFrame(found, f"{own}, segment int, {kinds}")
+        own = [f"`{c}` {self.rows.schema[c].dataType.simpleString()}" for c in self.by]
+        return self.rows.sparkSession.createDataFrame(found, ", ".join([*own, "segment int", kinds]))
 
     def with_carried(self, rows: DataFrame, carried: DataFrame | None, kinds: str) -> DataFrame:
         """Rows with the columns of ``carried``, null where nothing is handed over."""

@@ -234,11 +234,12 @@ def topk_recent(t):
     return t("events").select("user_id", "event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(5)
 
 
-@query("snk_json_api", f"WITH {bars_sql()} SELECT symbol, ts, (epoch_us(ts) // 1000) AS ms, open, close FROM bars")
+@query("snk_json_api", f"WITH {bars_sql()} SELECT symbol, epoch_us(ts) // 1000 AS ms, open, high, low, close, round(volume, 4) AS volume, round(turnover, 4) AS turnover FROM bars")
 def snk_json_api(t):
-    h = hourly(t)
-    row = F.from_json(F.to_json(F.array(iv.to_ms(F.col("ts")).cast("double"), F.col("open"), F.col("close"))), "array<double>")
-    return h.select("symbol", "ts", row.alias("r")).select("symbol", "ts", F.col("r")[0].cast("long").alias("ms"), F.col("r")[1].alias("open"), F.col("r")[2].alias("close"))
+    """Candles as the interface's arrays of seven numbers, read back."""
+    rows = cd.as_arrays(hourly(t)).select("symbol", F.from_json("row", "array<double>").alias("r"))
+    values = [F.col("r")[k + 1].alias(c) for k, c in enumerate(cd.VALUES[:4])] + [F.round(F.col("r")[5], 4).alias("volume"), F.round(F.col("r")[6], 4).alias("turnover")]
+    return rows.select("symbol", F.col("r")[0].cast("long").alias("ms"), *values)
 
 
 # indicators ---------------------------------------------------------------------------------------------------------
@@ -423,22 +424,34 @@ def join_anti_missing(t):
     return mg.missing(t("customer").select("c_custkey"), recent, "c_custkey")
 
 
-@query("set_missing_ids", "SELECT 'coin-' || p_partkey AS id FROM part WHERE p_size % 3 = 0")
-def set_missing_ids(t):
-    wanted = t("part").select(F.concat(F.lit("coin-"), F.col("p_partkey").cast("string")).alias("id"))
-    return mg.missing(wanted, feeds.market_rows(market_pages(t)), "id")
+def market_pages(t):
+    """Ids of coins, and pages of them as a market source sends them: by chunks of 250 ids, without some coins; the third chunk has an empty page, the fourth repeats coins."""
+    ids = t("part").select(F.concat(F.lit("coin-"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("id"), "p_partkey", "p_size", "p_retailprice")
+    chunks = feeds.id_chunks(ids)
+    coin = F.struct("id", F.col("p_retailprice").cast("double").alias("current_price"), (F.col("p_size") * 1000).cast("double").alias("market_cap"))
+    there = ids.join(chunks, "id").where("chunk <> 2 AND (p_size % 3 <> 0 OR chunk = 0)")
+    pages = there.unionByName(there.where("chunk = 3")).groupBy("chunk").agg(F.to_json(F.collect_list(coin)).alias("value")).select("chunk", F.lit(1).alias("page"), "value")
+    empty = chunks.select("chunk").distinct().select("chunk", F.explode(F.array(F.when(F.col("chunk") == 2, 1).otherwise(2))).alias("page"), F.lit("[]").alias("value"))
+    return chunks, feeds.read_pages(pages.unionByName(empty))
+
 
+IDS = """ids AS (SELECT 'coin-' || lpad(p_partkey::VARCHAR, 9, '0') AS id, p_size, p_retailprice, (row_number() OVER (ORDER BY p_partkey) - 1) // 250 AS chunk FROM part),
+    sent AS (SELECT * FROM ids WHERE chunk <> 2 AND (p_size % 3 <> 0 OR chunk = 0)), pages AS (SELECT * FROM sent UNION ALL SELECT * FROM sent WHERE chunk = 3)"""
 
-@query("src_coin_markets", "SELECT 'coin-' || p_partkey AS id, p_retailprice::DOUBLE AS price, (p_size * 1000)::DOUBLE AS cap FROM part WHERE p_size % 3 <> 0")
+
+@query("src_coin_markets", f"WITH {IDS} SELECT id, p_retailprice::DOUBLE AS price, (p_size * 1000)::DOUBLE AS cap, chunk FROM pages")
 def src_coin_markets(t):
-    return feeds.market_rows(market_pages(t))
+    _, read = market_pages(t)
+    rows = read.select("chunk", F.explode("c").alias("c"))
+    return rows.select("c.id", F.col("c.current_price").alias("price"), F.col("c.market_cap").alias("cap"), "chunk")
 
 
-def market_pages(t):
-    """Pages of coins as a market source sends them, by brand; one page is empty."""
-    coin = F.struct(F.concat(F.lit("coin-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_retailprice").cast("double").alias("current_price"), (F.col("p_size") * 1000).cast("double").alias("market_cap"))
-    pages = t("part").where("p_size % 3 <> 0").groupBy("p_brand").agg(F.to_json(F.collect_list(coin)).alias("value")).select("value")
-    return pages.unionByName(pages.sparkSession.createDataFrame([("[]",), (None,)], "value string"))
+@query("set_missing_ids", f"""WITH {IDS}, got AS (SELECT chunk, count(*) AS n FROM pages GROUP BY chunk), asked AS (SELECT chunk, count(*) AS m FROM ids GROUP BY chunk)
+    SELECT id, chunk, CASE WHEN coalesce(n, 0) = 0 THEN 'no page' WHEN n < m THEN 'short page' ELSE 'missing id' END AS why FROM ids JOIN asked USING (chunk) LEFT JOIN got USING (chunk) WHERE id NOT IN (SELECT id FROM pages)""")
+def set_missing_ids(t):
+    chunks, read = market_pages(t)
+    return feeds.market_missing(chunks, read)
+
 
 PLATFORMS = """SELECT user_id AS u, avg(value) FILTER (event_type = 'click') / 100 AS a, avg(value) FILTER (event_type = 'view') / 100 AS b, avg(value) FILTER (event_type = 'purchase') / 100 AS c FROM events GROUP BY 1"""
 
@@ -490,19 +503,33 @@ def set_union(t):
     return t("customer").select(F.col("c_nationkey").alias("nation")).union(t("supplier").select("s_nationkey")).distinct()
 
 
-@query("topk_best_match", """WITH c AS (SELECT p_brand, p_partkey, CASE WHEN p_size > 25 THEN 2 WHEN p_size > 10 THEN 1 ELSE 0 END AS s1, length(p_type) AS s2 FROM part)
-    SELECT p_brand, p_partkey FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY s1 DESC, s2 DESC, p_partkey) = 1""")
+COINS = """coins AS (SELECT replace(p_name, ' ', '-') || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '-' || p_partkey % 50 END AS id, string_split(p_name, ' ')[2] AS symbol, p_name || ' ' || lower(p_type) AS name, p_partkey AS position FROM part),
+    words AS (SELECT *, string_split(lower(id), '-') AS iw, list_filter(string_split(lower(name), ' '), lambda x: x <> '') AS nw FROM coins),
+    scores AS (SELECT position, id, lower(symbol) AS token, CASE WHEN list_contains(iw, lower(symbol)) THEN 100 ELSE 50 END - len(iw)::INT AS by_id, CASE WHEN list_contains(nw, lower(symbol)) THEN 100 ELSE 50 END - len(nw)::INT AS by_name,
+        100 - length(regexp_replace(id, '[[:alnum:]]', '', 'g'))::INT - length(id)::INT AS plain FROM words),
+    best AS (SELECT token, id FROM scores QUALIFY row_number() OVER (PARTITION BY token ORDER BY by_id DESC, by_name DESC, plain DESC, position) = 1)"""
+
+
+def coins(t):
+    k = F.col("p_partkey")
+    coin_id = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("-"), (k % 50).cast("string"))))
+    return t("part").select(coin_id.alias("id"), F.split("p_name", " ")[1].alias("symbol"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"), k.alias("position"))
+
+
+@query("topk_best_match", f"""WITH {COINS}, asked AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN upper(w[2]) WHEN 1 THEN '1000' || w[2] WHEN 2 THEN w[1] ELSE '7' || w[1] END AS ticker FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)),
+    one AS (SELECT ticker, id FROM asked LEFT JOIN best ON token = lower(ticker))
+    SELECT ticker, coalesce(one.id, b.id) AS id, CASE WHEN one.id IS NOT NULL THEN 1 WHEN b.id IS NOT NULL THEN 2 END AS step FROM one LEFT JOIN best b ON one.id IS NULL AND regexp_matches(ticker, '^[0-9]') AND b.token = lower(ltrim(ticker, '0123456789'))""")
 def topk_best(t):
-    scored = t("part").select("p_brand", "p_partkey", F.when(F.col("p_size") > 25, 2).when(F.col("p_size") > 10, 1).otherwise(0).alias("s1"), F.length("p_type").alias("s2"))
-    return fd.best_match(scored, "p_brand", ["s1", "s2"], "p_partkey").select("p_brand", "p_partkey")
+    """Tickers as exchanges write them: in capitals, with a multiplier before them, and some that no coin has."""
+    k, w = F.col("p_partkey") % 4, F.split("p_name", " ")
+    ticker = F.when(k == 0, F.upper(w[1])).when(k == 1, F.concat(F.lit("1000"), w[1])).when(k == 2, w[0]).otherwise(F.concat(F.lit("7"), w[0]))
+    return fd.resolve(t("part").select(ticker.alias("ticker")), coins(t))
 
 
-@query("fn_token_score", """SELECT p_partkey, CASE WHEN lower(p_name) = t THEN 2 WHEN list_contains(string_split(lower(p_name), '-'), t) THEN 1 ELSE 0 END AS by_id,
-    CASE WHEN lower(p_type) = t THEN 2 WHEN list_contains(string_split(lower(p_type), ' '), t) THEN 1 ELSE 0 END AS by_name, -len(string_split(lower(p_name), '-'))::INT AS plain
-    FROM (SELECT *, lower(string_split(p_type, ' ')[1]) AS t FROM part)""")
+@query("fn_token_score", f"WITH {COINS} SELECT position, by_id, by_name, plain FROM scores")
 def fn_token_score(t):
-    a, b, c = fd.token_score(F.col("p_name"), F.col("p_type"), F.split("p_type", " ")[0])
-    return t("part").select("p_partkey", a.alias("by_id"), b.alias("by_name"), c.alias("plain"))
+    a, b, c = fd.token_score(F.col("id"), F.col("name"), F.col("symbol"))
+    return coins(t).select("position", a.alias("by_id"), b.alias("by_name"), c.alias("plain"))
 
 
 INSTRUMENTS = "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus <> 'O') DESC, o_orderkey DESC) = 1"
@@ -615,12 +642,16 @@ def snk_symbol(t):
     return mg.insert_absent(old, batch.where("v = 2"), ["o_orderkey"])
 
 
-@query("dml_upsert_metadata", "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity FROM lineitem WHERE l_orderkey % 3 <> 0 OR l_linenumber = 1")
+@query("dml_upsert_metadata", """SELECT 'parent' AS kind, o_orderkey AS k, 0 AS line, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders
+    UNION ALL SELECT 'child', l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN l_quantity + 1 ELSE l_quantity END FROM lineitem WHERE l_orderkey % 3 <> 0 OR l_linenumber = 1""")
 def dml_metadata(t):
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    batch = rows.where("l_orderkey % 3 = 0 AND l_linenumber = 1").withColumn("l_quantity", F.col("l_quantity") + 1)
-    parents = rows.where("l_orderkey % 3 = 0").select("l_orderkey").distinct()
-    return mg.replace_children(mg.delete(rows, parents, ["l_orderkey"]), batch, "l_orderkey")
+    """Parents are merged by their key, and the children of those in the batch are replaced, also where the batch has none."""
+    parents, children = t("orders").select("o_orderkey", "o_totalprice"), t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    batch = parents.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    lines = children.where("l_orderkey % 3 = 0 AND l_linenumber = 1").withColumn("l_quantity", F.col("l_quantity") + 1)
+    merged, kept = mg.upsert_with_children(parents, children, batch, lines, "o_orderkey", "l_orderkey")
+    out = merged.select(F.lit("parent").alias("kind"), F.col("o_orderkey").alias("k"), F.lit(0).alias("line"), F.col("o_totalprice").alias("v"))
+    return out.unionByName(kept.select(F.lit("child").alias("kind"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_quantity").alias("v")))
 
 
 KEPT_ORDERS = "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)"
@@ -753,33 +784,36 @@ def mnt_full(t):
 
 # scalar functions ---------------------------------------------------------------------------------------------------
 
-CODES = "(VALUES ('1', 60000), ('3', 180000), ('5', 300000), ('15', 900000), ('30', 1800000), ('60', 3600000), ('120', 7200000), ('240', 14400000), ('360', 21600000), ('720', 43200000), ('D', 86400000), ('W', 604800000)) v(code, w)"
+CODES = "(VALUES (0, '1', 60000), (1, '3', 180000), (2, '5', 300000), (3, '15', 900000), (4, '30', 1800000), (5, '60', 3600000), (6, '120', 7200000), (7, '240', 14400000), (8, '360', 21600000), (9, '720', 43200000), (10, 'D', 86400000), (11, 'W', 604800000)) v(k, code, w)"
+CODED = f"coded AS (SELECT event_id, a.code AS base, a.w AS bw, b.code AS target, b.w AS tw FROM events JOIN {CODES.replace('v(', 'a(')} ON a.k = event_id % 12 LEFT JOIN {CODES.replace('v(', 'b(')} ON b.k = event_id // 12 % 13)"
 
 
-def codes(t):
-    return t("region").sparkSession.createDataFrame([(c,) for c in iv.INTERVALS], "code string")
+def coded(t):
+    """Events with two interval codes each, the second of which is now and then none."""
+    listed = F.array(*[F.lit(c) for c in iv.INTERVALS])
+    pick = lambda k: F.get(listed, k.cast("int"))
+    return t("events").select("event_id", pick(F.col("event_id") % 12).alias("base"), pick(F.floor(F.col("event_id") / 12) % 13).alias("target"))
 
 
-@query("fn_interval_ms", f"SELECT code, w::BIGINT AS ms FROM {CODES}")
+@query("fn_interval_ms", f"WITH {CODED} SELECT event_id, tw::BIGINT AS ms FROM coded")
 def fn_interval_ms(t):
-    return codes(t).select("code", iv.interval_ms(F.col("code")).cast("long").alias("ms"))
+    return coded(t).select("event_id", iv.interval_ms(F.col("target")).cast("long").alias("ms"))
 
 
-@query("fn_interval_valid", f"SELECT a.code AS base, b.code AS target, b.w >= a.w AND b.w % a.w = 0 AS ok FROM {CODES.replace('v(', 'a(')}, {CODES.replace('v(', 'b(')}")
+@query("fn_interval_valid", f"WITH {CODED} SELECT event_id, coalesce(tw >= bw AND tw % bw = 0, false) AS ok FROM coded")
 def fn_interval_valid(t):
-    pairs = codes(t).select(F.col("code").alias("base"), F.explode(F.array(*[F.lit(c) for c in iv.INTERVALS])).alias("target"))
-    return pairs.select("base", "target", iv.valid_target(F.col("base"), F.col("target")).alias("ok"))
+    return coded(t).select("event_id", iv.valid_target(F.col("base"), F.col("target")).alias("ok"))
 
 
-@query("fn_valid_intervals", f'SELECT code AS "interval" FROM {CODES} WHERE w % 300000 = 0')
+@query("fn_valid_intervals", f"WITH {CODED} SELECT event_id, string_agg(code, ',' ORDER BY k) AS codes FROM coded JOIN {CODES} ON w % bw = 0 GROUP BY event_id")
 def fn_valid_intervals(t):
-    return iv.valid_targets(t("region").sparkSession, "5")
+    return coded(t).select("event_id", F.array_join(iv.valid_targets(F.col("base")), ",").alias("codes"))
 
 
-@query("fn_interval_view", f"SELECT code, CASE code WHEN '60' THEN 'kline_1h' WHEN '240' THEN 'kline_4h' WHEN 'D' THEN 'kline_1d' END AS view_name FROM {CODES}")
+@query("fn_interval_view", f"WITH {CODED} SELECT event_id, CASE base WHEN '60' THEN 'kline_1h' WHEN '240' THEN 'kline_4h' WHEN 'D' THEN 'kline_1d' END AS view_name FROM coded")
 def fn_interval_view(t):
     table = F.create_map(*[F.lit(x) for pair in iv.STORED_VIEWS.items() for x in pair])
-    return codes(t).select("code", F.try_element_at(table, F.col("code")).alias("view_name"))
+    return coded(t).select("event_id", F.try_element_at(table, F.col("base")).alias("view_name"))
 
 
 @query("fn_interval_bucket", "SELECT event_id, time_bucket(INTERVAL '15 minutes', ts) AS b FROM events")
@@ -844,14 +878,34 @@ def fn_progress_pct(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", F.least(F.lit(100.0), nm.share(F.col("l_quantity"), F.col("l_linenumber") * 10 - 10, 100.0)).alias("pct"))
 
 
-@query("fn_progress_update", "SELECT o_custkey, o_orderkey, CAST(sum(1) OVER w AS BIGINT) AS done, least(100.0, round(sum(1) OVER w * 100.0 / 50, 6))::DOUBLE AS percent FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+@query("fn_progress_update", """WITH g AS (SELECT o_custkey, o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 THEN o_custkey % 20 ELSE 0 END AS gap FROM orders)
+    SELECT o_custkey, o_orderkey, CAST(sum(1) OVER w AS BIGINT) AS done, (50 - sum(gap) OVER w)::BIGINT AS total, least(100.0, round(sum(1) OVER w * 100.0 / (50 - sum(gap) OVER w), 6))::DOUBLE AS percent FROM g WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
 def fn_progress_update(t):
-    log = t("orders").select("o_custkey", "o_orderkey", F.lit(1).alias("done"), F.lit(50).alias("total"))
-    return mon.progress(log, "o_custkey", "o_orderkey", "done", "total").withColumn("percent", F.round(F.col("percent").cast("double"), 6))
+    """A customer's first batch comes with a leading gap, which goes off the total."""
+    first = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) == 1
+    log = t("orders").select("o_custkey", "o_orderkey", F.lit(1).alias("done"), F.lit(50).alias("total"), F.when(first, F.col("o_custkey") % 20).otherwise(0).alias("gap"))
+    out = mon.progress(log, "o_custkey", "o_orderkey", "done", "total", "gap")
+    return out.select("o_custkey", "o_orderkey", "done", F.col("total").cast("long").alias("total"), F.round(F.col("percent").cast("double"), 6).alias("percent"))
 
 
-for _id in ("fn_rate", "fn_div_guard", "fn_collector_pct"):
-    query(_id, "SELECT p_partkey, coalesce(p_retailprice / nullif(p_size - 10, 0), 0) AS rate FROM part")(lambda t: t("part").select("p_partkey", nm.share(F.col("p_retailprice"), F.col("p_size") - 10).alias("rate")))
+@query("fn_div_guard", "SELECT p_partkey, coalesce(p_retailprice / nullif(p_size - 10, 0), 0) AS rate FROM part")
+def fn_div_guard(t):
+    return t("part").select("p_partkey", nm.share(F.col("p_retailprice"), F.col("p_size") - 10).alias("rate"))
+
+
+@query("fn_rate", "SELECT user_id, round(coalesce(count(*) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000, 0), 0), 9) AS per_second FROM events GROUP BY user_id")
+def fn_rate(t):
+    seen = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return seen.select("user_id", F.round(nm.rate(F.col("n"), F.col("a"), F.col("b")), 9).alias("per_second"))
+
+
+@query("fn_collector_pct", """WITH d AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand), w AS (SELECT p_brand, sum(p_size) AS total FROM part WHERE p_brand LIKE '%1%' GROUP BY p_brand)
+    SELECT p_brand, round(coalesce(n / nullif(coalesce(total, 1), 0) * 100, 0), 6) AS pct FROM d LEFT JOIN w USING (p_brand)""")
+def fn_collector_pct(t):
+    """Brands as collectors; some have no total, which counts as 1."""
+    done = t("part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    totals = t("part").where("p_brand LIKE '%1%'").groupBy("p_brand").agg(F.sum("p_size").alias("total"))
+    return done.join(totals, "p_brand", "left").select("p_brand", F.round(nm.done_percent(F.col("n"), F.col("total")), 6).alias("pct"))
 
 
 @query("fn_status_flag", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS up FROM orders")
@@ -859,9 +913,14 @@ def fn_status_flag(t):
     return t("orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", 1).otherwise(0).alias("up"))
 
 
-@query("fn_source_enum", "SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS known FROM orders")
+#: The values that a priority may have, and their names.
+PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "none", "5-LOW": "low"}
+
+
+@query("fn_source_enum", "SELECT o_orderkey, CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PRIORITIES.items()) + " END AS source FROM orders")
 def fn_source_enum(t):
-    return t("orders").select("o_orderkey", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM").alias("known"))
+    """A value that isn't known is an error."""
+    return t("orders").select("o_orderkey", nm.one_of(F.col("o_orderpriority"), PRIORITIES).alias("source"))
 
 
 @query("fn_symbol_format", "SELECT s_suppkey, s_name || ' (sim)' AS label, s_name || '/USD' AS pair FROM supplier")
@@ -995,16 +1054,24 @@ def fn_map_entries(t):
     return fd.map_rows(rows, "m", ["p_partkey"])
 
 
-@query("fn_polarity", "WITH lex(w, v) AS (VALUES " + ", ".join(f"('{w}', {v})" for w, v in fd.LEXICON.items()) + """), tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents)
-    SELECT d.doc_id, round(coalesce(s, 0), 6) AS polarity FROM documents d LEFT JOIN (SELECT doc_id, avg(v::DOUBLE) AS s FROM tok JOIN lex USING (w) GROUP BY 1) USING (doc_id)""")
+LEX, MODS = (", ".join(f"('{w}', {v})" for w, v in d.items()) for d in (fd.LEXICON, fd.MODIFIERS))
+#: A word's value is multiplied with the modifiers between it and the last word before it that is none.
+SCORED = f"""lex(w, v) AS (VALUES {LEX}), mods(w, m) AS (VALUES {MODS}), split AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+') AS ws FROM documents),
+    tok AS (SELECT doc_id, i, w, v, m FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM split) LEFT JOIN lex USING (w) LEFT JOIN mods USING (w)),
+    runs AS (SELECT *, coalesce(sum((m IS NULL)::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM tok),
+    vals AS (SELECT doc_id, run, max(v) AS v, coalesce(product(m), 1.0) AS f FROM runs GROUP BY doc_id, run HAVING max(v) IS NOT NULL),
+    scored AS (SELECT doc_id, avg(greatest(-1.0, least(1.0, v::DOUBLE * f))) AS s FROM vals GROUP BY doc_id)"""
+
+
+@query("fn_polarity", f"WITH {SCORED} SELECT doc_id, round(coalesce(s, 0), 6) AS polarity FROM documents LEFT JOIN scored USING (doc_id)")
 def fn_polarity(t):
     return t("documents").select("doc_id", F.round(fd.polarity(F.col("text")), 6).alias("polarity"))
 
 
-@query("agg_sentiment_mean", "WITH lex(w, v) AS (VALUES " + ", ".join(f"('{w}', {v})" for w, v in fd.LEXICON.items()) + """), tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents),
-    p AS (SELECT d.source, coalesce(s, 0) AS s FROM documents d LEFT JOIN (SELECT doc_id, avg(v::DOUBLE) AS s FROM tok JOIN lex USING (w) GROUP BY 1) USING (doc_id)) SELECT source, round(avg(s), 6) AS score FROM p GROUP BY source""")
+@query("agg_sentiment_mean", f"WITH {SCORED} SELECT source || '/' || lang AS channel, round(avg(CASE WHEN length(text) > 0 THEN coalesce(s, 0) END), 6) AS score FROM documents LEFT JOIN scored USING (doc_id) GROUP BY 1")
 def agg_sentiment(t):
-    return t("documents").groupBy("source").agg(F.round(F.avg(fd.polarity(F.col("text"))), 6).alias("score"))
+    texts = t("documents").select(F.concat_ws("/", "source", "lang").alias("channel"), "text")
+    return fd.mean_polarity(texts, "channel", "text").withColumn("score", F.round("score", 6))
 
 
 @query("fn_float_norm", "SELECT event_id, CAST(CAST(value AS VARCHAR) AS DOUBLE) AS x FROM events")
@@ -1062,15 +1129,17 @@ def src_reddit(t):
     return digest(fd.post_activity(fd.recent(posted(t), "at", moment(NOW)), "conv_id", "turn", "text"))
 
 
-@query("agg_messages", f"SELECT role, count(*) AS n, {TEXTS} FROM conversations WHERE text <> '' GROUP BY role")
+@query("agg_messages", "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations WHERE text <> '' GROUP BY role")
 def messages(t):
-    return digest(fd.message_activity(t("conversations"), "role", "text"))
+    return fd.message_activity(t("conversations"), "role", "text")
 
 
-@query("src_telegram", f"WITH m AS (SELECT role, text, {POSTED} AS posted_at FROM conversations QUALIFY row_number() OVER (PARTITION BY role ORDER BY {POSTED} DESC, conv_id, turn, text) <= 100) SELECT role, count(*) AS n, {TEXTS} FROM m WHERE text <> '' AND posted_at >= TIMESTAMP '{DAY_BEFORE}' GROUP BY role")
+@query("src_telegram", f"""WITH m AS (SELECT role, conv_id, turn, text, {POSTED} AS posted_at FROM conversations QUALIFY row_number() OVER (PARTITION BY role ORDER BY {POSTED} DESC, conv_id, turn, text) <= 100)
+    SELECT role, conv_id, turn, md5(text) AS text FROM m WHERE text <> '' AND posted_at >= TIMESTAMP '{DAY_BEFORE}'""")
 def src_telegram(t):
+    """The newest hundred messages of each channel, those of the last day among them; they stay rows."""
     page = feeds.newest_items(posted(t), "role", "at", ["conv_id", "turn", "text"], 100)
-    return digest(fd.message_activity(fd.recent(page, "at", moment(NOW)), "role", "text"))
+    return fd.recent(page, "at", moment(NOW)).where(F.length("text") > 0).select("role", "conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query("agg_error_summary", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -1210,3 +1279,19 @@ def st_covered(t):
 def st_repair(t):
     full = hourly(t).select("symbol", "ts", "open", "close")
     return st.repaired(full.withColumn("close", F.lit(-1.0)), full, BASE, moment(NOW))
+
+
+@query("st_window_counter", """SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS recent FROM events""")
+def st_window_counter(t):
+    """Calls of the last 60 seconds, for every call."""
+    return mon.with_recent(t("events"), "event_type", "ts").select("event_id", "event_type", "recent")
+
+
+@query("val_symbol_rules", f"""SELECT p_partkey, concat_ws(',', CASE WHEN NOT regexp_matches(name, '^[A-Z0-9]+$') OR length(name) NOT BETWEEN 5 AND 50 THEN 'name' END, CASE WHEN NOT regexp_matches(quote, '^[A-Z0-9]+$') THEN 'quote_asset' END,
+    CASE WHEN scale > 18 THEN 'price_scale' END, CASE WHEN launch NOT BETWEEN 1230940800000 AND {NOW_MS} + 86400000 THEN 'launch_time' END) AS errors
+    FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN p_name ELSE p_type END AS name, CASE WHEN p_size % 3 = 0 THEN 'usdt' ELSE 'USDT' END AS quote, p_size - 25 + 15 AS scale, {NOW_MS}::BIGINT + (p_partkey % 9 - 7) * 86400000::BIGINT * 100 AS launch FROM part WHERE p_size >= 10)""")
+def val_symbols(t):
+    k = F.col("p_size")
+    rows = t("part").where("p_size >= 10").select("p_partkey", F.when(k % 5 == 0, F.col("p_name")).otherwise(F.col("p_type")).alias("name"), F.lit("sim").alias("exchange"), F.lit("BTC").alias("base_asset"),
+                                                  F.when(k % 3 == 0, "usdt").otherwise("USDT").alias("quote_asset"), (k - 10).alias("price_scale"), (F.lit(NOW_MS) + (F.col("p_partkey") % 9 - 7) * F.lit(iv.DAY) * 100).alias("launch_time"))
+    return rows.select("p_partkey", F.array_join(rec.errors(rec.symbol_rules(F.lit(NOW_MS))), ",").alias("errors"))

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators.candles import in_range
 from tidemark.operators.merge import delete, upsert
+from tidemark.plans.series import cut
 from tidemark.schemas import STREAM_MESSAGE
 
 #: Quote assets of the instruments that are collected.
@@ -50,12 +51,42 @@ def instruments(pages: DataFrame, column: str = "value") -> DataFrame:
     return traded.select(F.col("i.symbol").alias("symbol"), F.col("i.baseCoin").alias("base"), F.col("i.quoteCoin").alias("quote"), launch.alias("launch_ms"), "position")
 
 
+#: Fixed value: ids that a market source takes at once, and coins that a page of its answer holds.
+PER_PAGE = 250
+COIN = "array<struct<id: string, current_price: double, market_cap: double>>"
+
+
 def market_rows(pages: DataFrame, column: str = "value") -> DataFrame:
     """Coins of JSON pages, each page an array; an empty page has none."""
-    rows = pages.select(F.explode(F.from_json(column, "array<struct<id: string, current_price: double, market_cap: double>>")).alias("c"))
+    rows = pages.select(F.explode(F.from_json(column, COIN)).alias("c"))
     return rows.select("c.id", F.col("c.current_price").alias("price"), F.col("c.market_cap").alias("cap"))
 
 
+def id_chunks(ids: DataFrame, size: int = PER_PAGE, segments: int | None = None) -> DataFrame:
+    """Distinct ids in order, in chunks of ``size``: ``id``, ``chunk`` from 0. Ranks are counted in ranges of ids (``plans/series``), not in one task."""
+    s = cut(ids.select("id").distinct(), [], "id", segments)
+    starts = s.handed(s.spans, lambda chain: [(sum(r["n"] for r in chain[:i]),) for i in range(len(chain))], "before long")
+    rank = F.row_number().over(s.within()) + F.coalesce("before", F.lit(0)) - 1
+    return s.with_carried(s.rows, starts, "before long").select("id", F.floor(rank / size).cast("long").alias("chunk"))
+
+
+def read_pages(pages: DataFrame, size: int = PER_PAGE) -> DataFrame:
+    """Pages (``chunk``, ``page`` from 1, ``value``) as a reader takes them, with the coins ``c`` of each: up to a chunk's first page that is short of ``size`` coins."""
+    parsed = pages.select("chunk", "page", F.coalesce(F.from_json("value", COIN), F.array().cast(COIN)).alias("c"))
+    last = parsed.where(F.size("c") < size).groupBy("chunk").agg(F.min("page").alias("last"))
+    return parsed.join(last, "chunk", "left").where(F.col("page") <= F.coalesce("last", F.col("page"))).drop("last")
+
+
+def market_missing(chunks: DataFrame, read: DataFrame, size: int = PER_PAGE) -> DataFrame:
+    """Ids that no page has: ``id``, ``chunk`` and ``why``: ``no page`` (the chunk has none, or an empty first one), ``short page`` (a page of the chunk
+    has fewer coins than were still to come) or ``missing id`` (pages are full, of other coins or of repeated ones)."""
+    received = read.select(F.explode("c.id").alias("id")).distinct()
+    got = read.groupBy("chunk").agg(F.sum(F.size("c")).alias("coins"))
+    asked = chunks.groupBy("chunk").agg(F.count("*").alias("asked"))
+    state = asked.join(got, "chunk", "left").select("chunk", F.when(F.coalesce("coins", F.lit(0)) == 0, "no page").when(F.col("coins") < F.col("asked"), "short page").otherwise("missing id").alias("why"))
+    return chunks.join(received, "id", "left_anti").join(state, "chunk").select("id", "chunk", "why")
+
+
 def newest_items(items: DataFrame, channel: str, ts: str, tie: list[str], limit: int | None = None) -> DataFrame:
     """The newest ``limit`` items of each channel, as a source pages through them."""
     if limit is None:
