@@ -242,6 +242,13 @@ def part(first: int | F.Column, length) -> F.Column:
     return F.array_join(F.slice("w", first, length), " ")
 
 
+def with_score(cuts: DataFrame) -> DataFrame:
+    """``score`` from ``a``, ``l``, ``r`` and ``n``: exact, as products of decimals and an integer division."""
+    exact = lambda c: F.col(c).cast("decimal(19,0)")
+    above, below = F.lit(1000).cast("decimal(4,0)") * exact("a") * exact("n"), exact("l") * exact("r")
+    return cuts.withColumn("_above", above).withColumn("_below", below).withColumn("score", F.expr("_above div _below")).drop("_above", "_below")
+
+
 def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, top: int | None = TOP) -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r`` (counts of the phrase, and of its parts at the cut that counts), ``n``, ``score``: the first ``top`` of each language."""
     counts, totals = frequent(docs, lang, text, least)
@@ -255,9 +262,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("first"), F.col("a").alias("l")), ["lang", "first"])
     cuts = cuts.join(known.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r")), ["lang", "rest"])
     cuts = cuts.join(small(totals), "lang")
-    exact = lambda c: F.col(c).cast("decimal(19,0)")
-    above, below = (F.lit(1000).cast("decimal(4,0)") * exact("a") * exact("n")).alias("above"), (exact("l") * exact("r")).alias("below")
-    scored = cuts.select("lang", "phrase", "a", "k", "l", "r", "n", above, below).withColumn("score", F.expr("above div below"))
+    scored = with_score(cuts)
     best = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("b")).select("lang", "phrase", "b.*")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long"))
     out = ranked if top is None else ranked.where(F.col("rank") <= top)
