@@ -24,15 +24,35 @@ def test_rollup_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("rolled").collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_confirmed_merge_is_idempotent(spark, tmp_path):
-    message = '{{"topic": "kline.5.AB", "data": [{{"start": {}, "open": "1", "high": "2", "low": "1", "close": "{}", "volume": "1", "turnover": "1", "confirm": {}}}]}}'
-    lines = [message.format(1_705_000_000_000 + 300_000 * k, c, ok) for k, c, ok in ((0, 1, "true"), (0, 1, "true"), (1, 2, "false"), (2, 3, "true"))]
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.txt").write_text("\n".join(lines))
-    stream = feeds.stream_rows(spark.readStream.text(f"{tmp_path}/in")).withColumn("arrived", F.lit(1))
-    st.merge_into(st.confirmed(stream), f"{tmp_path}/table", f"{tmp_path}/ck").awaitTermination()
-    rows = feeds.stored_candles(spark, f"{tmp_path}/table", stream.schema).collect()
-    assert sorted((r.symbol, r.close) for r in rows) == [("AB", 1.0), ("AB", 3.0)]
+def test_confirmed_candles_and_reports(spark, tmp_path):
+    """Duplicates, disorder, a candle that is never confirmed, late messages, and a symbol that falls silent; in four batches."""
+    message = '{{"topic": "kline.5.{}", "data": [{{"start": {}, "open": "1", "high": "2", "low": "1", "close": "{}", "volume": "1", "turnover": "1", "confirm": {}}}]}}'
+    batches = [
+        [("A", 0, 1, True), ("A", 0, 9, True), ("A", 2, 3, False), ("A", 1, 2, False), ("B", 0, 5, True), (None, 0, 1, True)],
+        [("A", 1, 4, True), ("A", 0, 7, True), ("A", 2, 6, False), ("B", 1, 5, True), ("A", 3, 8, True)],
+        [("A", 40, 1, True), ("A", 2, 7, False)],
+        [("A", 2, 7, True), ("A", 0, 7, True), ("A", 80, 1, False)],
+    ]
+    zero = 1_705_000_000_000 - 1_705_000_000_000 % 300_000
+    arrived = 0
+    for rows in batches:
+        lines = [f"{(arrived := arrived + 1)} " + (message.format(s, zero + 300_000 * k, c, str(ok).lower()) if s else "no json") for s, k, c, ok in rows]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / f"in/{arrived}.txt").write_text("\n".join(lines))
+        text = spark.readStream.text(f"{tmp_path}/in").select(F.split("value", " ", 2).alias("v"))
+        stream = feeds.stream_messages(text.select(F.col("v")[0].cast("long").alias("arrived"), F.col("v")[1].alias("value")), keep=["arrived"])
+        st.settle_into(stream, ["close"], f"{tmp_path}/table", f"{tmp_path}/reports", f"{tmp_path}/ck").awaitTermination()
+    at = lambda r: (r.symbol, (int(r.ts.timestamp()) * 1000 - zero) // 300_000)
+    kind = spark.createDataFrame([], "symbol string, interval string, ts timestamp, close double").schema
+    assert {at(r): r.close for r in feeds.stored_candles(spark, f"{tmp_path}/table", kind).collect()} == {("A", 0): 1.0, ("A", 1): 4.0, ("B", 0): 5.0, ("B", 1): 5.0, ("A", 3): 8.0, ("A", 40): 1.0}
+    reports = sorted((*at(r), r.status, r.close) for r in spark.read.parquet(f"{tmp_path}/reports").collect())
+    assert reports == [("A", 2, "never confirmed", 7.0), ("B", 1, "silent", None)]
+
+
+def test_stream_rows_take_confirmed_messages(spark):
+    row = '{"topic": "kline.5.AB", "data": [{"start": 1705000000000, "open": "1", "high": "2", "low": "1", "close": "3", "volume": "1", "turnover": "1", "confirm": %s}]}'
+    found = feeds.stream_rows(spark.createDataFrame([(row % "true",), (row % "false",), ("{}",), (None,)], "value string")).collect()
+    assert [(r.symbol, r.interval, r.close) for r in found] == [("AB", "5", 3.0)]
 
 
 class Pages(PagedCandles):

@@ -1232,10 +1232,23 @@ def st_late_data(spark, sf_dir, work):
     return st.finished(rolled, ["symbol", "ts"], work).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@stream_query("st_confirmed_upsert", "SELECT event_type AS symbol, '5' AS \"interval\", ts, value AS close FROM events WHERE event_id % 2 = 0")
+#: Messages of candles of five minutes: every event is one of its bucket's, a third of them confirm it, and sign-ups end before the others.
+MESSAGES = """m AS (SELECT event_type AS symbol, time_bucket(INTERVAL '5 minutes', ts) AS ts, value AS close, event_id, event_id % 3 = 0 AS confirm FROM events WHERE event_type <> 'signup' OR ts < TIMESTAMP '2024-01-20'),
+    mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS moment FROM m), c AS (SELECT symbol, ts, bool_or(confirm) AS ok, arg_min(close, event_id) FILTER (confirm) AS held, arg_max(close, event_id) AS latest FROM m GROUP BY ALL)"""
+
+
+@stream_query("st_confirmed_upsert", f"""WITH {MESSAGES} SELECT symbol, ts, 'confirmed' AS status, held AS close FROM c WHERE ok UNION ALL SELECT symbol, ts, 'never confirmed', latest FROM c, mark WHERE NOT ok AND ts + INTERVAL 15 MINUTE <= moment
+    UNION ALL SELECT symbol, max(ts), 'silent', NULL FROM c, mark GROUP BY symbol, moment HAVING max(ts) + INTERVAL 15 MINUTE <= moment""")
 def st_confirmed_upsert(spark, sf_dir, work):
-    rows = event_stream(spark, sf_dir).where("event_id % 2 = 0").select(F.col("event_type").alias("symbol"), F.lit("5").alias("interval"), "ts", F.col("value").alias("close"), F.col("event_id").alias("arrived"))
-    return st.merged(st.confirmed(rows, "40 days"), work).select("symbol", "interval", F.col("ts").cast("timestamp_ntz").alias("ts"), "close")
+    """All messages come twice and in no order; confirmed candles are merged into a table, the others and silent symbols are reported."""
+    events = event_stream(spark, sf_dir).where("event_type <> 'signup' OR ts < TIMESTAMP '2024-01-20'")
+    twice = events.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    messages = twice.select(F.col("event_type").alias("symbol"), F.lit("5").alias("interval"), F.window("ts", "5 minutes")["start"].alias("ts"), F.col("value").alias("close"), F.col("event_id").alias("arrived"), (F.col("event_id") % 3 == 0).alias("confirm"))
+    st.settle_into(messages, ["close"], f"{work}/table", f"{work}/reports", f"{work}/checkpoint").awaitTermination()
+    kind = spark.createDataFrame([], "symbol string, interval string, ts timestamp, close double").schema
+    passed = feeds.stored_candles(spark, f"{work}/table", kind).select("symbol", "ts", F.lit("confirmed").alias("status"), "close")
+    reports = spark.read.parquet(f"{work}/reports").select("symbol", "ts", "status", "close")
+    return passed.unionByName(reports).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def holes(t: Table) -> tuple[DataFrame, DataFrame]:

@@ -25,12 +25,17 @@ def candle_pages(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("symbol", "interval", F.col("r")[0].cast("long").alias("ts_ms"), *[F.col("r")[k + 1].cast("double").alias(n) for k, n in enumerate(names)])
 
 
-def stream_rows(messages: DataFrame, column: str = "value") -> DataFrame:
-    """Candles of stream messages: the first entry of each message, confirmed ones only."""
-    m = messages.select(F.from_json(column, STREAM_MESSAGE).alias("m")).select("m.topic", F.col("m.data")[0].alias("d")).where("d.confirm")
+def stream_messages(messages: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Candles of stream messages, the first entry of each, confirmed or not; with the columns ``keep`` of the messages."""
+    m = messages.select(*(keep or []), F.from_json(column, STREAM_MESSAGE).alias("m")).select(*(keep or []), "m.topic", F.col("m.data")[0].alias("d"))
     topic = F.split("topic", r"\.")
     values = [F.col(f"d.{n}").cast("double").alias(n) for n in ("open", "high", "low", "close", "volume", "turnover")]
-    return m.select(topic[2].alias("symbol"), topic[1].alias("interval"), F.timestamp_millis("d.start").alias("ts"), *values)
+    return m.select(*(keep or []), topic[2].alias("symbol"), topic[1].alias("interval"), F.timestamp_millis("d.start").alias("ts"), *values, F.col("d.confirm").alias("confirm"))
+
+
+def stream_rows(messages: DataFrame, column: str = "value") -> DataFrame:
+    """Candles of stream messages, confirmed ones only."""
+    return stream_messages(messages, column).where("confirm").drop("confirm")
 
 
 def metric_text(lines: DataFrame, column: str = "value", position: str = "position") -> DataFrame:

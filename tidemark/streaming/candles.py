@@ -10,7 +10,8 @@ from tidemark.functions.intervals import INTERVALS, width
 from tidemark.operators.merge import last_wins, upsert
 from tidemark.plans import coverage
 from tidemark.plans.store import stored, work_dir  # noqa: F401  for those that start streams
-from tidemark.sources.feeds import merge_candles, stored_candles
+from tidemark.sources.feeds import merge_candles
+from tidemark.streaming.confirmed import CONFIRMED, settled, started
 
 #: How far back each stored rollup takes late candles in.
 LATE = {"60": "3 hours", "240": "12 hours", "D": "3 days"}
@@ -28,17 +29,6 @@ def finished(stream: DataFrame, keys: list[str], work: str) -> DataFrame:
     return last_wins(rows, keys, ["batch"]).drop("batch")
 
 
-def merged(stream: DataFrame, work: str, order: str = "arrived") -> DataFrame:
-    """Merges what is there now into a table, and reads it."""
-    merge_into(stream, f"{work}/table", f"{work}/checkpoint", order).awaitTermination()
-    return stored_candles(stream.sparkSession, f"{work}/table", stream.schema).drop("week")
-
-
-def confirmed(stream: DataFrame, late: str = "3 hours") -> DataFrame:
-    """Each candle once, though messages repeat within the watermark."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(KEYS)
-
-
 def merge_into(stream: DataFrame, path: str, checkpoint: str, order: str = "arrived") -> StreamingQuery:
     """Merges every micro-batch into a table by interval and week; a batch that runs again changes nothing.
 
@@ -51,6 +41,18 @@ def merge_into(stream: DataFrame, path: str, checkpoint: str, order: str = "arri
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def settle_into(messages: DataFrame, values: list[str], path: str, reports: str, checkpoint: str, grace: str = "10 minutes", grace_ms: int = 600_000) -> StreamingQuery:
+    """Merges the confirmed candles of a message stream into a table, and writes what was never confirmed and who fell silent to ``reports``."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = stored(batch, "settled")
+        merge_candles(rows.sparkSession, path, rows.where(F.col("status") == CONFIRMED).drop("status"), KEYS, ["ts"])
+        rows.where(F.col("status") != CONFIRMED).write.mode("overwrite").parquet(f"{reports}/batch={number}")
+
+    writer = settled(messages, values, grace, grace_ms).writeStream.foreachBatch(merge).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return started(messages.sparkSession, writer)
+
+
 def rollup_stream(ticks: DataFrame, code: str, symbol: str, ts: str, price: str, tie: str, late: str | None = None) -> DataFrame:
     """Bars of a stream of trades, by event time; late trades are taken in as far as the watermark allows."""
     at, p = F.struct(ts, tie), F.col(price)
