@@ -167,15 +167,15 @@ def test_line_dedup_edges(edges, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("sample", [neighbours.SAMPLE, 300])  # 300: trees split a part of the table, so leaves grow
-def test_neighbours(spark, sample):
+@pytest.mark.parametrize("sample, held", [(neighbours.SAMPLE, neighbours.HELD), (300, 1)])  # 300: trees split a part of the table, so leaves grow; 1: a leaf's queries in parts
+def test_neighbours(spark, sample, held):
     draw = np.random.default_rng(2)
     points = draw.standard_normal((1500, 16))
     points[700:900] = points[700]  # a large class of equal vectors
     rows = [(k, [float(x) for x in p]) for k, p in enumerate(points)]
     rows += [(2000, None), (2100, []), (2200, [0.0] * 16), (2300, [float("nan")] * 16), (2400, [None] + [1.0] * 15), (2500, [1.0] * 3), (None, [1.0] * 16), (100, rows[100][1])]
     table = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, leaf string, `class` int")
-    found = neighbours.search(table, F.col("id") % 100 == 0, sample=sample).collect()
+    found = neighbours.search(table, F.col("id") % 100 == 0, sample=sample, held=held).collect()
     by = defaultdict(list)
     for r in sorted(found, key=lambda r: r["rank"]):
         by[r.query_id].append(r)
@@ -192,6 +192,23 @@ def test_neighbours(spark, sample):
     assert neighbours.search(table.where("vec_id = 100"), F.col("id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_recall_on_unstructured_vectors(spark, name):
+    """Of 64 dimensions, nearly all of which count."""
+    table = spark.read.parquet(f"/root/testdata/{name}/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in table.collect()]
+    points = np.array([p for _, p in rows])
+    found = defaultdict(set)
+    for r in neighbours.search(table, F.col("id") % 25 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q, p in rows:
+        if q % 25 == 0:
+            far = np.sqrt(((points - p) ** 2).sum(axis=1))
+            hits += len(found[q] & {k for _, k in sorted((d, k) for d, (k, _) in zip(far, rows, strict=True) if k != q)[:10]})
+    assert hits >= 0.9 * 10 * len(found)
+
+
 def cheapest(roles):
     """Least cost over all choices of actions, by trying them."""
     best = [chat.FAR]

@@ -7,7 +7,8 @@ leaves; the vectors of these are
 ranked by exact distances in double precision.
 
 Equal vectors are one class: the index holds it once, with its eleven smallest ids, as no more can enter a list of ten.
-Leaves are read as streams of blocks, so neither a leaf nor the vectors of a class are gathered whole.
+Leaves are read as streams of blocks, so neither a leaf nor the vectors of a class are gathered whole. Where more queries come to a leaf than
+a task should hold (``HELD``), they are dealt to parts, each of which reads the leaf.
 
 Null, empty and zero vectors, vectors with null or non-finite components, and vectors whose length isn't the most frequent
 one (ties: the shorter) take no part, neither as queries nor as candidates. Rows without an id take no part. Rows that
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import small, stored
 
-NEIGHBOURS, SAMPLE, LEAF, TREES, VISITED = 10, 20_000, 48, 12, 0.07
+NEIGHBOURS, SAMPLE, LEAF, TREES, VISITED = 10, 20_000, 48, 12, 0.09
+#: Queries that a task holds for a leaf, about.
+HELD = 4096
 
 
 class Tree:
@@ -111,7 +114,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def search(
     vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS,
-    sample: int = SAMPLE, leaf: int = LEAF, trees: int = TREES, visited: float = VISITED,
+    sample: int = SAMPLE, leaf: int = LEAF, trees: int = TREES, visited: float = VISITED, held: int = HELD,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (distance) for the rows that ``is_query`` (over ``id``) picks."""
     rows = usable(vectors, key, vector)
@@ -125,39 +128,43 @@ def search(
     grown = forest(classes.select(F.col("class").alias("id"), "v"), sample, leaf, trees)
     visits = max(trees, round(visited * sum(t.leaves for t in grown)))
     sent = rows.sparkSession.sparkContext.broadcast(grown)
+    probed = asked.select("class", "v").dropDuplicates(["class"])
+    parts = max(1, -(-round(probed.count() * visited) // held))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 points = matrix(batch.column(1))
                 for t, tree in enumerate(sent.value):
-                    n = batch.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(tree.leaf_of(points).astype(np.int32)), pa.array(np.ones(n, np.int32)), batch.column(0), batch.column(1)], names)
+                    n, at = batch.num_rows, pa.array(tree.leaf_of(points).astype(np.int32))
+                    for part in range(parts):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), at, pa.array(np.full(n, part, np.int32)), pa.array(np.ones(n, np.int32)), batch.column(0), batch.column(1)], names)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 found = [(i, *x) for i, q in enumerate(matrix(batch.column(1))) for x in visit(sent.value, q, visits)]
                 i, t, l = (np.array(x, np.int32) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(l), pa.array(np.zeros(len(t), np.int32)), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], names)
+                own = batch.column(0).take(pa.array(i))
+                part = (own.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(l), pa.array(part.astype(np.int32)), pa.array(np.zeros(len(t), np.int32)), own, batch.column(1).take(pa.array(i))], names)
 
-    names = ["tree", "leaf", "kind", "class", "v"]
-    schema = "tree int, leaf int, kind int, class long, v array<double>"
-    probes = asked.select("class", "v").dropDuplicates(["class"]).mapInArrow(probe, schema)
-    both = classes.mapInArrow(index, schema).unionByName(probes).repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "kind", "class")
+    names = ["tree", "leaf", "part", "kind", "class", "v"]
+    schema = "tree int, leaf int, part int, kind int, class long, v array<double>"
+    both = classes.mapInArrow(index, schema).unionByName(probed.mapInArrow(probe, schema)).repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part", "kind", "class")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, queries = None, [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree, leaf_, kind, own = (batch.column(i).to_numpy() for i in range(4))
-            points = matrix(batch.column(4))
-            cuts = np.flatnonzero((np.diff(tree) != 0) | (np.diff(leaf_) != 0) | (np.diff(kind) != 0)) + 1
+            tree, leaf_, part, kind, own = (batch.column(i).to_numpy() for i in range(5))
+            points = matrix(batch.column(5))
+            cuts = np.flatnonzero((np.diff(tree) != 0) | (np.diff(leaf_) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
             out: list[tuple] = []
             for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True):
-                if (tree[a], leaf_[a]) != now:
-                    now, ids, queries = (tree[a], leaf_[a]), [], []
+                if (tree[a], leaf_[a], part[a]) != now:
+                    now, ids, queries = (tree[a], leaf_[a], part[a]), [], []
                 if kind[a] == 0:
                     ids.extend(own[a:b].tolist())
                     queries.extend(points[a:b])
