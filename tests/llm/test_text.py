@@ -162,26 +162,29 @@ NOTICES = [
     ("Licensed under the GPL, version 3", "gpl"), ("Released under GPLv3", "gpl"), ("Licensed under GPLv2.", "gpl"), ("Released under the Mozilla Public License 2.0", "mpl-2.0"),
     ("Licensed under the MPL 2.0", "mpl-2.0"), ("Licensed under the ISC license.", "isc"), ("Released under CC BY 4.0", "cc-by"), ("Licensed under the Creative Commons Attribution License", "cc-by"),
     ("Released under CC0 1.0", "cc0"), ("Licensed under the Creative Commons Zero license", "cc0"), ("Released under the Unlicense.", "unlicense"), ("All rights reserved.", "reserved"),
+    ("MIT License", "mit"), ("This project is MIT licensed.", "mit"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: GPL-3.0-only", "gpl"), ("Released under the terms of the MIT license", "mit"),
+    ("SPDX-License-Identifier: CC-BY-4.0", "cc-by"), ("SPDX-License-Identifier: CC0-1.0", "cc0"), ("SPDX-License-Identifier: Unlicense", "unlicense"), ("BSD 3-Clause License", "bsd"),
+    ("A dog mit owner stood under the tree without a license", ""), ("under " + "word " * 5000 + "apache " + "word " * 5000 + "license", ""), ("the license of mit", ""), ("license identifier", ""),
     ("Released under the terms of the license", ""), ("Licensed under the public license, version 2.0", ""), ("Licensed under the Creative Commons license", ""),
 ]
 
 
 def test_license_notices_of_one_line(spark):
-    docs = spark.createDataFrame([(k, f"some prose\n{text}\nmore prose mit mpl") for k, (text, _) in enumerate(NOTICES)], "doc_id long, text string")
-    assert {label for label, _ in license_scan.TEMPLATES} <= {label for _, label in NOTICES}
+    docs = spark.createDataFrame([(k, f"some prose\n\n{text}\n \nmore prose mit mpl") for k, (text, _) in enumerate(NOTICES)], "doc_id long, text string")
+    assert {label for label, _ in license_scan.KNOWN} <= {label for _, label in NOTICES}
     assert {NOTICES[r.doc_id][0]: r.labels for r in license_scan.digest(docs).collect()} == dict(NOTICES)
 
 
 def test_license_templates_wrapped_over_lines(spark):
     import textwrap
 
-    texts, whole = {}, dict(enumerate(license_scan.TEMPLATES))
+    texts, whole = {}, dict(enumerate(license_scan.KNOWN))
     for k, (_, text) in whole.items():
         texts[k] = "First paragraph.\n \n" + "\n".join(f" * {x}" for x in textwrap.wrap(text, max(6, min(40, len(text) // 2)), break_long_words=False, break_on_hyphens=False)) + "\n\nlast one"
-    texts[100] = "under\nthe\n\nmit\nlicense"  # an empty line ends a block
-    texts[101] = "under the\n" + "word " * 10 + "license\nmit"  # words that don't stand together
+    texts[100] = "under\nthe\n \ngpl\nlicense"  # an empty line ends a block
+    texts[101] = "under the\n" + "word " * 10 + "license\nfor\nmit"  # words that don't stand together
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     out = {r.doc_id: r.labels.split(",") for r in license_scan.digest(docs).collect()}
     assert all(label in out[k] for k, (label, _) in whole.items()) and out[100] == out[101] == [""]
-    found = license_scan.wrapped(docs, "doc_id", "text", license_scan.CONTAINMENT).collect()
+    found = license_scan.scan(docs).collect()
     assert all(any(r.doc_id == k == r.template and r.n_held == r.n_template for r in found) for k in whole)

@@ -1,15 +1,14 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in built-in functions only.
 
-A block is a line of the text; its tokens are the distinct words of it. A block carries a template's label when it holds
-at least ``CONTAINMENT`` percent of the template's distinct words. Paragraphs of several lines (up to an empty line) are
-blocks too, so that wrapped notices are found; in them the words must stand together, in a run of words of which the
-template could be ``CONTAINMENT`` percent, as a whole text without empty lines holds the words of short notices by chance.
+A block is a paragraph of the text, the lines up to an empty one, so that wrapped notices are found; its tokens are its distinct words. A block carries
+a template's label when at least ``CONTAINMENT`` percent of the template's distinct words stand together in it: in a run of words of
+which the whole template could be that share, or, of short notices, in a run of ``NOTICE_RUN`` words, as a long line or a text without empty lines holds the words of a notice by chance.
 Texts are read once: what a document holds of the templates' words is kept, and its text where that is enough for one.
-The join of lines is exact: template words are put in order of
+The join is exact: template words are put in order of
 their frequency over all documents, rarest first, and a block that meets the threshold must hold one of the first
 ``size - needed + 1`` of them (prefix), at a place that leaves enough words after it (position), and must itself hold
-``needed`` words or more (length). What passes is verified on the whole sets. Only the template index is broadcast; its
-size is fixed by ``TEMPLATES`` below, not by the data.
+``needed`` words or more (length). What passes is verified on the whole sets, and then on runs of the block's words. Only the template index is broadcast; its
+size is fixed by ``TEMPLATES`` and ``TITLES`` below, not by the data.
 
 Beside the templates, phrases are found as consecutive words anywhere in the text.
 
@@ -20,16 +19,21 @@ are broken by the word; extra columns play no part. A table without rows gives a
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, stored
+from .common import ascii_lower, stored
 
 #: Percent of a template's distinct words that a block must hold.
 CONTAINMENT = 80
+#: Words among which those of a short notice must stand.
+NOTICE_RUN = 8
 #: Anything that is not a word: ASCII but for digits and small letters (texts are lower-cased first).
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What ends a paragraph.
+EMPTY_LINE = r"\n[\x20\x09\x0B-\x0D]*\n"
 #: Phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Opening sentences and short notices of public licenses, with labels. A notice has four words at
@@ -64,6 +68,13 @@ TEMPLATES = (
     ("cc0", "under Creative Commons Zero"),
     ("unlicense", "under Unlicense"),
 )
+#: Titles of licenses and the words of license identifiers; all of them are needed, two of them side by side and more with one other word between at most.
+TITLES = (
+    ("mit", "MIT License"), ("mit", "MIT licensed"), ("apache-2.0", "Apache License 2.0"), ("apache-2.0", "Apache License Version"), ("bsd", "BSD License"), ("bsd", "BSD clause license"), ("gpl", "GNU General Public License"),
+    ("mpl-2.0", "Mozilla Public License"), ("isc", "ISC License"), ("mit", "License Identifier MIT"), ("apache-2.0", "License Identifier Apache"), ("bsd", "License Identifier BSD"), ("gpl", "License Identifier GPL"),
+    ("mpl-2.0", "License Identifier MPL"), ("isc", "License Identifier ISC"), ("cc-by", "License Identifier CC BY"), ("cc0", "License Identifier CC0"), ("unlicense", "License Identifier Unlicense"),
+)
+KNOWN = TEMPLATES + TITLES
 
 
 def word_list(text: Column) -> Column:
@@ -89,45 +100,28 @@ def phrase_places(words: Column, phrase: str) -> Column:
 def template_tokens() -> list[tuple[int, str, str]]:
     """``(template, label, token)`` for the distinct words of each template."""
     cut = lambda text: dict.fromkeys(x for x in re.split(NOT_WORD, text.lower()) if x)
-    return [(k, label, token) for k, (label, text) in enumerate(TEMPLATES) for token in cut(text)]
+    return [(k, label, token) for k, (label, text) in enumerate(KNOWN) for token in cut(text)]
 
 
-def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Each block's words that any template has: ``key``, ``block`` (line number), ``held`` (array); others are left out."""
-    vocabulary = F.array(*[F.lit(x) for x in sorted({token for *_, token in template_tokens()})])
-    lines = docs.select(F.col(f"`{key}`").alias(key), F.posexplode(F.split(ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), "\n")).alias("block", "line"))
-    return lines.select(key, "block", F.array_intersect(F.split("line", NOT_WORD), vocabulary).alias("held")).where(F.size("held") > 0)
+def run_length(template: int, percent: int) -> int:
+    """Words of a block among which a template's words must stand."""
+    n = len([x for x in re.split(NOT_WORD, KNOWN[template][1].lower()) if x])
+    if template >= len(TEMPLATES):
+        return n if n == 2 else n + 1
+    return NOTICE_RUN if n <= 4 else -(-n * 100 // percent)
 
 
-def window(template: int, percent: int) -> int:
-    """Words of a paragraph among which a template's words must stand."""
-    return -(-len([x for x in re.split(NOT_WORD, TEMPLATES[template][1].lower()) if x]) * 100 // percent)
+def needed(template: int, size: int, percent: int) -> int:
+    """How many of a template's distinct words a block must hold."""
+    return size if template >= len(TEMPLATES) else -(-size * percent // 100)
 
 
-def wrapped(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """Every paragraph of several lines that meets a template, as ``scan``; ``block`` is the paragraph's number below -1."""
-    sets: dict[int, list[str]] = {}
-    for k, _, token in template_tokens():
-        sets.setdefault(k, []).append(token)
-    words = lambda x: F.array(*[F.lit(t) for t in x])
-    every = F.array(*[
-        F.struct(F.lit(k).alias("template"), F.lit(TEMPLATES[k][0]).alias("label"), words(v).alias("tokens"), F.lit(-(-len(v) * percent // 100)).alias("needed"), F.lit(window(k, percent)).alias("window"))
-        for k, v in sets.items()
-    ])
-    vocabulary = words(sorted({t for v in sets.values() for t in v}))
-    parts = F.posexplode(F.split(ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), r"\n[ \t\r\f\x0B]*\n\s*"))
-    paragraphs = docs.select(F.col(f"`{key}`").alias(key), parts.alias("block", "paragraph")).where(F.contains("paragraph", F.lit("\n")))
-    cut = F.split("paragraph", NOT_WORD)
-    # whole paragraphs first, as few hold enough of a template's words; ``let`` and the outer form keep this from being done twice
-    enough = lambda held: F.filter(every, lambda t: (F.size(held) >= t["needed"]) & (F.size(F.array_intersect(held, t["tokens"])) >= t["needed"]))
-    met = paragraphs.select(key, "block", "paragraph", F.explode_outer(let(F.array_intersect(cut, vocabulary), enough)).alias("t")).where("t is not null")
-
-    def most(x: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: F.array_contains("t.tokens", F.element_at(x, i)))
-        return F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(x, i, F.col("t.window")), F.col("t.tokens")))))
-
-    found = met.select(key, "block", "t", let(F.array_remove(cut, ""), most).alias("n_held")).where(F.col("n_held") >= F.col("t.needed"))
-    return found.select(key, (-2 - F.col("block")).alias("block"), "t.template", "t.label", F.col("n_held").cast("long").alias("n_held"), F.size("t.tokens").cast("long").alias("n_template"))
+def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Each paragraph's ``words``, in order, and those that any template has, ``held``: ``key``, ``block`` (its number); paragraphs that hold none are left out."""
+    vocabulary = F.array(*[F.lit(x) for x in sorted({token for *_, token in template_tokens()})])
+    parts = docs.select(F.col(f"`{key}`").alias(key), F.posexplode(F.split(ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), EMPTY_LINE)).alias("block", "part"))
+    rows = parts.select(key, "block", F.array_remove(F.split("part", NOT_WORD), "").alias("words"))
+    return rows.select(key, "block", "words", F.array_intersect("words", vocabulary).alias("held")).where(F.size("held") > 1)
 
 
 def read_once(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
@@ -140,7 +134,7 @@ def read_once(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     for k, _, token in template_tokens():
         tokens.setdefault(k, []).append(token)
     listed = lambda words: F.array(*[F.lit(x) for x in words])
-    every = F.array(*[F.struct(listed(v).alias("tokens"), F.lit(-(-len(v) * percent // 100)).alias("needed")) for v in tokens.values()])
+    every = F.array(*[F.struct(listed(v).alias("tokens"), F.lit(needed(k, len(v), percent)).alias("needed")) for k, v in tokens.items()])
     vocabulary = listed(sorted({x for v in tokens.values() for x in v}))
     own = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text"))
     w = own.withColumn("_w", word_list(F.col("_text")))
@@ -160,28 +154,28 @@ def read_once(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
 
 def met_templates(rows: DataFrame, percent: int) -> DataFrame:
     """Every block that meets a template, of the rows of ``read_once``: ``_row``, ``block``, ``template``, ``label``, ``n_held``, ``n_template``."""
-    spark = rows.sparkSession
-    sets = spark.createDataFrame(template_tokens(), "template int, label string, token string")
+    spark, sizes = rows.sparkSession, Counter(k for k, *_ in template_tokens())
+    limits = [(k, needed(k, n, percent), run_length(k, percent)) for k, n in sizes.items()]
+    sets = spark.createDataFrame(template_tokens(), "template int, label string, token string").join(F.broadcast(spark.createDataFrame(limits, "template int, needed int, run int")), "template")
     frequency = rows.select(F.explode("_held").alias("token")).groupBy("token").agg(F.count("*").alias("n"))  # as many rows as templates have words
     ordered = Window.partitionBy("template").orderBy(F.coalesce("n", F.lit(0)), "token")
     whole = Window.partitionBy("template")
     ranked = sets.join(F.broadcast(frequency), "token", "left").select(
-        "template", "label", "token", F.row_number().over(ordered).alias("place"), F.collect_set("token").over(whole).alias("tokens")
-    )
-    needed = F.ceil(F.size("tokens") * percent / 100).cast("int")
-    index = ranked.withColumn("needed", needed).where(F.col("place") <= F.size("tokens") - F.col("needed") + 1)
-    texts = rows.where("_text is not null").select("_row", "_text")
-    token = blocks(texts, "_row", "_text").where(F.size("held") > 1).select("_row", "block", "held", F.explode("held").alias("token"))
-    pairs = token.join(F.broadcast(index), "token").where(F.size("held") >= F.col("needed"))
-    met = pairs.withColumn("n_held", F.size(F.array_intersect("held", "tokens"))).where(F.col("n_held") >= F.col("needed"))
-    lines = met.groupBy("_row", "block", "template").agg(
-        F.first("label").alias("label"), F.first("n_held").cast("long").alias("n_held"), F.first(F.size("tokens")).cast("long").alias("n_template")
+        "template", "label", "token", "needed", "run", F.row_number().over(ordered).alias("place"), F.collect_set("token").over(whole).alias("tokens")
     )
-    return lines.unionByName(wrapped(texts, "_row", "_text", percent))
+    index = ranked.where(F.col("place") <= F.size("tokens") - F.col("needed") + 1)
+    texts = rows.where("_text IS NOT NULL").select("_row", "_text")
+    token = blocks(texts, "_row", "_text").select("_row", "block", "words", "held", F.explode("held").alias("token"))
+    pairs = token.join(F.broadcast(index), "token").where((F.size("held") >= F.col("needed")) & (F.size(F.array_intersect("held", "tokens")) >= F.col("needed")))
+    # runs begin where a word of the template stands
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("tokens", F.element_at("words", i)))
+    most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("run")), F.col("tokens")))))
+    met = pairs.select("_row", "block", "template", "label", "needed", F.size("tokens").cast("long").alias("n_template"), most.cast("long").alias("n_held")).where(F.col("n_held") >= F.col("needed"))
+    return met.groupBy("_row", "block", "template").agg(F.first("label").alias("label"), F.first("n_held").alias("n_held"), F.first("n_template").alias("n_template"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = CONTAINMENT) -> DataFrame:
-    """Every block that meets a template: ``key``, ``block`` (line number; of paragraphs below -1), ``label``, ``template``, ``n_held``, ``n_template``."""
+    """Every block that meets a template: ``key``, ``block`` (the paragraph's number), ``label``, ``template``, ``n_held``, ``n_template``."""
     rows = read_once(docs, key, text, percent)
     return met_templates(rows, percent).join(rows.select("_row", key), "_row").drop("_row")
 

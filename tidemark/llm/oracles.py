@@ -33,7 +33,7 @@ def license_sql() -> str:
     for k, label, token in license_scan.template_tokens():
         tokens.setdefault(k, []).append(token)
         labels[k] = label
-    templates = ", ".join(f"({k}, '{labels[k]}', {v!r})" for k, v in tokens.items())
+    templates = ", ".join(f"({k}, '{labels[k]}', {v!r}, {license_scan.needed(k, len(v), license_scan.CONTAINMENT)}, {license_scan.run_length(k, license_scan.CONTAINMENT)})" for k, v in tokens.items())
     parts = []
     for phrase, label in license_scan.PHRASES:
         stands = " AND ".join(f"ws[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split()))
@@ -43,9 +43,10 @@ def license_sql() -> str:
     w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '{BROKEN}'), lambda x: x <> '') AS ws FROM d),
     p AS ({" UNION ALL ".join(parts)}),
     pb AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
-    tpl(k, label, tk) AS (VALUES {templates}),
-    b AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(line, '{BROKEN}'), lambda x: x <> '')) AS bs FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-    h AS (SELECT doc_id, label, len(list_intersect(bs, tk)) / len(tk) AS share FROM b, tpl WHERE len(list_intersect(bs, tk)) >= ceil(len(tk) * {license_scan.CONTAINMENT} / 100.0)),
+    tpl(k, label, tk, needed, run) AS (VALUES {templates}),
+    b AS (SELECT doc_id, list_filter(regexp_split_to_array(part, '{BROKEN}'), lambda x: x <> '') AS ws FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '{license_scan.EMPTY_LINE}')) AS part FROM d)),
+    m AS (SELECT doc_id, label, tk, needed, list_max(list_transform(range(1, len(ws) + 1), lambda i: len(list_intersect(ws[i : i + run - 1], tk)))) AS n FROM b, tpl WHERE len(list_intersect(ws, tk)) >= needed),
+    h AS (SELECT doc_id, label, n / len(tk) AS share FROM m WHERE n >= needed),
     l AS (SELECT doc_id, label FROM h UNION SELECT doc_id, label FROM p),
     al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM l GROUP BY doc_id),
     s AS (SELECT doc_id, max(share) AS share FROM h GROUP BY doc_id)
