@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
 from test_joins import groups_of, removed
 from test_text import check_pieces
 
@@ -48,3 +49,27 @@ def test_stages(spark, tmp_path):
     run("packing", mixed)
     ids, total, _ = check_pieces(rows["packing"], {r.doc_id: r.text for r in rows["source_mixing"]})
     assert all(total[k] == copies[k] * len(ids[k]) for k in ids)
+
+
+CLASHES = ["removed_lines", "copy", "order_key", "n_words", "component_id", "class", "gone", "key", "line", "row", "asks", "n_shingles", "n_stop", "kept"]
+
+
+def test_stages_take_odd_documents(spark, edges, empty, tmp_path):
+    """Null and empty texts, repeated rows, a null id, very long texts and clashing names go through every stage; so does a table without rows."""
+    good = " ".join(f"the{k} word{k} of tale{k} and with{k}" for k in range(40))
+    more = spark.createDataFrame([(50, good, "en", "a", len(good)), (50, good, "en", "a", len(good)), (51, good, "en", None, len(good)), (None, good + " more words", "en", "b", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    base = edges.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more)
+    for name, frame in (("all", base.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])), ("none", base.limit(0)), ("few", base.drop("n_chars"))):
+        docs, kept = frame, []
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, DATA)
+            if stage != "packing":
+                assert out.columns == docs.columns, (name, stage)
+            out.write.parquet(f"{tmp_path}/{name}{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            kept.append({r.doc_id for r in docs.select("doc_id").collect()})
+        assert kept[0] == (set() if name == "none" else kept[0] | {50, 51, None}) and kept[-1] <= kept[0]
+        if name == "all":
+            assert 50 in kept[-1] and docs.where("doc_id = 50").count() >= 1
+            first = spark.read.parquet(f"{tmp_path}/all3").where("doc_id = 50").first()
+            assert [first[c] for c in CLASHES] == list(range(len(CLASHES))) and first.text == good and first.n_chars == len(good)

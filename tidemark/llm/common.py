@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ SPACE = r"\x20\x09-\x0D"
 ROWS_AT_ONCE, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Bytes up to which a side of a join counts as small enough to broadcast.
 BROADCAST_BYTES = 48 << 20
+#: Folders that ``stored`` has written within ``scratch``.
+SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,22 +31,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidemark"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    Python workers get ``BATCH_ROWS`` rows at once while it runs, as texts may be long.
-    """
+def written(df: DataFrame, path: str) -> None:
+    """Writes ``df``; Python workers get ``BATCH_ROWS`` rows at once while that runs, as texts may be long."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(ROWS_AT_ONCE)
     spark.conf.set(ROWS_AT_ONCE, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(ROWS_AT_ONCE, before)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors. Inside ``scratch`` the folder goes at its end."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (held := SCRATCH.get()) is not None:
+        held.append(path)
+    written(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what ``stored`` writes within, at the end: for callers that write a result themselves. Frames made within can't be read after it."""
+    mark = SCRATCH.set([])
+    try:
+        yield
+    finally:
+        paths = SCRATCH.get()
+        SCRATCH.reset(mark)
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its values take ``limit`` bytes at most, as counted over all rows; ``df`` itself otherwise."""
     held = F.lit(16)
