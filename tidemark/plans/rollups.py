@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +52,9 @@ class Rollups:
         """Merges base candles, and logs what they touch: after the merge, as what is logged twice is only computed twice."""
         rows = stored(batch.select(self.columns.names), "batch")
         merge_candles(self.spark, f"{self.path}/candles", rows, KEYS, ["ts"])
-        self.log(PARTIAL, rows.select("symbol", bucket("ts", "60").alias("ts")).distinct())
-        for code in HOURS:
-            self.log(code, rows.select("symbol", bucket("ts", code).alias("ts")).distinct())
+        hours = stored(rows.select("symbol", bucket("ts", "60").alias("ts")).distinct(), "hours")
+        for view, code in ((PARTIAL, "60"), *zip(HOURS, HOURS, strict=True)):
+            self.log(view, hours if code == "60" else hours.select("symbol", bucket("ts", code).alias("ts")).distinct())
 
     def log(self, view: str, touched: DataFrame) -> None:
         touched.write.parquet(f"{self.path}/log/{view}/{uuid.uuid4().hex}")
@@ -64,9 +63,9 @@ class Rollups:
         """What the log of a view says, without repeats, and the batches that say it."""
         at, files = folder(self.spark, f"{self.path}/log/{view}")
         batches = [s.getPath() for s in files.listStatus(at)] if files.exists(at) else []
-        frames = [self.spark.read.parquet(b.toString()) for b in batches if files.exists(b.suffix("/_SUCCESS"))]
         whole = [b for b in batches if files.exists(b.suffix("/_SUCCESS"))]
-        return (reduce(DataFrame.unionByName, frames).distinct() if frames else None), whole
+        kind = self.columns["symbol"].dataType.simpleString()
+        return (self.spark.read.schema(f"symbol {kind}, ts timestamp_ntz").parquet(*[b.toString() for b in whole]).distinct() if whole else None), whole
 
     def done(self, view: str, batches: list, rest: DataFrame) -> None:
         if not rest.isEmpty():
