@@ -72,6 +72,11 @@ def from_ms(ms: Column) -> Column:
     return F.timestamp_millis(ms)
 
 
+def now_ms(now: Column | None = None) -> Column:
+    """Epoch milliseconds of a given moment, or of the clock when the query starts."""
+    return F.unix_millis(F.current_timestamp() if now is None else now)
+
+
 def format_time(ts: Column) -> Column:
     return F.date_format(ts, "dd-MM-yyyy HH:mm")
 

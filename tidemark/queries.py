@@ -851,6 +851,12 @@ def fn_to_ms(t):
     return t("events").select("event_id", iv.to_ms(F.col("ts")).alias("ms"))
 
 
+@query("fn_now", f"SELECT event_id, {NOW_MS} - epoch_us(ts) // 1000 AS age_ms FROM events")
+def fn_now(t):
+    """The present as a parameter; without one it is the clock's."""
+    return t("events").select("event_id", (iv.now_ms(F.lit(NOW).cast("timestamp")) - iv.to_ms(F.col("ts"))).alias("age_ms"))
+
+
 @query("fn_format_ts", "SELECT event_id, strftime(ts, '%d-%m-%Y %H:%M') AS s FROM events")
 def fn_format_ts(t):
     return t("events").select("event_id", iv.format_time(F.col("ts")).alias("s"))
