@@ -93,6 +93,17 @@ def test_decontamination_edges(spark, edges, empty):
     assert decontamination.digest(clashing, items).count() == edges.count()
 
 
+def test_clean_drops_documents_by_their_share_of_hits(edges, empty):
+    spark = edges.sparkSession
+    items = spark.createDataFrame([(3, "the end"), (4, "seven")], "item_id long, text string")
+    rows = edges.withColumn("spans", F.lit("s")).withColumn("row", F.lit(2)).withColumn("a b", F.lit(3))
+    all_ids = {r.doc_id for r in rows.collect()}
+    one, some = decontamination.clean(rows, items), decontamination.clean(rows, items, percent=20)
+    assert one.columns == rows.columns and {r.doc_id for r in one.collect()} == all_ids - {5, 6, 8}
+    assert {r.doc_id for r in some.collect()} == all_ids - {8} and some.where("doc_id = 6").count() == 2  # one word of seven is hit, and a third of all
+    assert [r["a b"] for r in some.where("doc_id = 5").collect()] == [3] and decontamination.clean(empty, items).count() == 0
+
+
 def phrases(docs, least, top):
     """Every phrase counted, every cut tried."""
     counts, words = Counter(), Counter()

@@ -219,7 +219,7 @@ def searched(docs: DataFrame, index: Index, last: bool) -> DataFrame:
             columns = [batch.column(0), text, pa.array(n_words), pa.array(spans_out, pa.list_(pa.list_(pa.int64()))), pa.array(items_out, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "text", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(search, f"key {docs.schema['key'].dataType.simpleString()}, text string, n_words long, spans array<array<long>>, items array<string>")
+    return docs.mapInArrow(search, docs.schema)
 
 
 def indexes(items: DataFrame, key: str, text: str, width: int, shingle: int, most: int = INDEX_BYTES) -> Iterator[tuple[Index, bool]]:
@@ -251,6 +251,13 @@ def hit_words(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
 
 
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", percent: float = 0.0) -> DataFrame:
+    """``docs`` without those of whose words more than ``percent`` percent are hit; their columns stay, whatever their names. Texts without words stay."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = scan(rows, items, key="row")
+    return found.where(100 * hit_words(F.col("spans")) <= percent * F.col("n_words")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def digest(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: how many words are hit, and which items occur, as a count and a hash."""
     found = scan(docs, items, key)
