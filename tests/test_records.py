@@ -151,3 +151,19 @@ def test_symbol_rules(spark):
 def test_normalisers_evaluate_a_value_once(spark):
     plan = spark.range(1).select(nm.supply(F.col("id"))).select("*")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("id#") < 8 and len(plan) < 6000
+
+
+def test_messages_are_counted_and_listed_whole(spark):
+    draw = random.Random(3)
+    rows = [(draw.choice(["user", "user", "bot", None, ""]), k, 0, draw.choice(["hi", "hi", "b|c", None, "", f"t{k}", "ü" * (k % 5)])) for k in range(700)]
+    messages = spark.createDataFrame(rows, "role string, conv_id long, turn int, text string")
+    there = [(r, t) for r, _, _, t in rows if t]
+    expected = []
+    for role in {r for r, _ in there}:
+        texts = sorted((t for r, t in there if r == role), key=lambda t: t.encode())
+        expected += [(role, len(texts), sum(map(len, texts)), k + 1, t) for k, t in enumerate(texts)]
+    for segments in (None, 7):  # in ranges that cut groups, and the copies of one text
+        found = fd.message_list(messages, "role", "text", ["conv_id", "turn"], segments)
+        assert found.columns == ["role", "n", "n_chars", "place", "text"]
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+    assert fd.message_list(messages.limit(0), "role", "text", ["conv_id"]).count() == 0

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.normalize import without_digits
-from tidemark.plans.store import stored
+from tidemark.plans.series import cut
+from tidemark.plans.store import small, stored
 
 #: A small open lexicon of values in [-1, 1], words that strengthen or weaken what follows, and words that turn it round. An approximation of larger lexica.
 LEXICON = {"good": 0.7, "great": 0.8, "best": 1.0, "nice": 0.6, "love": 0.5, "gain": 0.4, "bad": -0.7, "worst": -1.0, "hate": -0.8, "loss": -0.4, "idiot": -0.8, "worthless": -0.8, "pathetic": -1.0, "clown": -0.4}
 MODIFIERS = {"very": 1.3, "really": 1.2, "extremely": 1.5, "so": 1.2, "too": 1.1, "quite": 0.9, "rather": 0.8, "slightly": 0.5, "barely": 0.3, "not": -0.5, "no": -0.5, "never": -0.5}
 
+#: Bytes of messages that are numbered in one range, about.
+SEGMENT_BYTES = 64 << 20
+
 
 def token_score(coin_id: Column, coin_name: Column, ticker: Column) -> tuple[Column, Column, Column]:
     """How well a coin's id and name go with a ticker, and how plain its id is; more is better, and they compare in this order.
@@ -103,8 +107,26 @@ def post_activity(posts: DataFrame, by: str, comments: str, text: str) -> DataFr
 
 
 def message_activity(messages: DataFrame, by: str, text: str) -> DataFrame:
-    """How many messages of each group have a text, and how many characters these have in all; the texts stay rows."""
-    return messages.where(F.length(text) > 0).groupBy(by).agg(F.count("*").alias("n"), F.sum(F.length(text)).alias("n_chars"))
+    """How many messages of each group have a text, and these texts (sorted) in one row: for pages of bounded length (``feeds.newest_items``)."""
+    return messages.where(F.length(text) > 0).groupBy(by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(text)).alias("texts"))
+
+
+def message_list(messages: DataFrame, by: str, text: str, tie: list[str], segments: int | None = None) -> DataFrame:
+    """The texts of each group as a sorted list, one row a text with its ``place`` from 1; with how many they are (``n``) and their characters in all (``n_chars``).
+
+    Places are counted in ranges of (group, text, ``tie``) (``plans/series``), so neither a group nor one frequent text is read in one task. A null group is a group.
+    """
+    rows = messages.where(F.length(text) > 0).select(
+        F.col(by).isNull().alias("_none"), F.coalesce(F.col(by), F.lit("")).alias("_by"), F.struct(F.col(text).alias("text"), *[F.col(c).alias(f"tie{k}") for k, c in enumerate(tie)]).alias("_at")
+    )
+    if segments is None:
+        segments = (rows.agg(F.sum(F.octet_length("_at.text") + 64)).first()[0] or 0) // SEGMENT_BYTES + 1
+    s = cut(rows, ["_none", "_by"], "_at", segments)
+    starts = s.handed(s.spans, lambda chain: [(sum(r["n"] for r in chain[:i]),) for i in range(len(chain))], "before long")
+    place = F.row_number().over(s.within()) + F.coalesce("before", F.lit(0))
+    placed = s.with_carried(s.rows, starts, "before long").select("_none", "_by", place.alias("place"), F.col("_at.text").alias("_text"))
+    sums = rows.groupBy("_none", "_by").agg(F.count("*").alias("n"), F.sum(F.length("_at.text")).alias("n_chars"))
+    return placed.join(small(sums), ["_none", "_by"]).select(F.when(~F.col("_none"), F.col("_by")).alias(by), "n", "n_chars", "place", F.col("_text").alias(text))
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, fields: list[str], name: str) -> DataFrame:

@@ -1135,9 +1135,11 @@ def src_reddit(t):
     return digest(fd.post_activity(fd.recent(posted(t), "at", moment(NOW)), "conv_id", "turn", "text"))
 
 
-@query("agg_messages", "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations WHERE text <> '' GROUP BY role")
+@query("agg_messages", """SELECT role, count(*) OVER (PARTITION BY role) AS n, CAST(sum(length(text)) OVER (PARTITION BY role) AS BIGINT) AS n_chars,
+    row_number() OVER (PARTITION BY role ORDER BY text) AS place, text FROM conversations WHERE text <> ''""")
 def messages(t):
-    return fd.message_activity(t("conversations"), "role", "text")
+    """The count and the whole list of texts; the list stays rows, numbered in its order, as a role may have any number of texts."""
+    return fd.message_list(t("conversations"), "role", "text", ["conv_id", "turn"])
 
 
 @query("src_telegram", f"""WITH m AS (SELECT role, conv_id, turn, text, {POSTED} AS posted_at FROM conversations QUALIFY row_number() OVER (PARTITION BY role ORDER BY {POSTED} DESC, conv_id, turn, text) <= 100)
