@@ -37,3 +37,9 @@ def test_query_equals_sql(spark, sql, name):
     columns = [d[0] for d in cursor.description]
     assert sorted(own.columns) == sorted(columns)
     assert rows(own.columns, own.collect()) == rows(columns, cursor.fetchall())
+
+
+def test_telegram_counts_and_lists_texts(spark):
+    own = {r.role: r for r in QUERIES["src_telegram"](spark, DATA).collect()}
+    assert set(QUERIES["src_telegram"](spark, DATA).columns) == {"role", "n", "texts"}
+    assert own and all(0 < r.n <= 100 and len(r.texts) == 32 for r in own.values())

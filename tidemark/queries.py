@@ -1142,12 +1142,11 @@ def messages(t):
     return fd.message_list(t("conversations"), "role", "text", ["conv_id", "turn"])
 
 
-@query("src_telegram", f"""WITH m AS (SELECT role, conv_id, turn, text, {POSTED} AS posted_at FROM conversations QUALIFY row_number() OVER (PARTITION BY role ORDER BY {POSTED} DESC, conv_id, turn, text) <= 100)
-    SELECT role, conv_id, turn, md5(text) AS text FROM m WHERE text <> '' AND posted_at >= TIMESTAMP '{DAY_BEFORE}'""")
+@query("src_telegram", f"WITH m AS (SELECT role, text, {POSTED} AS posted_at FROM conversations QUALIFY row_number() OVER (PARTITION BY role ORDER BY {POSTED} DESC, conv_id, turn, text) <= 100) SELECT role, count(*) AS n, {TEXTS} FROM m WHERE text <> '' AND posted_at >= TIMESTAMP '{DAY_BEFORE}' GROUP BY role")
 def src_telegram(t):
-    """The newest hundred messages of each channel, those of the last day among them; they stay rows."""
+    """Count and texts of each channel, of its newest hundred messages those of the last day."""
     page = feeds.newest_items(posted(t), "role", "at", ["conv_id", "turn", "text"], 100)
-    return fd.recent(page, "at", moment(NOW)).where(F.length("text") > 0).select("role", "conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text"))
+    return digest(fd.message_activity(fd.recent(page, "at", moment(NOW)), "role", "text"))
 
 
 @query("agg_error_summary", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
