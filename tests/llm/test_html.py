@@ -77,3 +77,25 @@ def test_alignment_is_the_heaviest(a, b):
     first, second = order(one), order(two)
     at = sorted((first[id(x)], second[id(y)]) for x, y in found)
     assert [j for _, j in at] == sorted(j for _, j in at)
+
+
+@settings(max_examples=60, deadline=None)
+@given(hs.lists(hs.sampled_from(["<p>x</p>", "<p>x<b>y</b></p>", "<ul><li>a<li>b<b>c</b></ul>", "<ul><li>a</ul>", "<div><p>t</p></div>", "<div></div>", "<i>z</i>"]), min_size=2, max_size=24).flatmap(lambda v: hs.tuples(hs.just(v), hs.permutations(v))))
+def test_alignment_is_the_same_at_any_size(kinds):
+    a, b = (html.parse("<main>" + "".join(k) + "</main>") for k in kinds)
+    found = []
+    for most in (0, 10**9):
+        before, html.TABLE = html.TABLE, most
+        try:
+            found.append([(id(p), id(q)) for p, q in html.matched(a, b)])
+        finally:
+            html.TABLE = before
+    assert sorted(found[0]) == sorted(found[1])
+
+
+def test_many_children_align_by_their_whole_weight():
+    empty, large = "<div></div>" * 250, lambda end: "<div>" + "<p>x</p>" * 300 + end + "</div>"
+    left, right = html.parse("<ul></ul>" + large("<b>y</b>") + empty + "<ol></ol>"), html.parse("<dl></dl>" + empty + large("<i>y</i>") + "<table></table>")
+    pairs = html.matched(left, right)
+    assert any(len(p.kids) > 300 and len(q.kids) > 300 for p, q in pairs[1:] if p.tag == q.tag == "div")  # of 300 paragraphs, not 250 empty elements
+    assert len(pairs) == 1 + 301

@@ -20,6 +20,7 @@ markup never fails: unclosed elements end with their parent, stray end tags are
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections import defaultdict
 from collections.abc import Generator, Iterator
@@ -57,8 +58,8 @@ PLACES = set("site page global main top bottom left right".split())
 PARTS = set("area bar block body box button buttons container content form group icons inner item items layer link links list open panel section slot strip unit wrap wrapper".split())
 #: A block is template text if it is the same on this share of at least so many pages that have it.
 CONSTANT, PAGES = 0.9, 4
-#: Pairs of children up to which each pair is weighed by itself.
-TABLE = 40_000
+#: Pairs of children up to which their table is held as a whole, and weights that are kept at once; results don't depend on them.
+TABLE, KEPT = 40_000, 1_000_000
 #: Share of a page's text from which an element that is boilerplate by name alone is taken for content.
 SHARE = 0.8
 #: Characters that a constant block in the content has at most to be left out, share of a page's text that must stay then, and share of all text that must vary for a host to have a template.
@@ -267,6 +268,8 @@ def matched(a: Node, b: Node) -> list[tuple[Node, Node]]:
             except StopIteration as end:
                 stack.pop()
                 answer, pairs = end.value
+                if len(memo) >= KEPT:
+                    memo.clear()
                 memo[p.shape, q.shape] = answer
         todo.extend(pairs)
     return out
@@ -275,8 +278,7 @@ def matched(a: Node, b: Node) -> list[tuple[Node, Node]]:
 def children(a: Node, b: Node) -> Wanted:
     """The weight of the best match of two nodes, and its pairs of children. Yields the pairs whose weight it needs.
 
-    Equal ends match as they are, which is never worse than another match. Beyond ``TABLE`` pairs of children, those of
-    unlike shapes count as much as their roots while children are paired (by a table of one row), and are matched afterwards.
+    Equal ends match as they are, which is never worse than another match. A table of over ``TABLE`` pairs is not held as a whole (``wide``); it gives the same pairs.
     """
     x, y = elements(a), elements(b)
     lead = next((k for k, (p, q) in enumerate(zip(x, y)) if p.shape != q.shape), min(len(x), len(y)))
@@ -287,10 +289,8 @@ def children(a: Node, b: Node) -> Wanted:
     if not x or not y:
         return weight, pairs
     if len(x) * len(y) > TABLE:
-        for i, j in wide(x, y):
-            pairs.append((x[i], y[j]))
-            weight += x[i].size if x[i].shape == y[j].shape else (yield x[i], y[j])
-        return weight, pairs
+        most, found = yield from wide(x, y)
+        return weight + most, pairs + [(x[i], y[j]) for i, j in found]
     cells: dict[tuple[int, int], int] = {}
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
@@ -314,39 +314,47 @@ def children(a: Node, b: Node) -> Wanted:
     return weight + best[0][0], pairs
 
 
-def wide(x: list[Node], y: list[Node]) -> list[tuple[int, int]]:
-    """The heaviest order-keeping pairs of two lists of nodes, by halves, in space of one row."""
-    names: dict[tuple, int] = {}
-    code = lambda nodes, of: np.array([names.setdefault(of(n), len(names)) for n in nodes])
-    shapes = [code(nodes, lambda n: (n.shape,)) for nodes in (x, y)]
-    kinds = [code(nodes, lambda n: (n.tag, n.mark)) for nodes in (x, y)]
-    size = np.array([n.size for n in y])
-
-    def row(rows: range, low: int, high: int, step: int) -> np.ndarray:
-        """Best weights of ``rows`` against each start (step 1: each end) of columns from ``low`` to ``high``."""
-        best = np.zeros(high - low + 1, np.int64)
-        for i in rows:
-            w = np.where(shapes[1][low:high] == shapes[0][i], size[low:high], kinds[1][low:high] == kinds[0][i])
-            if step > 0:
-                best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(w > 0, best[:-1] + w, 0)))
-            else:
-                best[:-1] = np.maximum.accumulate(np.maximum(best[:-1], np.where(w > 0, best[1:] + w, 0))[::-1])[::-1]
+def wide(x: list[Node], y: list[Node]) -> Generator[tuple[Node, Node], int, tuple[int, list[tuple[int, int]]]]:
+    """The same weight and pairs as by a whole table, for lists of any length: a row of the table at a time, and each pair of shapes weighed once.
+
+    Of n rows, every square root of n-th is kept, and those between two of them are made again on the way along the best pairs.
+    """
+    shapes = [{n.shape: n for n in nodes} for nodes in (x, y)]
+    at, to = (np.array([code[n.shape] for n in nodes]) for nodes, code in ((nodes, {s: k for k, s in enumerate(own)}) for nodes, own in zip((x, y), shapes, strict=True)))
+    weights = np.zeros((len(shapes[0]), len(shapes[1])), np.int64)
+    for i, p in enumerate(shapes[0].values()):
+        for j, q in enumerate(shapes[1].values()):
+            if p.tag == q.tag and p.mark == q.mark:
+                weights[i, j] = p.size if p.shape == q.shape else 1 if p.size == 1 or q.size == 1 else (yield p, q)
+
+    def row(i: int, after: np.ndarray) -> np.ndarray:
+        best = np.zeros(len(y) + 1, np.int64)
+        best[:-1] = np.maximum.accumulate(np.maximum(after[:-1], weights[at[i]][to] + after[1:])[::-1])[::-1]
         return best
 
-    out, todo = [], [(0, len(x), 0, len(y))]
-    while todo:
-        a, b, low, high = todo.pop()
-        if a >= b or low >= high:
-            continue
-        if b - a == 1:
-            w = np.where(shapes[1][low:high] == shapes[0][a], size[low:high], kinds[1][low:high] == kinds[0][a])
-            if w.max() > 0:
-                out.append((a, low + int(w.argmax())))
-            continue
-        middle = (a + b) // 2
-        cut = low + int((row(range(a, middle), low, high, 1) + row(range(b - 1, middle - 1, -1), low, high, -1)).argmax())
-        todo += [(a, middle, low, cut), (middle, b, cut, high)]
-    return sorted(out)
+    step, now = math.isqrt(len(x)) + 1, np.zeros(len(y) + 1, np.int64)
+    kept = {len(x): now}
+    for i in range(len(x) - 1, -1, -1):
+        now = row(i, now)
+        if i % step == 0:
+            kept[i] = now
+    pairs, best = [], {}
+    i = j = 0
+    while i < len(x) and j < len(y):
+        if i + 1 not in best:
+            end = min(len(x), i + step)
+            best = {end: kept[end]}
+            for k in range(end - 1, i - 1, -1):
+                best[k] = row(k, best[k + 1])
+        w = weights[at[i], to[j]]
+        if w and best[i][j] == w + best[i + 1][j + 1]:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return int(kept[0][0]), pairs
 
 
 @functools.lru_cache(maxsize=64)
