@@ -19,7 +19,7 @@ import os
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 CAPACITY, UNIT, END_ID = 4096, 16, 2
-#: Chunks whose ids a worker remembers, and words; the others are encoded again.
-REMEMBERED = 300_000
+#: Chunks and words whose ids a worker remembers, of those met in two groups of texts; the others are encoded again. Bits of the table that tells what was met.
+REMEMBERED, MET_BITS = 300_000, 20
+#: What the tokenizer gets at once (chunks), and texts that are split together: so many, and characters in all.
+AT_ONCE, GROUPED, CHARACTERS = 2000, 256, 1 << 20
 #: What may follow a word of letters in its chunk; such marks are one run to the tokenizer.
 MARKS = ".,;:!?#$%&*()[]{}+-/=@^_~"
 #: A character that is a token of its own between white space; it parts chunks that are encoded together.
@@ -56,7 +58,8 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.chunks, self.runs = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.chunks = Tokenizer.from_file(path), {}
+        self.met, self.many = bytearray(1 << MET_BITS), 0
         (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -65,6 +68,12 @@ class ChunkEncoder:
     def together(self, parts: list[str], between: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([between.join(parts)], add_special_tokens=False)[0].ids, "<u4")
 
+    def in_blocks(self, parts: list[str], of: Callable[[list[str]], dict[str, bytes]]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for at in range(0, len(parts), AT_ONCE):
+            out |= of(parts[at : at + AT_ONCE])
+        return out
+
     @staticmethod
     def cut(ids: np.ndarray, starts: list[int], ends: list[int]) -> list[bytes]:
         data = ids.tobytes()
@@ -81,8 +90,8 @@ class ChunkEncoder:
         return dict(zip(chunks, self.cut(ids, [0, *(k + 1 for k in gaps)], [*gaps, len(ids)]), strict=True)) if chunks else {}
 
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks not met before."""
-        words, plain, odd, runs = [], [], [], self.runs
+        """Ids of chunks that aren't remembered, and of words and marks in them."""
+        words, plain, odd, known = [], [], [], self.chunks
         for c in chunks:
             word = c.rstrip(MARKS)
             if LETTERS.fullmatch(word):
@@ -91,29 +100,50 @@ class ChunkEncoder:
                 odd.append(c)
             else:
                 plain.append(c)
-        new = self.of_runs(list({r for _, *both in words for r in both if r and r not in runs}))
-        runs.update(new)
-        out = {c: runs[word] + runs[marks] if marks else runs[word] for c, word, marks in words}
-        out |= self.of_chunks(plain)
+        runs = self.in_blocks(list({r for _, *both in words for r in both if r and r not in known}), self.of_runs)
+        of = lambda r: runs[r] if r in runs else known[r]
+        out = runs | {c: of(word) + of(marks) if marks else of(word) for c, word, marks in words}
+        out |= self.in_blocks(plain, self.of_chunks)
         single = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
         out |= {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(odd, single, strict=True)}
-        if len(runs) > REMEMBERED:
-            for r in new:
-                del runs[r]
         return out
 
+    def again(self, chunk: str) -> bool:
+        """Whether a chunk was met before, or one of its bits was."""
+        at = hash(chunk) & (1 << MET_BITS) - 1
+        if self.met[at]:
+            return True
+        self.met[at] = 1
+        self.many += 1
+        if 2 * self.many > len(self.met):
+            self.met, self.many = bytearray(len(self.met)), 0
+        return False
+
+    @staticmethod
+    def groups(texts: list[str | None]) -> Iterator[list[str]]:
+        group, held = [], 0
+        for t in texts:
+            group.append(t or "")
+            held += len(group[-1])
+            if len(group) >= GROUPED or held > CHARACTERS:
+                yield group
+                group, held = [], 0
+        if group:
+            yield group
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end token included."""
         end, known = np.asarray([END_ID], "<u4").tobytes(), self.chunks
-        for at in range(0, len(texts), 256):
-            parts = [[t] if ODD_SPACE.search(t) else t.split() for t in (t or "" for t in texts[at : at + 256])]
+        for group in self.groups(texts):
+            parts = [[t] if ODD_SPACE.search(t) else t.split() for t in group]
             new = list(set().union(*parts).difference(known))
             extra = self.learn(new) if new else {}
             known.update(extra)
             for part in parts:
                 yield b"".join(map(known.__getitem__, part)) + end
-            for c in new if len(known) > REMEMBERED else [c for c in new if len(c) > 24]:
-                del known[c]
+            for c in extra:
+                if len(c) > 24 or len(known) > REMEMBERED or not self.again(c):
+                    del known[c]
 
 
 @functools.lru_cache(maxsize=2)
