@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, partitions, small, stored
-from .similarity import PERCENT, Hasher, asked_pairs, dealt, gathered, lower_words, offsets, prefix_size, rarest_first, slices, summed_levels, together, verify
+from .similarity import PERCENT, Hasher, asked_pairs, dealt, gathered, lower_words, offsets, packed, prefix_size, rarest_first, slices, summed_levels, together, unpacked, verify
 
 WIDTH, BITS, MOST_SMALL, OFFERS, FEW, CROWD, HUGE = 5, 22, 24, 4, 16, 1024, 4096
 #: What it takes to verify a pair, in rows of a list.
@@ -41,6 +41,8 @@ VERIFY = 8
 HELD = 250_000
 #: ``place`` stops at 65535, which makes the positional filter of larger places weaker; ``token`` holds 32 bits of those that don't tell the bucket.
 POSTING = {"token": np.uint32, "key": np.int64, "n": np.int32, "place": np.uint16, "crowded": np.bool_}
+#: Columns that hardly change from one posting of a bucket to the next.
+CLOSE = {"key": np.int64, "n": np.int32, "place": np.uint16, "crowded": np.uint8}
 
 
 def shingler(width: int = WIDTH):
@@ -103,6 +105,26 @@ def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.mapInArrow(read, "key long, n long, k1 long, k2 long, slice int, data binary")
 
 
+def squeezed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The binaries of ``dealt`` with their other columns ``packed`` behind the hashes, and the number of rows before both."""
+    out = []
+    for data in batch.column(2).to_pylist():
+        x = together([data], POSTING)
+        out.append(len(x["token"]).to_bytes(4, "little") + x["token"].tobytes() + packed([x[c].astype(kind) for c, kind in CLOSE.items()]))
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], batch.schema.names)
+
+
+def restored(data: list[bytes]) -> dict[str, np.ndarray]:
+    """Columns of the binaries of ``squeezed``."""
+    found: dict[str, list[np.ndarray]] = {c: [] for c in POSTING}
+    for x in data:
+        rows = int.from_bytes(x[:4], "little")
+        found["token"].append(np.frombuffer(x, np.uint32, rows, 4))
+        for c, column in zip(CLOSE, unpacked(x[4 + 4 * rows :], rows, list(CLOSE.values())), strict=True):
+            found[c].append(column)
+    return {c: np.concatenate(v).astype(POSTING[c], copy=False) for c, v in found.items()}
+
+
 def postings(docs: DataFrame, levels: np.ndarray, edge: int, buckets: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """What each set puts into the lists, by ``bucket``."""
     sent = docs.sparkSession.sparkContext.broadcast(levels.tobytes())
@@ -128,7 +150,7 @@ def postings(docs: DataFrame, levels: np.ndarray, edge: int, buckets: int, width
                 token = np.where(x["crowded"] & rest, (token ^ np.uint64(keys[0] & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15), token)
             for held in (tokens, keys, sizes, places):
                 held.clear()
-            return dealt(0, token, x, buckets)
+            return squeezed(dealt(0, token, x, buckets))
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -231,7 +253,7 @@ def first_offers(posted: DataFrame, percent: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data in gathered(batches):
-            x = together(data, POSTING)
+            x = restored(data)
             yield batch_of(x, *offers(x, x["key"], room, percent, huge))
 
     return posted.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(read, OFFERED)
