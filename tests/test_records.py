@@ -141,6 +141,28 @@ def test_parents_and_children_merge_together(spark):
     assert sorted(map(tuple, merged.collect())) == [(1, "n"), (2, "b"), (3, "m")] and sorted(map(tuple, kept.collect())) == [(2, "z"), (3, "w")]
 
 
+def test_tasks_of_a_merge_stay_small(spark, monkeypatch):
+    """Sessions here have four partitions, which would each take a fourth of the table."""
+    monkeypatch.setattr(mg, "TASK_ROWS", 500, raising=False)
+    monkeypatch.setattr(mg, "FEW_ROWS", 100, raising=False)
+    parents = spark.range(6000).select("id", F.lit("old").alias("v"))
+    children = spark.range(12_000).select((F.col("id") % 6000).alias("parent"), F.col("id").alias("c"))
+    batch = parents.where("id % 3 = 0").unionByName(spark.range(6000, 7000).select("id", F.lit("").alias("v"))).withColumn("v", F.lit("new"))
+    mine = children.where("c < 6000").withColumn("c", F.lit(-1).cast("long"))
+    merged, kept = mg.upsert_with_children(parents, children, batch, mine, "id", "parent")
+    assert sorted(map(tuple, merged.collect())) == [(k, "new" if k % 3 == 0 or k >= 6000 else "old") for k in range(7000)]
+    wanted = [(k % 6000, k) for k in range(12_000) if k % 3] + [(k, -1) for k in range(0, 6000, 3)]
+    assert sorted(map(tuple, kept.collect())) == sorted(wanted)
+    absent = mg.insert_absent(parents, batch, ["id"])
+    assert sorted(map(tuple, absent.collect())) == [(k, "old" if k < 6000 else "new") for k in range(7000)]
+    left = mg.delete(children, batch.withColumnRenamed("id", "parent"), ["parent"])
+    assert sorted(map(tuple, left.collect())) == sorted((k % 6000, k) for k in range(12_000) if k % 3)
+    for table in (merged, kept, left):
+        assert table.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1000
+    swapped = mg.replace_children(children, mine, "parent", batch.select(F.col("id").alias("parent")))
+    assert sorted(map(tuple, swapped.collect())) == [(k, -1) for k in range(6000)]
+
+
 def test_symbol_rules(spark):
     good = dict(name="BTCUSDT", exchange="sim_1", base_asset="BTC", quote_asset="USDT", price_scale=2, launch_time=NOW)
     cases = {"": {}, "name": {"name": "BTC"}, "exchange": {"exchange": "Sim"}, "base_asset": {"base_asset": ""}, "quote_asset": {"quote_asset": "usdt"}, "price_scale": {"price_scale": 19}, "launch_time": {"launch_time": 5}}

@@ -697,7 +697,7 @@ def dml_platforms(t):
     rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     parents = t("orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
     batch = t("orders").where("o_orderkey % 8 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).cast(rows.schema["l_linenumber"].dataType).alias("l_linenumber"), F.lit(7).cast(rows.schema["l_partkey"].dataType).alias("l_partkey"))
-    return mg.replace_children(mg.delete(rows, parents, ["l_orderkey"]), batch, "l_orderkey")
+    return mg.replace_children(rows, batch, "l_orderkey", parents)
 
 
 @query("mnt_hypertable", f"WITH {bars_sql()}, day AS ({candle_sql('bars', 'D')}) SELECT \"interval\", strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n FROM (SELECT '60' AS \"interval\", ts FROM bars UNION ALL SELECT 'D', ts FROM day) GROUP BY ALL")
