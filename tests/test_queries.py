@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
 
 import duckdb
 import pytest
@@ -43,3 +45,19 @@ def test_telegram_counts_and_lists_texts(spark):
     own = {r.role: r for r in QUERIES["src_telegram"](spark, DATA).collect()}
     assert set(QUERIES["src_telegram"](spark, DATA).columns) == {"role", "n", "texts"}
     assert own and all(0 < r.n <= 100 and len(r.texts) == 32 for r in own.values())
+
+
+def test_telegram_takes_every_message_of_the_last_day(spark, tmp_path):
+    # conversation k began k % 48 hours ago, turn m came m minutes earlier: 0 to 23 are of the last day, and 24 at turn 0
+    said = [(k % 30, k // 30, ["user", "bot", None][k % 3], ["hi", "hi", f"t{k}", "", None][k % 5]) for k in range(1500)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    there = [(c, m, r, x) for c, m, r, x in said if x and c * 60 + m <= 1440]
+    n = Counter(r for _, _, r, _ in there)
+    assert min(n.values()) > 100
+    expected = [(r, n[r], hashlib.md5(f"{c}|{m}|{x}".encode()).hexdigest()) for c, m, r, x in there]
+    own = QUERIES["src_telegram"](spark, str(tmp_path))
+    assert own.columns == ["role", "n", "texts"]
+    assert sorted(map(tuple, own.collect()), key=repr) == sorted(expected, key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(con.execute(ORACLES["src_telegram"]).fetchall(), key=repr) == sorted(expected, key=repr)

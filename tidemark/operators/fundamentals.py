@@ -107,8 +107,10 @@ def post_activity(posts: DataFrame, by: str, comments: str, text: str) -> DataFr
 
 
 def message_activity(messages: DataFrame, by: str, text: str) -> DataFrame:
-    """How many messages of each group have a text, and these texts (sorted) in one row: for pages of bounded length (``feeds.newest_items``)."""
-    return messages.where(F.length(text) > 0).groupBy(by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(text)).alias("texts"))
+    """The messages that have a text, each with how many its group has (``n``); they stay rows, as a group may have any number. A null group is a group."""
+    there = messages.where(F.length(text) > 0)
+    sums = stored(there.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("n")), "messages")
+    return there.join(small(sums), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
 
 
 def message_list(messages: DataFrame, by: str, text: str, tie: list[str], segments: int | None = None) -> DataFrame:

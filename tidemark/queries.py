@@ -1142,11 +1142,12 @@ def messages(t):
     return fd.message_list(t("conversations"), "role", "text", ["conv_id", "turn"])
 
 
-@query("src_telegram", f"WITH m AS (SELECT role, text, {POSTED} AS posted_at FROM conversations QUALIFY row_number() OVER (PARTITION BY role ORDER BY {POSTED} DESC, conv_id, turn, text) <= 100) SELECT role, count(*) AS n, {TEXTS} FROM m WHERE text <> '' AND posted_at >= TIMESTAMP '{DAY_BEFORE}' GROUP BY role")
+@query("src_telegram", f"""SELECT role, count(*) OVER (PARTITION BY role) AS n, md5(concat_ws('|', conv_id, turn, text)) AS texts FROM conversations
+    WHERE text <> '' AND {POSTED} >= TIMESTAMP '{DAY_BEFORE}'""")
 def src_telegram(t):
-    """Count and texts of each channel, of its newest hundred messages those of the last day."""
-    page = feeds.newest_items(posted(t), "role", "at", ["conv_id", "turn", "text"], 100)
-    return digest(fd.message_activity(fd.recent(page, "at", moment(NOW)), "role", "text"))
+    """All messages of the last day with the count of their channel; the list stays rows, each message's conversation, turn and text as one hash."""
+    fresh = fd.message_activity(fd.recent(posted(t), "at", moment(NOW)), "role", "text")
+    return fresh.select("role", "n", F.md5(F.concat_ws("|", "conv_id", "turn", "text").cast("binary")).alias("texts"))
 
 
 @query("agg_error_summary", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
