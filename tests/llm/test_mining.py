@@ -148,6 +148,23 @@ def test_sketches_lose_nothing_and_rounds_share(spark):
     assert one == many == {(p, n) for p, n in truth.items() if n >= 100}
 
 
+def test_phrases_add_up_over_the_parts_of_a_task(spark):
+    text = "one  two\tthree, four " * 20_000
+    rows = spark.createDataFrame([(lang, text) for lang in ("en", None) for _ in range(8)] + [("en", None), ("en", "")], "lang string, text string").coalesce(1)
+    found = {(r.lang, r.phrase): r.a for r in collocations.frequent(rows)[0].collect()}
+    each = ("one", "two", "three", "four", "one two", "two three", "one two three", "four one", "four one two", "four one two three")
+    assert found == {(lang, p): 8 * (20_000 - p.startswith("four ")) for lang in ("en", "und") for p in each}
+
+
+def test_tally_asks_for_a_phrase_once_and_tells_those_that_share_a_hash():
+    tally, u = collocations.Tally(), lambda *x: np.array(x, np.uint64)
+    assert tally.add(u(3, 7, 7), u(1, 1, 2), np.array([5, 6, 7])).tolist() == [0, 1, 2] and tally.counts.tolist() == [5, 6, 7]
+    assert tally.add(u(), u(), np.zeros(0, np.int64)).tolist() == []
+    assert tally.add(u(1, 3, 3, 9), u(1, 1, 2, 1), np.array([1, 10, 20, 30])).tolist() == [0, 2, 3]
+    assert tally.add(u(1, 9), u(1, 1), np.array([0, 0])).tolist() == []
+    assert sorted(zip(tally.first.tolist(), tally.second.tolist(), tally.counts[tally.place].tolist(), strict=True)) == [(1, 1, 1), (3, 1, 15), (3, 2, 20), (7, 1, 6), (7, 2, 7), (9, 1, 30)]
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     rows = [(10**14 + 7, 10**15 + 3, 10**14 + 9, 10**15 + 11), (100, 100, 100, 10**15), (3, 7, 11, 10**9 + 7), (2**53 + 1, 2**53 + 1, 1, 3)]
     found = collocations.with_score(spark.createDataFrame(rows, "a long, l long, r long, n long")).collect()
