@@ -165,6 +165,25 @@ def test_tally_asks_for_a_phrase_once_and_tells_those_that_share_a_hash():
     assert sorted(zip(tally.first.tolist(), tally.second.tolist(), tally.counts[tally.place].tolist(), strict=True)) == [(1, 1, 1), (3, 1, 15), (3, 2, 20), (7, 1, 6), (7, 2, 7), (9, 1, 30)]
 
 
+def test_longer_phrases_are_sketched_only_where_their_pairs_are_frequent(spark):
+    texts = ["New York city hall."] * 150 + [f"a{k} rare{k} text{k} of{k} words{k}" for k in range(500)] + [None, ""]
+    rows = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").coalesce(1)
+
+    def cells(lengths, sieves, number=0, rounds=1):
+        slices = collocations.sketched(rows, lengths, 16, sieves, number, rounds, 100).where("slice >= 0").orderBy("slice").collect()
+        return [int(np.count_nonzero(np.frombuffer(zlib.decompress(s.data), np.uint8))) for s in slices]
+
+    first, longer = collocations.SKETCHES
+    reached, words = collocations.merged(collocations.sketched(rows, first, 16, [], 0, 1, 100), 16, 100)
+    sieve = collocations.Sieve(first, 16, reached)
+    assert cells(longer, [sieve]) == [3, 3] and [tuple(r) for r in words.collect()] == [("en", 3100)]  # two of three words, one of four
+    assert all(n > 2000 for n in cells(longer, []))
+    # in rounds, parts of another round pass
+    assert sum(cells(longer, [sieve], number, 2)[0] for number in range(2)) >= 3
+    found = {(r.phrase, r.a) for r in collocations.frequent(rows)[0].collect()}
+    assert found == {(" ".join("new york city hall".split()[i : i + k]), 150) for k in range(1, 5) for i in range(5 - k)}
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     rows = [(10**14 + 7, 10**15 + 3, 10**14 + 9, 10**15 + 11), (100, 100, 100, 10**15), (3, 7, 11, 10**9 + 7), (2**53 + 1, 2**53 + 1, 1, 3)]
     found = collocations.with_score(spark.createDataFrame(rows, "a long, l long, r long, n long")).collect()

op12_collocations: sketch longer phrases only where their word pairs are frequent

Symptom: shuffle grows from 25 to 302 MB between the small input and the large input, a power of 1.52 as measured (1.44 by the tool's own rule).
Evidence: 212 of the 302 MB are the tasks' sketches: their number and their cells both grow with the text, and each task fills them mostly with long phrases that come once.
Fix: a first sketch takes in words and pairs of words, a second one, with a further reading of the texts, only longer phrases whose pairs all reached the threshold; the exact count looks at a phrase only if its parts passed too. A task holds half as many cells before it adds them up.
Effect, together with 3 more commits on this code: at 0.6 GB of input CPU 962 -> 832 s, shuffle 0.32 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 1.83 -> 2.43 GB, longest task 38 -> 22 s, most memory of a task 191 -> 191 MB; at 6 GB of input CPU 12282 -> 9399 s, shuffle 9.60 -> 8.50 GB, spill 0.00 -> 0.00 GB, read 30.28 -> 24.24 GB, longest task 156 -> 147 s, most memory of a task 243 -> 172 MB; with hot keys, at 0.6 GB of input CPU 501 -> 466 s, shuffle 0.06 -> 0.03 GB, spill 0.00 -> 0.00 GB, read 0.54 -> 0.71 GB, longest task 11 -> 8 s, most memory of a task 173 -> 173 MB.

@@ -1,13 +1,15 @@
 """Phrase collocations: count-min sketches find what may be frequent, a second pass counts that exactly.
 
 A phrase is a run of 1 to ``LONGEST`` words within a piece of text, counted per language with overlaps. In the first pass
-each task adds its phrases up in a count-min sketch of two rows of cells; a cell stops at ``least``, as all that is asked of the merged
-sketch is whether both cells of a phrase reach it. Cells only overestimate, so no frequent phrase is lost. In the second pass phrases
-whose cells reach ``least`` are counted exactly, by their words; all that are rarer after that go.
+each task adds its words and pairs of words up in a count-min sketch of two rows of cells; a cell stops at ``least``, as all that is asked
+of the merged sketch is whether both cells of a phrase reach it. Cells only overestimate, so no frequent phrase is lost. In the second
+pass longer phrases are added up in a sketch of their own, but only those whose pairs of words all reached ``least``, as no phrase
+comes more often than a part of it. In the third pass phrases whose cells reach ``least``, and those of their parts, are
+counted exactly, by their words; all that are rarer after that go.
 
-The sketch grows with the text and shrinks with ``least``: a cell for ``BYTES_A_CELL`` bytes of text at a threshold of 100. Beyond
-``MOST_BITS``, which bounds a task's memory and the broadcast, the phrases are dealt to rounds by their hash, and each round reads
-the texts for its own share.
+A sketch grows with the text and shrinks with ``least``: both have a cell for ``BYTES_A_CELL`` bytes of text at a threshold of 100, dealt by
+the number of their lengths. Beyond ``MOST_BITS``, which bounds a task's memory and the broadcast, the phrases are dealt to rounds by
+their hash, and each round reads the texts for its own share; a part that belongs to another round counts as frequent.
 
 A phrase of two words or more is scored by how much more often it comes than its parts would let expect, at the cut that explains it best:
 ``floor(1000 * count * words / (count of first part * count of rest))``, in exact decimals; of equal scores the first cut counts. A phrase whose
@@ -23,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -35,14 +38,41 @@ from .similarity import Hasher
 from .tokens import MIX, Grams, Part, between, byte_class, distinct, parts, row_of, runs, stirred
 
 LONGEST, LEAST, TOP = 5, 100, 2000
+#: Lengths of the phrases of each sketch.
+SKETCHES = (range(1, 3), range(3, LONGEST + 1))
 #: Fixed values: ``[.,;:!?\\x0A-\\x0D]`` ends a piece, blanks and tabs end a word.
 ENDS = byte_class(".,;:!?" + between((0x0A, 0x0D)))
 BLANK = byte_class(" \t")
 BYTES_A_CELL, LEAST_BITS, MOST_BITS, SLICE = 128, 16, 26, 1 << 16
+#: Cells that a task holds before it adds them to its sketch.
+WAITING = 2_000_000
 #: Phrases that a task holds before it gives them out, and that a bucket holds, about.
 HELD = 300_000
 
 
+def cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A cell of each row of the sketch."""
+    shift = np.uint64(64 - bits)
+    return (h >> shift).astype(np.uint32), ((h * MIX) >> shift).astype(np.uint32)
+
+
+def mine(h: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    return (h & np.uint64(0xFFFFFF)) % np.uint64(rounds) == np.uint64(number)
+
+
+@dataclass
+class Sieve:
+    """Which cells of a merged sketch of phrases of ``lengths`` reach the threshold, as bits: two rows of ``2 ** bits``."""
+
+    lengths: range
+    bits: int
+    reached: np.ndarray
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        first, last = (row[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1 > 0 for row, cell in zip(self.reached, cells(h, self.bits), strict=True))
+        return first & last
+
+
 class Phrases:
     """The phrases of one part of a batch: hashes by length, and the words' places."""
 
@@ -66,6 +96,24 @@ class Phrases:
         n = max(0, len(self.starts) - k + 1)
         return self.piece[:n] == self.piece[k - 1 :][:n]
 
+    def open(self, sieves: list[Sieve], most: int, number: int, rounds: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``(k, hashes, which)`` for k from 1 to ``most``: the phrases of the round that may be frequent, as far as the sieves tell of them and their parts."""
+        may = np.ones(len(self.starts), bool)
+        for k, h in self.grams(self.seeded):
+            if k > most:
+                break
+            if k > 1:
+                may = may[:-1] & may[1:]
+            if k == 2:
+                may &= self.within(2)
+            which = np.flatnonzero(may if rounds == 1 else may & mine(h, number, rounds))
+            for sieve in sieves:
+                if k in sieve.lengths:
+                    passed = sieve.passes(h[which])
+                    may[which[~passed]] = False
+                    which = which[passed]
+            yield k, h, which
+
     def phrase(self, i: int, k: int) -> bytes:
         return b" ".join(self.data[self.starts[i] : self.ends[i + k - 1]].split())
 
@@ -99,19 +147,10 @@ def language_hashes(column: pa.Array) -> tuple[list[str], np.ndarray]:
     return langs, np.array([known[v] for v in langs], np.uint64)
 
 
-def cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A cell of each row of the sketch."""
-    shift = np.uint64(64 - bits)
-    return (h >> shift).astype(np.uint32), ((h * MIX) >> shift).astype(np.uint32)
-
-
-def mine(h: np.ndarray, number: int, rounds: int) -> np.ndarray:
-    return (h & np.uint64(0xFFFFFF)) % np.uint64(rounds) == np.uint64(number)
-
-
-def sketched(docs: DataFrame, bits: int, number: int, rounds: int, least: int) -> DataFrame:
-    """Slices of every task's sketch (``slice``, ``data``), and its words by language (``lang``, ``n``)."""
+def sketched(docs: DataFrame, lengths: range, bits: int, sieves: list[Sieve], number: int, rounds: int, least: int) -> DataFrame:
+    """Slices of every task's sketch of phrases of ``lengths`` that pass the ``sieves`` (``slice``, ``data``), and its words by language (``lang``, ``n``)."""
     kind = np.uint8 if least < 256 else np.uint32
+    sent = docs.sparkSession.sparkContext.broadcast(sieves)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tables, words = Hasher(), np.zeros((2, 1 << bits), kind), defaultdict(int)
@@ -129,13 +168,13 @@ def sketched(docs: DataFrame, bits: int, number: int, rounds: int, least: int) -
             langs, hashed = language_hashes(batch.column(0))
             for part in parts(batch.column(1), ENDS):
                 x = Phrases(part, hashed, own)
-                for k, h in x.grams(x.seeded):
-                    h = h[x.within(k)]
-                    waiting.append(cells(h if rounds == 1 else h[mine(h, number, rounds)], bits))
+                for k, h, which in x.open(sent.value, lengths[-1], number, rounds):
+                    if k in lengths:
+                        waiting.append(cells(h[which], bits))
                 many = np.bincount(x.rows, minlength=batch.num_rows)
                 for r in np.flatnonzero(many).tolist():
                     words[langs[r]] += int(many[r])
-                if sum(len(w[0]) for w in waiting) > 4_000_000:
+                if sum(len(w[0]) for w in waiting) > WAITING:
                     add()
         add()
         per_row = max(1, (1 << bits) // SLICE)
@@ -177,16 +216,15 @@ def merged(sketches: DataFrame, bits: int, least: int) -> tuple[np.ndarray, Data
     return out, found.where("lang IS NOT NULL").select("lang", "n")
 
 
-def survivors(docs: DataFrame, reached: np.ndarray, bits: int, number: int, rounds: int, least: int, buckets: int) -> DataFrame:
-    """Exact counts of the phrases whose cells all reach the threshold, and that reach it themselves: ``lang``, ``phrase``, ``a``.
+def survivors(docs: DataFrame, sieves: list[Sieve], number: int, rounds: int, least: int, buckets: int) -> DataFrame:
+    """Exact counts of the phrases that pass the sieves with all their parts, and that reach the threshold themselves: ``lang``, ``phrase``, ``a``.
 
     A task sends its phrases as packed lists, one for each bucket and language, and a bucket adds up those of all tasks.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(reached.tobytes())
+    sent = docs.sparkSession.sparkContext.broadcast(sieves)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, other = Hasher(), Hasher(11)
-        there = np.frombuffer(sent.value, np.uint8).reshape(2, -1)
         held = Tally()
 
         def given() -> pa.RecordBatch:
@@ -202,18 +240,12 @@ def survivors(docs: DataFrame, reached: np.ndarray, bits: int, number: int, roun
             columns.append(pa.array([zlib.compress(np.array(v[1], "<i8").tobytes(), 1) for v in lists.values()], pa.binary()))
             return pa.RecordBatch.from_arrays(columns, ["bucket", "lang", "phrases", "counts"])
 
-        def kept(cell: np.ndarray, row: int) -> np.ndarray:
-            return (there[row, cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
-
         for batch in batches:
             langs, hashed = language_hashes(batch.column(0))
             for part in parts(batch.column(1), ENDS):
                 x = Phrases(part, hashed, own)
                 second = stirred(other.spans(part.data, x.starts, x.ends) + x.langs)
-                for (k, h), (_, h2) in zip(x.grams(x.seeded), x.grams(second), strict=True):
-                    at = np.flatnonzero(x.within(k) if rounds == 1 else x.within(k) & mine(h, number, rounds))
-                    first, last = cells(h[at], bits)
-                    at = at[kept(first, 0) & kept(last, 1)]
+                for (k, h, at), (_, h2) in zip(x.open(sent.value, LONGEST, number, rounds), x.grams(second), strict=True):
                     one, many, _ = distinct(h[at], h2[at])
                     one = at[one]
                     for i in one[held.add(h[one], h2[one], many)].tolist():
@@ -250,15 +282,19 @@ def frequent(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wanted = size * 100 // (least * BYTES_A_CELL)
-    bits = min(most_bits, max(LEAST_BITS, int(wanted).bit_length()))
-    rounds = max(1, -(-wanted >> bits))
+    shares = [wanted * len(lengths) // LONGEST for lengths in SKETCHES]
+    bits = [min(most_bits, max(LEAST_BITS, int(share).bit_length())) for share in shares]
+    rounds = max(1, *(-(-share >> b) for share, b in zip(shares, bits, strict=True)))
     # no more than size / 2 phrases of a length can stand in a text, of which one in ``least`` comes so often
     buckets = max(partitions(rows), LONGEST * size // (2 * least * HELD))
     totals = counts = None
     for number in range(rounds):
-        reached, words = merged(sketched(rows, bits, number, rounds, least), bits, least)
-        totals = words if totals is None else totals
-        found = stored(survivors(rows, reached, bits, number, rounds, least, buckets), "phrases")
+        sieves: list[Sieve] = []
+        for lengths, b in zip(SKETCHES, bits, strict=True):
+            reached, words = merged(sketched(rows, lengths, b, sieves, number, rounds, least), b, least)
+            sieves.append(Sieve(lengths, b, reached))
+            totals = words if totals is None else totals
+        found = stored(survivors(rows, sieves, number, rounds, least, buckets), "phrases")
         counts = found if counts is None else counts.unionByName(found)
     return counts, totals
 
