@@ -184,6 +184,14 @@ def test_longer_phrases_are_sketched_only_where_their_pairs_are_frequent(spark):
     assert found == {(" ".join("new york city hall".split()[i : i + k]), 150) for k in range(1, 5) for i in range(5 - k)}
 
 
+@pytest.mark.parametrize("words", [5_000, 60_000])
+def test_slices_of_a_sketch_are_smaller_than_a_search_for_repeats_makes_them(spark, words):
+    text = " ".join(f"w{k}" for k in np.random.default_rng(3).integers(0, 10**6, words))
+    rows = spark.createDataFrame([("en", text)], "lang string, text string")
+    found = collocations.sketched(rows, collocations.SKETCHES[0], 16, [], 0, 1, 100).where("slice >= 0").collect()
+    assert len(found) == 2 and all(len(r.data) < len(zlib.compress(zlib.decompress(r.data), 1)) for r in found)
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     rows = [(10**14 + 7, 10**15 + 3, 10**14 + 9, 10**15 + 11), (100, 100, 100, 10**15), (3, 7, 11, 10**9 + 7), (2**53 + 1, 2**53 + 1, 1, 3)]
     found = collocations.with_score(spark.createDataFrame(rows, "a long, l long, r long, n long")).collect()
