@@ -12,7 +12,7 @@ from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format as chat
-from tidemark.llm import common, html_extract, line_dedup, neighbours, ngram_join
+from tidemark.llm import common, html_extract, line_dedup, neighbours, ngram_join, similarity
 from tidemark.llm.similarity import Hasher
 
 DATA = "/root/testdata/sf0.001"
@@ -385,6 +385,25 @@ def test_html_edges_and_clashing_columns(spark):
     assert sorted((r.page_id or 0, r.text) for r in out) == [(0, "y"), (1, ""), (1, "x"), (1, "x")]
 
 
+def test_whole_texts_are_dealt_out_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "x y"), (2, "A  b c"), (3, "x y"), (4, None), (5, ""), (None, "a b c"), (6, "a b d")], "key long, text string")
+    pairs = spark.createDataFrame([(1, -1, b, -1) for b in (2, 3, 4, 5, 6, 9)] + [(4, -1, 5, -1), (None, -1, 2, -1)], "a long, a_line int, b long, b_line int")
+    words = lambda: lambda text: frozenset(similarity.lower_words(text))
+    monkeypatch.setattr(similarity, "MEMBERS", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = similarity.verify(pairs, docs, words, whole=True)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2 and "Generate" not in plan
+        expect = sorted(map(tuple, similarity.verify(pairs, docs, words).collect()))
+        assert sorted(map(tuple, found.collect())) == expect and {r[2] for r in expect if r[0] == 1} == {2, 3}
+        monkeypatch.setattr(similarity, "small", lambda df: df)  # too many to broadcast
+        assert sorted(map(tuple, similarity.verify(pairs, docs, words, whole=True).collect())) == expect
+        assert similarity.verify(pairs.limit(0), docs, words, whole=True).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_postings_are_packed_and_restored():
     import numpy as np
 

op10_ngram_join: send whole texts straight to the pairs that ask for them

Symptom: shuffle grows from 76 to 612 MB between the small input and the large input, a power of 1.30.
Evidence: the texts of candidate pairs crossed the network twice when pairs were verified: first to be joined with what asks for them, by document and line, then by owner (200 MB); beyond the size at which Spark broadcasts by itself, the first join shuffled every asked text.
Fix: pairs of whole texts need no lines, so the asks (document, owner, salt) are joined by document to the texts as they are read, broadcast up to the 48 MB that other sides have; texts that nothing asks for are dropped before. Pairs of lines are verified as before.
Effect, together with 2 more commits on this code: at 0.6 GB of input CPU 1128 -> 1037 s, shuffle 0.50 -> 0.39 GB, spill 0.00 -> 0.00 GB, read 3.10 -> 2.76 GB, longest task 44 -> 35 s, most memory of a task 68 -> 106 MB; at 6 GB of input CPU 9649 -> 7309 s, shuffle 18.22 -> 8.01 GB, spill 0.00 -> 0.00 GB, read 31.09 -> 32.77 GB, longest task 78 -> 78 s, most memory of a task 136 -> 143 MB; with hot keys, at 0.6 GB of input CPU 1645 -> 1104 s, shuffle 0.42 -> 0.32 GB, spill 0.00 -> 0.00 GB, read 1.19 -> 1.45 GB, longest task 41 -> 49 s, most memory of a task 138 -> 78 MB.

@@ -302,7 +302,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     minus = F.lit(-1)
     while True:
         pairs = found.where("b is not null").select("a", minus.alias("a_line"), "b", minus.alias("b_line")).distinct()
-        links = stored(verify(pairs, rows, lambda: shingler(width), percent).select("a", "b"), "links")
+        links = stored(verify(pairs, rows, lambda: shingler(width), percent, whole=True).select("a", "b"), "links")
         edges = links if edges is None else edges.unionByName(links)
         joined = components(edges, "a", "b")
         left = found.where("b is null").select(F.col("a").alias("key"), "token", "n", "place")

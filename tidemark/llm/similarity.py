@@ -275,10 +275,10 @@ def closest(x: dict[str, np.ndarray], room: tuple[int, int, int], percent: int,
     }
 
 
-def verify(pairs: DataFrame, docs: DataFrame, elements: Callable[[], Callable[[str | None], np.ndarray | frozenset]], percent: int = PERCENT) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, elements: Callable[[], Callable[[str | None], np.ndarray | frozenset]], percent: int = PERCENT, whole: bool = False) -> DataFrame:
     """The pairs whose sets are similar: ``a``, ``a_line``, ``b``, ``b_line`` (document and line; line -1: the whole text).
 
-    Documents send only what the pairs ask for, once. What belongs to one ``a`` is verified in groups of ``MEMBERS``, each
+    Documents send only what the pairs ask for, lines once; if all pairs are of ``whole`` texts, a text goes to those that ask for it from where it is read. What belongs to one ``a`` is verified in groups of ``MEMBERS``, each
     of which gets a copy of a's text, so an owner of many pairs is spread over tasks.
     """
     pairs = stored(pairs, "pairs")
@@ -289,14 +289,20 @@ def verify(pairs: DataFrame, docs: DataFrame, elements: Callable[[], Callable[[s
     )
     part = lambda doc, line, own: (F.col(doc).alias("doc"), F.col(line).alias("at"), "a", "a_line", "salt", F.lit(own).alias("own"), F.col(doc).alias("b"), F.col(line).alias("b_line"))
     asks = salted.select(*part("b", "b_line", 1)).unionByName(salted.select("a", "a_line", "salt").distinct().select(*part("a", "a_line", 0)))
-    # each text gives what is asked of it once; it goes on to those that ask from there
-    asked = stored(asks.select("doc", "at").distinct().groupBy("doc").agg(F.collect_list("at").alias("ats")), "asked")
     texts = docs.select(F.col("key").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    given = texts.join(small(asked), "doc").select("doc", F.explode(let(
-        F.when(F.exists("ats", lambda i: i >= 0), F.split("text", "\n")),
-        lambda lines: F.transform("ats", lambda i: F.struct(i.alias("at"), F.when(i < 0, F.col("text")).otherwise(F.get(lines, i)).alias("text"))),
-    )).alias("r"))
-    rows = asks.join(given.select("doc", "r.at", "r.text"), ["doc", "at"]).drop("doc", "at")
+    if whole:
+        # texts that nothing asks for go before the others are joined, which deals them out where the asks are too many to broadcast
+        asks = stored(asks.select("doc", "a", "salt", "own"), "asked")
+        rows = texts.join(small(asks.select("doc").distinct()), "doc", "left_semi").join(small(asks), "doc")
+        rows = rows.withColumnRenamed("doc", "b").withColumns({"a_line": F.lit(-1), "b_line": F.lit(-1)})
+    else:
+        # each text gives what is asked of it once; it goes on to those that ask from there
+        asked = stored(asks.select("doc", "at").distinct().groupBy("doc").agg(F.collect_list("at").alias("ats")), "asked")
+        given = texts.join(small(asked), "doc").select("doc", F.explode(let(
+            F.when(F.exists("ats", lambda i: i >= 0), F.split("text", "\n")),
+            lambda lines: F.transform("ats", lambda i: F.struct(i.alias("at"), F.when(i < 0, F.col("text")).otherwise(F.get(lines, i)).alias("text"))),
+        )).alias("r"))
+        rows = asks.join(given.select("doc", "r.at", "r.text"), ["doc", "at"]).drop("doc", "at")
     rows = rows.select("a", "a_line", "salt", "own", "b", "b_line", "text").repartition("a", "a_line", "salt").sortWithinPartitions("a", "a_line", "salt", "own", "b", "b_line")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
