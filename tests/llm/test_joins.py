@@ -385,6 +385,26 @@ def test_html_edges_and_clashing_columns(spark):
     assert sorted((r.page_id or 0, r.text) for r in out) == [(0, "y"), (1, ""), (1, "x"), (1, "x")]
 
 
+def test_pairs_whose_bitmaps_are_apart_are_dropped_and_no_link_is(spark):
+    draw = np.random.default_rng(12)
+    sets = [draw.integers(0, 2**63, 500, np.uint64)]
+    for edits in (0, 20, 50, 55, 56, 57, 80, 150, 400):  # in place of as many others; 55 are the most that link
+        sets.append(np.concatenate((sets[0][edits:], draw.integers(0, 2**63, edits, np.uint64))))
+    sets += [sets[0][:400], sets[0][:399], sets[0][:1], sets[0][:0]]
+    rows = [(k, len(x), ngram_join.parity(x).tolist()) for k, x in enumerate(sets)] + [(9, 500, ngram_join.parity(sets[0]).tolist()), (None, 500, None)]
+    bitmaps = spark.createDataFrame(rows, "key long, n long, parity array<long>")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 14)] + [(12, 13), (0, 99), (None, 1)], "a long, b long")
+    found = {tuple(r) for r in ngram_join.near(pairs, bitmaps).collect()}
+    shared = [len(np.intersect1d(sets[0], x)) for x in sets]
+    links = {(0, k) for k in range(1, 14) if 100 * shared[k] >= 80 * (500 + len(sets[k]) - shared[k])}
+    assert links == {(0, k) for k in (1, 2, 3, 4, 10)} and links <= found
+    assert (0, 9) in found  # one of two rows of its id
+    assert not found & {(0, 8), (0, 12), (0, 13), (12, 13), (0, 99)} and all(None not in r for r in found)
+    for x in sets:
+        bits = np.bitwise_count((ngram_join.parity(x) ^ ngram_join.parity(sets[0])).view(np.uint64)).sum()
+        assert bits <= len(np.setxor1d(x, sets[0]))
+
+
 def test_whole_texts_are_dealt_out_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c"), (1, "x y"), (2, "A  b c"), (3, "x y"), (4, None), (5, ""), (None, "a b c"), (6, "a b d")], "key long, text string")
     pairs = spark.createDataFrame([(1, -1, b, -1) for b in (2, 3, 4, 5, 6, 9)] + [(4, -1, 5, -1), (None, -1, 2, -1)], "a long, a_line int, b long, b_line int")

op10_ngram_join: drop unlike pairs by bitmaps before their texts are shuffled

Symptom: the texts of candidate pairs grow faster than the documents: 26 MB on the small input and 198 on the large input in the first round (own local runs with an event log).
Evidence: candidates grow from 7513 to 45773, and 27095 of the latter are no links: with more text the table of counts tells rare shingles less well, so more near copies below the threshold meet in the lists.
Fix: the first reading also keeps a parity bitmap of 1024 bits a document; two sets differ in at least as many elements as their bitmaps do in bits, so pairs that are too far apart are dropped by a join on the keys. What is left is verified on the texts as before.
Effect, together with 2 more commits on this code: at 0.6 GB of input CPU 1128 -> 1037 s, shuffle 0.50 -> 0.39 GB, spill 0.00 -> 0.00 GB, read 3.10 -> 2.76 GB, longest task 44 -> 35 s, most memory of a task 68 -> 106 MB; at 6 GB of input CPU 9649 -> 7309 s, shuffle 18.22 -> 8.01 GB, spill 0.00 -> 0.00 GB, read 31.09 -> 32.77 GB, longest task 78 -> 78 s, most memory of a task 136 -> 143 MB; with hot keys, at 0.6 GB of input CPU 1645 -> 1104 s, shuffle 0.42 -> 0.32 GB, spill 0.00 -> 0.00 GB, read 1.19 -> 1.45 GB, longest task 41 -> 49 s, most memory of a task 138 -> 78 MB.

@@ -9,7 +9,8 @@ rarest elements of each set. The boundary is the size up to which enumeration co
 average length found in the data; sets just below it are in the lists as well, for links across it.
 
 Lists are read in tasks, each list in the order of sizes. Pairs within it pass the length and positional filters; each
-member takes up to ``OFFERS`` of those before it, in the first place those that it meets in most lists, to be verified on
+member takes up to ``OFFERS`` of those before it, in the first place those that it meets in most lists. Of these pairs, those
+whose parity bitmaps differ in more bits than linked sets have elements that differ are dropped, and the others are verified on
 whole texts. Lists of which pairs were left out stay open: after the components of the links found so far are known, only
 pairs across components count in them, and more of these pass in each further round, until no list is open. So no
 link between different components is lost, and a group of near copies isn't expanded into all its pairs. Of a list that
@@ -35,6 +36,8 @@ from .common import components, partitions, small, stored
 from .similarity import PERCENT, Hasher, asked_pairs, dealt, gathered, lower_words, offsets, packed, prefix_size, rarest_first, slices, summed_levels, together, unpacked, verify
 
 WIDTH, BITS, MOST_SMALL, OFFERS, FEW, CROWD, HUGE = 5, 22, 24, 4, 16, 1024, 4096
+#: Longs of a set's parity bitmap.
+PARITY = 16
 #: What it takes to verify a pair, in rows of a list.
 VERIFY = 8
 #: Postings that a task holds before it deals them out, and that a bucket holds, about.
@@ -83,26 +86,34 @@ def small_signatures(found: np.ndarray, percent: int = PERCENT) -> list[int]:
     return out
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """A bitmap: whether the elements of a bit are odd in number. So two sets differ in at least as many elements as their bitmaps do in bits."""
+    many = np.bincount((found % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits(many % 2 == 1).view(np.int64)
+
+
 def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``key``, ``n`` and a 128-bit digest ``k1``, ``k2`` of each row's set; and, in rows of their own, slices of the tasks' counts of shingles."""
-    names, none = ["key", "n", "k1", "k2", "slice", "data"], pa.null()
+    """``key``, ``n``, a 128-bit digest ``k1``, ``k2`` and the ``parity`` of each row's set; and, in rows of their own, slices of the tasks' counts of shingles."""
+    names, none = ["key", "n", "k1", "k2", "parity", "slice", "data"], pa.null()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = shingler(width), np.zeros(1 << BITS, np.uint32)
         for batch in batches:
-            n, digests = [], []
+            n, digests, bitmaps = [], [], []
             for text in batch.column(1).to_pylist():
                 found = own(text)
                 np.add.at(table, (found >> np.uint64(64 - BITS)).astype(np.int64), 1)
                 n.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                bitmaps.append(parity(found))
             k = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * PARITY, pa.int32()), pa.array(np.array(bitmaps, np.int64).ravel()))
             nothing = [pa.nulls(len(n), none).cast(pa.int32()), pa.nulls(len(n), none).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), *nothing], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), bits, *nothing], names)
         for at, data in slices(table):
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, none).cast(pa.int64())] * 4, pa.array([at], pa.int32()), pa.array([data], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, none).cast(pa.int64())] * 4, pa.nulls(1, pa.list_(pa.int64())), pa.array([at], pa.int32()), pa.array([data], pa.binary())], names)
 
-    return docs.mapInArrow(read, "key long, n long, k1 long, k2 long, slice int, data binary")
+    return docs.mapInArrow(read, "key long, n long, k1 long, k2 long, parity array<long>, slice int, data binary")
 
 
 def squeezed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -284,11 +295,23 @@ def more_offers(held: DataFrame, room: int, percent: int) -> DataFrame:
     return rows.mapInArrow(read, OFFERED)
 
 
+def near(pairs: DataFrame, bitmaps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs ``a``, ``b`` that may link, by the ``n`` and ``parity`` of ``key`` in ``bitmaps``; any row of a key that is repeated will do."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    held = bitmaps.join(small(asked), "key", "left_semi")
+    side = lambda c: held.select(F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    far = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda bits, x: bits + x)
+    elements = F.col("a_n") + F.col("b_n")
+    return both.where(far <= elements - 2 * F.ceil(percent * elements / (100 + percent))).select("a", "b").distinct()
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` (the smallest key reachable over links) of every row."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
     both = stored(sets(rows, width), "sets")
     own = both.where("slice is null").select("key", "n", "k1", "k2")
+    bitmaps = both.where("slice is null").select("key", "n", "parity")
     levels = summed_levels(both.where("slice is not null").select("slice", "data"), BITS)
     reps = own.where("n > 0 and key is not null").groupBy("k1", "k2").agg(F.min("key").alias("class"))
     classes = stored(own.join(reps, ["k1", "k2"], "left").select("key", "n", "class"), "classes")
@@ -301,7 +324,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     edges, room = None, OFFERS
     minus = F.lit(-1)
     while True:
-        pairs = found.where("b is not null").select("a", minus.alias("a_line"), "b", minus.alias("b_line")).distinct()
+        offered = stored(found.where("b is not null").select("a", "b").distinct(), "offered")
+        pairs = near(offered, bitmaps, percent).select("a", minus.alias("a_line"), "b", minus.alias("b_line"))
         links = stored(verify(pairs, rows, lambda: shingler(width), percent, whole=True).select("a", "b"), "links")
         edges = links if edges is None else edges.unionByName(links)
         joined = components(edges, "a", "b")
