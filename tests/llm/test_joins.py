@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
@@ -405,6 +406,15 @@ def test_pairs_whose_bitmaps_are_apart_are_dropped_and_no_link_is(spark):
         assert bits <= len(np.setxor1d(x, sets[0]))
 
 
+def test_shingles_that_share_a_cell_are_all_counted(spark):
+    texts = [" ".join(f"w{k}" for k in range(30_000)), "a b c d e", "A b  c d e", "one", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "key long, text string").coalesce(1)
+    slices = {r.slice: zlib.decompress(r.data) for r in ngram_join.sets(rows).where("slice is not null").collect()}
+    counted = {(k << 16) + int(i): int(n) for k, data in slices.items() for x in [np.frombuffer(data, "<u2")] for i, n in zip(np.flatnonzero(x), x[x > 0], strict=True)}
+    cells = [h >> (64 - ngram_join.BITS) for t in texts for h in ngram_join.shingler()(t).tolist()]
+    assert len(set(cells[:29_996])) < 29_996 == len(cells) - 3 and counted == Counter(cells)
+
+
 def test_whole_texts_are_dealt_out_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c"), (1, "x y"), (2, "A  b c"), (3, "x y"), (4, None), (5, ""), (None, "a b c"), (6, "a b d")], "key long, text string")
     pairs = spark.createDataFrame([(1, -1, b, -1) for b in (2, 3, 4, 5, 6, 9)] + [(4, -1, 5, -1), (None, -1, 2, -1)], "a long, a_line int, b long, b_line int")
